@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -28,6 +30,14 @@ def checkpoint_root(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+def once_per_worker(key, make):
+    """make(), once in a Python worker process and kept for its later tasks. For caches of bounded size only."""
+    home = sys.modules.setdefault("_entitysurv_worker", types.ModuleType("_entitysurv_worker"))
+    if key not in home.__dict__:
+        home.__dict__[key] = make()
+    return home.__dict__[key]
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, sharding, token_counts, toxicity, url_filter
+from . import mixing, packing, quality, sharding, token_counts, token_output, toxicity, url_filter
+from .common import scratch_path
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -47,6 +48,11 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "margin")
 
 
+def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_output.write_tokens(table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE), scratch_path(spark, "token-files"), end_id=1)
+    return token_output.read_tokens(spark, path, with_ids=False)
+
+
 def held_out(doc_id) -> F.Column:
     return F.crc32(doc_id.cast("string")) % 5 == 0
 
@@ -59,6 +65,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op3_token_counts, op5_quality_rules, op6_mixing, op7_packing, op8_url_filter, op10_toxicity)
+    f.__name__: f for f in (op1_sharding, op3_token_counts, op5_quality_rules, op6_mixing, op7_packing, op8_url_filter, op9_token_output, op10_toxicity)
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterable
@@ -38,9 +39,9 @@ def words(sentence: str) -> list[str]:
     return WORDS.findall(sentence.lower())
 
 
-def evidence(docs: Iterable[set[str]], labels: np.ndarray, least: int, z: float, lift: float, max_features: int) -> dict[str, float]:
-    """Features more frequent in texts of label 1 by z standard errors and a factor of lift, the strongest first, with
-    the logarithm of that factor (counts plus one half)."""
+def evidence(docs: Iterable[set[str]], labels: np.ndarray, least: int, g2: float, lift: float, max_features: int) -> dict[str, float]:
+    """Features more frequent in texts of label 1 by a factor of lift with a log-likelihood ratio of g2 or more, the
+    strongest first, with the logarithm of that factor (counts plus one half)."""
     n1, n0 = int(labels.sum()), int(len(labels) - labels.sum())
     ones, zeros = Counter(), Counter()
     for d, y in zip(docs, labels, strict=True):
@@ -51,13 +52,13 @@ def evidence(docs: Iterable[set[str]], labels: np.ndarray, least: int, z: float,
         if a + b < least:
             continue
         p = (a + b) / (n1 + n0)
-        score = (a / n1 - b / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12)
-        if score >= z and a / n1 >= lift * b / n0:
-            found.append((-score, k, float(np.log((a + 0.5) / (b + 0.5) * n0 / n1))))
+        score = 2 * sum(x * math.log(x / e) for x, e in ((a, n1 * p), (b, n0 * p), (n1 - a, n1 - n1 * p), (n0 - b, n0 - n0 * p)) if x)
+        if score >= g2 and a / n1 >= lift * b / n0:
+            found.append((-score, k, float(math.log((a + 0.5) / (b + 0.5) * n0 / n1))))
     return {k: w for _, k, w in sorted(found)[:max_features]}
 
 
-def train(texts: list[str], labels: list[int], epochs: int = 300, rate: float = 0.3, l2: float = 1e-4, least: int = 5, z: float = 5.0, lift: float = 8.0, max_features: int = 4096) -> Model:
+def train(texts: list[str], labels: list[int], epochs: int = 300, rate: float = 0.3, l2: float = 1e-4, least: int = 5, g2: float = 28.0, lift: float = 8.0, max_features: int = 4096) -> Model:
     """Fit by Adagrad on whole batches: P(document) = 1 - prod(1 - P(sentence)), logistic loss on document labels.
 
     Only features with evidence (see there) get a weight; it starts at the logarithm of the feature's lift, and the bias
@@ -68,7 +69,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 300, rate: float =
     if len(set(labels)) < 2:
         p = min(max(float(y.mean()) if len(y) else 0.0, 1e-4), 1 - 1e-4)
         return Model({}, float(np.log(p / (1 - p))))
-    names = evidence(({f for w in set(words(t)) for f in features(w)} for t in texts), y, least, z, lift, max_features)
+    names = evidence(({f for w in set(words(t)) for f in features(w)} for t in texts), y, least, g2, lift, max_features)
     index = {k: i for i, k in enumerate(names)}
     known = _Weights(Model(index, 0.0))
     flat, sent, doc, s = [], [], [], 0
@@ -80,7 +81,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 300, rate: float =
             doc.append(d)
             s += 1
     flat, sent, doc = (np.array(x, dtype=np.int64) for x in (flat, sent, doc))
-    weights, bias, g2, b2 = np.array(list(names.values())), -10.0, np.full(len(names), 1e-8), 1e-8
+    weights, bias, s2, b2 = np.array(list(names.values())), -10.0, np.full(len(names), 1e-8), 1e-8
     for _ in range(epochs):
         v = np.bincount(sent, weights[flat], minlength=s) + bias
         p = 1 / (1 + np.exp(-v))
@@ -89,8 +90,8 @@ def train(texts: list[str], labels: list[int], epochs: int = 300, rate: float =
         # the loss falls with log_clean by 1 for clean texts and rises by (1 - P) / P for toxic ones
         pull = np.where(y > 0, -(1 - toxic) / toxic, 1.0)[doc] * p / len(y)
         g = np.bincount(flat, pull[sent], minlength=len(names)) + l2 * weights / len(y)
-        g2 += g * g
-        weights -= rate * g / np.sqrt(g2)
+        s2 += g * g
+        weights -= rate * g / np.sqrt(s2)
         gb = pull.sum()
         b2 += gb * gb
         bias -= 0.1 * rate * gb / np.sqrt(b2)
@@ -103,6 +104,11 @@ class _Weights(dict):
     def __init__(self, model: Model, limit: int = 300_000):
         super().__init__()
         self.model, self.limit = model, limit
+        # The first three bytes that a word with a feature can have: most words end there.
+        heads = [f.removeprefix("^").encode("utf-8", "replace") for f in model.weights]
+        marks = STRIP.encode()
+        self.heads = {h[:3] for h in heads} | {h + bytes((a,)) for h in heads if len(h) < 3 for a in marks} | {h + bytes((a, b)) for h in heads if len(h) < 2 for a in marks for b in marks}
+        self.marks = frozenset(marks)
 
     def __missing__(self, word: bytes) -> tuple[str, ...]:
         out = tuple(f for f in features(word.decode()) if f in self.model.weights)
@@ -114,7 +120,9 @@ class _Weights(dict):
 
     def of(self, text: str) -> set[str]:
         """Features with weight in a text; a word is what WORDS finds, which is what splitting bytes at white space gives."""
-        return {f for x in map(self.__getitem__, set(text.lower().encode("utf-8", "replace").split())) if x for f in x}
+        heads, marks = self.heads, self.marks
+        able = {w for w in text.lower().encode("utf-8", "replace").split() if w[:3] in heads or w[0] in marks}
+        return {f for x in map(self.__getitem__, able) for f in x}
 
 
 def score_text(text: str, weights: _Weights, least: float = 0.5) -> tuple[float, list[tuple[int, int, float]]]:
