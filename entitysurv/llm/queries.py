@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, sharding, token_counts, token_output, toxicity, url_filter
+from . import embedding_dedup, mixing, packing, quality, sharding, token_counts, token_output, toxicity, url_filter
 from .common import scratch_path
 
 WORD_BPE = "word_bpe_49k.json"
@@ -32,6 +32,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio", "bad_chunks", "n_chunks")
 
@@ -65,6 +69,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op3_token_counts, op5_quality_rules, op6_mixing, op7_packing, op8_url_filter, op9_token_output, op10_toxicity)
+    f.__name__: f for f in (op1_sharding, op3_token_counts, op4_embedding_dedup, op5_quality_rules, op6_mixing, op7_packing, op8_url_filter, op9_token_output, op10_toxicity)
 }
 ORACLE_SQL: dict[str, str] = {}
