@@ -95,3 +95,16 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ban
     schema = f"id {rows.schema['id'].dataType.simpleString()}, " + ", ".join(f"{n} {'boolean' if t == pa.bool_() else 'double' if t == pa.float64() else 'long'}" for n, t in FIELDS)
     how = {"bands": bands, "chunk": chunk, "chunk_band": chunk_band, "bad_share": bad_share, "min_words": min_words, "max_repeat": max_repeat}
     return rows.mapInArrow(partial(_measure_batches, **how), schema).withColumnRenamed("id", id_col)
+
+
+def filter_quality(docs: DataFrame, text_col: str = "text", bands=BANDS, chunk: int = CHUNK, chunk_band=CHUNK_BAND, bad_share: float = BAD_CHUNKS, min_words: int = 20, max_repeat: int = 30) -> DataFrame:
+    """The rows of docs that `quality` keeps, with all their columns, in one pass without a join."""
+    how = {"bands": bands, "chunk": chunk, "chunk_band": chunk_band, "bad_share": bad_share, "min_words": min_words, "max_repeat": max_repeat}
+    at = docs.columns.index(text_col)
+
+    def keep(batches):
+        zstd = zstandard.ZstdCompressor(level=3, write_content_size=False)
+        for batch in batches:
+            yield batch.filter(pa.array([measure(x.as_py(), zstd, **how)[-1] for x in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

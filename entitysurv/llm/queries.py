@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, mixing, packing, quality, sharding, token_counts, token_output, toxicity, url_filter
+from . import embedding_dedup, mixing, ngram_join, packing, quality, sharding, token_counts, token_output, toxicity, url_filter
 from .common import scratch_path
 
 WORD_BPE = "word_bpe_49k.json"
@@ -28,6 +28,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens")
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE))
 
@@ -69,6 +73,30 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op3_token_counts, op4_embedding_dedup, op5_quality_rules, op6_mixing, op7_packing, op8_url_filter, op9_token_output, op10_toxicity)
+    f.__name__: f for f in (op1_sharding, op2_ngram_jaccard, op3_token_counts, op4_embedding_dedup, op5_quality_rules, op6_mixing, op7_packing, op8_url_filter, op9_token_output, op10_toxicity)
 }
-ORACLE_SQL: dict[str, str] = {}
+#: Every pair that shares a 5-word shingle, its exact overlap, and the closure of the links.
+OP2_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s
+  FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n_both
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+  WHERE 100 * n_both >= 80 * (p.n + q.n - n_both)),
+reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM documents
+  UNION
+  SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, r.c AS component_id
+FROM documents d LEFT JOIN sizes s USING (doc_id) JOIN (SELECT x, min(y) AS c FROM reach GROUP BY x) r ON r.x = d.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_ngram_jaccard": OP2_SQL}

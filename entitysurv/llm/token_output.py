@@ -87,13 +87,16 @@ def encode_ids(ids: np.ndarray, codes: np.ndarray, bits: np.ndarray, stride: int
     n = bits[ids].astype(np.int64)
     at = np.cumsum(n) - n
     total = int(at[-1] + n[-1])
-    word = codes[ids] << (32 - n - (at & 7)).astype(np.uint32)  # codes have at most 25 bits
-    out = np.zeros((total + 7) // 8 + 4)
-    byte = at >> 3
-    for k in range(4):
-        part = (word >> np.uint32(24 - 8 * k)) & np.uint32(255)
-        out[: len(out)] += np.bincount(byte + k, part, minlength=len(out))[: len(out)]
-    return out[: (total + 7) // 8].astype(np.uint8).tobytes(), at[::stride].copy()
+    code = codes[ids].astype(np.uint64)
+    if len(ids) % 2:
+        code, n = np.append(code, np.uint64(0)), np.append(n, 0)
+    # Two codes at a time (at most 32 bits) go into 32-bit lanes; bits never overlap, so adding is or-ing.
+    width = n[::2] + n[1::2]
+    word = code[::2] << n[1::2].astype(np.uint64) | code[1::2]
+    word <<= (64 - width - (at[::2] & 31)).astype(np.uint64)
+    lane, lanes = at[::2] >> 5, (total >> 5) + 2
+    out = np.bincount(lane, (word >> np.uint64(32)).astype(np.float64), minlength=lanes) + np.bincount(lane + 1, (word & np.uint64(0xFFFFFFFF)).astype(np.float64), minlength=lanes)
+    return out.astype(np.uint64).astype(">u4").tobytes()[: (total + 7) // 8], at[::stride].copy()
 
 
 def decode_ids(payload: bytes, checkpoints: np.ndarray, n_ids: int, symbol: np.ndarray, used: np.ndarray, limit: int, stride: int = STRIDE) -> np.ndarray:

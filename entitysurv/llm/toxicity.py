@@ -169,3 +169,16 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     schema = f"id {rows.schema['id'].dataType.simpleString()}, score double, offending array<struct<start:int,end:int,probability:double>>"
     return rows.mapInArrow(task, schema).withColumnRenamed("id", id_col)
+
+
+def filter_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of docs that score under the threshold, with all their columns, in one pass without a join."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
+    at = docs.columns.index(text_col)
+
+    def keep(batches):
+        weights = _Weights(Model(*shared.value))
+        for batch in batches:
+            yield batch.filter(pa.array([score_text(x.as_py() or "", weights)[0] < threshold for x in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
