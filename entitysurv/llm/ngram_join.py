@@ -52,30 +52,50 @@ class Order:
         return grams[np.argsort(count, kind="stable")]
 
 
+_SURVEY = ["doc", "n", "key", "cells", "gram", "count"]
+
+
+def _profile(grams: np.ndarray) -> bytes:
+    """How many n-grams fall into each of 256 cells of the hash range, 16 bits each if that is enough, else 32."""
+    n = np.bincount((grams >> np.uint64(56)).astype(np.int64), minlength=256)
+    return n.astype("<u2" if n.max(initial=0) < 1 << 16 else "<u4").tobytes()
+
+
+def _near(batches, percent: int):
+    """Pairs (a, b) of rows (a, b, cells_a, cells_b) that may link: cell by cell two sets share at most the smaller count."""
+    for batch in batches:
+        profile = lambda c: np.array([np.frombuffer(x.as_buffer(), dtype="<u2" if len(x.as_buffer()) == 512 else "<u4") for x in c], dtype=np.int64).reshape(-1, 256)
+        x, y = profile(batch.column(2)), profile(batch.column(3))
+        most = np.minimum(x, y).sum(axis=1)
+        ok = 100 * most >= percent * (x.sum(axis=1) + y.sum(axis=1) - most)
+        yield batch.select([0, 1]).filter(pa.array(ok))
+
+
 def _survey(batches, width: int, least: int, chunk: int = 1 << 22):
-    """One row (doc, n, key) per document, key being a digest of its set; and rows (gram, count) of the n-grams in at
-    least `least` different sets of a chunk of the partition."""
+    """One row (doc, n, key, cells) per document, key being a digest of its set and cells its profile; and rows (gram,
+    count) of the n-grams in at least `least` different sets of a chunk of the partition."""
     held, size, seen = [], 0, set()
 
     def counted():
         grams, n = np.unique(np.concatenate(held), return_counts=True)
         some = n >= least
         none = pa.nulls(int(some.sum()))
-        return pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array(grams[some].view(np.int64)), pa.array(n[some], pa.int64())], ["doc", "n", "key", "gram", "count"])
+        return pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), none.cast(pa.binary()), pa.array(grams[some].view(np.int64)), pa.array(n[some], pa.int64())], _SURVEY)
 
     for batch in batches:
-        sizes, keys = [], []
+        sizes, keys, cells = [], [], []
         for text in batch.column(1):
             grams = shingles(text.as_py(), width)
             key = xxhash.xxh3_128_digest(grams.tobytes())
             sizes.append(len(grams))
             keys.append(key)
+            cells.append(_profile(grams))
             if len(grams) and key not in seen:
                 seen.add(key)
                 held.append(grams)
                 size += len(grams)
         none = pa.nulls(len(sizes))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), none.cast(pa.int64()), none.cast(pa.int64())], ["doc", "n", "key", "gram", "count"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(cells, pa.binary()), none.cast(pa.int64()), none.cast(pa.int64())], _SURVEY)
         if size >= chunk:
             yield counted()
             held, size = [], 0
@@ -160,8 +180,9 @@ def _may_link(n1: Column, pos1: Column, n2: Column, pos2: Column, percent: int)
 
 
 class _Join:
-    def __init__(self, docs: DataFrame, width: int, percent: int, small: int, block_docs: int, query_docs: int, broadcast_rows: int):
-        self.docs, self.width, self.percent = docs, width, percent
+    def __init__(self, docs: DataFrame, profiles: DataFrame, width: int, percent: int, small: int, block_docs: int, query_docs: int, broadcast_rows: int):
+        self.docs, self.profiles, self.width, self.percent = docs, profiles, width, percent
+        self.tested: DataFrame | None = None
         self.small, self.block_docs, self.query_docs, self.broadcast_rows = small, block_docs, query_docs, broadcast_rows
 
     def sets(self, needed: DataFrame) -> DataFrame:
@@ -173,9 +194,14 @@ class _Join:
         return staged(rows.mapInArrow(lambda b: _sets(b, width), "doc long, grams binary"), "ngram-sets")
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        """Those of pairs(a, b) that link, verified on the whole sets."""
+        """Those of pairs(a, b) that link and have not been tested yet: a bound from the profiles, then the whole sets."""
         percent = self.percent
-        pairs = staged(pairs.distinct(), "ngram-pairs")
+        pairs = pairs.distinct()
+        pairs = staged(pairs if self.tested is None else pairs.join(self.tested, ["a", "b"], "left_anti"), "ngram-pairs")
+        self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
+        cells = lambda c: self.profiles.select(F.col("doc").alias(c), F.col("cells").alias(f"cells_{c}"))
+        near = pairs.join(cells("a"), "a").join(cells("b"), "b").select("a", "b", "cells_a", "cells_b")
+        pairs = staged(near.mapInArrow(lambda x: _near(x, percent), "a long, b long").distinct(), "ngram-near")
         sets = self.sets(pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))))
         rows = pairs.join(sets.select(F.col("doc").alias("a"), F.col("grams").alias("grams_a")), "a").join(sets.select(F.col("doc").alias("b"), F.col("grams").alias("grams_b")), "b")
         return staged(rows.select("a", "b", "grams_a", "grams_b").mapInArrow(lambda x: _verify(x, percent), "a long, b long"), "ngram-links")
@@ -207,7 +233,7 @@ class _Join:
         return staged(left.groupBy("block", "salt").cogroup(right.groupBy("block_", "salt_")).applyInPandas(product, "a long, b long"), "ngram-hot-links")
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, rounds: int = 3, frequent: int = 8, known_frequent: int = 1_000_000, small: int = 48, block_docs: int = 64, query_docs: int = 512, broadcast_rows: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, rounds: int = 1, frequent: int = 8, known_frequent: int = 1_000_000, small: int = 48, block_docs: int = 64, query_docs: int = 512, broadcast_rows: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Near-duplicate components by the Jaccard similarity of word n-grams: id, n_shingles, component_id.
 
     Documents link when 100 * overlap >= percent * union of their sets of distinct n-grams of A-Z-lower-cased words.
@@ -218,6 +244,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, round
        n - ceil(percent * n / 100) + 1 in the global order. Rows meet by n-gram; n-grams of one document go.
     3. In each n-gram, sorted by size, neighbours within the bounds are verified and linked; then, for `rounds` times,
        neighbours in a hashed order whose components still differ. So a group of copies costs its size, not its square.
+       Before the sets of a pair are fetched, their profiles (counts in 256 cells of the hash range) bound the overlap.
     4. What is left is exact: in n-grams of up to `small` documents all pairs across components within the bounds, each
        only where it first meets; in larger ones the blocked product (see blocked). All are verified on whole sets.
 
@@ -228,8 +255,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, round
     are left out.
     """
     known = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    j = _Join(known.where("doc is not null"), width, percent, small, block_docs, query_docs, broadcast_rows)
-    surveyed = staged(known.mapInArrow(lambda b: _survey(b, width, 3), "doc long, n long, key binary, gram long, count long"), "ngram-survey")
+    surveyed = staged(known.mapInArrow(lambda b: _survey(b, width, 3), "doc long, n long, key binary, cells binary, gram long, count long"), "ngram-survey")
+    j = _Join(known.where("doc is not null"), surveyed.where("doc is not null").select("doc", "cells"), width, percent, small, block_docs, query_docs, broadcast_rows)
     top = surveyed.where("gram is not null").groupBy("gram").agg(F.sum("count").alias("count")).where(F.col("count") >= frequent).orderBy(F.desc("count"), "gram").limit(known_frequent).toPandas()
     order = docs.sparkSession.sparkContext.broadcast((top["gram"].to_numpy(dtype=np.int64).view(np.uint64), top["count"].to_numpy(dtype=np.int64)))  # at most known_frequent rows of two numbers
     info = surveyed.where("gram is null")
