@@ -7,6 +7,7 @@ import tempfile
 import types
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -75,16 +76,36 @@ def ranked(df: DataFrame, keys: list[str], hash_col: str, ties: list[str], bucke
     )
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def _forest(batches):
+    """(node, component) of the edges of one partition, by union-find; component = smallest node."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (p := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent.setdefault(p, p)
+        return x
+
+    for pdf in batches:
+        for u, v in zip(pdf["u"].tolist(), pdf["v"].tolist(), strict=True):
+            a, b = find(u), find(v)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    yield pd.DataFrame({"node": list(parent), "component": [find(x) for x in parent]}, dtype="int64")
+
+
+def components(edges: DataFrame, rounds: int = 60, one_task: int = 500_000) -> DataFrame:
     """Connected components of edges(a long, b long): one row (node, component) per node, component = smallest node.
 
-    Alternating large-star and small-star steps: the graph stays in the cluster, each round is a few aggregations with
-    map-side combine and joins that adaptive execution may split on hot nodes. Self-loops and repeated edges are fine;
-    a null end drops its edge. Raises if it has not converged after `rounds`.
+    The edges are counted first. Up to one_task of them (a few dozen MB at most) are joined in one task by union-find.
+    More stay spread: every partition contracts its own edges the same way, then large-star and small-star steps
+    alternate, each a few aggregations with map-side combine and joins that adaptive execution may split on hot nodes.
+    Both give the same rows. Self-loops and repeated edges are fine; a null end drops its edge. Raises if the star steps
+    have not converged after `rounds`.
     """
-    e = cut(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    if e.isEmpty():
-        return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    e = staged(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    if e.count() <= one_task:
+        return cut(e.coalesce(1).mapInPandas(_forest, "node long, component long"))
+    e = cut(e.mapInPandas(_forest, "node long, component long").where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")).distinct())
     last = None
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
