@@ -55,3 +55,16 @@ def unique_names(df: DataFrame, column: str = "name") -> DataFrame:
     if twice:
         raise ValueError(f"duplicate {column}: {twice[0][0]}")
     return df
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir, which the cluster shares; a local session without it gets a temporary one."""
+    import tempfile
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
