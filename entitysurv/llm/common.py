@@ -43,11 +43,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends there and later reads prune columns."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def staged(df: DataFrame, name: str, batch_rows: int = 1000) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: lineage ends there and later reads prune columns.
+
+    While it is written, Python workers get at most batch_rows rows at a time: rows here are texts and whole sets, and
+    the usual ten thousand of them would fill an executor.
+    """
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    path, usual = scratch_path(spark, name), spark.conf.get(key)
+    spark.conf.set(key, min(batch_rows, int(usual)) if int(usual) > 0 else batch_rows)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, usual)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def cut(df: DataFrame) -> DataFrame:

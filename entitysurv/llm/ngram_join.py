@@ -71,7 +71,7 @@ def _near(batches, percent: int):
         yield batch.select([0, 1]).filter(pa.array(ok))
 
 
-def _survey(batches, width: int, least: int, chunk: int = 1 << 22):
+def _survey(batches, width: int, least: int, chunk: int = 1 << 21):
     """One row (doc, n, key, cells) per document, key being a digest of its set and cells its profile; and rows (gram,
     count) of the n-grams in at least `least` different sets of a chunk of the partition."""
     held, size, seen = [], 0, set()
