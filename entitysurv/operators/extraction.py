@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers as N
 from ..functions import text as T
 from ..functions.lexicon import canonicalize
+from ..sources.io import staged
 
 # Digit types, the lengths that fit them, and how far a cue may be from its number.
 SHAPES = [("pin_code", 6, 6), ("otp", 4, 6), ("account_number", 9, 18)]
@@ -126,12 +127,14 @@ def extract_entities(texts: DataFrame, lexicon: DataFrame, types: list[str] | No
 
     types is not a filter on the result: cues are looked up for these types only, and dates hide other candidates only
     if dates are wanted. Empty means all. (part, start, k) is the order of emission, which breaks ties later.
-    name_extractor may add candidates of its own, as a DataFrame function. A null text has no candidates.
+    name_extractor may add candidates of its own, as a DataFrame function. A null text has no candidates. The tokens that
+    mean something (numbers, months, cues) and the runs are written once, as four later steps read them.
     """
     types = types or ALL_TYPES
     folded = texts.select("row_key", T.folded_text(F.col("text"), normalize=not ascii_only).alias("folded"))
     tagged = with_lexicon(tokenize(folded), lexicon)
-    runs = number_runs(tagged)
+    tagged = staged(tagged.where("numberish or month is not null or size(cue_types) > 0"), "tokens")
+    runs = staged(number_runs(tagged), "runs")
     digit = [t for t, _, _ in SHAPES if t in types]
     out = run_candidates(runs, cue_scan(runs, tagged, digit), types)
     if "date" in types:
