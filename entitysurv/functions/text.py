@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The first code points of the digit blocks of nine Indic scripts.
 INDIC_ZEROS = [0x0966, 0x09E6, 0x0A66, 0x0AE6, 0x0B66, 0x0BE6, 0x0C66, 0x0CE6, 0x0D66]
@@ -16,7 +17,7 @@ _FROM = "".join(chr(z + d) for z in INDIC_ZEROS for d in range(10))
 _TO = "0123456789" * len(INDIC_ZEROS)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Unicode NFC, which Spark SQL lacks; the only Python in this module."""
     return text.str.normalize("NFC")
