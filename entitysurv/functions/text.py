@@ -17,10 +17,20 @@ _FROM = "".join(chr(z + d) for z in INDIC_ZEROS for d in range(10))
 _TO = "0123456789" * len(INDIC_ZEROS)
 
 
+#: The characters that Python takes for white space, as Java's class is ASCII only.
+_SPACE = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
 @F.pandas_udf(StringType())
 def nfc(text: pd.Series) -> pd.Series:
-    """Unicode NFC, which Spark SQL lacks; the only Python in this module."""
-    return text.str.normalize("NFC")
+    """Unicode NFC, which Spark SQL lacks; with casefold the only Python in this module."""
+    return text.astype("object").str.normalize("NFC")
+
+
+@F.pandas_udf(StringType())
+def casefold(text: pd.Series) -> pd.Series:
+    """Unicode case folding, which Spark SQL lacks."""
+    return text.astype("object").str.casefold()
 
 
 def fold_digits(text: Column) -> Column:
@@ -29,7 +39,7 @@ def fold_digits(text: Column) -> Column:
 
 def folded_text(text: Column, normalize: bool = True) -> Column:
     """NFC (unless told the text is ASCII or normal already), ASCII digits, no grouping marks between digits."""
-    return F.regexp_replace(fold_digits(nfc(text) if normalize else text), "(?<=[0-9])[,٬](?=[0-9])", "")
+    return F.regexp_replace(fold_digits(nfc(text) if normalize else text), r"(?<=\p{Nd})[,٬](?=\p{Nd})", "")
 
 
 def normalize_digits(text: Column) -> Column:
@@ -48,7 +58,7 @@ def normalize_date(year: Column, month: Column, day: Column) -> Column:
 
 
 def normalize_name(text: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(nfc(text), r"\s+", " ")))
+    return F.trim(F.regexp_replace(casefold(nfc(text)), _SPACE, " "))
 
 
 def indian_grouping(n: Column) -> Column:
@@ -84,8 +94,8 @@ def edit_distance(a: Column, b: Column) -> Column:
 
 
 def wer_tokens(text: Column) -> Column:
-    """Case-folded words; punctuation goes, except that the whole Devanagari block stays."""
-    return F.filter(F.split(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}_\s\x{0900}-\x{097F}]", " ")), r"\s+"), lambda x: x != "")
+    """Case-folded words of the NFC text; punctuation goes, except that the whole Devanagari block stays."""
+    return F.filter(F.split(casefold(F.regexp_replace(nfc(text), r"[^\p{L}\p{N}_\s\x{0900}-\x{097F}]", " ")), r"\s+"), lambda x: x != "")
 
 
 def token_edit_distance(a: Column, b: Column) -> Column:
