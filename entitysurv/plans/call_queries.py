@@ -105,9 +105,8 @@ def number_runs(spark, sf):
 
 @query("SELECT o_orderkey AS row_key, CASE WHEN length(d) <= 3 THEN d ELSE regexp_replace(left(d, length(d) - 3), '^(.?)((?:..)*)$', '\\1') || regexp_replace(regexp_replace(left(d, length(d) - 3), '^(.?)((?:..)*)$', '\\2'), '(..)', ',\\1', 'g') || ',' || right(d, 3) END AS grouped FROM (SELECT *, floor(o_totalprice)::BIGINT::VARCHAR AS d FROM orders) WHERE length(d) % 2 = 0 OR length(d) <= 3")
 def indian_grouping(spark, sf):
-    c = calls(spark, sf)
-    n = F.length(F.col("amount").cast("string"))
-    return c.where((n % 2 == 0) | (n <= 3)).select("row_key", T.indian_grouping(F.col("amount")).alias("grouped"))
+    """One row per order."""
+    return calls(spark, sf).select("row_key", T.indian_grouping(F.col("amount")).alias("grouped"))
 
 
 @query(GOLD_SQL + "SELECT row_key, array_to_string(list_transform(string_split(expected, ''), lambda c: ['zero','one','two','three','four','five','six','seven','eight','nine'][c::INTEGER + 1]), ' ') AS words FROM gold WHERE type = 'otp'")

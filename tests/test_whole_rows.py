@@ -48,3 +48,26 @@ def test_folded_text_of_all_documents(spark, monkeypatch):
 
 def test_normalize_name_of_all_documents(spark, monkeypatch):
     same_for_all_documents(spark, monkeypatch, "normalize_name", "name", brute_name)
+
+
+def orders(spark, monkeypatch, amounts):
+    rows = [(i, 10 + i, None if a is None else float(a), f"2024-{1 + i % 12:02d}-{1 + i % 28:02d}") for i, a in enumerate(amounts, 1)]
+    df = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate string")
+    monkeypatch.setattr(demo, "table", lambda *_: df)
+    return {r[0]: (None if r[2] is None else int(r[2]), r[3]) for r in rows}
+
+
+def brute_grouping(n):
+    head, tail = str(n)[:-3], str(n)[-3:]
+    while len(head) > 2:
+        head, tail = head[:-2], f"{head[-2:]},{tail}"
+    return f"{head},{tail}" if head else tail
+
+
+AMOUNTS = [0, 7, 100, 999, 1000, 9_999, 10_000, 54_321.9, 99_999, 100_000, 350_000, 1_234_567, 12_345_678, 123_456_789, None]
+
+
+def test_indian_grouping_of_every_length(spark, monkeypatch):
+    want = orders(spark, monkeypatch, AMOUNTS)
+    got = {r.row_key: r.grouped for r in QUERIES["indian_grouping"](spark, "").collect()}
+    assert got == {k: None if a is None else brute_grouping(a) for k, (a, _) in want.items()}
