@@ -192,17 +192,18 @@ def normalize_name(spark, sf):
 @query("SELECT o_orderkey AS row_key, 3 AS value FROM orders WHERE o_orderkey % 2 = 1")
 def canonicalize(spark, sf):
     """Two spellings of one number word meet in the lexicon."""
-    c = demo.table(spark, sf, "orders").where("o_orderkey % 2 = 1").select(F.col("o_orderkey").alias("row_key"), F.when(F.col("o_orderkey") % 4 == 1, "Thrii").otherwise("three").alias("word"))
+    c = demo.table(spark, sf, "orders").select(F.col("o_orderkey").alias("row_key"), F.when(F.col("o_orderkey") % 4 == 1, "Thrii").otherwise("three").alias("word"))
     known = c.select("word").distinct().withColumn("canon", L.canonicalize(F.col("word"))).join(F.broadcast(L.lexicon(spark)), "canon")
     return c.join(known, "word").select("row_key", F.col("value").cast("int").alias("value"))
 
 
 @query(GOLD_SQL + "SELECT row_key, expected AS digits FROM gold WHERE type = 'otp' AND realization = 'digits'")
 def tokenize_spans(spark, sf):
-    """The token at position 3 of a digit sentence, cut from the text by its offsets."""
-    c = calls(spark, sf).where("realization = 'digits'")
-    t = X.tokenize(c.select("row_key", T.folded_text(F.col("text"), normalize=False).alias("folded"))).where("pos = 3")
-    return t.drop("text").join(c, "row_key").select("row_key", F.substr(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start")).alias("digits"))
+    """The token at position 3 of each sentence, cut from the text by its offsets: the code, or its first digit's word."""
+    c = calls(spark, sf)
+    folded = c.select("row_key", T.folded_text(F.col("text"), normalize=False).alias("folded"))
+    t = X.tokenize(folded).where("pos = 3")
+    return t.drop("text").join(folded, "row_key").select("row_key", F.substr(F.col("folded"), F.col("start") + 1, F.col("end") - F.col("start")).alias("digits"))
 
 
 @query(GOLD_SQL + "SELECT row_key, regexp_extract(expected, '[0-9]+')::BIGINT AS value, true AS magnitude FROM gold WHERE type = 'currency'")
@@ -228,13 +229,13 @@ def shape_fallback(spark, sf):
 
 @query(GOLD_SQL + "SELECT row_key, expected AS date FROM gold WHERE type = 'date' AND realization = 'digits'")
 def extract_numeric_dates(spark, sf):
-    c = calls(spark, sf).where("realization = 'digits'").select("row_key", T.folded_text(F.col("text"), normalize=False).alias("folded"))
+    c = calls(spark, sf).select("row_key", T.folded_text(F.col("text"), normalize=False).alias("folded"))
     return X.numeric_dates(c).select("row_key", F.col("normalized").alias("date"))
 
 
 @query(GOLD_SQL + "SELECT row_key, expected AS date FROM gold WHERE type = 'date' AND realization = 'words'")
 def extract_month_dates(spark, sf):
-    t = tagged(spark, calls(spark, sf).where("realization = 'words'"))
+    t = tagged(spark, calls(spark, sf))
     return X.month_dates(t, X.number_runs(t)).select("row_key", F.col("normalized").alias("date"))
 
 

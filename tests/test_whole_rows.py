@@ -71,3 +71,22 @@ def test_indian_grouping_of_every_length(spark, monkeypatch):
     want = orders(spark, monkeypatch, AMOUNTS)
     got = {r.row_key: r.grouped for r in QUERIES["indian_grouping"](spark, "").collect()}
     assert got == {k: None if a is None else brute_grouping(a) for k, (a, _) in want.items()}
+
+
+def test_orders_of_both_kinds(spark, monkeypatch):
+    want = orders(spark, monkeypatch, [a for a in AMOUNTS if a is not None])
+    rows = lambda name, c: sorted((r.row_key, r[c]) for r in QUERIES[name](spark, "").collect())
+    assert rows("parse_value", "value") == [(k, a) for k, (a, _) in want.items()]
+    assert rows("canonicalize", "value") == [(k, 3) for k in want]
+    code = lambda k: f"{k * 7919 % 1000000:06d}"
+    assert rows("tokenize_spans", "digits") == [(k, T.DIGIT_WORDS[int(code(k)[0])] if k % 2 else code(k)) for k in want]
+
+
+def test_date_rules_meet_sentences_of_the_other_kind(spark, monkeypatch):
+    from entitysurv.plans import more_queries as Q
+
+    orders(spark, monkeypatch, [1234, 5678])
+    both = spark.createDataFrame([(1, "words", "due on 14/03/2026"), (2, "digits", "due on four may two thousand twenty six"), (3, "words", "none")], "row_key long, realization string, text string")
+    monkeypatch.setattr(Q, "calls", lambda *_: both)
+    assert [tuple(r) for r in Q.extract_numeric_dates(spark, "").collect()] == [(1, "2026-03-14")]
+    assert [tuple(r) for r in Q.extract_month_dates(spark, "").collect()] == [(2, "2026-05-04")]
