@@ -140,8 +140,10 @@ def corpus_profile(ents: DataFrame, rows: DataFrame) -> DataFrame:
     return by_type.unionByName(rows.groupBy(F.lit("realization").alias("kind"), F.coalesce("realization", F.lit("?")).alias("name")).agg(F.count_distinct("utterance_id").alias("n")))
 
 
-def rescore_delta(before: DataFrame, after: DataFrame) -> DataFrame:
-    return before.agg(hits().alias("before"), total().alias("total")).join(after.agg(hits().alias("after"))).withColumn("delta", F.col("after") - F.col("before"))
+def rescore_delta(before: DataFrame, after: DataFrame, *keys: str) -> DataFrame:
+    """Hits before and after and their difference, for each value of keys; one on one side only stays, with null for the other."""
+    b, a = before.groupBy(*keys).agg(hits().alias("before"), total().alias("total")), after.groupBy(*keys).agg(hits().alias("after"))
+    return (b.join(a, list(keys), "full") if keys else b.join(a)).withColumn("delta", F.col("after") - F.col("before"))
 
 
 def with_rendering(ents: DataFrame) -> DataFrame:

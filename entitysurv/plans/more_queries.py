@@ -28,8 +28,9 @@ def conditioned(c):
 
 @query(GOLD_SQL + "SELECT row_key, 'account' AS word, 1::BIGINT AS n_ref, CASE WHEN (7 * CASE WHEN realization = 'digits' THEN 6 ELSE 11 END + row_key) % 9 <> 0 THEN 1 ELSE 0 END::BIGINT AS kept FROM gold WHERE type = 'account_number'")
 def cue_multiset_intersect(spark, sf):
+    """Every word of every sentence, and how often it came through the damage."""
     c = calls(spark, sf)
-    return C.cue_multiset(tagged(spark, c), tagged(spark, damaged(c))).where("word = 'account'").select("row_key", "word", "n_ref", "kept")
+    return C.cue_multiset(tagged(spark, c), tagged(spark, damaged(c))).select("row_key", "word", "n_ref", "kept")
 
 
 def _survival(spark, sf):
@@ -92,9 +93,8 @@ def triage_listing(spark, sf):
 
 @query(GOLD_SQL + "SELECT type, count(*) AS total FROM gold GROUP BY 1")
 def rescore_delta(spark, sf):
-    before, after = scored(spark, sf, True), scored(spark, sf)
-    d = before.groupBy("type").agg(F.count_if("hit").alias("before"), F.count(F.lit(1)).alias("total")).join(after.groupBy("type").agg(F.count_if("hit").alias("after")), "type")
-    return d.where("after >= before").select("type", "total")
+    """Hits of each type on damaged sentences and on whole ones."""
+    return M.rescore_delta(scored(spark, sf, True), scored(spark, sf), "type").select("type", "total", "before", "after", "delta")
 
 
 @query("SELECT o_orderkey AS row_key FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 5 = 0)")
@@ -246,11 +246,20 @@ def date_containment_anti(spark, sf):
     return X.extract_entities(c, L.lexicon(spark)).where("type <> 'date'").select("row_key")
 
 
+def broken_amounts(c):
+    """(row_key, text): the amount in words with an unknown word before one of its scales, which one by the row's key. An
+    amount below 100 has no scale to be broken at and stays whole."""
+    words = F.split(T.number_to_words(F.col("amount")), " ")
+    scales = F.filter(F.transform(words, lambda w, i: F.when(w.isin("crore", "lakh", "thousand", "hundred"), i)), lambda i: i.isNotNull())
+    at = F.get(scales, F.when(F.size(scales) > 0, F.pmod(F.col("row_key"), F.size(scales))).cast("int"))
+    broken = F.flatten(F.transform(words, lambda w, i: F.when(i == at, F.array(F.lit("blah"), w)).otherwise(F.array(w))))
+    return c.select("row_key", F.concat(F.lit("rupees "), F.array_join(broken, " "), F.lit(" only")).alias("text"))
+
+
 @query("SELECT o_orderkey AS row_key FROM orders WHERE false")
 def split_runs(spark, sf):
-    """A number broken by an unknown word emits nothing."""
-    c = calls(spark, sf).select("row_key", F.concat(F.lit("rupees five lakh blah thousand "), F.lit("only")).alias("text"))
-    return X.extract_entities(c, L.lexicon(spark)).select("row_key")
+    """A number broken by an unknown word emits nothing: the amount of each order, broken before one of its scales."""
+    return X.extract_entities(broken_amounts(calls(spark, sf)), L.lexicon(spark)).select("row_key")
 
 
 @query("SELECT o_orderkey AS row_key, 'otp' AS type, 2 AS dist FROM orders")

@@ -2,9 +2,12 @@
 
 import re
 import unicodedata
+from collections import Counter
+
+from pyspark.sql import functions as F
 
 from entitysurv.functions import text as T
-from entitysurv.plans import demo
+from entitysurv.plans import call_queries, demo, more_queries
 from entitysurv.plans.queries import QUERIES
 
 TEXTS = [None, "", "one line", "two\nlines\r\n\tand  more ", "Café au lait, 5 €", "Café STRASSE straße", "करें। नमस्ते", "क़ १,२३,४५६", "1,2,3 and 12,34,567", "a b c d\x1ce\x85f", " 　x ", "İstanbul ΑΣ", "١,٢", "_x-y_ ½ ²"]
@@ -90,3 +93,44 @@ def test_date_rules_meet_sentences_of_the_other_kind(spark, monkeypatch):
     monkeypatch.setattr(Q, "calls", lambda *_: both)
     assert [tuple(r) for r in Q.extract_numeric_dates(spark, "").collect()] == [(1, "2026-03-14")]
     assert [tuple(r) for r in Q.extract_month_dates(spark, "").collect()] == [(2, "2026-05-04")]
+
+
+def sentences(c, damage=False):
+    """{row_key: words}, without those at every ninth place if damaged."""
+    rows = {r.row_key: r.text.split(" ") for r in c.select("row_key", "text").collect()}
+    return {k: [w for i, w in enumerate(ws) if not damage or (i * 7 + k) % 9] for k, ws in rows.items()}
+
+
+def test_all_words_of_a_row_are_counted(spark, monkeypatch):
+    orders(spark, monkeypatch, AMOUNTS[:6])
+    c = call_queries.calls(spark, "")
+    parts = lambda ws: Counter(p for w in ws for p in re.findall(r"[0-9]+|[^\W\d]+", w.replace(",", "")))
+    want = {(k, w): (n, min(n, parts(kept)[w])) for (k, ws), kept in zip(sentences(c).items(), sentences(c, True).values()) for w, n in parts(ws).items()}
+    got = {(r.row_key, r.word): (r.n_ref, r.kept) for r in QUERIES["cue_multiset_intersect"](spark, "").collect()}
+    words = {k: v for k, v in want.items() if not k[1].isdigit()}
+    assert {k: v for k, v in got.items() if not k[1].isdigit()} == words and len(words) > 6
+
+
+def test_extraction_keeps_candidates_that_are_not_gold(spark, monkeypatch):
+    both = spark.createDataFrame([(1, "your otp is 482913 and 123456789 is new"), (2, "nothing")], "row_key long, text string")
+    monkeypatch.setattr(call_queries, "calls", lambda *_: both)
+    monkeypatch.setattr(call_queries, "gold", lambda c: spark.createDataFrame([(1, "digits", 0, "otp", "482913")], "row_key long, realization string, idx int, type string, expected string"))
+    got = {tuple(r) for r in call_queries.extract_entities(spark, "").collect()}
+    assert got == {(1, "otp", "482913"), (1, "account_number", "123456789")}
+
+
+def test_rescore_counts_hits_and_keeps_losses(spark, monkeypatch):
+    score = lambda *rows: spark.createDataFrame(rows, "type string, hit boolean")
+    before, after = score(("a", True), ("a", True), ("b", False), ("c", True)), score(("a", False), ("a", True), ("b", True), ("c", True))
+    for module in (call_queries, more_queries):
+        monkeypatch.setattr(module, "scored", lambda spark, sf, damage=False: before if damage else after)
+    assert {(r.type, r.total, r.hits) for r in QUERIES["rescore"](spark, "").collect()} == {("a", 2, 2), ("b", 1, 0), ("c", 1, 1)}
+    assert {(r.type, r.total, r.before, r.after, r.delta) for r in QUERIES["rescore_delta"](spark, "").collect()} == {("a", 2, 2, 1, -1), ("b", 1, 0, 1, 1), ("c", 1, 1, 1, 0)}
+
+
+def test_split_runs_break_each_amount(spark, monkeypatch):
+    want = orders(spark, monkeypatch, [100, 999, 1000, 54_321, 350_000, 1_234_567, 123_456_789])
+    seen = {k: " ".join(ws) for k, ws in sentences(more_queries.broken_amounts(call_queries.calls(spark, ""))).items()}
+    whole = {k: " ".join(ws) for k, ws in sentences(call_queries.calls(spark, "").select("row_key", T.number_to_words(F.col("amount")).alias("text"))).items()}
+    assert all(t.count("blah") == 1 and t.replace("blah ", "") == f"rupees {whole[k]} only" for k, t in seen.items()) and len(set(seen.values())) == len(want)
+    assert QUERIES["split_runs"](spark, "").count() == 0
