@@ -71,10 +71,13 @@ def with_features(urls: DataFrame) -> DataFrame:
 
 
 def with_suffix_statistics(rows: DataFrame, counts: DataFrame, paths: DataFrame) -> DataFrame:
-    """Joins the smoothed share of blocked URLs and the count of each suffix and of each suffix with first path part."""
+    """Joins the smoothed share of blocked URLs and the count of each suffix and of each suffix with first path part.
+
+    The statistics grow with the URLs, so no join is forced to broadcast.
+    """
     return (
-        rows.join(F.broadcast(counts), "suffix", "left")
-        .join(F.broadcast(paths), "section", "left")
+        rows.join(counts, "suffix", "left")
+        .join(paths, "section", "left")
         .withColumns({"f_suffix_block": F.coalesce("f_suffix_block", F.lit(0.5)), "f_suffix_count": F.coalesce("f_suffix_count", F.lit(0.0)), "f_path_block": F.coalesce("f_path_block", F.lit(0.5))})
     )
 
@@ -89,13 +92,15 @@ def _tree(node) -> Column:
 def train(labelled: DataFrame, max_rows: int = 50_000, trees: int = 10, depth: int = 4, seed: int = 11) -> tuple[Column, DataFrame, DataFrame]:
     """(margin, suffix statistics, section statistics) from labelled(url, host, path, label 0/1).
 
-    Fitted on at most max_rows rows, those of the lowest seeded hash; so each statistic has at most max_rows rows too.
-    Without rows of both labels the margin is constant.
+    The statistics are those of all labelled rows. The trees are fitted on at most max_rows of them, those of the lowest
+    seeded hash. Without rows of both labels among these the margin is constant.
     """
-    rows = with_features(labelled.where("label is not null").orderBy(F.xxhash64(F.lit(seed), "url"), "url").limit(max_rows)).cache()
+    labelled = labelled.where("label is not null")
     share = (F.sum("label") + 1.0) / (F.count(F.lit(1)) + 2.0)
-    counts = rows.groupBy("suffix").agg(share.alias("f_suffix_block"), F.log1p(F.count(F.lit(1)).cast("double")).alias("f_suffix_count"))
-    paths = rows.groupBy("section").agg(share.alias("f_path_block"))
+    every = with_features(labelled)
+    counts = every.groupBy("suffix").agg(share.alias("f_suffix_block"), F.log1p(F.count(F.lit(1)).cast("double")).alias("f_suffix_count"))
+    paths = every.groupBy("section").agg(share.alias("f_path_block"))
+    rows = with_features(labelled.orderBy(F.xxhash64(F.lit(seed), "url"), "url").limit(max_rows)).cache()
     kinds = {int(r[0]) for r in rows.select("label").distinct().collect()}
     if len(kinds) < 2:
         return F.lit(1.0 if kinds == {1} else -1.0), counts, paths

@@ -226,6 +226,21 @@ def test_url_rules_and_trees(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_url_statistics_count_all_pages_beyond_the_fitting_limit(spark):
+    rows = [(i, f"https://h{i}.{('one', 'two', 'three')[i % 3]}/{'ab'[i % 2]}/x", int(i % 5 == 0)) for i in range(90)] + [(90, "https://rare.example/only/here", 1)]
+    split = lambda r: (r[1].split("/")[2].split(".")[-1], r[1].split("/")[3])
+    labelled = spark.createDataFrame(rows, "id long, url string, label int").withColumns({"host": url_filter.host_of(F.col("url")), "path": url_filter.path_of(F.col("url"))})
+    _, counts, paths = url_filter.train(labelled, max_rows=10)
+    suffixes, sections = {}, {}
+    for r in rows:
+        suffixes.setdefault(split(r)[0], []).append(r[2])
+        sections.setdefault("/".join(split(r)), []).append(r[2])
+    share = lambda x: (sum(x) + 1) / (len(x) + 2)
+    got = {r.suffix: (r.f_suffix_block, r.f_suffix_count) for r in counts.collect()}
+    assert got == {k: (share(v), pytest.approx(np.log1p(len(v)))) for k, v in suffixes.items()}
+    assert {r.section: r.f_path_block for r in paths.collect()} == {k: share(v) for k, v in sections.items()}
+
+
 def test_huffman_round_trip_and_optimal_lengths():
     rng = np.random.default_rng(4)
     for n, limit in ((1, 16), (2, 16), (300, 16), (300, 9), (5000, 13)):
