@@ -7,7 +7,7 @@ operator defines for them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from entitysurv.llm import mixing, ngram_join, packing, quality, toxicity
@@ -27,17 +27,26 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.filter_toxic(docs, model)
 
 
+def row_key(*columns: str) -> Column:
+    """64 bits of the columns' values, nulls told apart: equal rows share it, and a shared or null id is no matter."""
+    return F.xxhash64(*(x for c in columns for x in (F.col(c).isNull(), F.col(c))))
+
+
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each near-duplicate component; a repeated row stays once, a null doc_id stays."""
-    found = ngram_join.jaccard_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(found, "doc_id", "left_anti").select(*docs.columns)
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    """The row with the smallest doc_id of each near-duplicate component; a repeated row stays once, a null doc_id stays.
+    Rows that share a doc_id with other texts are rows of their own."""
+    known = docs.where("doc_id is not null").withColumn("_row", row_key("doc_id", "text"))
+    found = ngram_join.jaccard_components(known, id_col="_row").select("_row", "component_id").distinct()
+    first = known.select("_row", "doc_id").join(found, "_row").groupBy("component_id").agg(F.min(F.struct("doc_id", "_row")).alias("x")).select("x._row")
+    kept = known.join(first, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+    return kept.unionByName(docs.where("doc_id is null"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it: not at all, once or twice. Rows without doc_id are not taken."""
-    mixed = mixing.mix(docs).where("doc_id is not null and copies > 0").groupBy("doc_id").agg(F.max("copies").cast("int").alias("_copies"))
-    return docs.join(mixed, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """Every document as often as the mix takes it: not at all, once or twice. Equal rows give their copies together."""
+    keyed = docs.withColumn("_row", row_key(*docs.columns))
+    mixed = mixing.mix(keyed, keep=("_row",)).groupBy("_row").agg(F.sum("copies").cast("int").alias("_copies")).where("_copies > 0")
+    return keyed.dropDuplicates(["_row"]).join(mixed, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +62,7 @@ STAGES = [
     ("best-fit packing", pack_sequences),
 ]
 
-#: Compression, a trained score, a dynamic programme and best fit are not SQL; tests hold each stage to brute force.
+#: Compression, a trained score, a dynamic programme and best fit are not SQL; tests hold the join and the mixing stage to known rows, the others to columns and shares.
 ORACLE_SQL = None
 
 

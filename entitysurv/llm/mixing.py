@@ -86,7 +86,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, cap: flo
     return sizes.select(*columns).coalesce(1).mapInPandas(one, "source string, known boolean, source_size long, target double")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
     """How often the mix takes every document: id, source, size (words), source_size, target, copies, taken (words).
 
     Sources in code-point order, null last, get the weights in turn and share `share` times all words; no target exceeds
@@ -94,7 +94,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     subset sums over the counts of documents by exact length, and of each length the documents with the lowest seeded
     hash are taken, so reruns and any partitioning agree. A document is taken at most ceil(cap) times.
     Null and empty texts have size 0 and are taken 0 words (copies: the whole passes); repeated rows count each; null
-    ids are kept; an empty table gives no rows; other columns are left out.
+    ids are kept; an empty table gives no rows; other columns than those in keep are left out.
     """
     rows = staged(
         docs.select(
@@ -103,6 +103,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
             F.col(source_col).isNotNull().alias("known"),
             F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
             F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("h"),
+            *keep,
         ),
         "mix-rows",
     )
@@ -120,4 +121,4 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     chosen = by_length.join(goal, ["source", "known"]).groupBy("source", "known").applyInPandas(choose, "source string, known boolean, size long, source_size long, target double, passes long, take long")
     placed = ranked(rows, ["source", "known", "size"], "h", ["id"], 64).join(chosen, ["source", "known", "size"])
     copies = F.col("passes") + (F.col("rank") < F.col("take")).cast("long")
-    return placed.select(F.col("id").alias(id_col), F.when(F.col("known"), F.col("source")).alias("source"), "size", F.col("source_size").cast("long").alias("source_size"), "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return placed.select(F.col("id").alias(id_col), F.when(F.col("known"), F.col("source")).alias("source"), "size", F.col("source_size").cast("long").alias("source_size"), "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *keep)

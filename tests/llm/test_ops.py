@@ -310,6 +310,27 @@ def test_pipeline_stages(spark):
     assert final.count() > 0
 
 
+def test_pipeline_keeps_rows_with_null_and_shared_ids(spark):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    text = lambda: " ".join(rng.choices(WORDS, k=30))
+    same, base = text(), text()
+    rows = [(None, same, "a"), (None, same, "a"), (None, text(), "b"), (7, text(), "a"), (7, text(), "b"), (7, base, "a"), (5, base, "b"), (8, text(), None), (8, None, "a"), (9, "", "b"), (9, "", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    one = [r for i, r in enumerate(rows) if i not in (5, 10)]  # 7 goes for 5, whose text it has, and a repeated row stays once
+    key = lambda r: tuple((x is None, x or "") if not isinstance(x, int) else (False, str(x)) for x in r)
+    assert sorted(map(tuple, corpus_pipeline.one_of_each_group(spark, docs, SF).collect()), key=key) == sorted(one, key=key)
+    taken = {}
+    for r in mixing.mix(docs).collect():
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+    words = {}
+    for r in corpus_pipeline.mix_sources(spark, docs, SF).collect():
+        assert tuple(r) in rows
+        words[r.source] = words.get(r.source, 0) + len((r.text or "").split())
+    assert {s: words.get(s, 0) for s in taken} == taken
+
+
 def test_base_measures_match_sql(spark):
     con = duckdb.connect()
     sql = f"""SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n_words,
