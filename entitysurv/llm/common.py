@@ -43,14 +43,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str, batch_rows: int = 1000) -> DataFrame:
+def staged(df: DataFrame, name: str, batch_rows: int = 1000, scratch: list[str] | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends there and later reads prune columns.
 
     While it is written, Python workers get at most batch_rows rows at a time: rows here are texts and whole sets, and
-    the usual ten thousand of them would fill an executor.
+    the usual ten thousand of them would fill an executor. The path is added to scratch, for `discard`.
     """
     spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
     path, usual = scratch_path(spark, name), spark.conf.get(key)
+    if scratch is not None:
+        scratch.append(path)
     spark.conf.set(key, min(batch_rows, int(usual)) if int(usual) > 0 else batch_rows)
     try:
         df.write.parquet(path)
@@ -59,6 +61,31 @@ def staged(df: DataFrame, name: str, batch_rows: int = 1000) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, scratch: list[str]) -> None:
+    """Delete staged tables that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    for path in scratch:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    scratch.clear()
+
+
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], rows: str, by: list[str], how: str = "inner", share: int = 1000, scratch: list[str] | None = None) -> DataFrame:
+    """left joined with right, which has one row per key; its column `rows` says how many rows of left have the key.
+
+    No task gets a whole hot key: one with more than 1/share of all rows (there are fewer than `share` such keys, which
+    are broadcast) is cut into cells of that size by a hash of the columns `by` of left, and its row of right is
+    repeated for each cell, all in all at most 2 * share times.
+    """
+    right = staged(right, "salted", scratch=scratch)
+    cell = max(1, (right.agg(F.sum(rows)).first()[0] or 0) // share)
+    cells = F.ceil(F.col(rows) / cell).cast("long")
+    heavy = right.where(F.col(rows) > cell).select(*on, cells.alias("_cells"))
+    left = left.join(F.broadcast(heavy), on, "left").withColumn("_cell", F.pmod(F.xxhash64(*by), F.coalesce("_cells", F.lit(1)).cast("long"))).drop("_cells")
+    right = right.withColumn("_cell", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(cells, F.lit(1)) - 1)))
+    return left.join(right, [*on, "_cell"], how).drop("_cell")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder; Spark's cleaner removes it when it is no longer referred to."""
     checkpoint_root(df.sparkSession)
@@ -85,8 +112,9 @@ def ranked(df: DataFrame, keys: list[str], hash_col: str, ties: list[str], bucke
     )
 
 
-def _forest(batches):
-    """(node, component) of the edges of one partition, by union-find; component = smallest node."""
+def _forest(batches, most: int = 1_000_000):
+    """(node, component) of the edges of one partition, by union-find; component = smallest node. After `most` nodes it
+    starts anew, so memory is bounded whatever the partition holds."""
     parent: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -94,37 +122,46 @@ def _forest(batches):
             parent[x] = x = parent.setdefault(p, p)
         return x
 
+    def found() -> pd.DataFrame:
+        return pd.DataFrame({"node": list(parent), "component": [find(x) for x in parent]}, dtype="int64")
+
     for pdf in batches:
         for u, v in zip(pdf["u"].tolist(), pdf["v"].tolist(), strict=True):
             a, b = find(u), find(v)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-    yield pd.DataFrame({"node": list(parent), "component": [find(x) for x in parent]}, dtype="int64")
+        if len(parent) >= most:
+            yield found()
+            parent.clear()
+    yield found()
 
 
-def components(edges: DataFrame, rounds: int = 60, one_task: int = 500_000) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of edges(a long, b long): one row (node, component) per node, component = smallest node.
 
-    The edges are counted first. Up to one_task of them (a few dozen MB at most) are joined in one task by union-find.
-    More stay spread: every partition contracts its own edges the same way, then large-star and small-star steps
-    alternate, each a few aggregations with map-side combine and joins that adaptive execution may split on hot nodes.
-    Both give the same rows. Self-loops and repeated edges are fine; a null end drops its edge. Raises if the star steps
-    have not converged after `rounds`.
+    Every partition contracts its own edges by union-find to pairs (node, smallest node), then large-star and
+    small-star steps alternate until the edges are stars. A hub is never one task's: joins are salted (see salted_join)
+    and minima have map-side combine. Self-loops and repeated edges are fine; a null end drops its edge. Raises if the
+    edges are no stars after `rounds`.
     """
-    e = staged(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    if e.count() <= one_task:
-        return cut(e.coalesce(1).mapInPandas(_forest, "node long, component long"))
-    e = cut(e.mapInPandas(_forest, "node long, component long").where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")).distinct())
-    last = None
+    scratch: list[str] = []
+    spark = edges.sparkSession
+    e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     for _ in range(rounds):
+        contracted = e.mapInPandas(_forest, "node long, component long").where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
+        e = staged(contracted.distinct(), "stars", scratch=scratch)
+        ends = e.select(F.col("u").alias("x"), F.lit(1).alias("as_u"), F.lit(0).alias("as_v")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("as_u"), F.lit(1).alias("as_v")))
+        open_ = ends.groupBy("x").agg(F.sum("as_u").alias("as_u"), F.max("as_v").alias("as_v")).where("as_u > 1 or as_u > 0 and as_v > 0")
+        if open_.isEmpty():
+            out = e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+            out = staged(out, "components")
+            discard(spark, scratch)
+            return out
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
-        e = cut(small)
-        state = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.count_distinct("u")).first()
-        if last == tuple(state) and state[0] == state[2]:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        last = tuple(state)
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = salted_join(both, low, ["u"], "n", ["v"], scratch=scratch).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = staged(large, "large-stars", scratch=scratch)
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        joined = salted_join(large, low, ["u"], "n", ["v"], scratch=scratch)
+        e = joined.select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
     raise RuntimeError(f"components did not settle in {rounds} rounds")

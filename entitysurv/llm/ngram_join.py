@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+import uuid
+import zlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -9,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, staged
+from .common import components, discard, once_per_worker, salted_join, staged
 
 _ASCII_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _MULTIPLIERS = np.array([pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) for k in range(64)], dtype=np.uint64)
@@ -33,6 +37,13 @@ def shingles(text: str | None, width: int = 5) -> np.ndarray:
     return np.unique(out)
 
 
+def digest(grams: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(grams.tobytes())
+
+
+# ---- the incidence matrix ----------------------------------------------------------------------------------------
+
+
 class Order:
     """The global order of n-grams: those not known as frequent first, then the frequent ones by count; ties by hash.
 
@@ -43,266 +54,348 @@ class Order:
         at = np.argsort(grams)
         self.grams, self.counts = grams[at], counts[at]
 
-    def sort(self, grams: np.ndarray) -> np.ndarray:
-        """The (hash-sorted) n-grams of a document in the global order."""
+    def first(self, grams: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The first k of a document's (hash-sorted) n-grams in the global order, and their counts, 0 if not known."""
         if not len(self.grams):
-            return grams
+            return grams[:k], np.zeros(k, dtype=np.int64)
         at = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
         count = np.where(self.grams[at] == grams, self.counts[at], 0)
-        return grams[np.argsort(count, kind="stable")]
-
+        order = np.argsort(count, kind="stable")[:k]
+        return grams[order], count[order]
 
-_SURVEY = ["doc", "n", "key", "cells", "gram", "count"]
 
-
-def _profile(grams: np.ndarray) -> bytes:
-    """How many n-grams fall into each of 256 cells of the hash range, 16 bits each if that is enough, else 32."""
-    n = np.bincount((grams >> np.uint64(56)).astype(np.int64), minlength=256)
-    return n.astype("<u2" if n.max(initial=0) < 1 << 16 else "<u4").tobytes()
-
-
-def _near(batches, percent: int):
-    """Pairs (a, b) of rows (a, b, cells_a, cells_b) that may link: cell by cell two sets share at most the smaller count."""
-    for batch in batches:
-        profile = lambda c: np.array([np.frombuffer(x.as_buffer(), dtype="<u2" if len(x.as_buffer()) == 512 else "<u4") for x in c], dtype=np.int64).reshape(-1, 256)
-        x, y = profile(batch.column(2)), profile(batch.column(3))
-        most = np.minimum(x, y).sum(axis=1)
-        ok = 100 * most >= percent * (x.sum(axis=1) + y.sum(axis=1) - most)
-        yield batch.select([0, 1]).filter(pa.array(ok))
+_SURVEY = ["doc", "n", "key", "gram", "count"]
 
 
 def _survey(batches, width: int, least: int, chunk: int = 1 << 21):
-    """One row (doc, n, key, cells) per document, key being a digest of its set and cells its profile; and rows (gram,
-    count) of the n-grams in at least `least` different sets of a chunk of the partition."""
+    """One row (doc, n, key) per document, key being a digest of its set; and rows (gram, count) of the n-grams in at
+    least `least` different sets of a chunk of the partition."""
     held, size, seen = [], 0, set()
 
     def counted():
         grams, n = np.unique(np.concatenate(held), return_counts=True)
         some = n >= least
         none = pa.nulls(int(some.sum()))
-        return pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), none.cast(pa.binary()), pa.array(grams[some].view(np.int64)), pa.array(n[some], pa.int64())], _SURVEY)
+        return pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array(grams[some].view(np.int64)), pa.array(n[some], pa.int64())], _SURVEY)
 
     for batch in batches:
-        sizes, keys, cells = [], [], []
+        sizes, keys = [], []
         for text in batch.column(1):
             grams = shingles(text.as_py(), width)
-            key = xxhash.xxh3_128_digest(grams.tobytes())
+            key = digest(grams)
             sizes.append(len(grams))
             keys.append(key)
-            cells.append(_profile(grams))
             if len(grams) and key not in seen:
                 seen.add(key)
                 held.append(grams)
                 size += len(grams)
+                if size >= chunk:
+                    yield counted()
+                    held, size = [], 0
+                    seen.clear()
         none = pa.nulls(len(sizes))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(cells, pa.binary()), none.cast(pa.int64()), none.cast(pa.int64())], _SURVEY)
-        if size >= chunk:
-            yield counted()
-            held, size = [], 0
-            seen.clear()
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), none.cast(pa.int64()), none.cast(pa.int64())], _SURVEY)
     if held:
         yield counted()
 
 
-def _prefixes(batches, order: Order, width: int, percent: int, remember: int = 1_000_000):
-    """(gram, doc, n, pos): the prefix of every document; one of equal sets does within a partition, as these are joined
-    by their digests anyway."""
+def _prefix(n: int, percent: int) -> int:
+    """Two sets can only link if they share an n-gram among so many first ones of each."""
+    return n - (percent * n + 99) // 100 + 1
+
+
+def _incidence(batches, order: Order, width: int, percent: int, cell: int, remember: int = 1_000_000):
+    """(gram, part, doc, n, pos): the prefix of every document's row of the matrix; one of equal sets does within a
+    partition. part is 0 for n-grams not known as frequent; the others are dealt to parts 1.. of about `cell` documents."""
     seen: set[bytes] = set()
     for batch in batches:
-        docs, sizes, counts, grams_, at = [], [], [], [], []
+        docs, sizes, counts, grams_, parts, at = [], [], [], [], [], []
         for d, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             grams = shingles(text.as_py(), width)
             n = len(grams)
-            key = xxhash.xxh3_128_digest(grams.tobytes())
+            key = digest(grams)
             if not n or key in seen:
                 continue
             if len(seen) >= remember:
                 seen.clear()
             seen.add(key)
-            p = n - (percent * n + 99) // 100 + 1
-            docs.append(d), sizes.append(n), counts.append(p), grams_.append(order.sort(grams)[:p]), at.append(np.arange(p, dtype=np.int32))
+            p = _prefix(n, percent)
+            own, known = order.first(grams, p)
+            docs.append(d), sizes.append(n), counts.append(p), grams_.append(own), at.append(np.arange(p, dtype=np.int32))
+            parts.append(np.where(known > 0, 1 + int.from_bytes(key[:4]) % (1 + known // cell), 0).astype(np.int32))
         if docs:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(grams_).view(np.int64)), pa.array(np.repeat(np.array(docs, dtype=np.int64), counts)), pa.array(np.repeat(np.array(sizes, dtype=np.int32), counts)), pa.array(np.concatenate(at))],
-                ["gram", "doc", "n", "pos"],
+                [pa.array(np.concatenate(grams_).view(np.int64)), pa.array(np.concatenate(parts)), pa.array(np.repeat(np.array(docs, dtype=np.int64), counts)), pa.array(np.repeat(np.array(sizes, dtype=np.int32), counts)), pa.array(np.concatenate(at))],
+                ["gram", "part", "doc", "n", "pos"],
             )
 
 
-def _sets(batches, width: int):
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(x.as_py(), width).tobytes() for x in batch.column(1)], pa.binary())], ["doc", "grams"])
+# ---- bounds ------------------------------------------------------------------------------------------------------
 
 
-def _overlap(a: np.ndarray, b: np.ndarray) -> int:
-    return len(np.intersect1d(a, b, assume_unique=True))
+def _need(n1: Column, n2: Column, percent: int) -> Column:
+    """The overlap that two sizes ask for."""
+    return F.ceil(F.lit(percent) * (n1 + n2) / F.lit(100.0 + percent) - F.lit(1e-9))
 
 
-def _verify(batches, percent: int):
-    """The pairs (a, b) of rows (a, b, grams_a, grams_b) whose overlap is at least percent of their union."""
-    for batch in batches:
-        a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        keep = []
-        for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-            x, y = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
-            both = _overlap(x, y)
-            if 100 * both >= percent * (len(x) + len(y) - both):
-                keep.append(i)
-        yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], ["a", "b"])
-
-
-def _block_product(queries: pd.DataFrame, block: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Links between query documents and a block: a row of the sparse product at a time, counted over the block's postings."""
-    out: dict[str, list[int]] = {"a": [], "b": []}
-    if len(queries) and len(block):
-        docs = block["doc"].to_numpy()
-        sets = [np.frombuffer(x, dtype=np.uint64) for x in block["grams"]]
-        sizes = np.array([len(x) for x in sets])
-        grams, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+def _sizes_may(n: Column, low: Column, high: Column, percent: int) -> Column:
+    """May a set of size n link with one of a size from low to high? The smaller has at least percent of the larger."""
+    return (100 * high >= percent * n) & (100 * n >= percent * low)
+
+
+def _may_start(n: Column, pos: Column, low: Column, room: Column, percent: int) -> Column:
+    """May the first n-gram that two linked sets share be at pos of one and have at most `room` n-grams left in the other?
+    What follows it in either row must be enough for the overlap."""
+    least = F.greatest(low, F.ceil(F.lit(percent) * n / 100.0 - 1e-9))
+    return F.least(n - pos, room) >= _need(n, least, percent)
+
+
+def _enough(count: Column, n: Column, low: Column, high: Column, percent: int) -> Column:
+    """Is the count accumulated over the prefixes enough for a link with some size from low to high? The overlap is at
+    most count plus the longer of the two parts behind the prefixes; the bound is loosest at an end of the range."""
+    behind = lambda x: F.ceil(F.lit(percent) * x / 100.0 - 1e-9) - 1
+    at = lambda x: count + F.greatest(behind(n), behind(x)) + 2 >= _need(n, x, percent)
+    return at(F.greatest(low, F.ceil(F.lit(percent) * n / 100.0 - 1e-9))) | at(F.least(high, F.floor(100.0 * n / percent + 1e-9)))
+
+
+# ---- the product -------------------------------------------------------------------------------------------------
+
+
+class _Block:
+    """The postings of some documents: n-gram -> documents, as two sorted arrays."""
+
+    def __init__(self, docs: list[int], sets: list[np.ndarray]):
+        self.docs, self.sizes = np.array(docs, dtype=np.int64), np.array([len(x) for x in sets])
+        grams, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.sizes)
         order = np.argsort(grams, kind="stable")
-        grams, owner = grams[order], owner[order]
-        for z, blob in zip(queries["doc"], queries["grams"], strict=True):
-            q = np.frombuffer(blob, dtype=np.uint64)
-            low, high = np.searchsorted(grams, q, "left"), np.searchsorted(grams, q, "right")
-            n = high - low
-            at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            both = np.bincount(owner[at], minlength=len(sets))
-            hit = (100 * both >= percent * (len(q) + sizes - both)) & (docs != z) & (both > 0)
-            out["a"] += [z] * int(hit.sum())
-            out["b"] += docs[hit].tolist()
-    return pd.DataFrame(out, dtype="int64")
-
-
-def _may_link(n1: Column, pos1: Column, n2: Column, pos2: Column, percent: int) -> Column:
-    """The bounds: the smaller set has at least percent of the larger, and what follows the shared n-gram in either
-    prefix is enough for the overlap that the two sizes ask for."""
-    need = F.ceil(F.lit(percent) * (n1 + n2) / F.lit(100.0 + percent) - F.lit(1e-9))
-    return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (F.least(n1 - pos1, n2 - pos2) >= need)
+        self.grams, self.owner = grams[order], owner[order]
+
+    def row(self, doc: int, grams: np.ndarray, percent: int) -> np.ndarray:
+        """The documents of the block that link with the given one: a row of the product, counted over the postings."""
+        low, high = np.searchsorted(self.grams, grams, "left"), np.searchsorted(self.grams, grams, "right")
+        n = high - low
+        at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        both = np.bincount(self.owner[at], minlength=len(self.sizes))
+        return self.docs[(100 * both >= percent * (len(grams) + self.sizes - both)) & (both > 0) & (self.docs != doc)]
+
+
+def _product(batches, percent: int):
+    """Links (a, b) from rows (block, salt, query, doc, grams) sorted by the first three: members of a block come before
+    the documents that visit it, so one block and one row are held at a time."""
+    key, docs, sets, block = None, [], [], None
+    for batch in batches:
+        a, b = [], []
+        for i, (k, s, query, doc) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True)):
+            grams = np.frombuffer(batch.column(4)[i].as_buffer(), dtype=np.uint64)
+            if (k, s) != key:
+                key, docs, sets, block = (k, s), [], [], None
+            if not query:
+                docs.append(doc)
+                sets.append(grams.copy())
+            elif docs:
+                block = block or _Block(docs, sets)
+                found = block.row(doc, grams, percent)
+                a.append(np.full(len(found), doc, dtype=np.int64))
+                b.append(found)
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+
+_BITS, _SLICE = 1 << 28, 1 << 20
+
+
+def _bitmap(needed: DataFrame):
+    """A broadcast bitmap of the hashed ids in needed(doc): at most 32 MB whatever their number, as 256 packed slices."""
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(_SLICE, dtype=np.uint8)
+        bits[pdf["at"].to_numpy() % _SLICE] = 1
+        return pd.DataFrame({"slice": [int(pdf["at"].iloc[0]) // _SLICE], "bits": [zlib.compress(np.packbits(bits).tobytes(), 1)]})
+
+    at = needed.select(F.pmod(F.xxhash64("doc"), F.lit(_BITS)).alias("at")).distinct()
+    slices = at.groupBy(F.floor(F.col("at") / _SLICE).alias("slice")).applyInPandas(pack, "slice long, bits binary").collect()
+    return needed.sparkSession.sparkContext.broadcast({int(r["slice"]): bytes(r["bits"]) for r in slices})
+
+
+def _sets(batches, bitmap: dict[int, bytes], token: str, width: int, remember: int = 1_000_000):
+    """(doc, n, grams) of the documents whose hashed id is in the bitmap; equal rows once within a partition."""
+
+    def unpack():
+        out = np.zeros(_BITS // 8, dtype=np.uint8)
+        for k, bits in bitmap.items():
+            out[k * _SLICE // 8 : (k + 1) * _SLICE // 8] = np.frombuffer(zlib.decompress(bits), dtype=np.uint8)
+        return token, out
+
+    held = once_per_worker("ngram bitmap", lambda: [None, None])
+    if held[0] != token:
+        held[:] = unpack()
+    seen: set[tuple[int, bytes]] = set()
+    for batch in batches:
+        at = batch.column(2).to_numpy()
+        some = np.flatnonzero(held[1][at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1)
+        docs, sizes, grams_ = [], [], []
+        for d, text in zip(batch.column(0).take(pa.array(some)).to_pylist(), batch.column(1).take(pa.array(some)), strict=True):
+            grams = shingles(text.as_py(), width)
+            key = (d, digest(grams))
+            if not len(grams) or key in seen:
+                continue
+            if len(seen) >= remember:
+                seen.clear()
+            seen.add(key)
+            docs.append(d), sizes.append(len(grams)), grams_.append(grams.tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(sizes, pa.int32()), pa.array(grams_, pa.binary())], ["doc", "n", "grams"])
 
 
 class _Join:
-    def __init__(self, docs: DataFrame, profiles: DataFrame, width: int, percent: int, small: int, block_docs: int, query_docs: int, broadcast_rows: int):
-        self.docs, self.profiles, self.width, self.percent = docs, profiles, width, percent
-        self.tested: DataFrame | None = None
-        self.small, self.block_docs, self.query_docs, self.broadcast_rows = small, block_docs, query_docs, broadcast_rows
+    def __init__(self, docs: DataFrame, width: int, percent: int, block_docs: int, block_grams: int, scratch: list[str]):
+        self.docs, self.width, self.percent, self.scratch = docs, width, percent, scratch
+        self.block_docs, self.block_grams = block_docs, block_grams
+
+    def staged(self, df: DataFrame, name: str) -> DataFrame:
+        return staged(df, name, scratch=self.scratch)
+
+    def join(self, left: DataFrame, right: DataFrame, on: list[str], rows: str, by: list[str]) -> DataFrame:
+        return salted_join(left, right, on, rows, by, scratch=self.scratch)
 
     def sets(self, needed: DataFrame) -> DataFrame:
-        """(doc, grams) of the documents whose ids are in needed(doc). Few ids are broadcast to the scan, many are joined."""
-        width = self.width
-        ids = staged(needed.distinct(), "ngram-needed")
-        few = ids.count() <= self.broadcast_rows
-        rows = self.docs.join(F.broadcast(ids) if few else ids, "doc", "left_semi")
-        return staged(rows.mapInArrow(lambda b: _sets(b, width), "doc long, grams binary"), "ngram-sets")
-
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """Those of pairs(a, b) that link and have not been tested yet: a bound from the profiles, then the whole sets."""
+        """(doc, n, grams) of the documents in needed(doc, n) and of few others. Hashing a text again costs less than
+        keeping eight bytes a word of every text; the bitmap keeps the texts that are not needed out of the shuffle."""
+        width, bitmap, token = self.width, _bitmap(needed), uuid.uuid4().hex
+        rows = self.docs.select("doc", "text", F.pmod(F.xxhash64("doc"), F.lit(_BITS)).alias("at"))
+        return rows.mapInArrow(lambda b: _sets(b, bitmap.value, token, width), "doc long, n int, grams binary")
+
+    def links(self, visits: DataFrame, members: DataFrame) -> DataFrame:
+        """Links between documents and the blocks that they visit: visits(block, doc, n), members(block, doc, n).
+
+        Both bring their whole rows of the incidence matrix to the block, which counts overlaps over its postings. A
+        block with many visitors is cut by salts: its members, few, go to each.
+        """
         percent = self.percent
-        pairs = pairs.distinct()
-        pairs = staged(pairs if self.tested is None else pairs.join(self.tested, ["a", "b"], "left_anti"), "ngram-pairs")
-        self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
-        cells = lambda c: self.profiles.select(F.col("doc").alias(c), F.col("cells").alias(f"cells_{c}"))
-        near = pairs.join(cells("a"), "a").join(cells("b"), "b").select("a", "b", "cells_a", "cells_b")
-        pairs = staged(near.mapInArrow(lambda x: _near(x, percent), "a long, b long").distinct(), "ngram-near")
-        sets = self.sets(pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))))
-        rows = pairs.join(sets.select(F.col("doc").alias("a"), F.col("grams").alias("grams_a")), "a").join(sets.select(F.col("doc").alias("b"), F.col("grams").alias("grams_b")), "b")
-        return staged(rows.select("a", "b", "grams_a", "grams_b").mapInArrow(lambda x: _verify(x, percent), "a long, b long"), "ngram-links")
-
-    def blocked(self, entries: DataFrame) -> DataFrame:
-        """Links across components in n-grams with many documents, entries(gram, doc, comp, weight = size of comp).
-
-        In each n-gram every document outside its largest component is a query; the documents are cut into blocks of
-        about block_docs along the component that they meet. A query visits a block once, whatever they share, and no
-        pair leaves a task unless it links.
+        load = visits.groupBy("block").agg(F.sum("n").alias("load"), F.count(F.lit(1)).alias("visitors"))
+        load = self.staged(load.select("block", "visitors", F.ceil(F.col("load") / (16 * self.block_grams)).cast("int").alias("salts")), "ngram-load")
+        salted = self.join(visits, load, ["block"], "visitors", ["doc"])
+        q = salted.select("block", F.pmod(F.xxhash64("doc"), F.col("salts")).cast("int").alias("salt"), F.lit(True).alias("query"), "doc", F.col("n").cast("int").alias("n"))
+        m = members.join(load, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("query"), "doc", F.col("n").cast("int").alias("n"))
+        rows = self.staged(q.unionByName(m), "ngram-visits")
+        sets = self.sets(rows.select("doc").distinct())
+        dealt = rows.join(sets, ["doc", "n"]).select("block", "salt", "query", "doc", "grams").repartition("block", "salt").sortWithinPartitions("block", "salt", "query")
+        return staged(dealt.mapInArrow(lambda x: _product(x, percent), "a long, b long").distinct(), "ngram-links", 128, self.scratch)
+
+    def pivot_links(self, entries: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+        """The columns of the product that belong to pivots: in every n-gram whose documents are in several components,
+        the document with the smallest hash. Returns the links found, and those entries, for the next step."""
+        head = F.struct(F.xxhash64(F.lit(seed), "doc").alias("h"), "doc", "n", "pos", "comp")
+        pivots = entries.groupBy("gram").agg(F.min(head).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi")
+        mixed = self.staged(self.join(entries, pivots.select("gram", "p", "k"), ["gram"], "k", ["doc"]), "ngram-mixed")
+        meets = mixed.where("comp <> p.comp").where(_sizes_may(F.col("n"), F.col("p.n"), F.col("p.n"), self.percent))
+        start = _may_start(F.col("n"), F.col("pos"), F.col("p.n"), F.col("p.n") - F.col("p.pos"), self.percent)
+        visits = meets.groupBy("doc", "n", F.col("p.doc").alias("block"), F.col("p.n").alias("size")).agg(F.count(F.lit(1)).alias("count"), F.bool_or(start).alias("start"))
+        visits = self.staged(visits.where("start").where(_enough(F.col("count"), F.col("n"), F.col("size"), F.col("size"), self.percent)), "ngram-pivots")
+        members = visits.select("block", F.col("block").alias("doc"), F.col("size").alias("n")).distinct()
+        return self.links(visits.select("block", "doc", "n"), members), mixed.select("gram", "doc", "n", "pos")
+
+    def block_links(self, entries: DataFrame) -> DataFrame:
+        """The rest of the product, entries(gram, doc, n, pos, comp): every pair in different components.
+
+        In each n-gram with several components every document outside the largest one is a query; the documents are cut
+        into blocks of similar size along the component that they meet. First the product of documents by blocks: the
+        n-grams that a query shares with a block within the bounds are counted, which is no less than it shares with
+        any document there; visits that cannot reach the overlap asked for are discarded. The others count exactly.
         """
         percent = self.percent
-        major = entries.groupBy("gram").agg(F.max_by("comp", F.struct("weight", "comp")).alias("major"), F.max("weight").alias("major_weight"))
-        e = staged(entries.join(major, "gram"), "ngram-hot")
-        home = e.groupBy("doc").agg(F.max(F.struct("major_weight", "major")).alias("home")).select("doc", F.col("home.major").alias("home"))
-        cells = home.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / self.block_docs).cast("int").alias("cells"))
-        home = staged(home.join(cells, "home").select("doc", F.xxhash64("home", F.pmod(F.xxhash64("doc"), F.col("cells"))).alias("block")), "ngram-blocks")
-        queries = e.where("comp <> major").select("gram", F.col("doc").alias("z"))
-        visits = queries.join(e.select("gram", "doc").join(home, "doc").select("gram", "block").distinct(), "gram").select("z", "block").distinct()
-        visits = staged(visits, "ngram-visits")
-        salts = visits.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / self.query_docs).cast("int").alias("salts"))
-        sets = self.sets(home.select("doc"))
-        left = visits.join(salts, "block").withColumn("salt", F.pmod(F.xxhash64("z"), F.col("salts")).cast("int")).join(sets.select(F.col("doc").alias("z"), F.col("grams").alias("z_grams")), "z").select("block", "salt", F.col("z").alias("doc"), F.col("z_grams").alias("grams"))
-        right = home.join(salts, "block").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).join(sets, "doc").select(F.col("block").alias("block_"), F.col("salt").alias("salt_"), "doc", "grams")
-
-        def product(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            return _block_product(q, b, percent)
-
-        return staged(left.groupBy("block", "salt").cogroup(right.groupBy("block_", "salt_")).applyInPandas(product, "a long, b long"), "ngram-hot-links")
-
-
-def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, rounds: int = 1, frequent: int = 8, known_frequent: int = 1_000_000, small: int = 48, block_docs: int = 64, query_docs: int = 512, broadcast_rows: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        parts = entries.groupBy("gram", "comp").agg(F.count(F.lit(1)).alias("w"))
+        major = parts.groupBy("gram").agg(F.max(F.struct("w", "comp")).alias("m"), F.sum("w").alias("k"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+        e = self.staged(self.join(entries, major.select("gram", "m", "k"), ["gram"], "k", ["doc"]), "ngram-rest")
+        home = e.groupBy("doc", "n").agg(F.max("m").alias("m"))
+        size_class = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent))
+        home = self.staged(home.select("doc", "n", F.xxhash64("m.comp", size_class).alias("place")), "ngram-home")
+        load = home.groupBy("place").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("grams"))
+        load = load.withColumn("cells", F.ceil(F.greatest(F.col("docs") / self.block_docs, F.col("grams") / self.block_grams)).cast("int"))
+        home = self.join(home, load, ["place"], "docs", ["doc"])
+        home = self.staged(home.select("doc", "n", F.xxhash64("place", F.pmod(F.xxhash64("doc"), F.col("cells"))).alias("block")), "ngram-blocks")
+        blocks = e.join(home, ["doc", "n"]).groupBy("gram", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("pos")).alias("room"), F.first("k").alias("k"))
+        salts = 1 + F.floor(F.col("k") / 4096)
+        q = e.where("comp <> m.comp").select("gram", F.pmod(F.xxhash64("doc"), salts).alias("salt"), "doc", "n", "pos")
+        b = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("k")
+        meets = q.join(b, ["gram", "salt"]).where(_sizes_may(F.col("n"), F.col("low"), F.col("high"), percent))
+        start = _may_start(F.col("n"), F.col("pos"), F.col("low"), F.col("room"), percent)
+        visits = meets.groupBy("doc", "n", "block").agg(F.count(F.lit(1)).alias("count"), F.bool_or(start).alias("start"), F.min("low").alias("low"), F.max("high").alias("high"))
+        visits = visits.where("start").where(_enough(F.col("count"), F.col("n"), F.col("low"), F.col("high"), percent)).select("block", "doc", "n")
+        return self.links(self.staged(visits, "ngram-meets"), home)
+
+
+def frequent_grams(counts: DataFrame, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of counts(gram, count) with `least` or more, but only counts that at most `most` n-grams reach."""
+    totals = counts.groupBy("gram").agg(F.sum("count").alias("count")).where(F.col("count") >= least)
+    steps = totals.groupBy(F.floor(F.log2(F.col("count").cast("double")) * 8).cast("int").alias("step")).agg(F.count(F.lit(1)).alias("n"), F.min("count").alias("from")).orderBy(F.desc("step")).collect()  # at most 8 * 64 rows
+    bound, total = None, 0
+    for r in steps:
+        total += r["n"]
+        if total > most:
+            break
+        bound = r["from"]
+    if bound is None:
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    top = totals.where(F.col("count") >= bound).toPandas()  # at most `most` rows of two numbers
+    return top["gram"].to_numpy(dtype=np.int64).view(np.uint64), top["count"].to_numpy(dtype=np.int64)
+
+
+def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, rounds: int = 2, frequent: int = 8, known_frequent: int = 1_000_000, block_docs: int = 64, block_grams: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Near-duplicate components by the Jaccard similarity of word n-grams: id, n_shingles, component_id.
 
     Documents link when 100 * overlap >= percent * union of their sets of distinct n-grams of A-Z-lower-cased words.
+    All links but those of equal sets are entries of the product of the incidence matrix with its transpose:
 
     1. One pass gives each set's size and digest, and the n-grams known to be frequent (at most known_frequent, for
-       the order only). Equal sets are one class by their digest.
-    2. The incidence matrix is cut to prefixes: two sets can only link if they share an n-gram among the first
-       n - ceil(percent * n / 100) + 1 in the global order. Rows meet by n-gram; n-grams of one document go.
-    3. In each n-gram, sorted by size, neighbours within the bounds are verified and linked; then, for `rounds` times,
-       neighbours in a hashed order whose components still differ. So a group of copies costs its size, not its square.
-       Before the sets of a pair are fetched, their profiles (counts in 256 cells of the hash range) bound the overlap.
-    4. What is left is exact: in n-grams of up to `small` documents all pairs across components within the bounds, each
-       only where it first meets; in larger ones the blocked product (see blocked). All are verified on whole sets.
-
-    No pair is missed and none is capped: a pair inside one component needs no test, every other pair that shares a
-    prefix n-gram within the bounds is tested. N-grams are compared by 64-bit hashes. Documents without words have no
-    n-grams, link with nothing and are their own component. A null id gives its n_shingles and a null component;
-    repeated rows each give a row; rows with one id count as one document. An empty table gives no rows; other columns
-    are left out.
+       the order only). Equal sets are one class, one row of the matrix, by their 128-bit digest.
+    2. The matrix is cut to prefixes: two sets can only link if they share an n-gram among the first
+       n - ceil(percent * n / 100) + 1 in the global order. N-grams of one document go.
+    3. The product is computed in blocks of its columns. A document visits a block if the n-grams that they share within
+       the bounds, counted by a join and an aggregate, can reach the overlap that the sizes ask for. In the block whole
+       rows are counted over the block's postings, and pairs under percent are discarded there: no pair that does not
+       link leaves a task. `rounds` times the blocks are pivots, one document of each n-gram, so that a group of copies
+       costs its size, not its square; pairs inside one component need no more counting. The last time the blocks
+       hold all documents, so no pair across components is missed and none is capped.
+
+    N-grams are compared by 64-bit hashes. Documents without words have no n-grams, link with nothing and are their own
+    component. A null id gives its n_shingles and a null component; repeated rows each give a row; rows with one id
+    count as one document with the links of each. An empty table gives no rows; other columns are left out.
     """
+    scratch: list[str] = []
     known = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    surveyed = staged(known.mapInArrow(lambda b: _survey(b, width, 3), "doc long, n long, key binary, cells binary, gram long, count long"), "ngram-survey")
-    j = _Join(known.where("doc is not null"), surveyed.where("doc is not null").select("doc", "cells"), width, percent, small, block_docs, query_docs, broadcast_rows)
-    top = surveyed.where("gram is not null").groupBy("gram").agg(F.sum("count").alias("count")).where(F.col("count") >= frequent).orderBy(F.desc("count"), "gram").limit(known_frequent).toPandas()
-    order = docs.sparkSession.sparkContext.broadcast((top["gram"].to_numpy(dtype=np.int64).view(np.uint64), top["count"].to_numpy(dtype=np.int64)))  # at most known_frequent rows of two numbers
-    info = surveyed.where("gram is null")
-    classes = info.where("doc is not null and n > 0").groupBy("key").agg(F.min("doc").alias("rep"))
-    reps = staged(info.where("doc is not null and n > 0").join(classes, "key").groupBy("doc").agg(F.min("rep").alias("rep")), "ngram-reps")
-
-    def prefixes(batches):
-        yield from _prefixes(batches, Order(*order.value), width, percent)
-
-    entries = j.docs.mapInArrow(prefixes, "gram long, doc long, n int, pos int")
-    by_size = Window.partitionBy("gram").orderBy("n", "doc", "pos")
-    shared = entries.select("*", *(F.lag(c).over(by_size).alias(f"{c}_") for c in ("doc", "n", "pos")), F.lead("doc").over(by_size).alias("_next")).where("doc_ is not null or _next is not null").drop("_next")
-    shared = staged(shared, "ngram-shared")
-    chain = shared.where("doc_ is not null and doc_ <> doc").where(_may_link(F.col("n"), F.col("pos"), F.col("n_"), F.col("pos_"), percent))
-    pairs = chain.select(F.least("doc", "doc_").alias("a"), F.greatest("doc", "doc_").alias("b"))
-    links = j.links(pairs)
-    entries = shared.drop("doc_", "n_", "pos_")
-    for r in range(rounds + 1):
-        comp = cut(_grouped(reps, links))
-        e = entries.join(comp, "doc")
-        mixed = e.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi").select("gram", "k")
-        entries = staged(e.join(mixed, "gram").select("gram", "doc", "n", "pos", "comp", "k"), "ngram-mixed")
-        if r == rounds:
-            break
-        dealt = Window.partitionBy("gram").orderBy(F.xxhash64(F.lit(r), "doc"), "doc")
-        chain = entries.select("*", *(F.lag(c).over(dealt).alias(f"{c}_") for c in ("doc", "n", "pos", "comp"))).where("comp <> comp_").where(_may_link(F.col("n"), F.col("pos"), F.col("n_"), F.col("pos_"), percent))
-        more = j.links(chain.select(F.least("doc", "doc_").alias("a"), F.greatest("doc", "doc_").alias("b")))
+    surveyed = staged(known.mapInArrow(lambda b: _survey(b, width, 3), "doc long, n long, key binary, gram long, count long"), "ngram-survey")
+    j = _Join(known.where("doc is not null"), width, percent, block_docs, block_grams, scratch)
+    order = docs.sparkSession.sparkContext.broadcast(frequent_grams(surveyed.where("gram is not null").select("gram", "count"), frequent, known_frequent))
+    info = surveyed.where("gram is null").select("doc", "n", "key")
+    filled = info.where("doc is not null and n > 0")
+    classes = staged(filled.groupBy("key").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies")), "ngram-classes")
+
+    def incidence(batches):
+        yield from _incidence(batches, Order(*order.value), width, percent, 4096)
+
+    near = Window.partitionBy("gram", "part").orderBy("doc")
+    entries = j.docs.mapInArrow(incidence, "gram long, part int, doc long, n int, pos int")
+    shared = entries.select("*", F.lag("doc").over(near).alias("before"), F.lead("doc").over(near).alias("after")).where("part > 0 or before is not null or after is not null")
+    shared = j.staged(shared.select("gram", "doc", "n", "pos"), "ngram-shared")
+    reps = salted_join(filled, classes, ["key"], "copies", ["doc"], scratch=scratch).select("doc", "n", "rep").distinct()
+    entries = j.staged(shared.join(reps, ["doc", "n"]).select("gram", F.col("rep").alias("doc"), "n", "pos").distinct(), "ngram-entries")
+    several = filled.groupBy("doc").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("doc")
+    several = filled.join(several, "doc", "left_semi").select("doc", "key").distinct().join(classes, "key")
+    links = j.staged(several.select(F.col("rep").alias("a"), F.col("doc").alias("b")), "ngram-ids")
+    comp = components(links)
+    for r in range(rounds):
+        more, entries = j.pivot_links(_with(entries, comp), r)
         links = links.unionByName(more)
-        entries = entries.select("gram", "doc", "n", "pos")
-    before = Window.partitionBy("doc").orderBy("pos")
-    few = entries.where(F.col("k") <= small).select("*", F.lag("gram").over(before).alias("prev"))
-    x, y = few.alias("x"), few.alias("y")
-    meet = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.doc") < F.col("y.doc")) & (F.col("x.comp") != F.col("y.comp")) & ~F.coalesce(F.col("x.prev") == F.col("y.prev"), F.lit(False))
-    meet = meet & _may_link(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), percent)
-    links = links.unionByName(j.links(x.join(y, meet).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))))
-    many = entries.where(F.col("k") > small)
-    if not many.isEmpty():
-        weight = comp.groupBy("comp").agg(F.count(F.lit(1)).alias("weight"))
-        links = links.unionByName(j.blocked(many.select("gram", "doc", "comp").join(weight, "comp")))
-    comp = _grouped(reps, links)
-    return info.join(comp, "doc", "left").select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("comp", "doc").alias("component_id"))
-
-
-def _grouped(reps: DataFrame, links: DataFrame) -> DataFrame:
-    """(doc, comp): the smallest document of each document's component; links join the classes of equal sets."""
-    of = lambda c: reps.select(F.col("doc").alias(c), F.col("rep").alias(f"rep_{c}"))
-    edges = links.join(of("a"), "a").join(of("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
-    found = components(edges).withColumnRenamed("node", "rep")
-    return reps.join(found, "rep", "left").select("doc", F.coalesce("component", "rep").alias("comp"))
+        comp = components(links)
+    links = links.unionByName(j.block_links(_with(entries, comp)))
+    comp = components(links).select(F.col("node").alias("rep"), F.col("component").alias("comp"))
+    by_key = classes.join(comp, "rep", "left").select("key", "copies", F.coalesce("comp", "rep").alias("comp")).where("copies > 1 or comp <> rep")
+    found = salted_join(info.where("doc is not null and n > 0"), by_key, ["key"], "copies", ["doc"], how="left", scratch=[])
+    out = found.select("doc", "n", F.coalesce("comp", "doc").alias("comp")).unionByName(info.where("doc is null or n = 0").select("doc", "n", F.col("doc").alias("comp")))
+    discard(docs.sparkSession, scratch)
+    return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"))
+
+
+def _with(entries: DataFrame, comp: DataFrame) -> DataFrame:
+    """entries with the component of each document, itself where it has no link yet."""
+    return entries.join(comp.select(F.col("node").alias("doc"), "component"), "doc", "left").select("gram", "doc", "n", "pos", F.coalesce("component", "doc").alias("comp"))

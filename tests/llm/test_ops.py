@@ -66,8 +66,8 @@ def jaccard_brute(rows):
     return {rows[i][0]: (len(sets[i]), min(rows[j][0] for j in range(len(rows)) if comp[j] == comp[i])) for i in range(len(rows))}
 
 
-@pytest.mark.parametrize("small", [48, 2])
-def test_jaccard_components_equal_brute_force(spark, small):
+@pytest.mark.parametrize("rounds", [2, 0])
+def test_jaccard_components_equal_brute_force(spark, rounds):
     rng = random.Random(7)
     passage = rng.choices(WORDS, k=60)
     base = rng.choices(WORDS, k=80)
@@ -83,7 +83,7 @@ def test_jaccard_components_equal_brute_force(spark, small):
             for _ in range(rng.randint(0, 4)):
                 w[rng.randrange(len(w))] = rng.choice(WORDS)
         rows.append((i, " ".join(w)))
-    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), small=small, block_docs=16, query_docs=20).collect()
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), rounds=rounds, block_docs=16, frequent=4).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == jaccard_brute(rows)
 
 
@@ -138,8 +138,8 @@ def test_embedding_links_equal_brute_force(spark):
 
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200) if i % 40 != 39] + [(3, 3), (2, 1), (None, 5)], "a long, b long")
-    for limit in (1000, 0):
-        got = {r.node: r.component for r in components(edges, one_task=limit).collect()}
+    for parts in (1, 7):
+        got = {r.node: r.component for r in components(edges.repartition(parts)).collect()}
         assert all(got[i] == i // 40 * 40 for i in range(200))
 
 
