@@ -10,7 +10,9 @@ blocks    part, block, first, n_ids, doc_ids, lengths, checkpoints, payload: som
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 
 import numpy as np
@@ -118,33 +120,70 @@ def decode_ids(payload: bytes, checkpoints: np.ndarray, n_ids: int, symbol: np.n
 # ---- tokenizer -------------------------------------------------------------------------------------------------
 
 
+# Fixed value: the pre-tokenizer pattern under which a word of letters alone is one piece.
+LETTERS_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+#: Letters for which lower case and composed form are the same in every library, then ASCII signs but the apostrophe.
+PLAIN_WORD = re.compile(r"([a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)([!-&(-/:-@\[-`{-~]*)")
+#: What a byte-level pre-tokenizer writes for each byte: printing Latin-1 characters stand for themselves, the other
+#: bytes for the characters from 256 on in turn.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+
+
 class _WordIds(dict):
-    """word -> token ids as little-endian 32-bit bytes, through the library; forgotten when `limit` words are held.
+    """word -> token ids as little-endian 32-bit bytes, through the library.
+
+    Two generations of at most `limit` words are held: a word that is asked for again outlives its generation. What may
+    be taken apart is read from the tokenizer's own description, and nothing is where it says otherwise:
 
-    Holds for tokenizers whose normalizer and pre-tokenizer never join or change text across ASCII white space and that
-    put nothing around a text: then a text's ids are its words' ids in turn. A full stop or comma after a letter is a
-    token of its own for the given file, and ASCII words are lower-cased by it, so such words share an entry.
+    - lower: it lower-cases, so a text may be lower-cased (A-Z) before its words are looked up;
+    - letters: its pattern keeps letters together and then signs together, and writes them as bytes, so a PLAIN_WORD is
+      its two parts, and the model alone gives the letters.
+
+    Needs a tokenizer whose pieces never span ASCII white space: then a text's ids are its words' ids in turn.
     """
 
-    def __init__(self, tokenizer, limit: int):
+    def __init__(self, spec: str, limit: int):
+        from tokenizers import Tokenizer
+
         super().__init__()
-        self.tokenizer, self.limit = tokenizer, limit
-        a, stop, comma, upper = map(self.ids, ("a", "a.", "a,", "A"))
-        self.marks = {b".": stop[4:], b",": comma[4:]} if stop[:4] == comma[:4] == a and len(stop) == len(comma) == 8 else {}
-        self.lower = a == upper
+        self.tokenizer, self.limit, self.old = Tokenizer.from_str(spec), limit, {}
+        about = json.loads(spec)
+        steps = lambda x, inner: x.get(inner, [x]) if x else []
+        self.lower = [x["type"] for x in steps(about["normalizer"], "normalizers")] == ["NFC", "Replace", "Lowercase"]
+        cut = steps(about["pre_tokenizer"], "pretokenizers")
+        self.letters = self.lower and [x["type"] for x in cut] == ["Split", "ByteLevel"] and cut[0]["pattern"].get("Regex") == LETTERS_PATTERN and not cut[1]["add_prefix_space"] and not cut[1]["use_regex"]
+        self.added = [x["content"].lower().encode() if self.lower else x["content"].encode() for x in about["added_tokens"]]
+        self.model = self.tokenizer.model
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def of_text(self, text: str) -> bytes:
+        data = text.encode("utf-8", "replace")
+        if self.lower:
+            data = data.lower()
+        if any(x in data for x in self.added):  # whether it is one depends on its case: the whole text as it stands
+            return self.ids(text)
+        return b"".join(map(self.__getitem__, data.split()))
+
     def __missing__(self, word: bytes) -> bytes:
-        key, mark = word, b""
-        if len(word) > 1 and word[-1:] in self.marks and word[:-1].decode()[-1].isalpha():
-            key, mark = word[:-1], self.marks[word[-1:]]
-        if self.lower and key.isascii():
-            key = key.lower()
-        ids = self[key] + mark if key != word else self.ids(word.decode())
+        ids = self.old.get(word)
+        if ids is None:
+            text = word.decode()
+            plain = PLAIN_WORD.fullmatch(text) if self.letters else None
+            if plain is None or not plain[1]:
+                ids = self.ids(text)
+            elif plain[2]:
+                ids = self[plain[1].encode()] + self[plain[2].encode()]
+            else:
+                written = text.lower().encode().decode("latin-1").translate(BYTE_CHARS)
+                ids = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(written))
         if len(word) <= 64:
             if len(self) >= self.limit:
+                self.old = dict(self)
                 self.clear()
             self[word] = ids
         return ids
@@ -152,9 +191,7 @@ class _WordIds(dict):
 
 def _token_blocks(batches, spec: str, end_id: int, cache_words: int, block_ids: int):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    words = once_per_worker(("word ids", zlib.crc32(spec.encode()), cache_words), lambda: _WordIds(Tokenizer.from_str(spec), cache_words))
+    words = once_per_worker(("word ids", zlib.crc32(spec.encode()), cache_words), lambda: _WordIds(spec, cache_words))
     end = np.array([end_id], dtype="<u4").tobytes()
     part, block, first = TaskContext.get().partitionId(), 0, 0
     docs, lengths, ids, held = [], [], [], 0
@@ -170,7 +207,7 @@ def _token_blocks(batches, spec: str, end_id: int, cache_words: int, block_ids:
     for batch in batches:
         kind = batch.schema.field(0).type
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            own = b"".join(map(words.__getitem__, (text.as_py() or "").encode("utf-8", "replace").split())) + end
+            own = words.of_text(text.as_py() or "") + end
             docs.append(doc)
             lengths.append(len(own) // 4)
             ids.append(own)
@@ -188,7 +225,7 @@ def _blocks_schema(kind, last: str, last_type) -> pa.Schema:
 # ---- files -----------------------------------------------------------------------------------------------------
 
 
-def write_tokens(docs: DataFrame, tokenizer_file: str, path: str, end_id: int = 1, limit: int = 16, cache_words: int = 600_000, block_ids: int = BLOCK_IDS, partitions: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> str:
+def write_tokens(docs: DataFrame, tokenizer_file: str, path: str, end_id: int = 1, limit: int = 16, cache_words: int = 400_000, block_ids: int = BLOCK_IDS, partitions: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> str:
     """Encode every whole text, append end_id, and write the ids in ascending id order in the format above.
 
     Range partitions by id, so part after part is in order; ids are counted over all documents, then coded. limit is
