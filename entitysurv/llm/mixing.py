@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,49 +30,65 @@ def reshare(sizes: list[int], weights: list[float], budget: float, cap: float) -
     return targets
 
 
-def fit(lengths: list[int], counts: list[int], budget: int) -> list[int]:
-    """How many documents of each length to take so that the words come as near to budget as a subset can be brought.
+def fill(lengths: list[int], spare: list[int], left: int) -> tuple[list[int], int]:
+    """(how many of each length, their sum): the largest sum up to left that spare[i] documents of lengths[i] can reach.
 
-    Every length first gives the same fraction of its documents, rounded down, and what is still missing is filled from
-    the longest length that fits, stopping short of twice the longest length. A bounded-knapsack dynamic programme over
-    the sums that the documents left can reach, kept as bits of one integer per length, then closes that remainder.
+    Bounded knapsack: counts are split into powers of two, and for every sum the first part is kept by which it was
+    reached, so memory is five bytes a sum. Short lengths come first, and it ends once left itself is reached.
+    """
+    reach, first = np.zeros(left + 1, dtype=bool), np.full(left + 1, -1, dtype=np.int32)
+    reach[0] = True
+    parts: list[tuple[int, int]] = []
+    for i in sorted(range(len(lengths)), key=lambda i: lengths[i]):
+        n = min(spare[i], left // lengths[i]) if lengths[i] else 0
+        k = 1
+        while n and not reach[left]:
+            k = min(k, n)
+            w = k * lengths[i]
+            fresh = np.flatnonzero(reach[: left + 1 - w] & ~reach[w:]) + w
+            reach[fresh], first[fresh] = True, len(parts)
+            parts.append((i, k))
+            n -= k
+            k *= 2
+    total = at = int(np.flatnonzero(reach)[-1])
+    take = [0] * len(lengths)
+    while at:
+        i, k = parts[first[at]]
+        take[i] += k
+        at -= k * lengths[i]
+    return take, total
+
+
+def fit(lengths: list[int], counts: list[int], budget: int, window: int = 1 << 22) -> list[int]:
+    """How many documents of each length to take so that their words reach the largest possible sum up to budget.
+
+    Every length gives the same fraction of its documents, rounded down, for all but a window of the budget, and what
+    that leaves beyond the window is filled from the longest lengths. `fill` closes the window from all documents left.
+    The window is first twice the longest length and grows until the sum is the budget (or the last multiple of the
+    lengths' common divisor before it), the window holds the whole budget, where fill is exact, or `window` words or
+    twice the longest length. Past that the sum may stay short of the best one, by less than the longest length.
     """
     total = sum(n * c for n, c in zip(lengths, counts, strict=True))
     if budget <= 0 or total == 0:
         return [0] * len(lengths)
     if budget >= total:
         return list(counts)
-    take = [c * budget // total for c in counts]
-    left = budget - sum(n * t for n, t in zip(lengths, take, strict=True))
-    order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
-    reserve = 2 * max(lengths)
-    for i in order:
-        if lengths[i] and left > reserve:
-            more = min(counts[i] - take[i], (left - reserve) // lengths[i])
-            take[i] += more
-            left -= more * lengths[i]
-    full = (1 << (left + 1)) - 1
-    reach, steps = 1, []
-    for i in order[::-1]:  # short ones first: they close most remainders early
-        spare = counts[i] - take[i]
-        if not lengths[i] or not spare or lengths[i] > left:
-            continue
-        k = 1
-        spare = min(spare, left // lengths[i])
-        while spare:
-            k = min(k, spare)
-            steps.append((i, k, reach))
-            reach |= (reach << (k * lengths[i])) & full
-            spare -= k
-            k *= 2
-        if reach >> left & 1:
-            break
-    at = reach.bit_length() - 1  # the largest sum that can be reached, at most what is left
-    for i, k, before in reversed(steps):
-        if not before >> at & 1:
-            take[i] += k
-            at -= k * lengths[i]
-    return take
+    divisor = math.gcd(*(n for n, c in zip(lengths, counts, strict=True) if c))
+    longest = max(lengths)
+    goal, most, size = budget // divisor * divisor, max(window, 2 * longest), 2 * longest
+    while True:
+        size = min(size, goal)
+        take = [c * (goal - size) // total for c in counts]
+        left = goal - sum(n * t for n, t in zip(lengths, take, strict=True))
+        for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+            if lengths[i] and left - size >= longest:
+                more = min(counts[i] - take[i], (left - size) // lengths[i])
+                take[i] += more
+                left -= more * lengths[i]
+        added, reached = fill(lengths, [c - t for c, t in zip(counts, take, strict=True)], left)
+        if reached == left or size == goal or size >= most:
+            return [t + a for t, a in zip(take, added, strict=True)]
+        size = min(8 * size, max(most, size))
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
