@@ -8,7 +8,7 @@ import types
 import uuid
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a maximal run of characters other than ASCII white space.
@@ -77,8 +77,9 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], rows: str, by:
     are broadcast) is cut into cells of that size by a hash of the columns `by` of left, and its row of right is
     repeated for each cell, all in all at most 2 * share times.
     """
-    right = staged(right, "salted", scratch=scratch)
-    cell = max(1, (right.agg(F.sum(rows)).first()[0] or 0) // share)
+    seen = Observation()
+    right = staged(right.observe(seen, F.sum(rows).alias("rows")), "salted", scratch=scratch)
+    cell = max(1, (seen.get["rows"] or 0) // share)
     cells = F.ceil(F.col(rows) / cell).cast("long")
     heavy = right.where(F.col(rows) > cell).select(*on, cells.alias("_cells"))
     left = left.join(F.broadcast(heavy), on, "left").withColumn("_cell", F.pmod(F.xxhash64(*by), F.coalesce("_cells", F.lit(1)).cast("long"))).drop("_cells")
@@ -92,6 +93,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def lowest(df: DataFrame, h: Column, most: int, *ties: str) -> DataFrame:
+    """At most `most` rows of df: those with the lowest hash h (a long), ties by columns. Rows are counted and only those
+    under a threshold for about that number are sorted, so no task gets `most` rows from every partition."""
+    share = 1.1 * (most + 100) / max(1, df.count())
+    near = df.where(F.shiftrightunsigned(h, 33) < int(share * (1 << 31))) if share < 1 else df
+    return near.orderBy(F.shiftrightunsigned(h, 33), h, *ties).limit(most)
+
+
 def ranked(df: DataFrame, keys: list[str], hash_col: str, ties: list[str], buckets: int = 256, out: str = "rank") -> DataFrame:
     """0-based rank of each row within its keys, by the unsigned order of hash_col, then ties.
 
@@ -136,32 +145,34 @@ def _forest(batches, most: int = 1_000_000):
     yield found()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 60, part_edges: int = 8192) -> DataFrame:
     """Connected components of edges(a long, b long): one row (node, component) per node, component = smallest node.
 
-    Every partition contracts its own edges by union-find to pairs (node, smallest node), then large-star and
-    small-star steps alternate until the edges are stars. A hub is never one task's: joins are salted (see salted_join)
-    and minima have map-side combine. Self-loops and repeated edges are fine; a null end drops its edge. Raises if the
-    edges are no stars after `rounds`.
+    The edges are dealt evenly to tasks of about part_edges, each of which contracts its own by union-find to pairs
+    (node, smallest node); then large-star and small-star steps alternate with such contractions until the edges are
+    stars. A hub is never one task's: joins are salted (see salted_join) and minima have map-side combine. Self-loops
+    and repeated edges are fine; a null end drops its edge. Raises if the edges are no stars after `rounds`.
     """
     scratch: list[str] = []
     spark = edges.sparkSession
-    e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     for _ in range(rounds):
-        contracted = e.mapInPandas(_forest, "node long, component long").where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
-        e = staged(contracted.distinct(), "stars", scratch=scratch)
+        e = staged(e, "edges", scratch=scratch)
+        contracted = e.repartition(max(1, -(-e.count() // part_edges))).mapInPandas(_forest, "node long, component long")
+        e = staged(contracted.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")), "stars", scratch=scratch)
         ends = e.select(F.col("u").alias("x"), F.lit(1).alias("as_u"), F.lit(0).alias("as_v")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("as_u"), F.lit(1).alias("as_v")))
         open_ = ends.groupBy("x").agg(F.sum("as_u").alias("as_u"), F.max("as_v").alias("as_v")).where("as_u > 1 or as_u > 0 and as_v > 0")
         if open_.isEmpty():
             out = e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-            out = staged(out, "components")
+            scratch.pop()  # the stars are read by the result
             discard(spark, scratch)
             return out
+        e = e.distinct()
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n"))
         large = salted_join(both, low, ["u"], "n", ["v"], scratch=scratch).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = staged(large, "large-stars", scratch=scratch)
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
         joined = salted_join(large, low, ["u"], "n", ["v"], scratch=scratch)
-        e = joined.select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
+        e = joined.select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v")
     raise RuntimeError(f"components did not settle in {rounds} rounds")
