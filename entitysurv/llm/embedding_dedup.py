@@ -1,13 +1,14 @@
-"""Embedding near-duplicates: a navigable small-world graph per shard, every shard queried, cosine verified, components."""
+"""Embedding near-duplicates: a navigable small-world graph per shard, every shard searched, cosine verified, components."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, staged
+from .common import components, salted_join, staged
 
 M = 16  #: neighbours of a node on the upper layers; twice that on the lowest
 
@@ -198,114 +199,143 @@ def _unpack_graph(blob: bytes, x: np.ndarray) -> Graph:
     return g
 
 
-def _build(pdf: pd.DataFrame) -> pd.DataFrame:
+def _unit(v: np.ndarray) -> np.ndarray:
+    """Unit vectors in double precision; dividing by the largest part first keeps very large and small ones exact."""
+    v = v.astype(np.float64)
+    v = v / np.abs(v).max(axis=1, keepdims=True)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def audit(g: Graph, least: float, ef: int, links: int, recall: float, seed: int = 9) -> tuple[int, float]:
+    """(beam, recall): beams widen from ef until so many planted links are found: copies of nodes turned at random to a
+    cosine just over `least`, the hardest that has to be found."""
+    n, dim = g.x.shape
+    rng = np.random.default_rng(seed)
+    node = rng.integers(0, n, size=links)
+    noise = rng.normal(size=(links, dim))
+    noise -= np.einsum("kd,kd->k", noise, g.x[node])[:, None] * g.x[node]
+    size = np.linalg.norm(noise, axis=1, keepdims=True)
+    cosine = min(1.0, least + 1e-3)
+    turned = cosine * g.x[node] + np.sqrt(1 - cosine * cosine) * noise / np.where(size > 1e-9, size, 1)
+    q = (turned / np.linalg.norm(turned, axis=1, keepdims=True)).astype(np.float32)
+    while True:
+        ef = min(ef, n)
+        a, b, rest = g.within(q, least - 1e-4, ef, max(256, ef))
+        found = np.zeros(links, dtype=bool)
+        found[rest] = True  # these are compared with every node
+        found[a[b == node[a]]] = True
+        if found.mean() >= recall or ef == n:
+            return ef, float(found.mean())
+        ef *= 2
+
+
+def _build(pdf: pd.DataFrame, kind: str, least: float, ef: int, links: int, recall: float) -> pd.DataFrame:
     pdf = pdf.sort_values("rep", ignore_index=True)
-    v = np.array(pdf["embedding"].tolist(), dtype=np.float64)
-    x = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
-    row = {"dim": pdf["dim"].iloc[0], "shard": pdf["shard"].iloc[0], "reps": pdf["rep"].to_numpy(dtype="<i8").tobytes(), "n": pdf["n"].to_numpy(dtype="<i8").tobytes(), "vectors": v.tobytes(), "graph": _pack_graph(Graph(x))}
+    v = np.array(pdf["embedding"].tolist(), dtype=kind)
+    g = Graph(_unit(v).astype(np.float32))
+    ef, measured = audit(g, least, ef, links, recall)
+    row = {"dim": pdf["dim"].iloc[0], "shard": pdf["shard"].iloc[0], "reps": pdf["rep"].to_numpy(dtype="<i8").tobytes(), "n": pdf["n"].to_numpy(dtype="<i8").tobytes(), "vectors": v.tobytes(), "graph": _pack_graph(g), "ef": ef, "recall": measured}
     return pd.DataFrame([row])
 
 
-def _one_way(q64, q32, g: Graph, x64, least: float, ef: int, audit: int, recall: float) -> tuple[np.ndarray, np.ndarray]:
-    """Verified (query, node) pairs: beams widen from ef until an audit of some queries against all nodes passes.
+def _search(q: np.ndarray, g: Graph, x: np.ndarray, least: float, ef: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, node) pairs of cosine >= least, searched in single precision with some slack and verified in double.
+    Queries whose beams stay full of links are compared with every node, in blocks."""
+    a, b, rest = g.within(q.astype(np.float32), least - 1e-4, min(ef, len(x)), max(256, ef))
+    ok = np.concatenate([np.einsum("kd,kd->k", q[a[i : i + 65536]], x[b[i : i + 65536]]) for i in range(0, len(a), 65536)] or [np.zeros(0)]) >= least
+    a, b = [a[ok]], [b[ok]]
+    for i in range(0, len(rest), 256):
+        r, c = np.nonzero((q[rest[i : i + 256]] @ x.T) >= least)
+        a.append(rest[i + r])
+        b.append(c)
+    return np.concatenate(a), np.concatenate(b)
 
-    Queries whose beams stay full of links are compared with every node, in blocks.
-    """
-    slack = least - 1e-4  # single precision while searching, double when verifying
-    sample = np.unique(np.linspace(0, len(q64) - 1, min(audit, len(q64))).astype(int))
-    truth = (q64[sample] @ x64.T) >= least
-    while True:
-        a, b, rest = g.within(q32, slack, min(ef, len(x64)), max(256, ef))
-        ok = np.concatenate([np.einsum("kd,kd->k", q64[a[i : i + 65536]], x64[b[i : i + 65536]]) for i in range(0, len(a), 65536)] or [np.zeros(0)]) >= least
-        a, b = a[ok], b[ok]
-        for i in range(0, len(rest), 256):
-            r, c = np.nonzero((q64[rest[i : i + 256]] @ x64.T) >= least)
-            a, b = np.concatenate([a, rest[i + r]]), np.concatenate([b, c])
-        got = np.zeros(truth.shape, dtype=bool)
-        where = np.full(len(q64), -1)
-        where[sample] = np.arange(len(sample))
-        mine = where[a] >= 0
-        got[where[a[mine]], b[mine]] = True
-        if ef >= len(x64) or (got & truth).sum() >= recall * truth.sum():
-            return a, b
-        ef *= 2
 
-
-def _match(pdf: pd.DataFrame, least: float, ef: int, audit: int, recall: float) -> pd.DataFrame:
-    row = pdf.iloc[0]
-    dim, same = int(row["dim"]), row["i"] == row["j"]
-
-    def side(s):
-        v = np.frombuffer(row[f"vectors_{s}"], dtype=np.float64).reshape(-1, dim)
-        u = v / np.linalg.norm(v, axis=1, keepdims=True)
-        x = u.astype(np.float32)
-        return np.frombuffer(row[f"reps_{s}"], dtype="<i8"), np.frombuffer(row[f"n_{s}"], dtype="<i8"), u, x, _unpack_graph(row[f"graph_{s}"], x)
-
-    reps_i, n_i, u_i, x_i, g_i = side("i")
-    reps_j, n_j, u_j, x_j, g_j = (reps_i, n_i, u_i, x_i, g_i) if same else side("j")
-    a, b = _one_way(u_i, x_i, g_j, u_j, least, ef, audit, recall)
-    d, c = (a, b) if same else _one_way(u_j, x_j, g_i, u_i, least, ef, audit, recall)
-    a, b = np.concatenate([a, c]), np.concatenate([b, d])
-    pair = np.unique(a * len(u_j) + b)
-    a, b = pair // len(u_j), pair % len(u_j)
-    if same:
+def _links(reps_i, n_i, reps_j, n_j, a, b, same: bool) -> pa.RecordBatch:
+    """Per representative with a link the copies that it links with and the smallest representative of its group here."""
+    if same:  # either end may have found the other
+        a, b = np.minimum(a, b), np.maximum(a, b)
         a, b = a[a != b], b[a != b]
-        reps, n = reps_i, np.bincount(a, n_j[b], minlength=len(reps_i))
-        u, v = a, b
-    else:
-        reps = np.concatenate([reps_i, reps_j])
-        n = np.concatenate([np.bincount(a, n_j[b], minlength=len(reps_i)), np.bincount(b, n_i[a], minlength=len(reps_j))])
-        u, v = a, b + len(reps_i)
+    pair = np.unique(a * len(reps_j) + b)
+    a, b = pair // len(reps_j), pair % len(reps_j)
+    reps = reps_i if same else np.concatenate([reps_i, reps_j])
+    at = b if same else b + len(reps_i)
+    n = np.bincount(a, n_j[b], minlength=len(reps)) + np.bincount(at, n_i[a], minlength=len(reps))
     root = reps.copy()
-    while True:  # smallest representative of each linked group
+    while True:
         low = root.copy()
-        np.minimum.at(low, u, root[v])
-        np.minimum.at(low, v, root[u])
+        np.minimum.at(low, a, root[at])
+        np.minimum.at(low, at, root[a])
         if (low == root).all():
             break
         root = low
     some = n > 0
-    return pd.DataFrame({"rep": reps[some], "n": n[some].astype(np.int64), "root": root[some]})
-
-
-def near_duplicates(vectors: DataFrame, least: float = 0.95, shards: int = 8, shard_rows: int = 100_000, ef: int = 24, audit: int = 96, recall: float = 0.99, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    return pa.RecordBatch.from_arrays([pa.array(reps[some]), pa.array(n[some].astype(np.int64)), pa.array(root[some])], ["rep", "n", "root"])
+
+
+def _match(batches, kind: str, least: float):
+    """Links from rows (dim, shard, fan, query, i, reps, n, vectors, graph, ef), sorted by the first five: a shard's graph,
+    then the shards whose vectors search it. One of these is held at a time."""
+    ids = lambda x: np.frombuffer(x.as_buffer(), dtype="<i8")
+    node = None
+    for batch in batches:
+        for r in range(batch.num_rows):
+            of = {c: batch.column(c)[r] for c in batch.schema.names}
+            x = _unit(np.frombuffer(of["vectors"].as_buffer(), dtype=kind).reshape(-1, of["dim"].as_py()))
+            if not of["query"].as_py():
+                node = ids(of["reps"]).copy(), ids(of["n"]).copy(), x, _unpack_graph(of["graph"].as_py(), x.astype(np.float32)), of["ef"].as_py(), of["shard"].as_py()
+                continue
+            reps, n, y, g, ef, shard = node
+            a, b = _search(x, g, y, least, ef)
+            yield _links(ids(of["reps"]), ids(of["n"]), reps, n, a, b, of["i"].as_py() == shard)
+
+
+def near_duplicates(vectors: DataFrame, least: float = 0.95, shards: int = 8, shard_rows: int = 100_000, shard_bytes: int = 64 << 20, fan: int = 4, ef: int = 24, links: int = 512, recall: float = 0.99, id_col: str = "vec_id", vector_col: str = "embedding", audits: list | None = None) -> DataFrame:
     """One row per vector: id, n_links (other vectors with cosine >= least), component_id, kept.
 
     Equal vectors form a class first, so copies are neither indexed nor searched twice. Classes are dealt by hash to
-    shards, at least `shards`, of at most about shard_rows; each shard's graph is built in one task. Each pair of shards
-    is one task that searches either graph with the other's vectors; beams widen until the recall audit passes, every
-    pair found is verified in double precision, and the task returns only link counts and the smallest linked id.
-    Vectors of different length are never compared.
+    shards, at least `shards`, of at most about shard_rows and shard_bytes. One task builds a shard's graph and audits
+    it: the beam widens until `recall` of `links` planted links are found. Then every shard is searched with the vectors
+    of itself and of all shards before it: a task gets one graph and, one after the other, `fan` shards of vectors, so
+    every pair of shards meets once. Every pair found is verified in double precision, and the task returns only link
+    counts and the smallest linked id. The vectors shuffled grow with the square of the shards, as the method asks each
+    shard; a vector goes with its own precision and without its links. Vectors of different length are never compared.
+    audits, if given, gets one row (dim, shard, ef, recall) per shard.
 
     Vectors that are null, empty, zero or hold null or non-finite parts have no links and are their own component.
-    Repeated rows with equal vectors are copies of each other. A null id takes no part in links (component null). An
-    empty table gives no rows; other columns are left out.
+    Very large and very small vectors are compared by direction like others. Repeated rows with equal vectors are copies
+    of each other. A null id takes no part in links (component null). An empty table gives no rows; other columns are
+    left out.
     """
     e = F.col("embedding")
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("embedding"))
+    single = dict(vectors.dtypes)[vector_col] == "array<float>"
+    kind, cast = ("<f4", "array<float>") if single else ("<f8", "array<double>")
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(cast).alias("embedding"))
     fine = e.isNotNull() & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(e, lambda x: x != 0) & F.col("id").isNotNull()
     rows = rows.withColumn("fine", F.coalesce(fine, F.lit(False)))
     valid = rows.where("fine")
     classes = staged(valid.groupBy("embedding").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).withColumn("dim", F.size("embedding")), "vector-classes")
-    total = classes.count()
-    s = max(shards, -(-total // shard_rows))
-    blocks = staged(
-        classes.withColumn("shard", F.pmod(F.xxhash64("rep"), F.lit(s)).cast("int"))
-        .groupBy("dim", "shard")
-        .applyInPandas(_build, "dim int, shard int, reps binary, n binary, vectors binary, graph binary"),
-        "vector-graphs",
-    )
-    keys = blocks.select("dim", "shard")
-    side = lambda k: blocks.select("dim", F.col("shard").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("reps", "n", "vectors", "graph")))
-    pairs = keys.withColumnRenamed("shard", "i").join(keys.withColumnRenamed("shard", "j"), "dim").where("i <= j")  # shard numbers, not rows
+    most = F.greatest(F.lit(shards), F.ceil(F.col("all") / shard_rows), F.ceil(F.col("all") * F.col("dim") * (4 if single else 8) / shard_bytes))
+    by_dim = classes.groupBy("dim").agg(F.count(F.lit(1)).alias("all")).withColumn("shards", most.cast("long"))
+    dealt = salted_join(classes, by_dim, ["dim"], "all", ["rep"]).withColumn("shard", F.pmod(F.xxhash64("rep"), F.col("shards")).cast("int"))
 
-    def task(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _match(pdf, least, ef, audit, recall)
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _build(pdf, kind, least, ef, links, recall)
 
-    found = staged(pairs.join(side("i"), ["dim", "i"]).join(side("j"), ["dim", "j"]).groupBy("dim", "i", "j").applyInPandas(task, "rep long, n long, root long"), "vector-links")
+    blocks = dealt.select("embedding", "rep", "n", "dim", "shard").groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, reps binary, n binary, vectors binary, graph binary, ef int, recall double")
+    blocks = staged(blocks, "vector-graphs")
+    if audits is not None:
+        audits += blocks.select("dim", "shard", "ef", "recall").collect()  # one row per shard
+    keys = blocks.select("dim", "shard")
+    fans = F.explode(F.sequence(F.lit(0), F.floor(F.col("shard") / fan).cast("int"))).alias("fan")
+    graphs = blocks.select("dim", "shard", fans, F.lit(False).alias("query"), F.lit(-1).alias("i"), "reps", "n", "vectors", "graph", "ef")
+    queries = blocks.select("dim", F.col("shard").alias("i"), "reps", "n", "vectors").join(keys, "dim").where("i <= shard")  # shard numbers, not rows
+    queries = queries.select("dim", "shard", F.floor(F.col("i") / fan).cast("int").alias("fan"), F.lit(True).alias("query"), "i", "reps", "n", "vectors", F.lit(None).cast("binary").alias("graph"), F.lit(None).cast("int").alias("ef"))
+    tasks = graphs.unionByName(queries).repartition(max(1, graphs.count()), "dim", "shard", "fan").sortWithinPartitions("dim", "shard", "fan", "query", "i")
+    found = staged(tasks.mapInArrow(lambda x: _match(x, kind, least), "rep long, n long, root long"), "vector-links", batch_rows=1)
     linked = found.groupBy("rep").agg(F.sum("n").alias("links"))
     comp = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     by_class = classes.join(linked, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-    by_class = by_class.select("embedding", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = valid.join(by_class, "embedding").select("id", "n_links", "component_id").unionByName(rows.where("not fine").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")))
+    by_class = by_class.select("embedding", "n", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    out = salted_join(valid, by_class, ["embedding"], "n", ["id"]).select("id", "n_links", "component_id").unionByName(rows.where("not fine").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")))
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
