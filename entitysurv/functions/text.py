@@ -74,8 +74,9 @@ def _below_hundred(n: Column) -> Column:
 
 
 def number_to_words(n: Column) -> Column:
-    """A whole number under 10^11 in English words with Indian scales."""
+    """A whole number under 10^11 in English words with Indian scales; any other is refused."""
     n = n.cast("long")
+    n = F.when(n.isNull() | n.between(0, 99_999_999_999), n).otherwise(F.raise_error(F.concat(F.lit("no words for "), n.cast("string"))))
     part = lambda div, mod: F.floor(n / div) % mod
     piece = lambda v, scale: F.when(v > 0, F.concat_ws(" ", _below_hundred(v), F.lit(scale)))
     crore = F.floor(n / 10_000_000)
@@ -93,24 +94,34 @@ def edit_distance(a: Column, b: Column) -> Column:
     return F.levenshtein(a, b)
 
 
-def wer_tokens(text: Column) -> Column:
-    """Case-folded words of the NFC text; punctuation goes, except that the whole Devanagari block stays."""
-    return F.filter(F.split(casefold(F.regexp_replace(nfc(text), r"[^\p{L}\p{N}_\s\x{0900}-\x{097F}]", " ")), r"\s+"), lambda x: x != "")
+def wer_tokens(text: Column, normalize: bool = True) -> Column:
+    """Case-folded words of the NFC text (unless told that it is ASCII); punctuation goes, except that the whole Devanagari
+    block stays."""
+    kept = F.regexp_replace(nfc(text) if normalize else text, r"[^\p{L}\p{N}_\s\x{0900}-\x{097F}]", " ")
+    return F.filter(F.split(casefold(kept) if normalize else F.lower(kept), r"\s+"), lambda x: x != "")
 
 
 def token_edit_distance(a: Column, b: Column) -> Column:
-    """Levenshtein over words: each distinct word of the pair becomes one character, then the built-in runs."""
-    vocabulary = F.array_distinct(F.concat(a, b))
-    spell = lambda words: F.array_join(F.transform(words, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(vocabulary, w) + 0x4E00), 8, "0")), "UTF-32")), "")
-    return F.levenshtein(spell(a), spell(b))
+    """Levenshtein over words: each distinct word of the pair becomes one character, then the built-in runs. The pair goes
+    through a lambda, as its parts may hold Python functions, which no inner lambda may name."""
 
+    def distance(pair):
+        vocabulary = F.array_distinct(F.concat(pair["a"], pair["b"]))
+        spell = lambda words: F.array_join(F.transform(words, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(vocabulary, w) + 0x4E00), 8, "0")), "UTF-32")), "")
+        return F.levenshtein(spell(pair["a"]), spell(pair["b"]))
 
-def wer(reference: Column, hypothesis: Column) -> Column:
-    """Word edits per reference word; for an empty reference 0 if the hypothesis is empty too, else 1."""
-    r, h = wer_tokens(reference), wer_tokens(hypothesis)
+    return F.element_at(F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), distance), 1)
+
+
+def wer_of(r: Column, h: Column) -> Column:
+    """Word edits per reference word from two lists of words; for an empty reference 0 if the other is empty too, else 1."""
     return F.when(F.size(r) == 0, F.when(F.size(h) == 0, 0.0).otherwise(1.0)).otherwise(token_edit_distance(r, h) / F.size(r))
 
 
+def wer(reference: Column, hypothesis: Column) -> Column:
+    return wer_of(wer_tokens(reference), wer_tokens(hypothesis))
+
+
 def gold_digits(expected: Column) -> Column:
     """The digits a model would write for a value: after the last colon, without a zero fraction."""
     return F.regexp_replace(F.regexp_replace(F.substring_index(expected, ":", -1), r"\.0+$", ""), "[^0-9]", "")
@@ -137,6 +148,12 @@ def value_diff_lost(expected: Column, found: Column) -> Column:
     return F.when(found.isNull(), F.length(expected)).when(F.length(expected) == F.length(found), F.size(e) - same_place).otherwise(F.size(e) - lcs)
 
 
+def value_diff_marks(expected: Column, found: Column) -> Column:
+    """= or x for each character of two values of one length, null otherwise."""
+    pair = F.zip_with(F.regexp_extract_all(expected, F.lit("(.)")), F.regexp_extract_all(found, F.lit("(.)")), lambda x, y: F.when(x == y, "=").otherwise("x"))
+    return F.when(F.length(expected) == F.length(found), F.array_join(pair, ""))
+
+
 def entity_starts(text: Column, surfaces: Column) -> Column:
     """0-based offset of each surface, searched for after the one before; null (and no move) where it is not found."""
     start = F.struct(F.lit(1).alias("at"), F.expr("cast(array() as array<int>)").alias("found"))

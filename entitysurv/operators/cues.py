@@ -8,28 +8,20 @@ from pyspark.sql import functions as F
 from .metrics import rounded, total
 
 
-def token_counts(texts: DataFrame, tagged_tokens: DataFrame, side: str) -> DataFrame:
-    """(row_key, text, cue_types, n_<side>): the bag of words of each row."""
-    return tagged_tokens.groupBy("row_key", F.lower("text").alias("word")).agg(F.first("cue_types").alias(f"types_{side}"), total().alias(f"n_{side}"))
+def cue_index(lexicon: DataFrame) -> DataFrame:
+    """(canon, cue_types): every canonical cue word with the types that it identifies."""
+    return lexicon.where(F.size("cue_types") > 0).select("canon", "cue_types")
 
 
-def cue_multiset(reference: DataFrame, hypothesis: DataFrame) -> DataFrame:
-    """Per row and word how often it is in the reference and how many of those came through (bag intersection)."""
-    both = token_counts(reference, reference, "ref").join(token_counts(hypothesis, hypothesis, "hyp").drop("types_hyp"), ["row_key", "word"], "left")
-    return both.select("row_key", "word", F.col("types_ref").alias("cue_types"), F.col("n_ref"), F.least(F.col("n_ref"), F.coalesce("n_hyp", F.lit(0))).alias("kept"))
+def bags(tokens: DataFrame, side: str) -> DataFrame:
+    """(row_key, canon, cue_types_<side>, n_<side>): the bag of canonical words of tokens(row_key, canon, cue_types)."""
+    return tokens.groupBy("row_key", "canon").agg(F.first("cue_types").alias(f"types_{side}"), total().alias(f"n_{side}"))
 
 
-def cue_survival(bags: DataFrame, rows: DataFrame, orphans: DataFrame, present: DataFrame) -> DataFrame:
-    """Per condition: cue words and other words, how many survived; values present, orphans, orphans not recovered."""
-    is_cue = F.coalesce(F.size("cue_types") > 0, F.lit(False))
-    words = bags.join(rows.select("row_key", "condition"), "row_key").groupBy("condition").agg(
-        F.coalesce(F.sum(F.when(is_cue, F.col("n_ref"))), F.lit(0)).alias("cue_total"), F.coalesce(F.sum(F.when(is_cue, F.col("kept"))), F.lit(0)).alias("cue_kept"),
-        F.coalesce(F.sum(F.when(~is_cue, F.col("n_ref"))), F.lit(0)).alias("word_total"), F.coalesce(F.sum(F.when(~is_cue, F.col("kept"))), F.lit(0)).alias("word_kept"),
-    )
-    o = orphans.groupBy("condition").agg(total().alias("orphans"), F.count_if(~F.col("hit")).alias("unrecovered"))
-    p = present.groupBy("condition").agg(total().alias("value_present"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return words.join(p, "condition", "left").join(o, "condition", "left").select("condition", "cue_total", "cue_kept", "word_total", "word_kept", zero("value_present"), zero("orphans"), zero("unrecovered"))
+def cue_multiset(reference: DataFrame, hypothesis: DataFrame) -> DataFrame:
+    """Per row and canonical word how often it is in the reference and how many came through (bag intersection)."""
+    both = bags(reference, "ref").join(bags(hypothesis, "hyp").drop("types_hyp"), ["row_key", "canon"], "left")
+    return both.select("row_key", "canon", F.col("types_ref").alias("cue_types"), "n_ref", F.least(F.col("n_ref"), F.coalesce("n_hyp", F.lit(0))).alias("kept"))
 
 
 def present_values(gold: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -38,10 +30,42 @@ def present_values(gold: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def orphans(present: DataFrame, reference: DataFrame, hypothesis: DataFrame) -> DataFrame:
-    """Present values whose type had a cue in the reference and has none in the hypothesis."""
-    cued = lambda t: t.where(F.size("cue_types") > 0).select("row_key", F.explode("cue_types").alias("type")).distinct()
-    return present.join(cued(reference), ["row_key", "type"], "left_semi").join(cued(hypothesis), ["row_key", "type"], "left_anti")
+    """Present values whose type had a cue in the reference and has none in the hypothesis; cues_expected counts those."""
+    cued = lambda t: t.where(F.size("cue_types") > 0).select("row_key", F.explode("cue_types").alias("type"))
+    had = cued(reference).groupBy("row_key", "type").agg(total().alias("cues_expected"))
+    return present.join(had, ["row_key", "type"]).join(cued(hypothesis).distinct(), ["row_key", "type"], "left_anti")
+
+
+def cue_survival(words: DataFrame, rows: DataFrame, orphan: DataFrame, present: DataFrame) -> DataFrame:
+    """Per condition: cue words and other words and how many survived; values present, orphans, those not recovered, and
+    orphans by type. orphan and present carry the condition, orphan also hit."""
+    is_cue = F.coalesce(F.size("cue_types") > 0, F.lit(False))
+    count = lambda c, when: F.coalesce(F.sum(F.when(when, F.col(c))), F.lit(0))
+    w = words.join(rows.select("row_key", "condition"), "row_key").groupBy("condition").agg(
+        count("n_ref", is_cue).alias("cue_total"), count("kept", is_cue).alias("cue_kept"), count("n_ref", ~is_cue).alias("word_total"), count("kept", ~is_cue).alias("word_kept"),
+    )
+    by_type = orphan.groupBy("condition", "type").agg(total().alias("n"), F.count_if(~F.col("hit")).alias("lost"))
+    o = by_type.groupBy("condition").agg(F.sum("n").alias("orphans"), F.sum("lost").alias("unrecovered"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("by_type"))  # one entry per type
+    p = present.groupBy("condition").agg(total().alias("value_present"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    out = w.join(p, "condition", "left").join(o, "condition", "left")
+    return out.select("condition", "cue_total", "cue_kept", "word_total", "word_kept", zero("value_present"), zero("orphans"), zero("unrecovered"), F.coalesce("by_type", F.expr("cast(map() as map<string,bigint>)")).alias("by_type"))
+
+
+def cue_totals(survival: DataFrame, shaped: list[str]) -> DataFrame:
+    """One row over all conditions: values present, orphans, those not recovered, and orphans of types with and without a
+    length shape."""
+    values = lambda keep: F.aggregate(F.filter(F.map_entries("by_type"), lambda e: e["key"].isin(*shaped) == F.lit(keep)), F.lit(0).cast("long"), lambda s, e: s + e["value"])
+    sums = {"value_present": F.col("value_present"), "orphans": F.col("orphans"), "unrecovered": F.col("unrecovered"), "shaped": values(True), "unshaped": values(False)}
+    return survival.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in sums.items()))
 
 
-def orphan_rate_rank(survival: DataFrame) -> DataFrame:
-    return survival.select("condition", "orphans", rounded(F.when(F.col("value_present") > 0, F.col("orphans") / F.col("value_present"))).alias("orphan_rate"), rounded(F.when(F.col("cue_total") > 0, F.col("cue_kept") / F.col("cue_total"))).alias("cue_survival"))
+def orphan_rate_rank(survival: DataFrame, bursty: list[str], clean: str) -> DataFrame:
+    """Conditions by orphan rate, worst first, with how cue words fared against the clean condition, and whether the
+    condition is the bursty one that keeps the fewest cues; bursty_orphans is the sum over all bursty ones."""
+    rate = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
+    is_bursty = F.col("condition").isin(*bursty)
+    r = survival.select("condition", "orphans", rate("orphans", "value_present").alias("r"), rate("cue_kept", "cue_total").alias("s"), is_bursty.alias("bursty"))
+    one = r.agg(F.max(F.when(F.col("condition") == clean, F.col("s"))).alias("clean"), F.coalesce(F.sum(F.when(F.col("bursty"), F.col("orphans"))), F.lit(0)).alias("bursty_orphans"), F.min_by("condition", F.when(F.col("bursty"), F.struct("s", "condition"))).alias("worst"))
+    out = r.join(F.broadcast(one))  # one row
+    return out.select("condition", "orphans", rounded(F.col("r")).alias("orphan_rate"), rounded(F.col("s")).alias("cue_survival"), rounded(F.col("s") - F.col("clean")).alias("against_clean"), F.coalesce(F.col("condition") == F.col("worst"), F.lit(False)).alias("least_kept"), "bursty_orphans")

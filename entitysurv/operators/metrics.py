@@ -65,33 +65,40 @@ def rates_by_condition(ents: DataFrame) -> DataFrame:
 
 
 def finding(ents: DataFrame) -> DataFrame:
-    """Best and worst condition, points lost, interval of the difference, and how many tie with the best; no row for
-    fewer than two conditions."""
-    r = rates(ents, "condition").where("total > 0")
-    row = r.agg(
-        F.max_by(F.struct("condition", "hits", "total", "rate"), F.struct("rate", F.col("hits"), F.col("condition"))).alias("_b"),
-        F.min_by(F.struct("condition", "hits", "total", "rate"), F.struct("rate", "condition")).alias("_w"),
-        total().alias("n"),
-        F.collect_list("rate").alias("all_rates"),
-    ).where("n >= 2")
+    """Best and worst condition (ties: the smaller name), points lost, interval of the difference, and how many tie with
+    the best; no row for fewer than two conditions. Rates are compared as they are, rounded only to be shown."""
+    exact = F.col("hits") / F.col("total")
+    r = rates(ents, "condition").where("total > 0").withColumn("exact", exact)
+    one = F.struct("condition", "hits", "total", "exact")
+    row = r.agg(F.min_by(one, F.struct(-F.col("exact"), "condition")).alias("_b"), F.min_by(one, F.struct("exact", "condition")).alias("_w"), total().alias("n"), F.collect_list("exact").alias("all_rates")).where("n >= 2")
     d, low, high = diff_ci(F.col("_b.hits"), F.col("_b.total"), F.col("_w.hits"), F.col("_w.total"))
-    return row.select(F.col("_b.condition").alias("best"), F.col("_w.condition").alias("worst"), rounded(d).alias("lost"), rounded(low).alias("low"), rounded(high).alias("high"), F.size(F.filter("all_rates", lambda x: x == F.col("_b.rate"))).alias("tied"))
+    return row.select(F.col("_b.condition").alias("best"), F.col("_w.condition").alias("worst"), rounded(d).alias("lost"), rounded(low).alias("low"), rounded(high).alias("high"), F.size(F.filter("all_rates", lambda x: x == F.col("_b.exact"))).alias("tied"))
+
+
+def model_cells(ents: DataFrame) -> DataFrame:
+    """Hits, total and rate of every model under every condition, with Wilson intervals."""
+    low, high = wilson(F.col("hits"), F.col("total"))
+    return rates(ents.where("asr_model is not null"), "condition", F.col("asr_model").alias("model")).withColumns({"low": rounded(low), "high": rounded(high)})
 
 
 def model_split(ents: DataFrame, bursty: list[str]) -> DataFrame:
-    """Two models pooled over the bursty conditions: second minus first with its interval; no row unless there are two."""
-    r = rates(ents.where(F.col("asr_model").isNotNull()), F.col("asr_model").alias("model"), F.col("condition").isin(bursty).alias("bursty"))
-    per = r.where("bursty")
-    both = per.agg(F.min_by(F.struct("model", "hits", "total"), "model").alias("a"), F.max_by(F.struct("model", "hits", "total"), "model").alias("b"), F.count_distinct("model").alias("n")).where("n = 2")
+    """Two models pooled over the bursty conditions: rates with Wilson intervals, second minus first with its interval and
+    whether it separates them; no row unless there are two."""
+    per = rates(ents.where(F.col("asr_model").isNotNull() & F.col("condition").isin(bursty)), F.col("asr_model").alias("model"))
+    one = F.struct("model", "hits", "total", "rate")
+    both = per.agg(F.min_by(one, "model").alias("a"), F.max_by(one, "model").alias("b"), F.count_distinct("model").alias("n")).where("n = 2")
     d, low, high = diff_ci(F.col("b.hits"), F.col("b.total"), F.col("a.hits"), F.col("a.total"))
-    return both.select(F.col("a.model").alias("first"), F.col("b.model").alias("second"), rounded(d).alias("delta"), rounded(low).alias("low"), rounded(high).alias("high"), ((low > 0) | (high < 0)).alias("separates"))
+    own = {f"{name}_{part}": rounded(c) for x, name in (("a", "first"), ("b", "second")) for part, c in zip(("low", "high"), wilson(F.col(f"{x}.hits"), F.col(f"{x}.total")), strict=True)}
+    return both.select(F.col("a.model").alias("first"), F.col("b.model").alias("second"), F.col("a.rate").alias("first_rate"), F.col("b.rate").alias("second_rate"), *(c.alias(n) for n, c in own.items()), rounded(d).alias("delta"), rounded(low).alias("low"), rounded(high).alias("high"), ((low > 0) | (high < 0)).alias("separates"))
 
 
 def never_worse(ents: DataFrame, a: str, b: str) -> DataFrame:
-    """Is model b at least as good as model a in every condition b has; a missing cell of a makes it false."""
+    """Is model b at least as good as model a in every condition b has; a missing cell of a makes it false. Rates are
+    compared by cross products, without rounding."""
     r = rates(ents.where("asr_model is not null"), F.col("asr_model").alias("model"), "condition")
-    x, y = r.where(F.col("model") == a).select("condition", F.col("rate").alias("ra")), r.where(F.col("model") == b).select("condition", F.col("rate").alias("rb"))
-    return y.join(x, "condition", "left").agg(F.coalesce(F.bool_and(F.coalesce(F.col("rb") >= F.col("ra"), F.lit(False))), F.lit(False)).alias("never_worse"))
+    side = lambda m, p: r.where(F.col("model") == m).select("condition", F.col("hits").cast("decimal(19,0)").alias(f"h{p}"), F.col("total").cast("decimal(19,0)").alias(f"t{p}"))
+    better = F.coalesce(F.col("hb") * F.col("ta") >= F.col("ha") * F.col("tb"), F.lit(False))
+    return side(b, "b").join(side(a, "a"), "condition", "left").agg(F.coalesce(F.bool_and(better), F.lit(False)).alias("never_worse"))
 
 
 def shared_cells(rows: DataFrame) -> DataFrame:
@@ -109,10 +116,13 @@ def shared_mode_figures(rows: DataFrame, ents: DataFrame) -> DataFrame:
 
 
 def headline(rows: DataFrame, ents: DataFrame) -> DataFrame:
-    cond = rows.groupBy("condition").agg(F.avg("wer").alias("w")).agg(rounded(F.min("w")).alias("least_wer"), rounded(F.max("w")).alias("most_wer"))
-    best = rows.groupBy(model_of().alias("model")).agg(F.avg("wer").alias("w")).agg(F.min_by("model", F.struct(F.round("w", 9), "model")).alias("best_model"))
+    """Hits and rate, the conditions with the least and the most mean WER, the models by mean WER (best first), counts."""
+    name = lambda c, sign: F.min_by("condition", F.struct(sign * F.col(c), "condition"))
+    cond = rows.groupBy("condition").agg(F.avg("wer").alias("w")).withColumn("w9", F.round("w", 9)).agg(rounded(F.min("w")).alias("least_wer"), rounded(F.max("w")).alias("most_wer"), name("w9", 1).alias("least_condition"), name("w9", -1).alias("most_condition"))
+    models = rows.groupBy(model_of().alias("model")).agg(F.avg("wer").alias("w")).agg(F.array_sort(F.collect_list(F.struct(rounded(F.col("w")).alias("w"), "model"))).alias("m"))  # one row per model
+    models = models.select(F.element_at("m", 1)["model"].alias("best_model"), F.array_join(F.transform("m", lambda x: F.concat_ws("=", x["model"], F.format_number(x["w"], 4))), ",").alias("models"))
     counts = rows.agg(F.count_distinct("utterance_id").alias("utterances"), F.count_distinct("condition").alias("conditions"))
-    return rates(ents).join(cond).join(best).join(counts)
+    return rates(ents).join(cond).join(models).join(counts)
 
 
 def wer_spread(rows: DataFrame, tie: str = "event_id") -> DataFrame:
@@ -172,8 +182,9 @@ def rendering_crosstab(ents: DataFrame) -> DataFrame:
 def disagreement_topk(ents: DataFrame, k: int = 24) -> DataFrame:
     """The k rows on which models disagree most; all rows where there are no more than k. The report's own limit."""
     table = rendering_table(ents)
-    some = table.where("forms > 1").orderBy(F.desc("spread"), "utterance_id", "mode", "condition", "type").limit(k)
-    return some
+    every = table.agg(total().alias("_all"))  # one row
+    some = table.join(F.broadcast(every)).where((F.col("forms") > 1) | (F.col("_all") <= k)).drop("_all")
+    return some.orderBy(F.desc("spread"), "utterance_id", "mode", "condition", "type", "expected").limit(k)
 
 
 def mode_coverage_check(rows: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.io import staged
 from .metrics import total
 
 
@@ -13,7 +14,7 @@ def listen_set(rows: DataFrame, n: int) -> DataFrame:
     The limit is the operator's own."""
     per = rows.groupBy("utterance_id").agg(F.min(F.element_at("entities", 2)["type"]).alias("type"), F.bool_or(F.exists("entities", lambda e: ~e["hit"])).alias("has_miss"), total().alias("takes"))
     turn = Window.partitionBy("type").orderBy(F.desc("has_miss"), F.desc("takes"), "utterance_id")
-    return per.withColumn("turn", F.row_number().over(turn)).orderBy("turn", "type").limit(n)
+    return per.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= n).orderBy("turn", "type").limit(n)
 
 
 def hero_example(ents: DataFrame, bursty: list[str], longest: int = 40) -> DataFrame:
@@ -33,17 +34,18 @@ def review_sample(rows: DataFrame, n: int, seed: int) -> DataFrame:
     return both.where(F.col("place") <= n)
 
 
-def budget_cutoff(calls: DataFrame, cap: int, batch: str, order: str = "event_id") -> DataFrame:
+def budget_cutoff(calls: DataFrame, cap: int, order: str = "event_id") -> DataFrame:
     """Running totals of paid calls in order and whether each still fits the cap; cached calls are free.
 
-    Two levels: totals per batch first, then the running sum inside each batch on top of the earlier batches, so no
-    window spans all calls. Batches must be ranges of the order.
+    The calls are dealt to ranges of the order, each range is summed, and the running sum inside each stands on the sums
+    of the earlier ones: no window spans all calls, and what is broadcast has one row per range.
     """
-    paid = calls.withColumn("paid", (~F.col("cached")).cast("long"))
-    before = Window.orderBy(batch).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = paid.groupBy(batch).agg(F.sum("paid").alias("_n")).select(batch, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(batch).orderBy(order)
-    return paid.join(F.broadcast(offsets), batch).withColumn("running", F.col("_before") + F.sum("paid").over(inside)).withColumn("within", F.col("running") <= cap).drop("_before", "paid")  # one row per batch
+    ranged = calls.withColumn("_paid", (~F.col("cached")).cast("long")).repartitionByRange(order).withColumn("_range", F.spark_partition_id())
+    ranged = staged(ranged, "ranges")  # the numbers of the ranges stay what they are
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy("_range").agg(F.sum("_paid").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_range").orderBy(order)
+    return ranged.join(F.broadcast(offsets), "_range").withColumn("running", F.col("_before") + F.sum("_paid").over(inside)).withColumn("within", F.col("running") <= cap).drop("_before", "_paid", "_range")
 
 
 def loss_run_stats(frames: DataFrame, frame_ms: int = 20) -> DataFrame:

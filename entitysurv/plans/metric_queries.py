@@ -77,23 +77,30 @@ def rates_by_condition(spark, sf):
 
 
 @query(WITH + f""", m AS (SELECT condition, {RATE} FROM pents GROUP BY ALL),
-b AS (SELECT * FROM m ORDER BY rate DESC, hits DESC, condition DESC LIMIT 1), w AS (SELECT * FROM m ORDER BY rate, condition LIMIT 1),
+b AS (SELECT * FROM m ORDER BY hits / total::DOUBLE DESC, condition LIMIT 1), w AS (SELECT * FROM m ORDER BY hits / total::DOUBLE, condition LIMIT 1),
 d AS (SELECT b.condition AS best, w.condition AS worst, b.rate AS r, b.hits / b.total::DOUBLE AS p1, w.hits / w.total::DOUBLE AS p2, b.total AS n1, w.total AS n2 FROM b, w),
 e AS (SELECT *, 1.96 * sqrt(p1 * (1 - p1) / n1 + p2 * (1 - p2) / n2) AS h FROM d)
-SELECT best, worst, round(p1 - p2, 6) AS lost, round(p1 - p2 - h, 6) AS low, round(p1 - p2 + h, 6) AS high, (SELECT count(*) FROM m WHERE rate = e.r)::INT AS tied FROM e WHERE (SELECT count(*) FROM m) >= 2""")
+SELECT best, worst, round(p1 - p2, 6) AS lost, round(p1 - p2 - h, 6) AS low, round(p1 - p2 + h, 6) AS high, (SELECT count(*) FROM m WHERE hits / total::DOUBLE = e.p1)::INT AS tied FROM e WHERE (SELECT count(*) FROM m) >= 2""")
 def finding(spark, sf):
     return M.finding(pents(spark, sf))
 
 
+@query(WITH + f""", m AS (SELECT asr_model AS model, condition, {RATE} FROM pents WHERE asr_model IS NOT NULL GROUP BY ALL), p AS (SELECT *, hits / total::DOUBLE AS p FROM m)
+SELECT model, condition, hits, total, rate, round((p + 1.9208 / total - 1.96 * sqrt(p * (1 - p) / total + 0.9604 / (total * total::DOUBLE))) / (1 + 3.8416 / total), 6) AS low, round((p + 1.9208 / total + 1.96 * sqrt(p * (1 - p) / total + 0.9604 / (total * total::DOUBLE))) / (1 + 3.8416 / total), 6) AS high FROM p""")
+def model_cells(spark, sf):
+    return M.model_cells(pents(spark, sf))
+
+
 @query(WITH + f""", m AS (SELECT asr_model AS model, {RATE} FROM pents WHERE asr_model IS NOT NULL AND condition IN ('error') GROUP BY ALL),
-d AS (SELECT a.model AS first, b.model AS second, b.hits / b.total::DOUBLE AS p1, a.hits / a.total::DOUBLE AS p2, b.total AS n1, a.total AS n2 FROM m a JOIN m b ON a.model < b.model WHERE (SELECT count(*) FROM m) = 2),
+d AS (SELECT a.model AS first, b.model AS second, a.rate AS first_rate, b.rate AS second_rate, b.hits / b.total::DOUBLE AS p1, a.hits / a.total::DOUBLE AS p2, b.total AS n1, a.total AS n2 FROM m a JOIN m b ON a.model < b.model WHERE (SELECT count(*) FROM m) = 2),
 e AS (SELECT *, 1.96 * sqrt(p1 * (1 - p1) / n1 + p2 * (1 - p2) / n2) AS h FROM d)
-SELECT first, second, round(p1 - p2, 6) AS delta, round(p1 - p2 - h, 6) AS low, round(p1 - p2 + h, 6) AS high, (p1 - p2 - h > 0 OR p1 - p2 + h < 0) AS separates FROM e""")
+SELECT first, second, first_rate, second_rate, round((p2 + 1.9208 / n2 - 1.96 * sqrt(p2 * (1 - p2) / n2 + 0.9604 / (n2 * n2::DOUBLE))) / (1 + 3.8416 / n2), 6) AS first_low, round((p2 + 1.9208 / n2 + 1.96 * sqrt(p2 * (1 - p2) / n2 + 0.9604 / (n2 * n2::DOUBLE))) / (1 + 3.8416 / n2), 6) AS first_high, round((p1 + 1.9208 / n1 - 1.96 * sqrt(p1 * (1 - p1) / n1 + 0.9604 / (n1 * n1::DOUBLE))) / (1 + 3.8416 / n1), 6) AS second_low, round((p1 + 1.9208 / n1 + 1.96 * sqrt(p1 * (1 - p1) / n1 + 0.9604 / (n1 * n1::DOUBLE))) / (1 + 3.8416 / n1), 6) AS second_high,
+  round(p1 - p2, 6) AS delta, round(p1 - p2 - h, 6) AS low, round(p1 - p2 + h, 6) AS high, (p1 - p2 - h > 0 OR p1 - p2 + h < 0) AS separates FROM e""")
 def model_split(spark, sf):
     return M.model_split(pents(spark, sf), BURSTY)
 
 
-@query(WITH + f", m AS (SELECT asr_model AS model, condition, {RATE} FROM pents WHERE asr_model IS NOT NULL GROUP BY ALL) SELECT coalesce(bool_and(coalesce(b.rate >= a.rate, false)), false) AS never_worse FROM (SELECT * FROM m WHERE model = 'm1') b LEFT JOIN (SELECT * FROM m WHERE model = 'm0') a USING (condition)")
+@query(WITH + f", m AS (SELECT asr_model AS model, condition, {RATE} FROM pents WHERE asr_model IS NOT NULL GROUP BY ALL) SELECT coalesce(bool_and(coalesce(b.hits * a.total >= a.hits * b.total, false)), false) AS never_worse FROM (SELECT * FROM m WHERE model = 'm1') b LEFT JOIN (SELECT * FROM m WHERE model = 'm0') a USING (condition)")
 def never_worse(spark, sf):
     return M.never_worse(pents(spark, sf), "m0", "m1")
 
@@ -120,7 +127,8 @@ def mode_coverage(spark, sf):
 
 
 @query(WITH + f""", c AS (SELECT condition, avg(wer) AS w FROM prim GROUP BY 1), b AS (SELECT {MODEL}, avg(wer) AS w FROM prim GROUP BY 1)
-SELECT hits, total, rate, round(least_wer, 6) AS least_wer, round(most_wer, 6) AS most_wer, best_model, utterances, conditions FROM (SELECT {RATE} FROM pents), (SELECT min(w) AS least_wer, max(w) AS most_wer FROM c), (SELECT model AS best_model FROM b ORDER BY round(w, 9), model LIMIT 1), (SELECT count(DISTINCT utterance_id) AS utterances, count(DISTINCT condition) AS conditions FROM prim)""")
+SELECT hits, total, rate, round(least_wer, 6) AS least_wer, round(most_wer, 6) AS most_wer, least_condition, most_condition, best_model, models, utterances, conditions FROM (SELECT {RATE} FROM pents), (SELECT min(w) AS least_wer, max(w) AS most_wer FROM c),
+(SELECT condition AS least_condition FROM c ORDER BY round(w, 9), condition LIMIT 1), (SELECT condition AS most_condition FROM c ORDER BY round(w, 9) DESC, condition LIMIT 1), (SELECT model AS best_model FROM b ORDER BY round(w, 6), model LIMIT 1), (SELECT string_agg(model || '=' || printf('%.4f', round(w, 6)), ',' ORDER BY round(w, 6), model) AS models FROM b), (SELECT count(DISTINCT utterance_id) AS utterances, count(DISTINCT condition) AS conditions FROM prim)""")
 def headline(spark, sf):
     return M.headline(prim(spark, sf), pents(spark, sf))
 
@@ -206,7 +214,7 @@ def rendering_crosstab(spark, sf):
     return M.rendering_crosstab(ents(spark, sf))
 
 
-@query(REND + " SELECT * FROM tab WHERE forms > 1 ORDER BY spread DESC, utterance_id, mode, condition, type LIMIT 24")
+@query(REND + " SELECT * FROM tab WHERE forms > 1 OR (SELECT count(*) FROM tab) <= 24 ORDER BY spread DESC, utterance_id, mode, condition, type, expected LIMIT 24")
 def disagreement_topk(spark, sf):
     return M.disagreement_topk(ents(spark, sf))
 
@@ -271,11 +279,6 @@ def pretty_value(spark, sf):
     return ents(spark, sf).select("expected", T.pretty_value(F.col("expected")).alias("pretty")).distinct()
 
 
-@query(WITH + "SELECT event_id, pos, CASE WHEN found IS NULL THEN length(expected) WHEN hit THEN 0 ELSE 1 END::INT AS lost FROM ents WHERE NOT hit")
-def value_diff(spark, sf):
-    return ents(spark, sf).where("not hit").select("event_id", "pos", T.value_diff_lost(F.col("expected"), F.col("found")).alias("lost"))
-
-
 @query(f"WITH {OBS} SELECT DISTINCT language, split_part(lower(language), '-', 1) AS lang FROM obs")
 def language_key(spark, sf):
     return demo.obs(spark, sf).select("language", T.language_key(F.col("language")).alias("lang")).distinct()

@@ -12,7 +12,7 @@ from ..operators import metrics as M
 from ..operators import rows as R
 from ..sources import io
 from . import demo
-from .call_queries import GOLD_SQL, calls, damaged, gold, scored, triage
+from .call_queries import DIGITS_SQL, GOLD_SQL, SPELT_SQL, TEXTS_SQL, calls, damaged
 from .metric_queries import WITH, ents, pents, rows
 from .oracle_base import OBS
 from .registry import query
@@ -22,79 +22,14 @@ def tagged(spark, c):
     return X.with_lexicon(X.tokenize(c.select("row_key", F.col("text").alias("folded"))), L.lexicon(spark))
 
 
-def conditioned(c):
-    return c.withColumn("condition", F.concat(F.lit("c"), (F.col("row_key") % 3).cast("string")))
-
-
-@query(GOLD_SQL + "SELECT row_key, 'account' AS word, 1::BIGINT AS n_ref, CASE WHEN (7 * CASE WHEN realization = 'digits' THEN 6 ELSE 11 END + row_key) % 9 <> 0 THEN 1 ELSE 0 END::BIGINT AS kept FROM gold WHERE type = 'account_number'")
+@query(f"""WITH {DIGITS_SQL}, {TEXTS_SQL}, w AS (SELECT o_orderkey, unnest(string_split(replace(text, ',', ''), ' ')) AS w, unnest(range(len(string_split(text, ' ')))) AS i FROM texts),
+t AS (SELECT o_orderkey, unnest(string_split(w, '/')) AS canon, (i * 7 + o_orderkey) % 9 <> 0 AS came FROM w)
+SELECT o_orderkey AS row_key, canon AS word, count(*) AS n_ref, count(*) FILTER (came) AS kept FROM t GROUP BY ALL""")
 def cue_multiset_intersect(spark, sf):
     """Every word of every sentence, and how often it came through the damage."""
     c = calls(spark, sf)
-    return C.cue_multiset(tagged(spark, c), tagged(spark, damaged(c))).select("row_key", "word", "n_ref", "kept")
-
-
-def _survival(spark, sf):
-    c = conditioned(calls(spark, sf))
-    hyp = damaged(c)
-    g = gold(c).join(c.select("row_key", "condition"), "row_key")
-    found = X.extract_entities(hyp.select("row_key", "text"), L.lexicon(spark))
-    present = C.present_values(g, found)
-    ref_t, hyp_t = tagged(spark, c), tagged(spark, hyp)
-    hits = X.gold_match(gold(c).drop("realization"), found).select("row_key", "idx", "hit")
-    return c, ref_t, hyp_t, present, C.orphans(present, ref_t, hyp_t).join(hits, ["row_key", "idx"])
-
-
-@query()
-def cue_survival(spark, sf):
-    c, ref_t, hyp_t, present, orphan = _survival(spark, sf)
-    return C.cue_survival(C.cue_multiset(ref_t, hyp_t), c, orphan, present)
-
-
-@query()
-def orphans(spark, sf):
-    return _survival(spark, sf)[4].select("row_key", "condition", "type", "expected", "hit")
-
-
-@query()
-def orphan_listing(spark, sf):
-    return orphans(spark, sf).orderBy("type", "condition", "row_key")
-
-
-@query()
-def orphan_rate_rank(spark, sf):
-    return C.orphan_rate_rank(cue_survival(spark, sf)).orderBy(F.desc("orphan_rate"), "condition")
-
-
-@query()
-def cue_totals(spark, sf):
-    return cue_survival(spark, sf).agg(*(F.sum(c).alias(c) for c in ("orphans", "unrecovered", "value_present")))
-
-
-@query()
-def cue_figures_json(spark, sf):
-    s = cue_survival(spark, sf)
-    return s.agg(F.to_json(F.struct(F.array(F.lit("transcribe")).alias("modes"), F.array_sort(F.collect_list(F.struct(*s.columns))).alias("conditions"))).alias("document"))  # one struct per condition
-
-
-@query(GOLD_SQL + "SELECT realization, type, count(*) AS n FROM gold GROUP BY ALL")
-def triage_header(spark, sf):
-    return gold(calls(spark, sf)).groupBy("realization", "type").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query()
-def triage_listing(spark, sf):
-    from pyspark.sql import Window
-
-    rank = F.array_position(F.array(*map(F.lit, ("extractor_error", "gold_error", "uncertain", "asr_error"))), F.col("bucket"))
-    t = triage(spark, sf)
-    often = t.groupBy("pattern").agg(F.count(F.lit(1)).alias("often"))
-    return t.join(F.broadcast(often), "pattern").orderBy(rank, F.desc("often"), "pattern", "row_key")
-
-
-@query(GOLD_SQL + "SELECT type, count(*) AS total FROM gold GROUP BY 1")
-def rescore_delta(spark, sf):
-    """Hits of each type on damaged sentences and on whole ones."""
-    return M.rescore_delta(scored(spark, sf, True), scored(spark, sf), "type").select("type", "total", "before", "after", "delta")
+    words = lambda x: X.tokenize(x.select("row_key", T.folded_text(F.col("text"), normalize=False).alias("folded"))).select("row_key", F.col("text").alias("canon"), F.lit(None).cast("array<string>").alias("cue_types"))
+    return C.cue_multiset(words(c), words(damaged(c))).select("row_key", F.col("canon").alias("word"), "n_ref", "kept")
 
 
 @query("SELECT o_orderkey AS row_key FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 5 = 0)")
@@ -177,19 +112,19 @@ def fold_digits(spark, sf):
     return demo.table(spark, sf, "documents").select("doc_id", T.fold_digits(there).alias("folded"))
 
 
-@query("SELECT doc_id, regexp_replace(nfc_normalize(text), '([0-9]),([0-9])', '\\1\\2', 'g') AS folded FROM documents WHERE NOT regexp_matches(text, '[0-9],[0-9],')")
+@query(r"SELECT doc_id, regexp_replace(regexp_replace(nfc_normalize(text), '([0-9]),([0-9])', '\1\2', 'g'), '([0-9]),([0-9])', '\1\2', 'g') AS folded FROM documents")
 def folded_text(spark, sf):
     """Every document; null for a null text."""
     return demo.table(spark, sf, "documents").select("doc_id", T.folded_text(F.col("text")).alias("folded"))
 
 
-@query("SELECT doc_id, lower(trim(regexp_replace(nfc_normalize(text), '\\s+', ' ', 'g'))) AS name FROM documents WHERE regexp_full_match(text, '[\\x20-\\x7E]*')")
+@query(r"SELECT doc_id, replace(lower(trim(regexp_replace(nfc_normalize(text), '\s+', ' ', 'g'))), 'ß', 'ss') AS name FROM documents")
 def normalize_name(spark, sf):
     """Every document; null for a null text."""
     return demo.table(spark, sf, "documents").select("doc_id", T.normalize_name(F.col("text")).alias("name"))
 
 
-@query("SELECT o_orderkey AS row_key, 3 AS value FROM orders WHERE o_orderkey % 2 = 1")
+@query("SELECT o_orderkey AS row_key, 3 AS value FROM orders")
 def canonicalize(spark, sf):
     """Two spellings of one number word meet in the lexicon."""
     c = demo.table(spark, sf, "orders").select(F.col("o_orderkey").alias("row_key"), F.when(F.col("o_orderkey") % 4 == 1, "Thrii").otherwise("three").alias("word"))
@@ -197,7 +132,7 @@ def canonicalize(spark, sf):
     return c.join(known, "word").select("row_key", F.col("value").cast("int").alias("value"))
 
 
-@query(GOLD_SQL + "SELECT row_key, expected AS digits FROM gold WHERE type = 'otp' AND realization = 'digits'")
+@query(GOLD_SQL + f"SELECT row_key, CASE realization WHEN 'digits' THEN expected ELSE split_part({SPELT_SQL.format('expected')}, ' ', 1) END AS digits FROM gold WHERE type = 'otp'")
 def tokenize_spans(spark, sf):
     """The token at position 3 of each sentence, cut from the text by its offsets: the code, or its first digit's word."""
     c = calls(spark, sf)
@@ -269,23 +204,6 @@ def cue_scan(spark, sf):
     return X.cue_scan(X.number_runs(t), t, ["otp"]).select("row_key", "type", F.col("dist").cast("int").alias("dist"))
 
 
-@query(GOLD_SQL + "SELECT row_key, count(*)::BIGINT AS n FROM gold GROUP BY 1")
-def entity_spans(spark, sf):
-    """Gold surfaces found one after the other in the digit sentence."""
-    c = calls(spark, sf)
-    surfaces = F.array(F.lit("your"), F.lit("account"), F.lit("rupees"), F.lit("due"))
-    found = F.when(F.col("realization") == "digits", surfaces).otherwise(F.array(F.lit("your"), F.lit("account"), F.lit("pending"), F.lit("due")))
-    return c.select("row_key", F.size(F.filter(T.entity_starts(F.col("text"), found), lambda x: x.isNotNull())).cast("long").alias("n"))
-
-
-@query("SELECT conv_id, turn, CASE WHEN text IS NOT NULL THEN 1 END AS edits FROM conversations WHERE text NOT LIKE '% %' OR text LIKE '% %'")
-def token_edit_distance(spark, sf):
-    """Every text against itself with one more word."""
-    d = demo.table(spark, sf, "conversations").where("text is not null").select("conv_id", "turn", "text")
-    a = F.split("text", " ")
-    return d.select("conv_id", "turn", T.token_edit_distance(a, F.concat(a, F.array(F.lit("zzzz")))).alias("edits"))
-
-
 @query("SELECT o_orderkey AS i, 'en-IN-11-' || printf('%05d', o_orderkey) AS id, ['bal', 'otp', 'pin', 'due', 'two'][o_orderkey % 5 + 1] AS template_id FROM orders")
 def generate_corpus(spark, sf):
     keys = demo.table(spark, sf, "orders").select(F.col("o_orderkey").alias("i"))
@@ -320,3 +238,44 @@ def rescore_join(spark, sf):
     if lost:
         raise ValueError(f"utterances without a corpus row: {[r[0] for r in lost]}")
     return stored.join(known, "utterance_id").groupBy("utterance_id", "condition").agg(F.count(F.lit(1)).alias("entities"))
+
+
+SAMPLED = "FROM orders"
+
+
+def _sampled(spark, sf, draw):
+    """One value per order from the hash of its key, twice: equal draws show that order and partitioning do not matter."""
+    o = demo.table(spark, sf, "orders").select(F.col("o_orderkey").alias("i"))
+    value = draw(lambda m, salt: G.draw(11, F.lit("en-IN"), F.col("i"), "slot", m, salt))
+    return o.select("i", value.alias("v")), o.repartition(7, "i").select("i", value.alias("again"))
+
+
+def _same(a, b, fine):
+    return a.join(b, "i").select("i", (F.col("v") == F.col("again")).alias("same"), fine.alias("fine"))
+
+
+@query(f"SELECT o_orderkey AS i, true AS same, true AS fine {SAMPLED}")
+def sample_account(spark, sf):
+    """11 to 16 digits, the first not zero."""
+    return _same(*_sampled(spark, sf, G.sample_account), F.col("v").rlike("^[1-9][0-9]{10,15}$"))
+
+
+@query(f"SELECT o_orderkey AS i, true AS same, true AS fine {SAMPLED}")
+def sample_otp(spark, sf):
+    return _same(*_sampled(spark, sf, G.sample_otp), F.col("v").rlike("^([0-9]{4}|[0-9]{6})$"))
+
+
+@query(f"SELECT o_orderkey AS i, true AS same, true AS fine {SAMPLED}")
+def sample_pin(spark, sf):
+    return _same(*_sampled(spark, sf, G.sample_pin), F.col("v").rlike("^[1-8][0-9]{5}$"))
+
+
+@query(f"SELECT o_orderkey AS i, true AS same, true AS fine {SAMPLED}")
+def sample_currency(spark, sf):
+    v = F.col("v")
+    return _same(*_sampled(spark, sf, G.sample_currency), (v > 0) & (v < 10**9) & (v % 25 == 0))
+
+
+@query(f"SELECT o_orderkey AS i, true AS same, true AS fine {SAMPLED}")
+def sample_date(spark, sf):
+    return _same(*_sampled(spark, sf, G.sample_date), F.col("v").between(F.lit("2026-01-01").cast("date"), F.lit("2027-12-02").cast("date")))

@@ -93,7 +93,7 @@ def review_sample(spark, sf):
 @query("SELECT event_id, event_id % 3 = 0 AS cached, event_id // 1000 AS batch, sum((event_id % 3 <> 0)::INT) OVER (ORDER BY event_id)::BIGINT AS running, sum((event_id % 3 <> 0)::INT) OVER (ORDER BY event_id) <= 500 AS within FROM events")
 def budget_cutoff(spark, sf):
     e = demo.table(spark, sf, "events").select("event_id", (F.col("event_id") % 3 == 0).alias("cached"), F.floor(F.col("event_id") / 1000).alias("batch"))
-    return W.budget_cutoff(e, 500, "batch")
+    return W.budget_cutoff(e, 500)
 
 
 @query(f"WITH {OBS}, c AS (SELECT DISTINCT utterance_id || '/' || condition AS key FROM obs WHERE event_id % 3 = 0) SELECT event_id FROM obs WHERE utterance_id || '/' || condition IN (SELECT key FROM c)")

@@ -75,3 +75,10 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cue_figures_by_mode(spark: SparkSession, path: str) -> DataFrame:
+    """(mode, file, rows) of JSON documents (modes, rows) in folders file=<name>: of each mode but - the first by name."""
+    docs = spark.read.schema("modes array<string>, rows bigint, file string").json(path)
+    per = docs.select(F.explode("modes").alias("mode"), "file", "rows").where("mode <> '-'")
+    return per.groupBy("mode").agg(F.min("file").alias("file"), F.min_by("rows", "file").alias("rows"))
