@@ -11,11 +11,14 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import lowest, salted_join, staged
+
 #: (verdict, host, path prefix): a rule fits its host and all subdomains; the longest host-and-path wins.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
-#: Host words that label a URL as unwanted for training, where no rule fits it.
+#: Host words that label a URL as unwanted for training, where no rule fits it and the caller has no label.
 SEED_WORDS = ["ads", "adult", "bets", "casino", "farm", "pills", "spam", "track", "win", "xxx"]
 
+FOLDS = 5
 FEATURES = ["f_length", "f_host_length", "f_depth", "f_labels", "f_digit_ratio", "f_hyphens", "f_entropy", "f_params", "f_query_length", "f_suffix_block", "f_suffix_count", "f_path_block"]
 
 
@@ -51,11 +54,12 @@ def _entropy(text: Column) -> Column:
 
 
 def with_features(urls: DataFrame) -> DataFrame:
-    """Adds the lexical features, without the two suffix statistics, to columns url, host, path."""
+    """Adds the fold and the lexical features, without the statistics of suffixes, to columns url, host, path."""
     url = F.coalesce("url", F.lit(""))
     query = F.regexp_extract(url, r"\?([^#]*)", 1)
     return urls.select(
         "*",
+        fold_of(F.col("host")).alias("fold"),
         F.regexp_extract("host", r"([^.]*)$", 1).alias("suffix"),
         F.concat_ws("/", F.regexp_extract("host", r"([^.]*)$", 1), F.regexp_extract("path", r"^/([^/]*)", 1)).alias("section"),
         F.length(url).cast("double").alias("f_length"),
@@ -70,16 +74,30 @@ def with_features(urls: DataFrame) -> DataFrame:
     )
 
 
-def with_suffix_statistics(rows: DataFrame, counts: DataFrame, paths: DataFrame) -> DataFrame:
-    """Joins the smoothed share of blocked URLs and the count of each suffix and of each suffix with first path part.
+def fold_of(host: Column) -> Column:
+    """Whole hosts are in one fold."""
+    return F.pmod(F.xxhash64(F.lit("fold"), host), F.lit(FOLDS)).cast("int")
+
+
+def statistics(labelled: DataFrame, key: str) -> DataFrame:
+    """(key, fold, n, blocked, rows): how many labelled URLs of the other folds have the key, how many of these are
+    blocked, and how many there are in this fold. So a URL's own host has no part in its features."""
+    by_fold = labelled.groupBy(key, "fold").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("b"))
+    total = by_fold.groupBy(key).agg(F.sum("n").alias("all"), F.sum("b").alias("all_b"), F.map_from_entries(F.collect_list(F.struct("fold", F.struct("n", "b")))).alias("own"))  # FOLDS entries at most
+    every = total.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(FOLDS - 1)))).withColumn("o", F.try_element_at("own", "fold"))
+    own, own_b = F.coalesce("o.n", F.lit(0)), F.coalesce("o.b", F.lit(0))
+    return every.select(key, "fold", (F.col("all") - own).alias("n"), (F.col("all_b") - own_b).alias("blocked"), own.alias("rows"))
 
-    The statistics grow with the URLs, so no join is forced to broadcast.
-    """
-    return (
-        rows.join(counts, "suffix", "left")
-        .join(paths, "section", "left")
-        .withColumns({"f_suffix_block": F.coalesce("f_suffix_block", F.lit(0.5)), "f_suffix_count": F.coalesce("f_suffix_count", F.lit(0.0)), "f_path_block": F.coalesce("f_path_block", F.lit(0.5))})
-    )
+
+def with_statistics(rows: DataFrame, suffixes: DataFrame, sections: DataFrame) -> DataFrame:
+    """Joins the smoothed share of blocked URLs of each suffix and of each suffix with first path part, and the count.
+
+    The statistics grow with the URLs and a suffix may have most of them: salted joins, nothing forced to broadcast."""
+    share = (F.coalesce("blocked", F.lit(0)) + 1.0) / (F.coalesce("n", F.lit(0)) + 2.0)
+    rows = salted_join(rows, suffixes, ["suffix", "fold"], "rows", ["url"], how="left")
+    rows = rows.withColumns({"f_suffix_block": share, "f_suffix_count": F.log1p(F.coalesce("n", F.lit(0)).cast("double"))}).drop("n", "blocked", "rows")
+    rows = salted_join(rows, sections, ["section", "fold"], "rows", ["url"], how="left")
+    return rows.withColumn("f_path_block", share).drop("n", "blocked", "rows")
 
 
 def _tree(node) -> Column:
@@ -92,39 +110,56 @@ def _tree(node) -> Column:
 def train(labelled: DataFrame, max_rows: int = 50_000, trees: int = 10, depth: int = 4, seed: int = 11) -> tuple[Column, DataFrame, DataFrame]:
     """(margin, suffix statistics, section statistics) from labelled(url, host, path, label 0/1).
 
-    The statistics are those of all labelled rows. The trees are fitted on at most max_rows of them, those of the lowest
-    seeded hash. Without rows of both labels among these the margin is constant.
+    The statistics are those of all labelled rows, out of fold by host. The trees are fitted on at most max_rows of them,
+    those of the lowest seeded hash. Without rows of both labels among these the margin is constant.
     """
-    labelled = labelled.where("label is not null")
-    share = (F.sum("label") + 1.0) / (F.count(F.lit(1)) + 2.0)
-    every = with_features(labelled)
-    counts = every.groupBy("suffix").agg(share.alias("f_suffix_block"), F.log1p(F.count(F.lit(1)).cast("double")).alias("f_suffix_count"))
-    paths = every.groupBy("section").agg(share.alias("f_path_block"))
-    rows = with_features(labelled.orderBy(F.xxhash64(F.lit(seed), "url"), "url").limit(max_rows)).cache()
-    kinds = {int(r[0]) for r in rows.select("label").distinct().collect()}
+    every = with_features(labelled.where("label is not null"))
+    suffixes, sections = (staged(statistics(every, k), f"url-{k}") for k in ("suffix", "section"))
+    rows = lowest(labelled.where("label is not null"), F.xxhash64(F.lit(seed), "url"), max_rows, "url")
+    ready = staged(with_statistics(with_features(rows), suffixes, sections).select(*FEATURES, F.col("label").cast("double").alias("label")), "url-fit")
+    kinds = {int(r[0]) for r in ready.select("label").distinct().collect()}
     if len(kinds) < 2:
-        return F.lit(1.0 if kinds == {1} else -1.0), counts, paths
-    ready = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_suffix_statistics(rows, counts, paths)).select("features", F.col("label").cast("double").alias("label"))
-    model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, maxBins=32, seed=seed).fit(ready)
+        return F.lit(1.0 if kinds == {1} else -1.0), suffixes, sections
+    vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(ready).select("features", "label")
+    model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, maxBins=32, seed=seed).fit(vectors)
     margin = F.lit(0.0)
     for w, tree in zip(model.treeWeights, model.trees, strict=True):
         margin = margin + F.lit(float(w)) * _tree(tree._call_java("rootNode"))
-    return margin, counts, paths
+    return margin, suffixes, sections
 
 
-def judge(pages: DataFrame, rules=RULES, seed_words=SEED_WORDS, max_rows: int = 50_000, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """Verdict on every URL: id, url, host, path, rule, margin, verdict (allow or block).
-
-    A rule that fits decides; otherwise the trees do: block if the margin is above 0. Labels for training: the rule's
-    verdict; without one, block if a part of the host between dots and hyphens is a seed word, else allow. A null URL or
-    one without :// has empty host and path, fits no rule and is judged by its features. Repeated rows and null ids are
-    kept; an empty table gives no rows; other columns are left out.
-    """
+def labelled_urls(pages: DataFrame, rules=RULES, seed_words=SEED_WORDS, labels: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """id, url, host, path, by_rule, rule, label: the rule's verdict where one fits, else labels(url, label 0/1, one row
+    per url) of the caller, else 1 if a part of the host between dots and hyphens is a seed word, else 0."""
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     verdict, name = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"by_rule": verdict, "rule": name})
+    given = F.lit(None).cast("int")
+    if labels is not None:
+        rows, given = rows.join(labels.select("url", F.col("label").cast("int").alias("_given")), "url", "left"), F.col("_given")
     seeded = F.arrays_overlap(F.split("host", "[.-]"), F.array(*map(F.lit, seed_words))) if seed_words else F.lit(False)
-    label = F.when(F.col("by_rule") == "block", 1).when(F.col("by_rule") == "allow", 0).when(seeded, 1).otherwise(0)
-    margin, counts, paths = train(rows.select("url", "host", "path", label.alias("label")), max_rows)
-    scored = with_suffix_statistics(with_features(rows), counts, paths).withColumn("margin", margin)
+    label = F.when(F.col("by_rule") == "block", 1).when(F.col("by_rule") == "allow", 0).otherwise(F.coalesce(given, seeded.cast("int")))
+    return rows.select("id", "url", "host", "path", "by_rule", "rule", label.alias("label"))
+
+
+def judge(pages: DataFrame, rules=RULES, seed_words=SEED_WORDS, max_rows: int = 50_000, id_col: str = "page_id", url_col: str = "url", labels: DataFrame | None = None) -> DataFrame:
+    """Verdict on every URL: id, url, host, path, rule, margin, verdict (allow or block).
+
+    A rule that fits decides; otherwise the trees do: block if the margin is above 0. They are trained on labelled_urls,
+    with statistics that leave a URL's own host out. A null URL or one without :// has empty host and path, fits no rule
+    and is judged by its features. Repeated rows and null ids are kept; an empty table gives no rows; other columns are
+    left out.
+    """
+    rows = labelled_urls(pages, rules, seed_words, labels, id_col, url_col)
+    margin, suffixes, sections = train(rows.select("url", "host", "path", "label"), max_rows)
+    scored = with_statistics(with_features(rows), suffixes, sections).withColumn("margin", margin)
     return scored.select(F.col("id").alias(id_col), "url", "host", "path", "rule", "margin", F.coalesce("by_rule", F.when(F.col("margin") > 0, "block").otherwise("allow")).alias("verdict"))
+
+
+def held_out(pages: DataFrame, rules=RULES, seed_words=SEED_WORDS, max_rows: int = 50_000, labels: DataFrame | None = None) -> DataFrame:
+    """How well the trees do on hosts that they have not seen: fitted without the hosts of fold 0, which they then judge.
+    One row for the URLs with and one for those without a rule: n, blocked (by label), caught, false_blocks."""
+    rows = labelled_urls(pages, rules, seed_words, labels).withColumn("fold", fold_of(F.col("host")))
+    margin, suffixes, sections = train(rows.where("fold <> 0").select("url", "host", "path", "label"), max_rows)
+    scored = with_statistics(with_features(rows.where("fold = 0").drop("fold")), suffixes, sections).withColumn("block", margin > 0)
+    return scored.groupBy(F.col("rule").isNotNull().alias("has_rule")).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("blocked"), F.count_if(F.col("block") & (F.col("label") == 1)).alias("caught"), F.count_if(F.col("block") & (F.col("label") == 0)).alias("false_blocks"))
