@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import lowest
+
 SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]*")
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 STRIP = ".,;:!?\"'()[]{}"
@@ -139,16 +141,22 @@ def score_text(text: str, weights: _Weights, least: float = 0.5) -> tuple[float,
 OFFENDING = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("probability", pa.float64())]))
 
 
-def fit_model(docs: DataFrame, labels: DataFrame, max_docs: int = 10_000, seed: int = 5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Train on at most max_docs labelled texts, those of the lowest seeded hash of their id.
+def fit_model(docs: DataFrame, labels: DataFrame, max_docs: int = 10_000, max_bytes: int = 64 << 20, seed: int = 5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    """Train on at most max_docs labelled texts, those of the lowest seeded hash of their id, as far as these have
+    max_bytes in all (a longer text is left out alone).
 
-    The bound is on what the classifier is fitted on only; null labels, null ids and null texts are left out of it.
+    The bounds are on what the classifier is fitted on only; null labels, null ids and null texts are left out of it.
     """
     marks = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_y is not null and _id is not null")
-    marks = marks.groupBy("_id").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64(F.lit(seed), "_id"), "_id").limit(max_docs)
+    h = F.xxhash64(F.lit(seed), "_id")
+    marks = lowest(marks.groupBy("_id").agg(F.max("_y").alias("_y")), h, max_docs, "_id")
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where("_text is not null").join(F.broadcast(marks), "_id")  # max_docs rows of two numbers
-    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_id").orderBy("_text"))).where("_n = 1").orderBy(F.xxhash64(F.lit(seed), "_id"), "_id").select("_text", "_y").toPandas()
-    return train(rows["_text"].tolist(), [int(x > 0) for x in rows["_y"]])
+    one = rows.groupBy("_id").agg(F.min_by(F.struct("_y", F.octet_length("_text").alias("_size"), F.md5("_text").alias("_key")), F.md5("_text")).alias("x")).select("_id", "x.*")
+    sizes = Window.orderBy(F.xxhash64(F.lit(seed), "_id"), "_id").rowsBetween(Window.unboundedPreceding, 0)
+    chosen = one.where(F.col("_size") <= max_bytes).withColumn("_sum", F.sum("_size").over(sizes)).where(F.col("_sum") <= max_bytes).select("_id", "_key", "_y")  # max_docs rows at most
+    texts = rows.withColumn("_key", F.md5("_text")).join(F.broadcast(chosen.drop("_y")), ["_id", "_key"]).dropDuplicates(["_id", "_key"])
+    got = texts.select("_id", "_text", "_y").orderBy(h, "_id").toPandas()
+    return train(got["_text"].tolist(), [int(x > 0) for x in got["_y"]])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
