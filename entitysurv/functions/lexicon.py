@@ -13,6 +13,16 @@ HINDI_0_TO_99 = (
     "साठ इकसठ बासठ तिरसठ चौंसठ पैंसठ छियासठ सड़सठ अड़सठ उनहत्तर सत्तर इकहत्तर बहत्तर तिहत्तर चौहत्तर पचहत्तर छिहत्तर सतहत्तर अठहत्तर उन्यासी "
     "अस्सी इक्यासी बयासी तिरासी चौरासी पचासी छियासी सत्तासी अट्ठासी नवासी नब्बे इक्यानवे बानवे तिरानवे चौरानवे पचानवे छियानवे सत्तानवे अट्ठानवे निन्यानवे"
 )
+# Further spellings of these numbers, by value.
+HINDI_VARIANTS = {5: "पांच", 6: "छः छे छै", 9: "नो", 11: "ग्यारा", 12: "बारा", 15: "पन्द्रह पंद्रा", 18: "अट्ठारह", 19: "उन्निस", 22: "बाइस", 23: "तेइस", 25: "पचीस", 28: "अठाइस", 29: "उन्तीस", 31: "इकत्तीस", 39: "उन्तालीस", 43: "तिरालीस", 44: "चौवालीस", 49: "उन्चास", 51: "इकावन", 53: "तिरपन", 57: "सतावन", 59: "उन्सठ", 66: "छाछठ", 69: "उन्हत्तर", 79: "उनासी", 86: "छयासी", 89: "नौवासी", 91: "इकानवे", 99: "निन्नानवे"}
+# The same in Latin letters, in order of value: a parameter (see romanised), as some are English words too.
+HINDI_ROMAN_0_TO_99 = (
+    "shunya ek do teen chaar paanch chhah saat aath nau das gyaarah baarah terah chaudah pandrah solah satrah athaarah unnees "
+    "bees ikkees baees teis chaubees pachchees chhabbees sattaees atthaees untees tees ikattees battees taintees chauntees paintees chhattees saintees adtees untaalees "
+    "chaalees iktaalees bayaalees taintaalees chavaalees paintaalees chhiyaalees saintaalees adtaalees unchaas pachaas ikyaavan baavan tirpan chauvan pachpan chhappan sattaavan atthaavan unsath "
+    "saath iksath baasath tirsath chaunsath painsath chhiyaasath sadsath adsath unhattar sattar ikhattar bahattar tihattar chauhattar pachhattar chhihattar satahattar athahattar unyaasee "
+    "assee ikyaasee bayaasee tiraasee chauraasee pachaasee chhiyaasee sataasee athaasee navaasee nabbe ikyaanave baanave tiraanave chauraanave pachaanave chhiyaanave sattaanave atthaanave ninyaanave"
+)
 ENGLISH_0_TO_20 = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
 ENGLISH_TENS = "thirty forty fifty sixty seventy eighty ninety"
 SCALES = {100: "सौ sau hundred", 1000: "हज़ार hazaar thousand", 100000: "लाख lakh lakhs lac", 10000000: "करोड़ crore crores", 1000000000: "अरब arab"}
@@ -29,7 +39,8 @@ MONTHS = "january february march april may june july august september october no
 MONTHS_HINDI = "जनवरी फरवरी मार्च अप्रैल मई जून जुलाई अगस्त सितंबर अक्टूबर नवंबर दिसंबर"
 
 NUKTA_LETTERS = ("क़ख़ग़ज़ड़ढ़फ़य़", "कखगजडढफय")
-#: A stop that is written before its aspirate, or any consonant before itself, is dropped with the virama between.
+# A stop that is written before its aspirate, or any consonant before itself, is dropped with the virama
+# between.
 STOPS = {"क": "ख", "ग": "घ", "च": "छ", "ज": "झ", "ट": "ठ", "ड": "ढ", "त": "थ", "द": "ध", "प": "फ", "ब": "भ"}
 
 
@@ -58,6 +69,7 @@ def canonicalize(word: Column) -> Column:
 def entries() -> list[tuple]:
     """(word, kind, value, month, cue type) in order of precedence."""
     out = [(w, "unit", str(i), None, None) for i, w in enumerate(HINDI_0_TO_99.split())]
+    out += [(w, "unit", str(n), None, None) for n, words in HINDI_VARIANTS.items() for w in words.split()]
     out += [(w, "unit", str(i), None, None) for i, w in enumerate(ENGLISH_0_TO_20.split())]
     out += [(w, "unit", str(30 + 10 * i), None, None) for i, w in enumerate(ENGLISH_TENS.split())]
     for kind, table in (("scale", SCALES), ("fraction", FRACTIONS), ("modifier", MODIFIERS), ("repeat", REPEATS)):
@@ -68,6 +80,11 @@ def entries() -> list[tuple]:
     return out + [(w, None, None, None, t) for t, words in CUES.items() for w in words.split()]
 
 
+def romanised() -> list[tuple]:
+    """Hindi numbers in Latin letters, as `extra` entries of the lexicon for text that is known to be Hindi."""
+    return [(w, "unit", str(i), None, None) for i, w in enumerate(HINDI_ROMAN_0_TO_99.split())]
+
+
 def lexicon(spark: SparkSession, extra: list[tuple] | None = None) -> DataFrame:
     """One row per canonical form: kind, value, month, cue_types. extra entries come after the built-in ones, so a
     caller adds spellings or languages without changing what is known."""

@@ -21,6 +21,7 @@ SHAPES = [("pin_code", 6, 6), ("otp", 4, 6), ("account_number", 9, 18)]
 BEHIND, AHEAD = 5, 3
 ALL_TYPES = ["account_number", "otp", "pin_code", "currency", "date"]
 
+# The characters that separate words, and the form of a date in digits.
 _SEP = r" \t\n\r\f\x0B।॥!\"#%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~–—…“”‘’«»"
 _PIECES = f"([0-9]+|[₹$]|[^0-9₹${_SEP}]+|[{_SEP}]+)"
 _DATE = r"\b([0-9]{1,2})\s*[/.\-]\s*([0-9]{1,2})\s*[/.\-]\s*([0-9]{2,4})\b"
