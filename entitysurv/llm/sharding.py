@@ -39,7 +39,7 @@ def shard(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col:
     """Put every row of docs into one of n_shards shards of near equal bytes, tokens and rows.
 
     Equal texts form a group and stay together, unless the group holds more than 1/split of a shard's capacity in some
-    dimension; then its rows are dealt by a hash of their id over pieces of that size. Groups over 1/heavy of a shard
+    dimension; then its rows are dealt by a hash of their id (null: of their place in the input) over pieces of that size. Groups over 1/heavy of a shard
     number at most 3 * heavy * n_shards, whatever the input, and are placed first, on the driver. The others are dealt
     by hash into buckets of about bucket_items groups; each bucket is one task that fills its share of the capacity
     left, largest group first, by the same dot product.
@@ -57,6 +57,7 @@ def shard(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col:
             F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("tokens"),
             F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("crc"),
             F.coalesce(F.md5(text), F.lit("null")).alias("gkey"),
+            F.when(F.col(id_col).isNull(), F.monotonically_increasing_id()).alias("spread"),  # written below, so drawn once
         ),
         "shard-rows",
     )
@@ -65,7 +66,7 @@ def shard(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col:
     totals = np.maximum(np.array([float(x or 0) for x in t]), 1.0)
     share = F.greatest(*[F.col(d) * float(n_shards) / float(x) for d, x in zip(DIMS, totals, strict=True)])
     hot = groups.where(share > 1.0 / split).select("gkey", F.ceil(share * split).cast("int").alias("pieces"))  # at most 3 * split * n_shards rows
-    dealt = rows.join(F.broadcast(hot), "gkey", "left").withColumn("piece", F.coalesce(F.pmod(F.xxhash64("id", "crc"), F.col("pieces")), F.lit(0)).cast("int")).drop("pieces")
+    dealt = rows.join(F.broadcast(hot), "gkey", "left").withColumn("piece", F.coalesce(F.pmod(F.xxhash64("id", "spread"), F.col("pieces")), F.lit(0)).cast("int")).drop("pieces", "spread")
     items = staged(dealt.groupBy("gkey", "piece").agg(F.sum("bytes").alias("bytes"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")), "shard-items")
     is_heavy = share > 1.0 / heavy
     big = items.where(is_heavy).orderBy("gkey", "piece").toPandas()
