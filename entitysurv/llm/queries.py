@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, mixing, ngram_join, packing, quality, sharding, token_counts, token_output, toxicity, url_filter
+from . import embedding_dedup, exact_topk, mixing, ngram_join, packing, prefix_trie, quality, sharding, spelling, token_counts, token_output, toxicity, url_filter
 from .common import scratch_path
 
 WORD_BPE = "word_bpe_49k.json"
@@ -72,8 +72,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("offending").alias("n_offending"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.top_k(table(spark, sf_dir, "embeddings"), 10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_ngram_jaccard, op3_token_counts, op4_embedding_dedup, op5_quality_rules, op6_mixing, op7_packing, op8_url_filter, op9_token_output, op10_toxicity)
+    f.__name__: f for f in (op1_sharding, op2_ngram_jaccard, op3_token_counts, op4_embedding_dedup, op5_quality_rules, op6_mixing, op7_packing, op8_url_filter, op9_token_output, op10_toxicity, op11_prefix_trie, op12_spelling_variants, op13_exact_topk)
 }
 #: Every pair that shares a 5-word shingle, its exact overlap, and the closure of the links.
 OP2_SQL = r"""
@@ -99,4 +111,51 @@ SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, r.c AS component_id
 FROM documents d LEFT JOIN sizes s USING (doc_id) JOIN (SELECT x, min(y) AS c FROM reach GROUP BY x) r ON r.x = d.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_ngram_jaccard": OP2_SQL}
+#: CRC-32 by bytes: tab from its rule, then one step for each byte of a list.
+CRC_TABLE_SQL = "SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda x, i: xor(x >> 1, (x & 1) * 3988292384), n)) AS tab"
+
+
+def crc_sql(text: str) -> str:
+    """Unsigned CRC-32 of the UTF-8 bytes of a DuckDB text expression; tab must be in scope."""
+    octets = f"list_transform(range(1, length(hex({text})) // 2 + 1), lambda i: (strpos('0123456789ABCDEF', hex({text})[2 * i - 1]) - 1) * 16 + strpos('0123456789ABCDEF', hex({text})[2 * i]) - 1)"
+    return f"xor(list_reduce({octets}, lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
+OP11_SQL = f"""
+WITH crc AS ({CRC_TABLE_SQL}),
+t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, ''))) AS i,
+  {{'r': coalesce(role, ''), 't': coalesce(text, '')}} AS x FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, list(x ORDER BY i) AS x FROM t GROUP BY c),
+h AS (SELECT c, x, {crc_sql("c::VARCHAR")} % 9 AS h FROM own, crc),
+built AS (SELECT h.c, list_concat(coalesce(b.x[1:h.h], []), h.x[h.h + 1:]) AS x FROM h LEFT JOIN own b ON b.c = h.c - h.c % 5),
+pre AS (SELECT c, len(x) AS n, d, x[1:d] AS k FROM built, unnest(range(0, len(x) + 1)) AS u(d)),
+node AS (SELECT k, d, min(c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n = d), '')) AS ends_sha256 FROM pre GROUP BY k, d),
+kids AS (SELECT k[1:d - 1] AS k, count(*) AS n FROM node WHERE d > 0 GROUP BY 1),
+cost AS (SELECT n.*, coalesce(kids.n, 0) AS n_children, CASE WHEN d > 0 THEN (n_convs - 1) * octet_length(encode(n.k[d].t)) ELSE 0 END AS saved FROM node n LEFT JOIN kids ON kids.k = n.k),
+sums AS (SELECT k[1:a] AS k, a AS d, sum(saved)::BIGINT AS saved_tokens, (count(*) FILTER (n_children = 0))::BIGINT AS n_leaves FROM cost, unnest(range(0, d + 1)) AS u(a) GROUP BY 1, 2)
+SELECT c.conv_id, c.d AS depth, p.conv_id AS parent_conv_id, c.n_convs, c.n_children, s.n_leaves, s.saved_tokens, c.ends_sha256
+FROM cost c JOIN sums s ON s.k = c.k AND s.d = c.d LEFT JOIN node p ON c.d > 0 AND p.k = c.k[1:c.d - 1] AND p.d = c.d - 1
+"""
+OP12_SQL = rf"""
+WITH RECURSIVE crc AS ({CRC_TABLE_SQL}),
+run AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS r FROM documents),
+occ AS (SELECT id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r, count(*) AS k FROM run WHERE length(r) >= 7 GROUP BY ALL),
+hashed AS (SELECT r, k, {crc_sql("(id || ':' || r)")} AS h FROM occ, crc),
+typed AS (SELECT CASE WHEN h % 31 = 0 THEN left(r, (h % length(r))::INT) || substr(r, (h % length(r))::INT + 2) ELSE r END AS word, k FROM hashed),
+v AS (SELECT word, sum(k)::BIGINT AS n FROM typed WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+rest AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS r FROM v, unnest(range(1, length(word) + 1)) AS u(i)),
+link AS (SELECT a.word AS x, b.word AS y FROM rest a JOIN rest b ON a.r = b.r AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, v.word FROM rest a JOIN v ON v.word = a.r UNION SELECT v.word, a.word FROM rest a JOIN v ON v.word = a.r),
+near AS (SELECT x, y, v.n, row_number() OVER (PARTITION BY x ORDER BY v.n DESC, y) AS p, count(*) OVER (PARTITION BY x) AS n_near FROM link JOIN v ON v.word = y),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near.n >= 10 * v.n THEN y END AS form, CASE WHEN near.n >= 10 * v.n THEN near.n END AS form_n FROM v LEFT JOIN near ON x = word AND p = 1),
+walk AS (SELECT word, word AS at FROM f UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON f.word = walk.at WHERE f.form IS NOT NULL)
+SELECT f.word, f.n, f.n_near, f.form, f.form_n, walk.at AS root FROM f JOIN walk ON walk.word = f.word JOIN f g ON g.word = walk.at AND g.form IS NULL
+"""
+OP13_SQL = """
+WITH v AS (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT q.row, q.vec_id AS query_id, c.vec_id, c.row AS r, list_inner_product(q.x, c.x)::BIGINT AS score FROM v q JOIN v c ON q.row <> c.row WHERE q.vec_id % 100 = 0),
+o AS (SELECT *, (row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id NULLS LAST, r))::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM o WHERE rank <= 10
+"""
+ORACLE_SQL: dict[str, str] = {"op2_ngram_jaccard": OP2_SQL, "op11_prefix_trie": OP11_SQL, "op12_spelling_variants": OP12_SQL, "op13_exact_topk": OP13_SQL}
