@@ -96,15 +96,15 @@ def search_cell(rows: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFra
     columns = [c.split()[0] for c in _OUT.split(", ")]
     if rows.empty or queries.empty:
         return pd.DataFrame(columns=columns)
-    dims = max(rows["v"].map(len).max(), queries["v"].map(len).max())
-    x, qs = integers(rows["v"], dims), integers(queries["v"], dims)
+    dims = max(rows["v"].map(len).max(), queries["q"].map(len).max())
+    x, qs = integers(rows["v"], dims), integers(queries["q"], dims)
     bound = int(abs(x).max(initial=0)) * int(abs(qs).max(initial=0)) * max(1, dims) * 4
     if bound >= 2**62 or x.dtype == object or qs.dtype == object:
         x, qs = x.astype(object), qs.astype(object)
     index, row = ImpactIndex(x), rows["row"].to_numpy()
     known, ids = rows["known"].to_numpy(dtype=bool), rows["vec_id"].to_numpy()
     out = []
-    for q_row, q_id, q in zip(queries["row"].tolist(), queries["vec_id"].tolist(), qs, strict=True):
+    for q_row, q_id, q in zip(queries["q_row"].tolist(), queries["q_id"].tolist(), qs, strict=True):
         may = index.top(q, k + 1)
         may = may[row[may] != q_row]
         score = x[may] @ q
@@ -140,7 +140,7 @@ def top_k(vectors: DataFrame, k: int = 10, query: Column | None = None, shard_ro
     every = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
     place = lambda m, salt: F.pmod(F.xxhash64("row", F.lit(salt)), F.lit(m).cast("long"))
     held = rows.select("row", F.coalesce("vec_id", F.lit(0)).alias("vec_id"), F.col("vec_id").isNotNull().alias("known"), "v", place(shards, 1).alias("shard"), every(slices).alias("slice"))
-    asked = rows.where("wanted").select("row", "vec_id", "v", place(slices, 2).alias("slice"), every(shards).alias("shard"))
+    asked = rows.where("wanted").select(F.col("row").alias("q_row"), F.col("vec_id").alias("q_id"), F.col("v").alias("q"), place(slices, 2).alias("slice"), every(shards).alias("shard"))
 
     def task(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         return search_cell(a, b, k)
