@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .text import language_key
+
+BUCKETS = 64  #: small maps that the lexicon is cut into
+
 # The vocabulary of Hindi and Indian English numbers, in order of value.
 HINDI_0_TO_99 = (
     "शून्य एक दो तीन चार पाँच छह सात आठ नौ दस ग्यारह बारह तेरह चौदह पंद्रह सोलह सत्रह अठारह उन्नीस "
@@ -66,6 +72,74 @@ def canonicalize(word: Column) -> Column:
     return F.regexp_replace(w, "^[.\\-_'।]+|[.\\-_'।]+$", "")
 
 
+def canonical_words(words: Column) -> Column:
+    """canonicalize for an array of words that hold no line feed, in one pass over all of them: the letters of either
+    script are folded by rules that leave the other alone, so only doubled letters have to be told word by word."""
+    w = F.translate(F.lower(F.array_join(words, "\n")), NUKTA_LETTERS[0], NUKTA_LETTERS[1])
+    w = F.translate(F.regexp_replace(w, "़", ""), "ँ", "ं")
+
+    def devanagari(d):
+        for _ in range(2):
+            d = F.regexp_replace(d, "([क-ह])्(?=\\1)", "")
+            for first, second in STOPS.items():
+                d = F.replace(d, F.lit(f"{first}्{second}"), F.lit(second))
+        return F.replace(F.replace(d, F.lit("िय"), F.lit("य")), F.lit("नब"), F.lit("नव"))
+
+    def latin(d):
+        v = F.replace(d, F.lit("z"), F.lit("j"))
+        for long, short in (("aa", "a"), ("ee", "i"), ("ii", "i"), ("oo", "u"), ("uu", "u")):
+            v = F.replace(v, F.lit(long), F.lit(short))
+        return F.zip_with(F.split(d, "\n"), F.split(F.regexp_replace(v, r"([^\n])\1+", "$1"), "\n"), lambda a, b: F.when(a.rlike("[a-z]"), b).otherwise(a))
+
+    bound = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
+    d = bound(w, lambda x: F.when(x.rlike("[\\x{0900}-\\x{097F}]"), devanagari(x)).otherwise(x))
+    edges = "(?md)^[.\\-_'।]+|[.\\-_'।]+$"
+    folded = bound(F.regexp_replace(d, edges, ""), latin)
+    return F.when(F.size(words) > 0, folded).otherwise(words)
+
+
+def lookup(lexicon: DataFrame, most: int = 50_000) -> Callable[[Column, Column | None], Column]:
+    """(canonical form, language) -> struct(kind, value, month, cue_types), null for other words.
+
+    The lexicon is a fixed vocabulary (over `most` rows it is refused) and becomes a constant of the plan, as small maps by
+    a hash of the form. With a column language it is one by language: the text's language picks the layer, and languages
+    that it does not know read as English.
+    """
+    by_language = "language" in lexicon.columns
+    layer = F.col("language") if by_language else F.lit("")
+    rows = lexicon.select(layer.alias("layer"), "canon", "kind", F.col("value").cast("string").alias("value"), "month", "cue_types", F.pmod(F.hash("canon"), F.lit(BUCKETS)).alias("bucket")).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"the lexicon has over {most} words")
+    text = lambda x: "cast(null as string)" if x is None else "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    entry = lambda r: f"named_struct('kind', {text(r.kind)}, 'value', cast({text(r.value)} as decimal(28,6)), 'month', cast({r.month if r.month is not None else 'null'} as int), 'cue_types', cast(array({', '.join(map(text, r.cue_types or []))}) as array<string>))"
+    kind = "map<string,struct<kind:string,value:decimal(28,6),month:int,cue_types:array<string>>>"
+
+    def maps(name):
+        mine: list[list[str]] = [[] for _ in range(BUCKETS)]
+        for r in rows:
+            if r.layer == name:
+                mine[r.bucket] += [text(r.canon), entry(r)]
+        return "array(" + ", ".join(f"cast(map({', '.join(m)}) as {kind})" for m in mine) + ")"
+
+    layers = sorted({r.layer for r in rows})
+    if not layers:
+        return lambda word, language=None: F.lit(None).cast(kind.removeprefix("map<string,")[:-1])
+    every = {name: F.expr(maps(name)) for name in layers}
+
+    def find(word: Column, language: Column | None = None) -> Column:
+        held = every[layers[0]]
+        if by_language:
+            if language is None:
+                raise ValueError("a lexicon by language needs the language of each text")
+            held = every.get("en", held)
+            for name in layers:
+                if name != "en":
+                    held = F.when(language_key(language, tuple(layers)) == name, every[name]).otherwise(held)
+        return F.try_element_at(F.get(held, F.pmod(F.hash(word), F.lit(BUCKETS))), word)
+
+    return find
+
+
 def entries() -> list[tuple]:
     """(word, kind, value, month, cue type) in order of precedence."""
     out = [(w, "unit", str(i), None, None) for i, w in enumerate(HINDI_0_TO_99.split())]

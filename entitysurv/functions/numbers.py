@@ -15,11 +15,16 @@ def _dec(x) -> Column:
     return (x if isinstance(x, Column) else F.lit(x)).cast(DEC)
 
 
-def parse_value(tokens: Column, strict: bool = False) -> Column:
-    """The magnitude that the words say, with Indian grouping; null if they say none.
+def lone(tokens: Column) -> Column:
+    return (F.size(tokens) == 1) & (tokens[0]["kind"] == "digits")
+
 
-    strict refuses what looks truncated: a bare scale, or two values with no scale between them. The state holds the
-    finished total, the hundreds and the rest of the open group, a pending fraction, and what came last.
+def parse_both(tokens: Column) -> Column:
+    """(value, lenient): the magnitude that the words say, with Indian grouping; null if they say none. value is null too
+    where something looks truncated: a bare scale, or two values with no scale between them.
+
+    The state holds the finished total, the hundreds and the rest of the open group, a pending fraction, and what came
+    last. A lone written number is itself.
     """
     fields = [("total", _dec(0)), ("group", _dec(0)), ("small", _dec(0)), ("mod", _dec(0)), ("saw", F.lit(False)), ("some", F.lit(False)), ("prev", F.lit("")), ("bad", F.lit(False))]
     start = F.struct(*(c.alias(n) for n, c in fields))
@@ -29,9 +34,9 @@ def parse_value(tokens: Column, strict: bool = False) -> Column:
         unit = kind == "unit"
         joins = unit & (s["small"] >= 20) & (s["small"] < 100) & (s["small"] % 10 == 0) & (v > 0) & (v < 10)
         value = kind.isin("digits", "unit", "fraction")
-        clash = F.lit(strict) & (s["prev"] == "value") & kind.isin("digits", "unit") & ~joins
+        clash = (s["prev"] == "value") & kind.isin("digits", "unit") & ~joins
         scale = kind == "scale"
-        bare = F.lit(strict) & scale & ~s["saw"] & (s["mod"] == 0)
+        bare = scale & ~s["saw"] & (s["mod"] == 0)
         held = s["group"] + s["small"]
         base = F.when(~s["saw"] & (held == 0), _dec(1)).otherwise(held) + s["mod"]
         big = scale & (v >= 1000)
@@ -50,9 +55,17 @@ def parse_value(tokens: Column, strict: bool = False) -> Column:
     def finish(s):
         tail = s["group"] + s["small"]
         tail = F.when(s["mod"] != 0, F.when(s["saw"], tail).otherwise(_dec(1)) + s["mod"]).otherwise(tail)
-        return F.when(s["some"] & ~s["bad"], (s["total"] + tail).cast(DEC))
+        whole = F.when(s["some"], (s["total"] + tail).cast(DEC))
+        return F.struct(F.when(~s["bad"], whole).alias("value"), whole.alias("lenient"))
+
+    return F.when(lone(tokens), F.struct(_dec(tokens[0]["value"]).alias("value"), _dec(tokens[0]["value"]).alias("lenient"))).otherwise(F.aggregate(tokens, start, step, finish))
+
+
+def parse_value(tokens: Column, strict: bool = False) -> Column:
+    """The magnitude alone: see parse_both."""
+    return parse_both(tokens)["value" if strict else "lenient"]
+
 
-    return F.aggregate(tokens, start, step, finish)
 
 
 def parse_digits(tokens: Column) -> Column:
@@ -65,7 +78,7 @@ def parse_digits(tokens: Column) -> Column:
         add = F.when(written.isNotNull(), F.repeat(written, s["times"])).when(zeros.isNotNull(), F.when(s["out"] == "", t["value"].cast("long").cast("string")).otherwise(zeros)).otherwise("")
         return F.struct(F.concat(s["out"], add).alias("out"), F.when(t["kind"] == "repeat", t["value"].cast("int")).when(written.isNotNull(), 1).otherwise(s["times"]).alias("times"))
 
-    return F.aggregate(tokens, start, step, lambda s: s["out"])
+    return F.when(lone(tokens), tokens[0]["text"]).otherwise(F.aggregate(tokens, start, step, lambda s: s["out"]))
 
 
 def run_kind(tokens: Column) -> Column:

@@ -1,20 +1,20 @@
-"""Typed values from text, as relations: tokens, number runs, cues, competition, dates.
+"""Typed values from text, inside the row: tokens, number runs, cues, competition and dates are arrays of the row that
+holds the text, so extraction has no shuffle, no join and no table of its own; its relations are these arrays, exploded.
 
-Every step after tokenizing is partitioned by row_key, so the windows and joins share one shuffle; a row's group is as
-large as its own text.
+A step that others read more than once is a column of its own (`annotate`); work and memory of a row grow with its text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..functions import text as T
-from ..functions.lexicon import canonicalize
-from ..sources.io import staged
+from ..functions.lexicon import canonical_words, canonicalize, lookup
+from ..sources.io import staged  # noqa: F401  (callers stage with X.staged)
 
 # Digit types, the lengths that fit them, and how far a cue may be from its number.
 SHAPES = [("pin_code", 6, 6), ("otp", 4, 6), ("account_number", 9, 18)]
@@ -22,136 +22,285 @@ BEHIND, AHEAD = 5, 3
 ALL_TYPES = ["account_number", "otp", "pin_code", "currency", "date"]
 
 # The characters that separate words, and the form of a date in digits.
-_SEP = r" \t\n\r\f\x0B।॥!\"#%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~–—…“”‘’«»"
-_PIECES = f"([0-9]+|[₹$]|[^0-9₹${_SEP}]+|[{_SEP}]+)"
+_SEPARATORS = " \t\n\r\f\x0b।॥!\"#%&'()*+,-./:;<=>?@[\\]^_`{|}~–—…“”‘’«»"
+_PIECES = "([0-9]+|[₹$]|[^0-9₹$ ]+| +)"  #: of a text whose separators are all spaces
 _DATE = r"\b([0-9]{1,2})\s*[/.\-]\s*([0-9]{1,2})\s*[/.\-]\s*([0-9]{2,4})\b"
 
 
+CANDIDATE = "struct<type:string,normalized:string,start:int,end:int,part:int,k:int,cue:string>"
+_ONE = "struct<type:string,normalized:string,cue:string>"
+
+
+def _none(kind: str) -> Column:
+    return F.array().cast(f"array<{kind}>")
+
+
+def _first(xs: Column) -> Column:
+    return F.get(xs, F.lit(0))
+
+
+def fenced(df: DataFrame, *names: str) -> DataFrame:
+    """df with the columns of these names behind a generator of one row: the optimizer would copy a later filter on them,
+    or on what explodes them, through all the steps that made them, and each step reads the one before more than once."""
+    rest = [c for c in df.columns if c not in names]
+    return df.select(*rest, F.explode(F.array(F.struct(*names))).alias("_row")).select(*rest, *(F.col("_row")[n].alias(n) for n in names))
+
+
+def running(lengths: Column, chunk: int = 512) -> Column:
+    """Running sums of an array of numbers: chunk by chunk, then the chunks' bases are added, as an array that grows by
+    one element copies what it has."""
+    start = F.struct(F.lit(0).alias("s"), _none("int").alias("out"))
+    step = lambda a, x: F.struct((a["s"] + x).alias("s"), F.concat(a["out"], F.array(a["s"] + x)).alias("out"))
+    fold = lambda xs: F.aggregate(xs, start, step, lambda a: a["out"])
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / chunk).cast("int")), lambda i: fold(F.slice(lengths, i * chunk + 1, F.lit(chunk))))
+
+    def based(s, part):
+        return F.struct((s["base"] + F.element_at(part, -1)).alias("base"), F.concat(s["out"], F.array(F.struct(s["base"].alias("base"), part.alias("part")))).alias("out"))
+
+    bases = F.aggregate(parts, F.struct(F.lit(0).alias("base"), _none("struct<base:int,part:array<int>>").alias("out")), based, lambda s: s["out"])
+    return F.when(F.size(lengths) <= chunk, fold(lengths)).otherwise(F.flatten(F.transform(bases, lambda b: F.transform(b["part"], lambda x: x + b["base"]))))
+
+
+def with_tokens(texts: DataFrame, p: str = "") -> DataFrame:
+    """Adds tokens, array<(pos, text, start, end)>: the words, digit runs and currency signs of the column folded."""
+    spaced = F.translate(f"{p}folded", _SEPARATORS, " " * len(_SEPARATORS))
+    pieces = texts.withColumn(f"{p}pieces", F.regexp_extract_all(spaced, F.lit(_PIECES)))
+    ends = pieces.withColumn(f"{p}ends", running(F.transform(f"{p}pieces", lambda x: F.length(x))))
+    words = F.filter(F.arrays_zip(F.col(f"{p}pieces").alias("text"), F.col(f"{p}ends").alias("end")), lambda x: ~x["text"].startswith(" "))
+    tokens = F.transform(words, lambda x, i: F.struct(i.alias("pos"), x["text"].alias("text"), (x["end"] - F.length(x["text"])).alias("start"), x["end"].alias("end")))
+    return ends.withColumn(f"{p}tokens", tokens).drop(f"{p}pieces", f"{p}ends")
+
+
 def tokenize(texts: DataFrame) -> DataFrame:
     """(row_key, pos, text, start, end): words, digit runs and currency signs with their place in the folded text."""
-    pieces = texts.select("row_key", F.posexplode(F.regexp_extract_all("folded", F.lit(_PIECES))).alias("i", "text"))
-    so_far = Window.partitionBy("row_key").orderBy("i")
-    spans = pieces.withColumn("end", F.sum(F.length("text")).over(so_far).cast("int")).withColumn("start", F.col("end") - F.length("text"))
-    tokens = spans.where(~F.col("text").rlike(f"^[{_SEP}]"))
-    return tokens.select("row_key", (F.row_number().over(so_far) - 1).alias("pos"), "text", "start", "end")
+    return fenced(with_tokens(texts.select("row_key", "folded")), "tokens").select("row_key", F.explode("tokens").alias("t")).select("row_key", "t.*")
+
+
+def _is_digits(text: Column) -> Column:
+    return text.rlike("^[0-9]+$")
+
+
+def _mark(text: Column, known: Column) -> dict[str, Column]:
+    """kind, value, month, cue_types and numberish of a token, from what the lexicon knows of it; digits speak for
+    themselves."""
+    digits = _is_digits(text)
+    kind = F.when(digits, "digits").otherwise(known["kind"])
+    value = F.when(digits, text.try_cast("decimal(28,6)")).otherwise(known["value"])
+    return {"kind": kind, "value": value, "month": F.when(~digits, known["month"]), "cue_types": F.when(~digits, known["cue_types"]), "numberish": kind.isNotNull()}
 
 
 def with_lexicon(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Adds kind, value, month and cue_types. Spelling is folded once per distinct word, not per occurrence, and only
-    the words that the lexicon knows come back to the tokens."""
-    digits = F.col("text").rlike("^[0-9]+$")
-    words = tokens.where(~digits).select("text").distinct().withColumn("canon", canonicalize(F.col("text")))
-    known = words.join(F.broadcast(lexicon), "canon").drop("canon")  # the lexicon is a fixed vocabulary
-    tagged = tokens.join(known, "text", "left")
-    tagged = tagged.withColumn("kind", F.when(digits, "digits").otherwise(F.col("kind"))).withColumn("value", F.when(digits, F.expr("try_cast(text as decimal(28,6))")).otherwise(F.col("value")))
-    return tagged.withColumn("numberish", F.col("kind").isNotNull())
-
-
-def number_runs(tagged: DataFrame) -> DataFrame:
-    """Maximal runs of number tokens with the ends of their neighbours, their readings, and whether a run is one half of
-    a broken expression (the next run begins, one or two tokens on, with a scale)."""
-    row = Window.partitionBy("row_key").orderBy("pos")
-    numbers = tagged.where("numberish").withColumn("island", F.col("pos") - F.row_number().over(row))
-    runs = numbers.groupBy("row_key", "island").agg(F.min("pos").alias("lo"), (F.max("pos") + 1).alias("hi"), F.min("start").alias("start"), F.max("end").alias("end"), F.array_sort(F.collect_list(F.struct("pos", "text", "kind", "value"))).alias("toks")).drop("island")
-    by = Window.partitionBy("row_key").orderBy("lo")
-    head_scale = F.coalesce(F.col("toks")[0]["kind"] == "scale", F.lit(False))
-    runs = runs.select("*", F.lag("hi").over(by).alias("prev_hi"), F.lead("lo").over(by).alias("next_lo"), F.lead(head_scale).over(by).alias("next_scale"), head_scale.alias("head_scale"))
-    with_next = (F.col("next_lo") - F.col("hi")).between(1, 2) & F.col("next_scale")
-    with_prev = (F.col("lo") - F.col("prev_hi")).between(1, 2) & F.col("head_scale")
-    split = F.coalesce(with_next, F.lit(False)) | F.coalesce(with_prev, F.lit(False))
-    toks = F.col("toks")
-    return runs.select("row_key", "lo", "hi", "start", "end", "prev_hi", "next_lo", split.alias("split"), N.run_kind(toks).alias("run_kind"), N.parse_digits(toks).alias("digits"), N.parse_value(toks, True).alias("value"), N.parse_value(toks).alias("lenient"))
-
-
-def cue_scan(runs: DataFrame, tagged: DataFrame, types: list[str]) -> DataFrame:
-    """The nearest cue of each type for each run, within the window and not beyond another number; before wins ties."""
-    cues = tagged.where(F.size("cue_types") > 0).select("row_key", F.col("pos").alias("at"), F.col("text").alias("cue"), F.explode("cue_types").alias("type")).where(F.col("type").isin(types + ["currency"]))
-    lowest = F.greatest(F.col("lo") - BEHIND, F.coalesce("prev_hi", F.lit(0)))
-    highest = F.least(F.col("hi") + AHEAD - 1, F.coalesce(F.col("next_lo") - 1, F.lit(1 << 30)))
-    before = (F.col("at") >= lowest) & (F.col("at") < F.col("lo"))
-    after = (F.col("at") >= F.col("hi")) & (F.col("at") <= highest)
-    near = runs.join(cues, "row_key").where(before | after)
-    dist = F.when(F.col("at") < F.col("lo"), F.col("lo") - F.col("at")).otherwise(F.col("at") - F.col("hi") + 1)
-    return near.groupBy("row_key", "lo", "type").agg(F.min(F.struct(dist.alias("dist"), (F.col("at") >= F.col("hi")).alias("behind"), F.col("cue"))).alias("c")).select("row_key", "lo", "type", "c.dist", "c.cue")
-
-
-def run_candidates(runs: DataFrame, cues: DataFrame, types: list[str]) -> DataFrame:
-    """Competition of cues, and the length shapes where no cue was used."""
-    digit = [t for t, _, _ in SHAPES if t in types]
-    per = cues.groupBy("row_key", "lo").agg(F.min(F.when(F.col("type") == "currency", F.col("dist"))).alias("cur"), F.min(F.when(F.col("type") != "currency", F.col("dist"))).alias("best"), F.min(F.when(F.col("type") == "currency", F.col("cue"))).alias("cur_cue"), F.array_sort(F.collect_list(F.when(F.col("type") != "currency", F.struct("type", "cue")))).alias("digit_cues"))
-    r = runs.where("not split").join(per, ["row_key", "lo"], "left")
-    magnitude, cur, best = F.col("run_kind") == "magnitude", F.col("cur"), F.col("best")
-    amount = F.coalesce("value", F.when(~magnitude, N.amount_from_digits(F.col("digits"))))
+    """Adds kind, value, month, cue_types and numberish to tokens(row_key, text, ..., and language, if the lexicon has
+    one). The lexicon is a constant of the plan, so no token moves."""
+    look = lookup(lexicon)
+    known = tokens.withColumn("_known", look(canonicalize(F.col("text")), F.col("language") if "language" in tokens.columns else None))
+    return known.withColumns(_mark(F.col("text"), F.col("_known"))).drop("_known")
+
+
+def annotate(texts: DataFrame, lexicon: DataFrame, text: Column, ascii_only: bool = True, language: Column | None = None, p: str = "_") -> DataFrame:
+    """texts with the arrays that extraction reads, each name after the prefix p: folded (the text), marks (tokens that
+    mean something: numbers, months, cues), cues (of these the cues) and runs.
+
+    A run is a maximal run of number tokens: lo, hi, start, end, prev_hi, next_lo (the ends of its neighbours), toks, its
+    readings (run_kind, digits, value, lenient), and split: one half of a broken expression, as the next run begins, one
+    or two tokens on, with a scale. language picks the layer of a lexicon by language.
+    """
+    look = lookup(lexicon)
+    c = lambda name: F.col(p + name)
+    t = with_tokens(texts.withColumn(p + "folded", T.folded_text(text, normalize=not ascii_only)), p)
+    t = t.withColumn(p + "lang", language if language is not None else F.lit(None).cast("string"))
+    t = t.withColumn(p + "known", F.transform(canonical_words(F.transform(c("tokens"), lambda x: x["text"])), lambda w: look(w, None if language is None else c("lang"))))
+    mark = lambda x, k: F.struct(x["pos"].alias("pos"), x["text"].alias("text"), x["start"].alias("start"), x["end"].alias("end"), *(v.alias(n) for n, v in _mark(x["text"], k).items()))
+    t = t.withColumn(p + "marks", F.filter(F.zip_with(c("tokens"), c("known"), mark), lambda m: m["numberish"] | m["month"].isNotNull() | (F.size(m["cue_types"]) > 0)))
+    t = t.withColumn(p + "cues", F.filter(c("marks"), lambda m: F.size(m["cue_types"]) > 0)).withColumn(p + "nums", F.filter(c("marks"), lambda m: m["numberish"]))
+    begins = F.transform(c("nums"), lambda x, i: F.when((i == 0) | (F.get(c("nums"), i - 1)["pos"] != x["pos"] - 1), i))
+    t = t.withColumn(p + "starts", F.filter(begins, lambda i: i.isNotNull()))
+    t = t.withColumn(p + "raw", F.transform(c("starts"), lambda s, j: F.slice(c("nums"), s + 1, F.coalesce(F.get(c("starts"), j + 1), F.size(c("nums"))) - s)))
+
+    def run(toks, i):
+        last, before, after = F.element_at(toks, -1), F.get(c("raw"), i - 1), F.get(c("raw"), i + 1)
+        lo, hi = toks[0]["pos"], last["pos"] + 1
+        prev_hi, next_lo = F.when(i > 0, F.element_at(before, -1)["pos"] + 1), _first(after)["pos"]
+        with_next = (next_lo - hi).between(1, 2) & (_first(after)["kind"] == "scale")
+        with_prev = (lo - prev_hi).between(1, 2) & (toks[0]["kind"] == "scale")
+        split = F.coalesce(with_next, F.lit(False)) | F.coalesce(with_prev, F.lit(False))
+        fields = {"lo": lo, "hi": hi, "start": toks[0]["start"], "end": last["end"], "prev_hi": prev_hi, "next_lo": next_lo, "split": split, "run_kind": N.run_kind(toks), "digits": N.parse_digits(toks), "read": N.parse_both(toks)}
+        return F.struct(*(v.alias(n) for n, v in fields.items()))
+
+    shaped = lambda r: F.struct(*(r[n].alias(n) for n in ("lo", "hi", "start", "end", "prev_hi", "next_lo", "split", "run_kind", "digits")), r["read"]["value"].alias("value"), r["read"]["lenient"].alias("lenient"))
+    t = t.withColumn(p + "runs", F.transform(F.transform(c("raw"), run), shaped))
+    return fenced(t.drop(*(p + x for x in ("tokens", "known", "nums", "starts", "raw", "lang"))), *(p + x for x in ("folded", "marks", "cues", "runs")))
+
+
+def cue_hits(types: list[str], p: str = "_") -> Column:
+    """For each run and each of types, in this order, the nearest cue (dist, behind, cue): within the window and not beyond
+    another number; before wins ties; null if there is none."""
+    runs, cues = F.col(p + "runs"), F.col(p + "cues")
+
+    def hits(r):
+        lowest = F.greatest(r["lo"] - BEHIND, F.coalesce(r["prev_hi"], F.lit(0)))
+        highest = F.least(r["hi"] + AHEAD - 1, F.coalesce(r["next_lo"] - 1, F.lit(1 << 30)))
+        near = lambda m: (m["pos"] >= lowest) & (m["pos"] < r["lo"]) | (m["pos"] >= r["hi"]) & (m["pos"] <= highest)
+        place = lambda m: F.struct(F.when(m["pos"] < r["lo"], r["lo"] - m["pos"]).otherwise(m["pos"] - r["hi"] + 1).alias("dist"), (m["pos"] >= r["hi"]).alias("behind"), m["text"].alias("cue"), m["cue_types"].alias("types"))
+        nearest = lambda found, t: F.array_min(F.transform(F.filter(found, lambda m: F.array_contains(m["types"], t)), lambda m: F.struct(m["dist"], m["behind"], m["cue"])))
+        return _first(F.transform(F.array(F.transform(F.filter(cues, near), place)), lambda found: F.array(*(nearest(found, t) for t in types))))
+
+    none = F.array(*(F.lit(None).cast("struct<dist:int,behind:boolean,cue:string>") for _ in types))
+    return F.transform(runs, lambda r: F.when(F.size(cues) > 0, hits(r)).otherwise(none))
+
+
+def run_candidates(types: list[str], p: str = "_") -> Column:
+    """Competition of cues, and the length shapes where no cue was used: the candidates of all runs."""
+    digit = sorted(t for t, _, _ in SHAPES if t in types)
+    shapes = [(t, lo, hi) for t, lo, hi in SHAPES if t in digit]
     wants_money = F.lit("currency" in types)
-    money = F.when(magnitude, F.col("value").isNotNull()).otherwise(cur.isNotNull() & amount.isNotNull() & (best.isNull() | (cur <= best)))
-    cued = ~magnitude & best.isNotNull() & (cur.isNull() | (best <= cur))
-    closed = magnitude | cued | (money & wants_money & F.col("value").isNotNull())
     one = lambda t, norm, cue: F.struct(t.alias("type"), norm.alias("normalized"), cue.alias("cue"))
-    none = F.array().cast("array<struct<type:string,normalized:string,cue:string>>")
-    shapes = [F.when(F.length("digits").between(lo, hi), one(F.lit(t), F.col("digits"), F.lit(None).cast("string"))) for t, lo, hi in SHAPES if t in digit]
-    found = F.concat(
-        F.when(money & wants_money, F.array(one(F.lit("currency"), T.normalize_currency(amount), F.col("cur_cue")))).otherwise(none),
-        F.when(cued, F.transform("digit_cues", lambda c: one(c["type"], F.col("digits"), c["cue"]))).otherwise(none),
-        F.when(~F.coalesce(closed, F.lit(False)), F.filter(F.array(*shapes), lambda x: x.isNotNull()) if shapes else none).otherwise(none),
-    )
-    return r.select("row_key", "start", "end", F.lit(0).alias("part"), F.posexplode(found).alias("k", "c")).select("row_key", "start", "end", "part", "k", "c.*")
 
+    def found(r, h):
+        cur, others = h[len(digit)], [h[i] for i in range(len(digit))]
+        best = F.array_min(F.array(*(x["dist"] for x in others), F.lit(None).cast("int")))
+        magnitude = r["run_kind"] == "magnitude"
+        amount = F.coalesce(r["value"], F.when(~magnitude, N.amount_from_digits(r["digits"])))
+        money = F.when(magnitude, r["value"].isNotNull()).otherwise(cur.isNotNull() & amount.isNotNull() & (best.isNull() | (cur["dist"] <= best)))
+        cued = ~magnitude & best.isNotNull() & (cur.isNull() | (best <= cur["dist"]))
+        closed = magnitude | cued | (money & wants_money & r["value"].isNotNull())
+        by_cue = F.filter(F.array(*(F.when(x.isNotNull(), one(F.lit(t), r["digits"], x["cue"])) for t, x in zip(digit, others, strict=True)), F.lit(None).cast(_ONE)), lambda x: x.isNotNull())
+        by_shape = F.filter(F.array(*(F.when(F.length(r["digits"]).between(lo, hi), one(F.lit(t), r["digits"], F.lit(None).cast("string"))) for t, lo, hi in shapes), F.lit(None).cast(_ONE)), lambda x: x.isNotNull())
+        each = F.concat(
+            F.when(money & wants_money, F.array(one(F.lit("currency"), T.normalize_currency(amount), cur["cue"]))).otherwise(_none(_ONE)),
+            F.when(cued, by_cue).otherwise(_none(_ONE)),
+            F.when(~F.coalesce(closed, F.lit(False)), by_shape).otherwise(_none(_ONE)),
+        )
+        return F.transform(each, lambda x, k: F.struct(x["type"].alias("type"), x["normalized"].alias("normalized"), r["start"].alias("start"), r["end"].alias("end"), F.lit(0).alias("part"), k.alias("k"), x["cue"].alias("cue")))
+
+    return F.flatten(F.zip_with(F.col(p + "runs"), cue_hits([*digit, "currency"], p), lambda r, h: F.when(~r["split"], found(r, h)).otherwise(_none(CANDIDATE))))
+
+
+def _date(normalized: Column, start: Column, end: Column, part: int, k: Column) -> Column:
+    return F.struct(F.lit("date").alias("type"), normalized.alias("normalized"), start.cast("int").alias("start"), end.cast("int").alias("end"), F.lit(part).alias("part"), k.alias("k"), F.lit(None).cast("string").alias("cue"))
 
-def numeric_dates(texts: DataFrame) -> DataFrame:
-    m = texts.select("row_key", "folded", F.regexp_extract_all("folded", F.lit(_DATE), F.lit(0)).alias("m"))
-    where = F.aggregate("m", F.struct(F.lit(1).alias("at"), F.expr("cast(array() as array<int>)").alias("found")), lambda s, x: F.struct((F.call_function("locate", x, F.col("folded"), s["at"]) + F.length(x)).alias("at"), F.concat(s["found"], F.array(F.call_function("locate", x, F.col("folded"), s["at"]) - 1)).alias("found")), lambda s: s["found"])
-    each = m.select("row_key", F.posexplode(F.arrays_zip("m", where.alias("s"))).alias("k", "x")).select("row_key", "k", F.col("x.m").alias("m"), F.col("x.s").alias("start"))
-    part = lambda g: F.regexp_extract("m", _DATE, g).cast("int")
-    year = F.when(part(3) < 100, part(3) + 2000).otherwise(part(3))
-    ok = part(2).between(1, 12) & part(1).between(1, 31)
-    return each.where(ok).select("row_key", "start", (F.col("start") + F.length("m")).alias("end"), F.lit(1).alias("part"), "k", F.lit("date").alias("type"), T.normalize_date(year, part(2), part(1)).alias("normalized"), F.lit(None).cast("string").alias("cue"))
 
+def digit_dates(folded: Column) -> Column:
+    """The dates of a text that are written in digits, as candidates."""
+    found = F.regexp_extract_all(folded, F.lit(_DATE), F.lit(0))
+    step = lambda s, x: F.struct((F.call_function("locate", x, folded, s["at"]) + F.length(x)).alias("at"), F.concat(s["found"], F.array(F.struct(x.alias("m"), (F.call_function("locate", x, folded, s["at"]) - 1).alias("start")))).alias("found"))
+    placed = F.aggregate(found, F.struct(F.lit(1).alias("at"), _none("struct<m:string,start:int>").alias("found")), step, lambda s: s["found"])
 
-def month_dates(tagged: DataFrame, runs: DataFrame) -> DataFrame:
+    def date(x, k):
+        part = lambda g: F.regexp_extract(x["m"], _DATE, g).cast("int")
+        year = F.when(part(3) < 100, part(3) + 2000).otherwise(part(3))
+        ok = part(2).between(1, 12) & part(1).between(1, 31)
+        return F.when(ok, _date(T.normalize_date(year, part(2), part(1)), x["start"], x["start"] + F.length(x["m"]), 1, k))
+
+    return F.filter(F.transform(placed, date), lambda x: x.isNotNull())
+
+
+def word_dates(p: str = "_") -> Column:
     """A month word with number runs beside it: the day before or after, a year after or one token further."""
-    months = tagged.where("month is not null").select("row_key", "pos", "month", F.col("start").alias("m_start"), F.col("end").alias("m_end"))
-    run = lambda p: runs.select("row_key", *(F.col(c).alias(f"{p}_{c}") for c in ("lo", "hi", "start", "end")), F.floor("lenient").cast("long").alias(f"{p}_v"))
-    near = months.join(run("b").withColumn("pos", F.col("b_hi")), ["row_key", "pos"], "left").join(run("a").withColumn("pos", F.col("a_lo") - 1), ["row_key", "pos"], "left")
-    near = near.withColumn("n_at", F.col("a_hi") + 1).join(run("n").withColumn("n_at", F.col("n_lo")), ["row_key", "n_at"], "left")
-    b, a, n = F.col("b_v"), F.col("a_v"), F.col("n_v")
-    day_before, year_next = b.between(1, 31), a >= 1000
-    day_after = ~F.coalesce(day_before, F.lit(False)) & a.between(1, 31)
-    day = F.when(day_before, b).when(day_after, a)
-    year = F.when(year_next, a).when(day.isNotNull() & (a <= 31) & (n >= 1000), n)
-    end = F.when(year_next, F.col("a_end")).when(year.isNotNull(), F.col("n_end")).when(day_after, F.col("a_end")).otherwise(F.col("m_end"))
-    start = F.when(day_before, F.col("b_start")).otherwise(F.col("m_start"))
-    return near.where(day.isNotNull()).select("row_key", start.alias("start"), end.alias("end"), F.lit(2).alias("part"), F.col("pos").alias("k"), F.lit("date").alias("type"), T.normalize_date(year, F.col("month"), day).alias("normalized"), F.lit(None).cast("string").alias("cue"))
+    runs = F.col(p + "runs")
+    at = lambda key, pos: F.when(F.size(runs) > 0, _first(F.filter(runs, lambda r: r[key] == pos)))
+    months = F.filter(F.col(p + "marks"), lambda m: m["month"].isNotNull())
+    beside = F.transform(months, lambda m: F.struct(m.alias("m"), at("hi", m["pos"]).alias("b"), at("lo", m["pos"] + 1).alias("a")))
+    beyond = F.transform(beside, lambda x: F.struct(x["m"].alias("m"), x["b"].alias("b"), x["a"].alias("a"), at("lo", x["a"]["hi"] + 1).alias("n")))
+
+    def date(x):
+        whole = lambda r: F.floor(r["lenient"]).cast("long")
+        b, a, n, m = whole(x["b"]), whole(x["a"]), whole(x["n"]), x["m"]
+        day_before, year_next = b.between(1, 31), a >= 1000
+        day_after = ~F.coalesce(day_before, F.lit(False)) & a.between(1, 31)
+        day = F.when(day_before, b).when(day_after, a)
+        year = F.when(year_next, a).when(day.isNotNull() & (a <= 31) & (n >= 1000), n)
+        end = F.when(year_next, x["a"]["end"]).when(year.isNotNull(), x["n"]["end"]).when(day_after, x["a"]["end"]).otherwise(m["end"])
+        start = F.when(day_before, x["b"]["start"]).otherwise(m["start"])
+        return F.when(day.isNotNull(), _date(T.normalize_date(year, m["month"], day), start, end, 2, m["pos"]))
+
+    return F.filter(F.transform(beyond, date), lambda x: x.isNotNull())
+
+
+def with_candidates(annotated: DataFrame, types: list[str] | None = None, out: str = "_found", p: str = "_", when: Column | None = None) -> DataFrame:
+    """annotated with the candidates array<(type, normalized, start, end, part, k, cue)> for one set of types. The set is
+    no filter on the result: cues are looked up for these types only, and dates hide what lies inside them only if dates
+    are wanted. Rows where `when` is false get an empty array, and no work."""
+    types = types or ALL_TYPES
+    lazy = lambda x: x if when is None else F.when(when, x).otherwise(_none(CANDIDATE))
+    runs = annotated.withColumn(out, lazy(run_candidates(types, p)))
+    if "date" not in types:
+        return fenced(runs, out)
+    dated = runs.withColumn(out + "_dates", lazy(F.concat(digit_dates(F.col(p + "folded")), word_dates(p))))
+    dates = F.col(out + "_dates")
+    kept = F.filter(out, lambda c: ~F.exists(dates, lambda d: (d["start"] <= c["start"]) & (c["end"] <= d["end"])))
+    return fenced(dated.withColumn(out, F.when(F.size(dates) > 0, F.concat(kept, dates)).otherwise(F.col(out))).drop(out + "_dates"), out)
+
+
+def _texts(texts: DataFrame) -> tuple[DataFrame, Column | None]:
+    return texts.select("row_key", "text", *(["language"] if "language" in texts.columns else [])), F.col("language") if "language" in texts.columns else None
+
+
+def number_runs(texts: DataFrame, lexicon: DataFrame, ascii_only: bool = True) -> DataFrame:
+    """The number runs of texts(row_key, text), one row each: see annotate."""
+    t, language = _texts(texts)
+    return annotate(t, lexicon, F.col("text"), ascii_only, language).select("row_key", F.explode("_runs").alias("r")).select("row_key", "r.*")
+
+
+def cue_scan(texts: DataFrame, lexicon: DataFrame, types: list[str], ascii_only: bool = True) -> DataFrame:
+    """(row_key, lo, type, dist, behind, cue): the nearest cue of each type for each number run of texts(row_key, text)."""
+    t, language = _texts(texts)
+    hits = annotate(t, lexicon, F.col("text"), ascii_only, language).withColumn("h", cue_hits(types))
+    each = hits.select("row_key", F.explode(F.arrays_zip(F.col("_runs").alias("r"), F.col("h").alias("h"))).alias("x"))
+    named = F.array(*(F.struct(F.lit(t).alias("type"), F.col("x.h")[i].alias("hit")) for i, t in enumerate(types)))
+    return each.select("row_key", F.col("x.r.lo").alias("lo"), F.explode(named).alias("y")).where("y.hit is not null").select("row_key", "lo", "y.type", "y.hit.*")
+
+
+def numeric_dates(texts: DataFrame) -> DataFrame:
+    """The dates in digits of texts(row_key, folded), as candidates."""
+    return texts.select("row_key", F.explode(digit_dates(F.col("folded"))).alias("c")).select("row_key", "c.*")
+
+
+def month_dates(texts: DataFrame, lexicon: DataFrame, ascii_only: bool = True) -> DataFrame:
+    """The dates with a month word of texts(row_key, text), as candidates."""
+    t, language = _texts(texts)
+    return annotate(t, lexicon, F.col("text"), ascii_only, language).select("row_key", F.explode(word_dates()).alias("c")).select("row_key", "c.*")
 
 
 def extract_entities(texts: DataFrame, lexicon: DataFrame, types: list[str] | None = None, ascii_only: bool = True, name_extractor: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Candidates (row_key, type, normalized, start, end, part, k, cue) of texts(row_key, text).
+    """Candidates (row_key, type, normalized, start, end, part, k, cue) of texts(row_key, text), with language if the
+    lexicon is one by language.
 
-    types is not a filter on the result: cues are looked up for these types only, and dates hide other candidates only
-    if dates are wanted. Empty means all. (part, start, k) is the order of emission, which breaks ties later.
-    name_extractor may add candidates of its own, as a DataFrame function. A null text has no candidates. The tokens that
-    mean something (numbers, months, cues) and the runs are written once, as four later steps read them.
+    types is not a filter on the result, see with_candidates; empty means all. (part, start, k) is the order of emission,
+    which breaks ties later. name_extractor may add candidates of its own, as a DataFrame function. A null text has no
+    candidates.
     """
-    types = types or ALL_TYPES
-    folded = texts.select("row_key", T.folded_text(F.col("text"), normalize=not ascii_only).alias("folded"))
-    tagged = with_lexicon(tokenize(folded), lexicon)
-    tagged = staged(tagged.where("numberish or month is not null or size(cue_types) > 0"), "tokens")
-    runs = staged(number_runs(tagged), "runs")
-    digit = [t for t, _, _ in SHAPES if t in types]
-    out = run_candidates(runs, cue_scan(runs, tagged, digit), types)
-    if "date" in types:
-        dates = numeric_dates(folded).unionByName(month_dates(tagged, runs))
-        spans = dates.select("row_key", F.col("start").alias("s"), F.col("end").alias("t"))
-        inside = (out["row_key"] == spans["row_key"]) & (F.col("s") <= out["start"]) & (out["end"] <= F.col("t"))
-        out = out.join(spans, inside, "left_anti").unionByName(dates)
+    t, language = _texts(texts)
+    found = with_candidates(annotate(t, lexicon, F.col("text"), ascii_only, language), types)
+    out = found.select("row_key", F.explode("_found").alias("c")).select("row_key", "c.*")
     return out.unionByName(name_extractor(texts), allowMissingColumns=True) if name_extractor else out
 
 
-def gold_match(gold: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Each gold value (row_key, idx, type, expected) against the candidates of its type: hit, nearest, distance, all.
+def scored_entity(g: Column, found: Column, folded: Column) -> Column:
+    """One gold value (type, surface, expected) against the candidates of its type: hit, else the nearest by edit distance
+    (the one extracted first wins ties), and all of them in the order of extraction. On a hit nothing is found and the
+    distance is 0."""
+    mine = F.filter(found, lambda c: (c["type"] == g["type"]) & c["normalized"].isNotNull())
 
-    The candidate with the least edit distance is found; the one extracted first wins ties. On a hit nothing is found
-    and the distance is 0.
-    """
+    def score(x):
+        hit = F.exists(x["mine"], lambda c: c["normalized"] == x["g"]["expected"])
+        order = lambda c: F.struct(F.levenshtein(x["g"]["expected"], c["normalized"]).alias("distance"), c["part"], c["start"], c["k"], c["normalized"].alias("normalized"), c["end"].alias("end"))
+        near = F.when(~hit, F.array_min(F.transform(x["mine"], order)))
+        return F.struct(x["g"].alias("g"), hit.alias("hit"), near.alias("near"), F.transform(F.array_sort(F.transform(x["mine"], lambda c: F.struct(c["part"], c["start"], c["k"], c["normalized"]))), lambda c: c["normalized"]).alias("candidates"))
+
+    def shape(x):
+        g_, near = x["g"], x["near"]
+        surface = F.substr(folded, near["start"] + 1, near["end"] - near["start"])
+        distance = F.when(x["hit"], 0).otherwise(near["distance"])
+        return F.struct(g_["type"].alias("type"), g_["expected"].alias("expected"), g_["surface"].alias("expected_surface"), x["hit"].alias("hit"), near["normalized"].alias("found"), surface.alias("found_surface"), distance.alias("edit_distance"), x["candidates"].alias("candidates"))
+
+    bound = F.transform(F.array(F.struct(g.alias("g"), mine.alias("mine"))), score)
+    return _first(F.transform(bound, shape))
+
+
+def gold_match(gold: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Each gold value (row_key, idx, type, expected) against candidates(row_key, type, ...) that another relation holds:
+    as scored_entity, with the number of candidates. Rows that hold both need no join: see scoring.score_rows."""
     order = F.struct(F.levenshtein("expected", "normalized"), F.col("part"), F.col("start"), F.col("k"))
     some = F.col("normalized").isNotNull()
     joined = gold.join(candidates, ["row_key", "type"], "left").groupBy("row_key", "idx", "type", "expected").agg(

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..functions import text as T
 from . import extraction as X
 
+# The names of buckets, reasons and patterns.
 BUCKETS = ["extractor_error", "gold_error", "uncertain", "asr_error"]  #: in the order of a report
 DIGIT_TYPES = [t for t, _, _ in X.SHAPES]
 
@@ -22,69 +21,72 @@ def gold_of(rows: DataFrame, types: list[str] | None = None) -> DataFrame:
 
 
 def score_rows(rows: DataFrame, lexicon: DataFrame, types: list[str] | None = None, ascii_only: bool = True) -> DataFrame:
-    """rows(row_key, reference, hypothesis, gold array<type, surface, expected>, ...) with wer, entities and confusions.
+    """rows(row_key, reference, hypothesis, gold array<type, surface, expected>, ...) with wer, entities and confusions, all
+    inside the row.
 
     entities: type, expected, expected_surface, hit, found, found_surface, edit_distance, candidates (all values of the
     type, in order of extraction). On a hit found is null and the distance 0; on a miss it is the nearest candidate, the
     first extracted on ties. confusions are the misses. A null hypothesis is an empty one; a row without gold has empty
-    arrays; row_key must be unique.
+    arrays. With a lexicon by language the column language picks the layer. Column names that begin with _ are taken.
     """
+    language = F.col("language") if "language" in lexicon.columns else None
     hypothesis = F.coalesce("hypothesis", F.lit(""))
-    found = X.extract_entities(rows.select("row_key", hypothesis.alias("text")), lexicon, types, ascii_only)
-    order = F.struct(F.levenshtein("expected", "normalized"), "part", "start", "k")
-    some = F.col("normalized").isNotNull()
-    per = gold_of(rows, types).join(found, ["row_key", "type"], "left").groupBy("row_key", "idx", "type", "expected", "surface").agg(
-        F.coalesce(F.bool_or(F.col("normalized") == F.col("expected")), F.lit(False)).alias("hit"),
-        F.min_by(F.struct("normalized", "start", "end"), F.when(some, order)).alias("near"),
-        F.array_sort(F.collect_list(F.when(some, F.struct("part", "start", "k", "normalized")))).alias("all"),
-    )
-    nested = per.groupBy("row_key").agg(F.array_sort(F.collect_list(F.struct("idx", "type", "expected", "surface", "hit", "near", "all"))).alias("e"))
-    folded = T.folded_text(hypothesis, normalize=not ascii_only)
-
-    def entity(e):
-        near = F.when(~e["hit"], e["near"])
-        distance = F.when(e["hit"], 0).otherwise(F.levenshtein(e["expected"], e["near"]["normalized"]))
-        surface = F.substr(F.col("folded"), near["start"] + 1, near["end"] - near["start"])
-        return F.struct(e["type"].alias("type"), e["expected"].alias("expected"), e["surface"].alias("expected_surface"), e["hit"].alias("hit"), near["normalized"].alias("found"), surface.alias("found_surface"), distance.alias("edit_distance"), F.transform(e["all"], lambda c: c["normalized"]).alias("candidates"))
-
-    wer = T.wer_of(T.wer_tokens(F.col("reference"), not ascii_only), T.wer_tokens(hypothesis, not ascii_only))
-    out = rows.drop("gold").join(nested, "row_key", "left").withColumn("folded", folded)
+    found = X.with_candidates(X.annotate(rows, lexicon, hypothesis, ascii_only, language), types)
+    wanted = F.filter("gold", lambda g: g["type"].isin(*types)) if types else F.col("gold")
     kind = "array<struct<type:string,expected:string,expected_surface:string,hit:boolean,found:string,found_surface:string,edit_distance:int,candidates:array<string>>>"
-    out = out.withColumn("entities", F.coalesce(F.transform("e", entity), F.array().cast(kind))).drop("e", "folded")
+    entities = F.transform(wanted, lambda g: X.scored_entity(g, F.col("_found"), F.col("_folded")))
+    scored = X.fenced(found.withColumn("entities", F.coalesce(entities, F.array().cast(kind))), "entities")
     confusion = lambda e: F.struct(e["type"].alias("type"), e["expected"].alias("expected"), e["found"].alias("got"), e["found_surface"].alias("got_surface"), e["edit_distance"].alias("edit_distance"))
-    return out.withColumns({"wer": wer, "confusions": F.transform(F.filter("entities", lambda e: ~e["hit"]), confusion)})
-
-
-def value_present(values: DataFrame, texts: DataFrame, lexicon: DataFrame, ascii_only: bool = True) -> DataFrame:
-    """values(row_key, idx, type, expected) with how: null where the value is not in texts(row_key, text) at all, else the
-    first that holds of typed (found under any type), digits or weak (the digits are in the text's digits; a digit type
-    under six of them may be chance), amount (some run of up to nine tokens reads as the amount)."""
-    tokens = X.with_lexicon(X.tokenize(texts.select("row_key", T.folded_text(F.col("text"), normalize=not ascii_only).alias("folded"))), lexicon)
-    everything = X.extract_entities(texts, lexicon, None, ascii_only).select("row_key", F.col("normalized").alias("expected"), F.lit(True).alias("typed")).distinct()
-    money = F.col("type") == "currency"
-    amounts = values.where(money).select("row_key", "expected").distinct()
-    numbers = tokens.where("numberish").join(amounts.select("row_key").distinct(), "row_key", "left_semi").groupBy("row_key").agg(F.array_sort(F.collect_list(F.struct("pos", "text", "kind", "value"))).alias("toks"))
-    starts = numbers.select("row_key", F.posexplode("toks").alias("i", "first"), "toks")
-    window = F.filter(F.slice("toks", F.col("i") + 1, F.lit(9)), lambda t: t["pos"] < F.col("first.pos") + 9)
-    runs = starts.withColumn("w", window).withColumn("n", F.explode(F.sequence(F.lit(1), F.size("w"))))
-    read = runs.select("row_key", T.normalize_currency(N.parse_value(F.slice("w", F.lit(1), F.col("n")))).alias("expected")).distinct()
-    read = amounts.join(read, ["row_key", "expected"], "left_semi").withColumn("amount", F.lit(True))
-    digits = texts.select("row_key", T.normalize_digits(F.col("text")).alias("digits"))
-    wanted = F.when(money, F.substring_index(F.substring_index("expected", ":", -1), ".", 1)).when(F.col("type").isin(*DIGIT_TYPES), F.col("expected"))
-    inside = F.coalesce((wanted != "") & F.contains("digits", wanted), F.lit(False))
-    how = F.when(F.col("typed"), "typed").when(inside & ~money & (F.length("expected") < 6), "weak").when(inside, "digits").when(F.col("amount"), "amount")
-    joined = values.join(everything, ["row_key", "expected"], "left").join(read, ["row_key", "expected"], "left").join(digits, "row_key", "left")
-    return joined.select("row_key", "idx", "type", "expected", how.alias("how"))
-
-
-def gold_found(values: DataFrame, texts: DataFrame, lexicon: DataFrame, ascii_only: bool = True) -> DataFrame:
-    """Those of values(row_key, idx, type, expected) that texts(row_key, text) yield when only their type is wanted."""
-    each = []
+    wer = T.wer_of(T.wer_tokens(F.col("reference"), not ascii_only), T.wer_tokens(hypothesis, not ascii_only))
+    out = scored.withColumns({"wer": wer, "confusions": F.transform(F.filter("entities", lambda e: ~e["hit"]), confusion)})
+    return out.select(*(c for c in rows.columns if c != "gold"), "entities", "wer", "confusions")
+
+
+def amounts(nums: Column) -> Column:
+    """What the runs of up to nine tokens of an array of number tokens read as, as normal forms of money."""
+    runs = F.transform(nums, lambda first, i: F.filter(F.slice(nums, i + 1, F.lit(9)), lambda t: t["pos"] < first["pos"] + 9))
+    read = lambda w: F.transform(F.sequence(F.lit(1), F.size(w)), lambda n: T.normalize_currency(N.parse_value(F.slice(w, F.lit(1), n))))
+    return F.array_distinct(F.flatten(F.transform(runs, read)))
+
+
+def value_present(rows: DataFrame, values: Column, text: Column, lexicon: DataFrame, ascii_only: bool = True, language: Column | None = None) -> DataFrame:
+    """rows with how, one entry for each of values array<(type, expected, ...)>: null where the value is not in the text at
+    all, else the first that holds of typed (found under any type), digits or weak (the digits are in the text's digits; a
+    digit type under six of them may be chance), amount (some run of up to nine tokens reads as the amount)."""
+    x = rows.withColumns({"_values": values, "_text": text})
+    x = X.with_candidates(X.annotate(x, lexicon, F.col("_text"), ascii_only, language))
+    money = lambda v: v["type"] == "currency"
+    x = x.withColumn("_nums", F.filter("_marks", lambda m: m["numberish"]))
+    x = x.withColumns({"_digits": T.normalize_digits(F.col("_text")), "_amounts": F.when(F.exists("_values", money), amounts(F.col("_nums"))).otherwise(F.array().cast("array<string>"))})
+
+    def how(v):
+        wanted = F.when(money(v), F.substring_index(F.substring_index(v["expected"], ":", -1), ".", 1)).when(v["type"].isin(*DIGIT_TYPES), v["expected"])
+        inside = F.coalesce((wanted != "") & F.contains(F.col("_digits"), wanted), F.lit(False))
+        typed = F.coalesce(F.exists("_found", lambda c: c["normalized"] == v["expected"]), F.lit(False))
+        read = F.coalesce(F.array_contains("_amounts", v["expected"]), F.lit(False))
+        return F.when(typed, "typed").when(inside & ~money(v) & (F.length(v["expected"]) < 6), "weak").when(inside, "digits").when(money(v) & read, "amount")
+
+    x = X.fenced(x, "_digits", "_amounts")
+    return X.fenced(x.withColumn("how", F.transform("_values", how)).select(*rows.columns, "how"), "how")
+
+
+def gold_found(rows: DataFrame, values: Column, text: Column, lexicon: DataFrame, ascii_only: bool = True, language: Column | None = None) -> DataFrame:
+    """rows with known, one flag for each of values array<(type, expected, ...)>: whether the text yields it when only its
+    type is wanted. The text is read once, and the competition of cues held for each type that has a value."""
+    x = X.annotate(rows.withColumn("_values", values), lexicon, text, ascii_only, language)
+    has = lambda t: F.exists("_values", lambda v: v["type"] == t)
+    yields = lambda found, v: F.exists(found, lambda c: (c["type"] == v["type"]) & (c["normalized"] == v["expected"]))
     for t in X.ALL_TYPES:
-        mine = values.where(F.col("type") == t)
-        found = X.extract_entities(texts.join(mine.select("row_key").distinct(), "row_key", "left_semi"), lexicon, [t], ascii_only)
-        each.append(mine.join(found.select("row_key", "type", F.col("normalized").alias("expected")).distinct(), ["row_key", "type", "expected"], "left_semi").select("row_key", "idx"))
-    return reduce(DataFrame.unionByName, each)
+        x = X.with_candidates(x, [t], f"_{t}", when=has(t))
+    every = [(t, F.col(f"_{t}")) for t in X.ALL_TYPES]
+
+    def known(v):
+        out = F.lit(False)
+        for t, found in every:
+            out = F.when(v["type"] == t, yields(found, v)).otherwise(out)
+        return F.coalesce(out, F.lit(False))
+
+    return X.fenced(x.withColumn("known", F.transform("_values", known)).select(*rows.columns, "known"), "known")
 
 
 def triage(scored: DataFrame, lexicon: DataFrame, ascii_only: bool = True) -> DataFrame:
@@ -92,17 +94,16 @@ def triage(scored: DataFrame, lexicon: DataFrame, ascii_only: bool = True) -> Da
 
     In this order: the call failed (uncertain); the gold value is not in its own reference (gold_error); it is in the
     hypothesis anyhow (extractor_error; uncertain where that may be chance); the hypothesis is blank (uncertain); else
-    asr_error, by the distance of what was found instead.
+    asr_error, by the distance of what was found instead. Only rows with a miss are read again, each text once.
     """
-    misses = scored.select("row_key", "condition", "realization", "template_id", "error", "hypothesis", F.posexplode("entities").alias("idx", "e")).where("not e.hit")
-    misses = misses.select("*", "e.type", "e.expected", "e.found", "e.edit_distance").drop("e")
-    misses = X.staged(misses, "misses")
-    values = misses.select("row_key", "idx", "type", "expected")
-    texts = lambda c: scored.select("row_key", F.coalesce(c, F.lit("")).alias("text")).join(values.select("row_key").distinct(), "row_key", "left_semi")
-    known = gold_found(values, texts("reference"), lexicon, ascii_only).withColumn("known", F.lit(True))
-    present = value_present(values, texts("hypothesis"), lexicon, ascii_only).select("row_key", "idx", "how")
-    m = misses.join(known, ["row_key", "idx"], "left").join(present, ["row_key", "idx"], "left")
-    failed, wrong, how = F.col("error").isNotNull(), F.col("known").isNull(), F.col("how")
+    language = F.col("language") if "language" in lexicon.columns else None
+    kept = ["row_key", "condition", "realization", "template_id", "error", "hypothesis", *(["language"] if language is not None else [])]
+    missed = F.filter(F.transform("entities", lambda e, i: F.struct(i.alias("idx"), e["type"].alias("type"), e["expected"].alias("expected"), e["found"].alias("found"), e["edit_distance"].alias("edit_distance"), e["hit"].alias("hit"))), lambda e: ~e["hit"])
+    rows = scored.where(F.exists("entities", lambda e: ~e["hit"])).select(*kept, "reference", missed.alias("misses"))
+    known = gold_found(rows, F.col("misses"), F.coalesce("reference", F.lit("")), lexicon, ascii_only, language)
+    present = value_present(known, F.col("misses"), F.coalesce("hypothesis", F.lit("")), lexicon, ascii_only, language)
+    m = present.select(*kept, F.explode(F.arrays_zip("misses", "known", "how")).alias("x")).select(*kept, "x.misses.*", "x.known", "x.how")
+    failed, wrong, how = F.col("error").isNotNull(), ~F.col("known"), F.col("how")
     blank = F.trim(F.coalesce("hypothesis", F.lit(""))) == ""
     reason = F.when(failed, "call_error").when(wrong, "gold_error").when(how.isNotNull(), how).when(blank, "empty_hypothesis").when(F.col("found").isNull(), "dropped").otherwise("different")
     bucket = F.when(failed, "uncertain").when(wrong, "gold_error").when(how == "weak", "uncertain").when(how.isNotNull(), "extractor_error").when(blank, "uncertain").otherwise("asr_error")

@@ -6,6 +6,7 @@ from ..functions import numbers as N
 from ..functions import text as T
 from ..functions.lexicon import lexicon
 from ..operators import extraction as X
+from ..operators import scoring as S
 from . import demo
 from .registry import query
 
@@ -46,7 +47,8 @@ TEXTS_SQL = f"""texts AS (SELECT *, CASE realization WHEN 'digits' THEN 'your co
 
 def calls(spark, sf):
     """(row_key, realization, text, otp, account, amount, date): the values come from the columns, never from the text."""
-    o = demo.table(spark, sf, "orders")
+    o = demo.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+    o = o.repartition(spark.sparkContext.defaultParallelism)  # a small file is one task, and all that follows is inside the row
     otp = F.lpad((F.col("o_orderkey") * 7919 % 1000000).cast("string"), 6, "0")
     account = F.concat(F.lit("1"), F.lpad((F.col("o_custkey") * 1000003 % 10000000000).cast("string"), 10, "0"))
     rows = o.select(F.col("o_orderkey").alias("row_key"), F.when(F.col("o_orderkey") % 2 == 0, "digits").otherwise("words").alias("realization"), otp.alias("otp"), account.alias("account"), F.floor("o_totalprice").cast("long").alias("amount"), F.to_date("o_orderdate").alias("date"))
@@ -56,9 +58,10 @@ def calls(spark, sf):
     return rows.withColumn("text", F.when(F.col("realization") == "digits", digits).otherwise(words))
 
 
-def gold(c):
-    items = F.array(*(F.struct(F.lit(t).alias("type"), v.alias("expected")) for t, v in (("otp", F.col("otp")), ("account_number", F.col("account")), ("currency", T.normalize_currency(F.col("amount"))), ("date", F.date_format("date", "yyyy-MM-dd")))))
-    return c.select("row_key", "realization", F.posexplode(items).alias("idx", "g")).select("row_key", "realization", "idx", "g.*")
+def gold():
+    """The four values of a sentence of calls(), as an array."""
+    values = (("otp", F.col("otp")), ("account_number", F.col("account")), ("currency", T.normalize_currency(F.col("amount"))), ("date", F.date_format("date", "yyyy-MM-dd")))
+    return F.array(*(F.struct(F.lit(t).alias("type"), v.alias("surface"), v.alias("expected")) for t, v in values))
 
 
 def damaged(c, m=9):
@@ -68,15 +71,15 @@ def damaged(c, m=9):
 
 
 def scored(spark, sf, damage=False):
+    """(row_key, realization, idx, type, expected, hit, found, edit_distance) of every gold value in its own sentence."""
     c = calls(spark, sf)
-    texts = damaged(c) if damage else c
-    return X.gold_match(gold(c).drop("realization"), X.extract_entities(texts.select("row_key", "text"), lexicon(spark)))
+    rows = (damaged(c) if damage else c).select("row_key", "realization", F.col("text").alias("reference"), F.col("text").alias("hypothesis"), gold().alias("gold"))
+    return S.score_rows(rows, lexicon(spark)).select("row_key", "realization", F.posexplode("entities").alias("idx", "e")).select("row_key", "realization", "idx", "e.*")
 
 
 @query(GOLD_SQL + "SELECT type, realization, count(*) AS n, count(*) AS found FROM gold GROUP BY ALL")
 def gold_recoverable(spark, sf):
-    g = calls(spark, sf).select("row_key", "realization")
-    return scored(spark, sf).join(g, "row_key").groupBy("type", "realization").agg(F.count(F.lit(1)).alias("n"), F.count_if("hit").alias("found"))
+    return scored(spark, sf).groupBy("type", "realization").agg(F.count(F.lit(1)).alias("n"), F.count_if("hit").alias("found"))
 
 
 @query(GOLD_SQL + "SELECT row_key, idx, type, expected, true AS hit, NULL::VARCHAR AS found, 0 AS edit_distance FROM gold")
@@ -119,8 +122,7 @@ def parse_digits(spark, sf):
 
 @query()
 def number_runs(spark, sf):
-    c = damaged(calls(spark, sf))
-    return X.number_runs(X.with_lexicon(X.tokenize(c.select("row_key", F.col("text").alias("folded"))), lexicon(spark)))
+    return X.number_runs(damaged(calls(spark, sf)), lexicon(spark))
 
 
 @query(f"WITH {DIGITS_SQL} SELECT o_orderkey AS row_key, grouped FROM o")

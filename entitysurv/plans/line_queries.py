@@ -81,7 +81,7 @@ def score_rows(spark, sf):
 
 
 def _triage(spark, sf) -> DataFrame:
-    return S.triage(X.staged(scored(spark, sf), "scored"), L.lexicon(spark))
+    return S.triage(scored(spark, sf), L.lexicon(spark))
 
 
 @query(LINES + "SELECT * FROM cause")
@@ -115,9 +115,8 @@ def triage_header(spark, sf):
 
 @query(LINES + """SELECT o_orderkey AS row_key, idx, type, expected, CASE WHEN kind IN (1, 2) THEN NULL WHEN type = 'pin_code' THEN NULL WHEN hit OR kind = 7 AND type = 'otp' THEN 'typed' WHEN type = 'currency' OR contains(digits, expected) THEN 'digits' END AS how FROM ent""")
 def value_present(spark, sf):
-    x = X.staged(lines(spark, sf), "lines")
-    values = S.gold_of(x).select("row_key", "idx", "type", "expected")
-    return S.value_present(values, x.select("row_key", F.col("hypothesis").alias("text")), L.lexicon(spark))
+    x = S.value_present(lines(spark, sf), F.col("gold"), F.col("hypothesis"), L.lexicon(spark))
+    return x.select("row_key", F.posexplode(F.arrays_zip("gold", "how")).alias("idx", "x")).select("row_key", "idx", "x.gold.type", "x.gold.expected", "x.how")
 
 
 #: An earlier run that scored by containment of the digits alone: what re-scoring starts from.

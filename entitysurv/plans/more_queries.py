@@ -170,8 +170,7 @@ def extract_numeric_dates(spark, sf):
 
 @query(GOLD_SQL + "SELECT row_key, expected AS date FROM gold WHERE type = 'date' AND realization = 'words'")
 def extract_month_dates(spark, sf):
-    t = tagged(spark, calls(spark, sf))
-    return X.month_dates(t, X.number_runs(t)).select("row_key", F.col("normalized").alias("date"))
+    return X.month_dates(calls(spark, sf), L.lexicon(spark)).select("row_key", F.col("normalized").alias("date"))
 
 
 @query("SELECT o_orderkey AS row_key FROM orders WHERE false")
@@ -200,8 +199,7 @@ def split_runs(spark, sf):
 @query("SELECT o_orderkey AS row_key, 'otp' AS type, 2 AS dist FROM orders")
 def cue_scan(spark, sf):
     c = calls(spark, sf).select("row_key", F.concat(F.lit("code is "), F.col("otp")).alias("text"))
-    t = tagged(spark, c)
-    return X.cue_scan(X.number_runs(t), t, ["otp"]).select("row_key", "type", F.col("dist").cast("int").alias("dist"))
+    return X.cue_scan(c, L.lexicon(spark), ["otp"]).select("row_key", "type", F.col("dist").cast("int").alias("dist"))
 
 
 @query("SELECT o_orderkey AS i, 'en-IN-11-' || printf('%05d', o_orderkey) AS id, ['bal', 'otp', 'pin', 'due', 'two'][o_orderkey % 5 + 1] AS template_id FROM orders")
