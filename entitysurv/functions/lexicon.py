@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -110,21 +111,19 @@ def lookup(lexicon: DataFrame, most: int = 50_000) -> Callable[[Column, Column |
     rows = lexicon.select(layer.alias("layer"), "canon", "kind", F.col("value").cast("string").alias("value"), "month", "cue_types", F.pmod(F.hash("canon"), F.lit(BUCKETS)).alias("bucket")).limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"the lexicon has over {most} words")
-    text = lambda x: "cast(null as string)" if x is None else "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    entry = lambda r: f"named_struct('kind', {text(r.kind)}, 'value', cast({text(r.value)} as decimal(28,6)), 'month', cast({r.month if r.month is not None else 'null'} as int), 'cue_types', cast(array({', '.join(map(text, r.cue_types or []))}) as array<string>))"
-    kind = "map<string,struct<kind:string,value:decimal(28,6),month:int,cue_types:array<string>>>"
+    kind = "array<map<string,struct<kind:string,value:decimal(28,6),month:int,cue_types:array<string>>>>"
 
     def maps(name):
-        mine: list[list[str]] = [[] for _ in range(BUCKETS)]
+        mine: list[dict] = [{} for _ in range(BUCKETS)]
         for r in rows:
             if r.layer == name:
-                mine[r.bucket] += [text(r.canon), entry(r)]
-        return "array(" + ", ".join(f"cast(map({', '.join(m)}) as {kind})" for m in mine) + ")"
+                mine[r.bucket][r.canon] = {"kind": r.kind, "value": r.value and float(r.value), "month": r.month, "cue_types": r.cue_types or []}
+        return F.from_json(F.lit(json.dumps(mine)), kind)  # one node of the plan, which the optimizer makes a constant
 
     layers = sorted({r.layer for r in rows})
     if not layers:
-        return lambda word, language=None: F.lit(None).cast(kind.removeprefix("map<string,")[:-1])
-    every = {name: F.expr(maps(name)) for name in layers}
+        return lambda word, language=None: F.lit(None).cast(kind.removeprefix("array<map<string,")[:-2])
+    every = {name: maps(name) for name in layers}
 
     def find(word: Column, language: Column | None = None) -> Column:
         held = every[layers[0]]

@@ -70,7 +70,7 @@ def indian_grouping(n: Column) -> Column:
 
 def _below_hundred(n: Column) -> Column:
     words = DIGIT_WORDS + TEENS + [t if u == 0 else f"{t} {DIGIT_WORDS[u]}" for t in TENS for u in range(10)]
-    return F.element_at(F.array(*map(F.lit, words)), (n + 1).cast("int"))
+    return F.element_at(F.split(F.lit("|".join(words)), "[|]"), (n + 1).cast("int"))  # one constant
 
 
 def number_to_words(n: Column) -> Column:
@@ -86,7 +86,7 @@ def number_to_words(n: Column) -> Column:
 
 
 def digits_to_words(d: Column) -> Column:
-    words = F.array(*map(F.lit, DIGIT_WORDS))
+    words = F.split(F.lit("|".join(DIGIT_WORDS)), "[|]")
     return F.array_join(F.transform(F.regexp_extract_all(d, F.lit("([0-9])")), lambda c: F.element_at(words, c.cast("int") + 1)), " ")
 
 
