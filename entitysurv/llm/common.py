@@ -145,10 +145,11 @@ def _forest(batches, most: int = 1_000_000):
     yield found()
 
 
-def components(edges: DataFrame, rounds: int = 60, part_edges: int = 8192) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 60, part_edges: int = 8192, most_tasks: int = 4096) -> DataFrame:
     """Connected components of edges(a long, b long): one row (node, component) per node, component = smallest node.
 
-    The edges are dealt evenly to tasks of about part_edges, each of which contracts its own by union-find to pairs
+    The edges are dealt evenly to tasks of about part_edges, but at most most_tasks of them: then tasks grow with the
+    edges, while `_forest` bounds what each holds. A task contracts its own by union-find to pairs
     (node, smallest node); then large-star and small-star steps alternate with such contractions until the edges are
     stars. A hub is never one task's: joins are salted (see salted_join) and minima have map-side combine. Self-loops
     and repeated edges are fine; a null end drops its edge. Raises if the edges are no stars after `rounds`.
@@ -158,7 +159,7 @@ def components(edges: DataFrame, rounds: int = 60, part_edges: int = 8192) -> Da
     e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     for _ in range(rounds):
         e = staged(e, "edges", scratch=scratch)
-        contracted = e.repartition(max(1, -(-e.count() // part_edges))).mapInPandas(_forest, "node long, component long")
+        contracted = e.repartition(min(most_tasks, max(1, -(-e.count() // part_edges)))).mapInPandas(_forest, "node long, component long")
         e = staged(contracted.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")), "stars", scratch=scratch)
         ends = e.select(F.col("u").alias("x"), F.lit(1).alias("as_u"), F.lit(0).alias("as_v")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("as_u"), F.lit(1).alias("as_v")))
         open_ = ends.groupBy("x").agg(F.sum("as_u").alias("as_u"), F.max("as_v").alias("as_v")).where("as_u > 1 or as_u > 0 and as_v > 0")
