@@ -225,10 +225,12 @@ def _blocks_schema(kind, last: str, last_type) -> pa.Schema:
 # ---- files -----------------------------------------------------------------------------------------------------
 
 
-def write_tokens(docs: DataFrame, tokenizer_file: str, path: str, end_id: int = 1, limit: int = 16, cache_words: int = 400_000, block_ids: int = BLOCK_IDS, partitions: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> str:
+def write_tokens(docs: DataFrame, tokenizer_file: str, path: str, end_id: int = 1, limit: int = 16, cache_words: int = 400_000, block_ids: int = BLOCK_IDS, partitions: int | None = None, range_bytes: int = 128 << 20, id_col: str = "doc_id", text_col: str = "text") -> str:
     """Encode every whole text, append end_id, and write the ids in ascending id order in the format above.
 
-    Range partitions by id, so part after part is in order; ids are counted over all documents, then coded. limit is
+    Range partitions by id, then by a hash of the text, so part after part is in order and rows that share an id (or have
+    none) spread over parts too. There are as many parts as the session's shuffle setting, and more where a part would
+    hold over range_bytes of text. Ids are counted over all documents, then coded. limit is
     raised if the ids that occur need it. A null text is an empty one: the end id alone. Null ids come first; repeated
     rows follow each other; an empty table gives empty files; other columns are left out.
     """
@@ -236,7 +238,11 @@ def write_tokens(docs: DataFrame, tokenizer_file: str, path: str, end_id: int =
     with open(tokenizer_file, encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())  # one vocabulary file
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions
+    if not n:
+        octets = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-octets // range_bytes))
+    order = [F.col("id").asc_nulls_first(), F.xxhash64("text").asc()]
     kind = rows.schema["id"].dataType.simpleString()
 
     def tokenize(batches):
@@ -244,7 +250,7 @@ def write_tokens(docs: DataFrame, tokenizer_file: str, path: str, end_id: int =
 
     plain = f"part int, block long, first long, n_ids long, doc_ids array<{kind}>, lengths array<long>"
     raw_path = scratch_path(spark, "token-ids")
-    rows.repartitionByRange(n, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first()).mapInArrow(tokenize, plain + ", ids binary").write.parquet(raw_path)
+    rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(tokenize, plain + ", ids binary").write.parquet(raw_path)
     raw = spark.read.schema(plain + ", ids binary").parquet(raw_path)
 
     def count(batches):
