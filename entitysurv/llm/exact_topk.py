@@ -96,9 +96,9 @@ def search_cell(rows: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFra
     columns = [c.split()[0] for c in _OUT.split(", ")]
     if rows.empty or queries.empty:
         return pd.DataFrame(columns=columns)
-    dims = max(rows["v"].map(len).max(), queries["q"].map(len).max())
+    dims = int(max(rows["v"].map(len).max(), queries["q"].map(len).max()))
     x, qs = integers(rows["v"], dims), integers(queries["q"], dims)
-    bound = int(abs(x).max(initial=0)) * int(abs(qs).max(initial=0)) * max(1, dims) * 4
+    bound = 4 * max(1, dims) * int(abs(x).max(initial=0)) * int(abs(qs).max(initial=0))
     if bound >= 2**62 or x.dtype == object or qs.dtype == object:
         x, qs = x.astype(object), qs.astype(object)
     index, row = ImpactIndex(x), rows["row"].to_numpy()
