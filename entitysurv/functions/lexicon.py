@@ -158,10 +158,35 @@ def romanised() -> list[tuple]:
     return [(w, "unit", str(i), None, None) for i, w in enumerate(HINDI_ROMAN_0_TO_99.split())]
 
 
+# Hindi words in Latin letters among the scales, fractions and modifiers; the other Latin words are English.
+HINDI_IN_LATIN = "sau hazaar arab derh dedh dhai saadhe sade sawa sava paune pone".split()
+
+
+def layers() -> dict[str, list[tuple]]:
+    """The entries of each language in order of precedence: its own words first, English ones below, as speech mixes them."""
+    hindi = lambda w: any("\u0900" <= c <= "\u097f" for c in w) or w in HINDI_IN_LATIN
+    english = [e for e in entries() if not hindi(e[0])]
+    return {"en": english, "hi": [e for e in entries() if hindi(e[0])] + romanised() + english}
+
+
+def lexicon_by_language(spark: SparkSession) -> DataFrame:
+    """(language, canon, kind, value, month, cue_types): one layer for each language. A text's language picks its layer,
+    and a language without one reads as English: see lookup."""
+    rows = [(language, i, *e) for language, words in layers().items() for i, e in enumerate(words)]
+    return _dimension(spark.createDataFrame(rows, f"language string, {_ENTRY}"), "language")
+
+
+_ENTRY = "place int, word string, kind string, value string, month int, cue string"
+
+
+def _dimension(rows: DataFrame, *by: str) -> DataFrame:
+    df = rows.withColumn("canon", canonicalize(F.col("word")))
+    known = F.when(F.col("kind").isNotNull(), F.col("place"))
+    return df.groupBy(*by, "canon").agg(F.min_by("kind", known).alias("kind"), F.min_by(F.col("value").cast("decimal(28,6)"), known).alias("value"), F.min_by("month", F.when(F.col("month").isNotNull(), F.col("place"))).alias("month"), F.array_sort(F.collect_set("cue")).alias("cue_types"))
+
+
 def lexicon(spark: SparkSession, extra: list[tuple] | None = None) -> DataFrame:
     """One row per canonical form: kind, value, month, cue_types. extra entries come after the built-in ones, so a
     caller adds spellings or languages without changing what is known."""
     rows = [(i, *e) for i, e in enumerate(entries() + (extra or []))]
-    df = spark.createDataFrame(rows, "place int, word string, kind string, value string, month int, cue string").withColumn("canon", canonicalize(F.col("word")))
-    known = F.when(F.col("kind").isNotNull(), F.col("place"))
-    return df.groupBy("canon").agg(F.min_by("kind", known).alias("kind"), F.min_by(F.col("value").cast("decimal(28,6)"), known).alias("value"), F.min_by("month", F.when(F.col("month").isNotNull(), F.col("place"))).alias("month"), F.array_sort(F.collect_set("cue")).alias("cue_types"))
+    return _dimension(spark.createDataFrame(rows, _ENTRY))

@@ -137,21 +137,58 @@ def pretty_value(value: Column) -> Column:
     return F.when(value.startswith("INR:"), F.concat(F.lit("₹"), F.regexp_replace(F.substr(value, F.lit(5)), r"\.00$", ""))).otherwise(value)
 
 
-def value_diff_lost(expected: Column, found: Column) -> Column:
-    """Characters of expected that found does not keep: by position if the lengths agree, else by longest common
-    subsequence, one fold per character of found over a row of the table."""
-    e, f = F.regexp_extract_all(expected, F.lit("(.)")), F.regexp_extract_all(found, F.lit("(.)"))
-    same_place = F.size(F.filter(F.zip_with(e, f, lambda x, y: x == y), lambda x: x))
-    zeros = F.transform(F.sequence(F.lit(0), F.size(e)), lambda _: F.lit(0))
-    step = lambda row, c: F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(e), F.lit(1))), F.array(F.lit(0)), lambda acc, i: F.concat(acc, F.array(F.when(F.get(e, i - 1) == c, F.get(row, i - 1) + 1).otherwise(F.greatest(F.get(row, i), F.element_at(acc, -1))))))
-    lcs = F.element_at(F.aggregate(f, zeros, step), -1)
-    return F.when(found.isNull(), F.length(expected)).when(F.length(expected) == F.length(found), F.size(e) - same_place).otherwise(F.size(e) - lcs)
-
-
-def value_diff_marks(expected: Column, found: Column) -> Column:
-    """= or x for each character of two values of one length, null otherwise."""
-    pair = F.zip_with(F.regexp_extract_all(expected, F.lit("(.)")), F.regexp_extract_all(found, F.lit("(.)")), lambda x, y: F.when(x == y, "=").otherwise("x"))
-    return F.when(F.length(expected) == F.length(found), F.array_join(pair, ""))
+_PARTS = "array<struct<text:string,kind:string>>"
+
+
+def _longest_common(e: Column, f: Column) -> Column:
+    """Rows i of cells j: the longest common subsequence of the first i of e and the first j of f."""
+
+    def grown(row, c):
+        cell = lambda acc, j: F.when(F.get(f, j - 1) == c, F.get(row, j - 1) + 1).otherwise(F.greatest(F.get(row, j), F.element_at(acc, -1)))
+        return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(f), F.lit(1))), F.array(F.lit(0)), lambda acc, j: F.concat(acc, F.array(cell(acc, j))))
+
+    first = F.array(F.transform(F.sequence(F.lit(0), F.size(f)), lambda _: F.lit(0)))
+    return F.aggregate(e, first, lambda rows, c: F.concat(rows, F.array(grown(F.element_at(rows, -1), c))))
+
+
+def _walk(x: Column) -> Column:
+    """One (text, kind) for each step of the walk over the table of x.e and x.f, which are the letters from the last on."""
+    e, f, rows = x["e"], x["f"], x["rows"]
+
+    def step(s, _):
+        i, j = s["i"], s["j"]
+        ec, fc = F.get(e, i - 1), F.get(f, j - 1)
+        kind = F.when((i > 0) & (j > 0) & (ec == fc), "same").when((i > 0) & ((j == 0) | (F.get(F.get(rows, i - 1), j) >= F.get(F.get(rows, i), j - 1))), "missing").otherwise("wrong")
+        part = F.array(F.struct(F.when(kind == "missing", ec).otherwise(fc).alias("text"), kind.alias("kind")))
+        on = (i > 0) | (j > 0)
+        return F.struct((i - F.when(on & (kind != "wrong"), 1).otherwise(0)).alias("i"), (j - F.when(on & (kind != "missing"), 1).otherwise(0)).alias("j"), F.when(on, F.concat(s["parts"], part)).otherwise(s["parts"]).alias("parts"))
+
+    start = F.struct(F.size(e).alias("i"), F.size(f).alias("j"), F.array().cast(_PARTS).alias("parts"))
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(e) + F.size(f), F.lit(1))), start, step, lambda s: s["parts"])
+
+
+def value_diff(expected: Column, found: Column) -> Column:
+    """array<(text, kind)>: what was found against what was expected, as runs of same, wrong (found but not expected) and
+    missing (expected, at the place where it was dropped). Values of one length are compared place by place, others along a
+    longest common subsequence. A null found is all missing, a null expected null."""
+    chars = lambda c: F.regexp_extract_all(c, F.lit("(.)"))
+    bound = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))
+    by_place = F.zip_with(chars(expected), chars(found), lambda a, b: F.struct(b.alias("text"), F.when(a == b, "same").otherwise("wrong").alias("kind")))
+    table = bound(F.struct(F.reverse(chars(expected)).alias("e"), F.reverse(chars(found)).alias("f")), lambda x: F.struct(x["e"].alias("e"), x["f"].alias("f"), _longest_common(x["e"], x["f"]).alias("rows")))
+    steps = F.when(F.length(expected) == F.length(found), by_place).otherwise(bound(table, _walk))
+
+    def merged(parts, x):
+        last = F.element_at(parts, -1)
+        longer = F.concat(F.slice(parts, F.lit(1), F.size(parts) - 1), F.array(F.struct(F.concat(last["text"], x["text"]).alias("text"), last["kind"].alias("kind"))))
+        return F.when((F.size(parts) > 0) & (F.try_element_at(parts, F.lit(-1))["kind"] == x["kind"]), longer).otherwise(F.concat(parts, F.array(x)))
+
+    whole = F.aggregate(steps, F.array().cast(_PARTS), merged)
+    return F.when(found.isNull(), F.when(expected.isNotNull(), F.array(F.struct(expected.alias("text"), F.lit("missing").alias("kind"))))).otherwise(whole)
+
+
+def value_diff_lost(parts: Column) -> Column:
+    """Characters of a value_diff that are not the same on both sides."""
+    return F.aggregate(parts, F.lit(0), lambda n, p: n + F.when(p["kind"] == "same", 0).otherwise(F.length(p["text"])))
 
 
 def entity_starts(text: Column, surfaces: Column) -> Column:

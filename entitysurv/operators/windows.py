@@ -10,10 +10,12 @@ from .metrics import total
 
 
 def listen_set(rows: DataFrame, n: int) -> DataFrame:
-    """n utterances, round-robin over their first entity type; within a type a miss first, then more hits wanted, then id.
-    The limit is the operator's own."""
-    per = rows.groupBy("utterance_id").agg(F.min(F.element_at("entities", 2)["type"]).alias("type"), F.bool_or(F.exists("entities", lambda e: ~e["hit"])).alias("has_miss"), total().alias("takes"))
-    turn = Window.partitionBy("type").orderBy(F.desc("has_miss"), F.desc("takes"), "utterance_id")
+    """n utterances, round-robin over entity types: an utterance's type is the first by name over all its rows (none
+    without entities); within a type a miss first, then more entities (of its first row), then id. The limit is the
+    operator's own."""
+    of_types = F.array_min(F.transform("entities", lambda e: e["type"]))
+    per = rows.groupBy("utterance_id").agg(F.coalesce(F.min(of_types), F.lit("none")).alias("type"), F.bool_or(F.exists("entities", lambda e: ~e["hit"])).alias("has_miss"), F.min_by(F.size("entities"), "event_id").alias("n_entities"))
+    turn = Window.partitionBy("type").orderBy(F.desc("has_miss"), F.desc("n_entities"), "utterance_id")
     return per.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= n).orderBy("turn", "type").limit(n)
 
 
@@ -25,13 +27,15 @@ def hero_example(ents: DataFrame, bursty: list[str], longest: int = 40) -> DataF
 
 
 def review_sample(rows: DataFrame, n: int, seed: int) -> DataFrame:
-    """A seeded sample of n rows: up to two thirds with a miss, the rest clean; the same for any partitioning."""
+    """A seeded sample of n rows: up to two thirds with a miss, the rest clean, shuffled by a second hash (place), so that
+    a reader cannot tell them by their order; the same for any partitioning."""
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("event_id").cast("string")))
+    again = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("shuffled"), F.col("event_id").cast("string")))
     tagged = rows.select("event_id", F.exists("entities", lambda e: ~e["hit"]).alias("has_miss"), key.alias("h"))
     missed = tagged.where("has_miss").orderBy("h").limit(2 * n // 3)
     clean = tagged.where("not has_miss").orderBy("h").limit(n)
-    both = missed.unionByName(clean).withColumn("place", F.row_number().over(Window.orderBy(F.desc("has_miss"), "h")))  # at most 2n rows
-    return both.where(F.col("place") <= n)
+    both = missed.unionByName(clean).orderBy(F.desc("has_miss"), "h").limit(n)
+    return both.withColumn("place", F.row_number().over(Window.orderBy(again)))  # n rows
 
 
 def budget_cutoff(calls: DataFrame, cap: int, order: str = "event_id") -> DataFrame:

@@ -235,12 +235,18 @@ def cue_figures_by_mode(spark, sf):
 # ---- values and spans --------------------------------------------------------------------------------------------
 
 
-@query(LINES + f"""SELECT o_orderkey AS row_key, idx, CASE WHEN found IS NULL THEN length(expected) WHEN length(expected) = length(found) THEN 1 WHEN type = 'otp' THEN 3 ELSE 7 - length(regexp_replace(found, '[^9]', '', 'g')) END::INT AS lost,
-  CASE WHEN length(expected) = length(found) THEN repeat('=', 5) || 'x' END AS marks FROM ent WHERE NOT hit""")
+#: The missed PIN is seven nines: leading nines are kept, at the first other digit the nines that are too many are missing,
+#: and then nines are kept and other digits wrong.
+DIFF = """, nine AS (SELECT *, regexp_extract(found, '^9*') AS lead, 7 - length(regexp_replace(found, '[^9]', '', 'g')) AS gone FROM ent WHERE NOT hit),
+part AS (SELECT *, CASE WHEN found IS NULL THEN [expected || ':missing'] WHEN length(expected) = length(found) THEN [left(found, 5) || ':same', right(found, 1) || ':wrong'] WHEN type = 'otp' THEN [found || ':same', right(expected, 3) || ':missing']
+  ELSE list_concat(CASE WHEN lead <> '' THEN [lead || ':same'] ELSE [] END, [repeat('9', gone) || ':missing'], list_transform(regexp_extract_all(substr(found, length(lead) + 1), '9+|[^9]+'), lambda p: p || CASE WHEN p[1] = '9' THEN ':same' ELSE ':wrong' END)) END AS parts FROM nine)"""
+
+
+@query(LINES + DIFF + """ SELECT o_orderkey AS row_key, idx, array_to_string(parts, '|') AS parts, CASE WHEN found IS NULL THEN length(expected) WHEN length(expected) = length(found) THEN 1 WHEN type = 'otp' THEN 3 ELSE 2 * gone - 1 END::INT AS lost FROM part""")
 def value_diff(spark, sf):
-    """Characters of every missed value that what was found does not keep, and place by place where the lengths agree."""
-    e = entities(scored(spark, sf)).where("not hit")
-    return e.select("row_key", "idx", T.value_diff_lost(F.col("expected"), F.col("found")).alias("lost"), T.value_diff_marks(F.col("expected"), F.col("found")).alias("marks"))
+    """Every missed value against what was found, part by part, and how many characters are not on both sides."""
+    e = entities(scored(spark, sf)).where("not hit").withColumn("d", T.value_diff(F.col("expected"), F.col("found")))
+    return e.select("row_key", "idx", F.array_join(F.transform("d", lambda p: F.concat_ws(":", p["text"], p["kind"])), "|").alias("parts"), T.value_diff_lost(F.col("d")).alias("lost"))
 
 
 @query(f"""WITH {DIGITS_SQL}, {TEXTS_SQL} SELECT o_orderkey AS row_key, CASE realization WHEN 'digits' THEN concat_ws(' ', 13, 36, 79, 79 + length(grouped) + 12) ELSE '- - - -' END AS starts FROM texts""")

@@ -124,12 +124,33 @@ def normalize_name(spark, sf):
     return demo.table(spark, sf, "documents").select("doc_id", T.normalize_name(F.col("text")).alias("name"))
 
 
-@query("SELECT o_orderkey AS row_key, 3 AS value FROM orders")
+def hindi_number(k, roman):
+    """The Hindi word of k below 100, in Latin letters where roman is true."""
+    native, latin = (F.split(F.lit(words), " ") for words in (L.HINDI_0_TO_99, L.HINDI_ROMAN_0_TO_99))
+    return F.element_at(F.when(roman, latin).otherwise(native), (k + 1).cast("int"))
+
+
+@query("SELECT o_orderkey AS row_key, o_orderkey % 100 AS value FROM orders")
 def canonicalize(spark, sf):
-    """Two spellings of one number word meet in the lexicon."""
-    c = demo.table(spark, sf, "orders").select(F.col("o_orderkey").alias("row_key"), F.when(F.col("o_orderkey") % 4 == 1, "Thrii").otherwise("three").alias("word"))
-    known = c.select("word").distinct().withColumn("canon", L.canonicalize(F.col("word"))).join(F.broadcast(L.lexicon(spark)), "canon")
-    return c.join(known, "word").select("row_key", F.col("value").cast("int").alias("value"))
+    """All Hindi numbers below 100, in either script, by their canonical form in the layer of Hindi; every seventh with its
+    last consonant doubled, which spelling does not tell."""
+    k = F.col("o_orderkey") % 100
+    roman = F.col("o_orderkey") % 2 == 1
+    word = hindi_number(k, roman)
+    word = F.when(roman & (F.col("o_orderkey") % 7 == 0) & word.rlike("[^aeiou]$"), F.concat(word, F.right(word, F.lit(1)))).otherwise(word)
+    o = demo.table(spark, sf, "orders").select(F.col("o_orderkey").alias("row_key"), L.canonicalize(word).alias("canon"))
+    return o.join(F.broadcast(L.lexicon_by_language(spark).where("language = 'hi'")), "canon").select("row_key", F.col("value").cast("long").alias("value"))
+
+
+@query("SELECT o_orderkey AS row_key, CASE WHEN o_orderkey % 3 = 0 THEN (o_orderkey % 90 + 10) || ' 7' ELSE '7' END AS readings FROM orders")
+def lexicon_dim(spark, sf):
+    """One table of Hindi, English and Tamil rows, the last without a layer of its own: Hindi numbers in Latin letters are
+    numbers in Hindi rows only, English ones in all."""
+    k = F.col("o_orderkey")
+    language = F.element_at(F.array(F.lit("hi-IN"), F.lit("en-IN"), F.lit("ta-IN")), (k % 3 + 1).cast("int"))
+    o = demo.table(spark, sf, "orders").select(k.alias("row_key"), language.alias("language"), F.concat(hindi_number(k % 90 + 10, F.lit(True)), F.lit(" and then of those seven")).alias("text"))
+    runs = X.annotate(o, L.lexicon_by_language(spark), F.col("text"), language=F.col("language"))
+    return runs.select("row_key", F.array_join(F.transform("_runs", lambda r: r["value"].cast("long").cast("string")), " ").alias("readings"))
 
 
 @query(GOLD_SQL + f"SELECT row_key, CASE realization WHEN 'digits' THEN expected ELSE split_part({SPELT_SQL.format('expected')}, ' ', 1) END AS digits FROM gold WHERE type = 'otp'")
@@ -155,10 +176,11 @@ def amount_from_digits(spark, sf):
     return calls(spark, sf).select("row_key", N.amount_from_digits(F.col("otp")).cast("long").alias("amount"))
 
 
-@query("SELECT o_orderkey AS row_key, t AS type FROM orders, (VALUES ('pin_code'), ('otp')) v(t)")
+@query("SELECT o_orderkey AS row_key, t AS type FROM orders, (VALUES ('pin_code', 6, 6), ('otp', 4, 6), ('account_number', 9, 18)) v(t, lo, hi) WHERE o_orderkey % 19 + 1 BETWEEN lo AND hi")
 def shape_fallback(spark, sf):
-    """Six digits with no cue near are a candidate of each type whose length fits."""
-    c = calls(spark, sf).select("row_key", F.concat(F.lit("it says "), F.col("otp")).alias("text"))
+    """One to nineteen digits with no cue near are a candidate of each type whose length fits."""
+    digits = F.left(F.repeat("otp", 4), (F.col("row_key") % 19 + 1).cast("int"))
+    c = calls(spark, sf).select("row_key", F.concat(F.lit("it says "), digits).alias("text"))
     return X.extract_entities(c, L.lexicon(spark)).select("row_key", "type")
 
 
@@ -173,11 +195,12 @@ def extract_month_dates(spark, sf):
     return X.month_dates(calls(spark, sf), L.lexicon(spark)).select("row_key", F.col("normalized").alias("date"))
 
 
-@query("SELECT o_orderkey AS row_key FROM orders WHERE false")
+@query("SELECT o_orderkey AS row_key, strftime(o_orderdate, '%Y') AS value FROM orders WHERE o_orderkey % 2 = 0")
 def date_containment_anti(spark, sf):
-    """A year inside a date is no OTP: such candidates on sentences that hold only a date."""
-    c = calls(spark, sf).select("row_key", F.concat(F.lit("due on "), F.date_format("date", "dd/MM/yyyy")).alias("text"))
-    return X.extract_entities(c, L.lexicon(spark)).where("type <> 'date'").select("row_key")
+    """A year inside a date is no OTP, the same digits beside it are: half of the sentences hold only the date."""
+    year = F.when(F.col("row_key") % 2 == 0, F.concat(F.lit(" of the lot "), F.date_format("date", "yyyy"))).otherwise("")
+    c = calls(spark, sf).select("row_key", F.concat(F.lit("due on "), F.date_format("date", "dd/MM/yyyy"), year).alias("text"))
+    return X.extract_entities(c, L.lexicon(spark)).where("type <> 'date'").select("row_key", F.col("normalized").alias("value"))
 
 
 def broken_amounts(c):
@@ -190,16 +213,27 @@ def broken_amounts(c):
     return c.select("row_key", F.concat(F.lit("rupees "), F.array_join(broken, " "), F.lit(" only")).alias("text"))
 
 
-@query("SELECT o_orderkey AS row_key FROM orders WHERE false")
+@query("SELECT o_orderkey AS row_key, 'INR:' || floor(o_totalprice)::BIGINT || '.00' AS value FROM orders WHERE o_orderkey % 2 = 0")
 def split_runs(spark, sf):
-    """A number broken by an unknown word emits nothing: the amount of each order, broken before one of its scales."""
-    return X.extract_entities(broken_amounts(calls(spark, sf)), L.lexicon(spark)).select("row_key")
+    """A number broken by an unknown word emits nothing: the amount of every other order, broken before one of its scales;
+    the others are whole."""
+    c = calls(spark, sf)
+    whole = c.where("row_key % 2 = 0").select("row_key", F.concat(F.lit("rupees "), T.number_to_words(F.col("amount")), F.lit(" only")).alias("text"))
+    texts = whole.unionByName(broken_amounts(c.where("row_key % 2 <> 0")))
+    return X.extract_entities(texts, L.lexicon(spark)).select("row_key", F.col("normalized").alias("value"))
 
 
-@query("SELECT o_orderkey AS row_key, 'otp' AS type, 2 AS dist FROM orders")
+@query("""SELECT o_orderkey AS row_key, ['otp', 'account_number', 'pin_code'][o_orderkey % 3 + 1] AS type, (o_orderkey % 6 + 1)::INT AS dist, false AS behind FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey % 6 < 5
+UNION ALL SELECT o_orderkey, ['otp', 'account_number', 'pin_code'][o_orderkey % 3 + 1], (o_orderkey % 6 + 1)::INT, true FROM orders WHERE o_orderkey % 2 = 1 AND o_orderkey % 6 < 3""")
 def cue_scan(spark, sf):
-    c = calls(spark, sf).select("row_key", F.concat(F.lit("code is "), F.col("otp")).alias("text"))
-    return X.cue_scan(c, L.lexicon(spark), ["otp"]).select("row_key", "type", F.col("dist").cast("int").alias("dist"))
+    """The cue of one of three types at one to six words from the number, before it or behind, by the key: five words count
+    before and three behind."""
+    k = F.col("row_key")
+    cue = F.element_at(F.array(F.lit("otp"), F.lit("account"), F.lit("pin")), (k % 3 + 1).cast("int"))
+    gap = F.array_repeat(F.lit("is"), (k % 6).cast("int"))
+    words = F.when(k % 2 == 0, F.concat(F.array(cue), gap, F.array("otp"))).otherwise(F.concat(F.array("otp"), gap, F.array(cue)))
+    c = calls(spark, sf).select("row_key", F.array_join(words, " ").alias("text"))
+    return X.cue_scan(c, L.lexicon(spark), X.ALL_TYPES[:3]).select("row_key", "type", "dist", "behind")
 
 
 @query("SELECT o_orderkey AS i, 'en-IN-11-' || printf('%05d', o_orderkey) AS id, ['bal', 'otp', 'pin', 'due', 'two'][o_orderkey % 5 + 1] AS template_id FROM orders")

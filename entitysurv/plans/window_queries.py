@@ -60,7 +60,7 @@ def exemplar_check(spark, sf):
     return W.exemplar_check(files(spark, sf))
 
 
-@query(f"WITH {EXEMPLAR} SELECT condition, file, loss AS dropped_fraction FROM fl WHERE loss IS NOT NULL")
+@query(f"WITH {EXEMPLAR} SELECT condition, file, round(round(loss * 2520) / 2520, 6) AS dropped_fraction FROM fl WHERE loss IS NOT NULL")
 def manifest_dropped_fraction(spark, sf):
     """The notes a run would leave, written out and parsed again."""
     from ..sources.io import manifest_dropped_fraction as parse
@@ -68,16 +68,20 @@ def manifest_dropped_fraction(spark, sf):
     f = files(spark, sf)
     n = F.round(F.col("loss") * 2520).cast("long")
     notes = f.where("loss is not null").withColumn("notes", F.array(F.lit("resampled"), F.concat(F.lit("dropped "), n.cast("string"), F.lit("/2520 frames"))))
-    parsed = notes.select("condition", "file", parse(F.col("notes")).alias("parsed"), "loss")
-    return parsed.where(F.abs(F.col("parsed") - F.col("loss")) < 0.001).select("condition", "file", F.col("loss").alias("dropped_fraction"))
+    return notes.select("condition", "file", F.round(parse(F.col("notes")), 6).alias("dropped_fraction"))
 
 
-LISTEN = ", u AS (SELECT utterance_id, ['account_number', 'pin_code', 'currency', 'date'][user_id % 4 + 1] AS type, bool_or(NOT hit) AS has_miss, count(DISTINCT event_id) AS takes FROM pents GROUP BY ALL), t AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY has_miss DESC, takes DESC, utterance_id)::INT AS turn FROM u)"
+#: Rows with two entities, one (a fifth of the users) and none (another fifth).
+LISTEN = """, few AS (SELECT * FROM pents WHERE user_id % 5 <> 1 AND (user_id % 5 <> 0 OR pos = 0)),
+u AS (SELECT p.utterance_id, coalesce(min(f.type), 'none') AS type, coalesce(bool_or(NOT f.hit), false) AS has_miss, (CASE any_value(p.user_id) % 5 WHEN 0 THEN 1 WHEN 1 THEN 0 ELSE 2 END)::INT AS n_entities
+  FROM prim p LEFT JOIN few f ON f.event_id = p.event_id GROUP BY 1),
+t AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY has_miss DESC, n_entities DESC, utterance_id)::INT AS turn FROM u)"""
 
 
 @query(WITH + LISTEN + " SELECT * FROM t ORDER BY turn, type LIMIT 12")
 def listen_set(spark, sf):
-    return W.listen_set(prim(spark, sf), 12)
+    few = F.when(F.col("user_id") % 5 == 0, F.slice("entities", 1, 1)).when(F.col("user_id") % 5 == 1, F.slice("entities", 1, 0)).otherwise(F.col("entities"))
+    return W.listen_set(prim(spark, sf).withColumn("entities", few), 12)
 
 
 @query(WITH + "SELECT event_id, type, expected, found FROM ents WHERE NOT hit AND found IS NOT NULL AND condition = 'error' ORDER BY (length(expected) = length(found)) DESC, least(length(expected), 40) DESC, event_id, pos LIMIT 1")
@@ -85,7 +89,7 @@ def hero_example(spark, sf):
     return W.hero_example(ents(spark, sf), BURSTY)
 
 
-@query(WITH + ", g AS (SELECT event_id, bool_or(NOT hit) AS has_miss, md5('9|' || event_id) AS h FROM ents GROUP BY 1), b AS ((SELECT * FROM g WHERE has_miss ORDER BY h LIMIT 20) UNION ALL (SELECT * FROM g WHERE NOT has_miss ORDER BY h LIMIT 30)), p AS (SELECT *, row_number() OVER (ORDER BY has_miss DESC, h)::INT AS place FROM b) SELECT * FROM p WHERE place <= 30")
+@query(WITH + ", g AS (SELECT event_id, bool_or(NOT hit) AS has_miss, md5('9|' || event_id) AS h FROM ents GROUP BY 1), b AS ((SELECT * FROM g WHERE has_miss ORDER BY h LIMIT 20) UNION ALL (SELECT * FROM g WHERE NOT has_miss ORDER BY h LIMIT 30)), p AS (SELECT * FROM b ORDER BY has_miss DESC, h LIMIT 30) SELECT *, row_number() OVER (ORDER BY md5('9|shuffled|' || event_id))::INT AS place FROM p")
 def review_sample(spark, sf):
     return W.review_sample(rows(spark, sf), 30, 9)
 

@@ -1,5 +1,8 @@
 """Every registered query against its SQL on the smallest tables, and the cases that the semantics pin down."""
 
+import functools
+import itertools
+import random
 import re
 
 import pytest
@@ -8,7 +11,7 @@ from pyspark.sql import functions as F
 
 from entitysurv.functions import numbers as N
 from entitysurv.functions import text as T
-from entitysurv.functions.lexicon import HINDI_0_TO_99, HINDI_ROMAN_0_TO_99, canonicalize, lexicon, romanised
+from entitysurv.functions.lexicon import HINDI_0_TO_99, HINDI_ROMAN_0_TO_99, canonical_words, canonicalize, lexicon, romanised
 from entitysurv.operators import extraction as X
 from entitysurv.operators import rows as R
 from entitysurv.operators import windows as W
@@ -103,12 +106,47 @@ def test_scalars(spark):
     assert one(T.number_to_words(F.lit(21050003))) == "two crore ten lakh fifty thousand three" and one(T.number_to_words(F.lit(0))) == "zero"
     assert one(T.wer(F.lit("a b c"), F.lit("a x c d"))) == pytest.approx(2 / 3) and one(T.wer(F.lit(""), F.lit("a"))) == 1.0
     assert one(T.wer(F.lit("करें"), F.lit("करें।"))) == 1.0
-    assert one(T.value_diff_lost(F.lit("1234"), F.lit("1934"))) == 1 and one(T.value_diff_lost(F.lit("12345"), F.lit("1245"))) == 1
     assert one(canonicalize(F.lit("सत्तर"))) == one(canonicalize(F.lit("सतर"))) and one(canonicalize(F.lit("hazaar"))) == "hajar"
     assert one(T.normalize_date(F.lit(None).cast("int"), F.lit(3), F.lit(14))) == "--03-14"
     assert one(io.manifest_dropped_fraction(F.array(F.lit("x"), F.lit("dropped 0/0 frames"), F.lit("dropped 3/12 frames")))) == 0.25
 
 
+def diff_brute(e, f):
+    if f is None:
+        return [(e, "missing")]
+    steps, i, j = [], 0, 0
+    if len(e) == len(f):
+        steps = [(y, "same" if x == y else "wrong") for x, y in zip(e, f, strict=True)]
+    else:
+        common = functools.cache(lambda i, j: 0 if i == len(e) or j == len(f) else common(i + 1, j + 1) + 1 if e[i] == f[j] else max(common(i + 1, j), common(i, j + 1)))
+        while i < len(e) or j < len(f):
+            if i < len(e) and j < len(f) and e[i] == f[j]:
+                steps, i, j = [*steps, (f[j], "same")], i + 1, j + 1
+            elif i < len(e) and (j == len(f) or common(i + 1, j) >= common(i, j + 1)):
+                steps, i = [*steps, (e[i], "missing")], i + 1
+            else:
+                steps, j = [*steps, (f[j], "wrong")], j + 1
+    return [("".join(t for t, _ in g), k) for k, g in ((k, list(g)) for k, g in itertools.groupby(steps, key=lambda s: s[1]))]
+
+
+def test_value_diff_against_brute_force(spark):
+    rng = random.Random(5)
+    draw = lambda: "".join(rng.choices("123", k=rng.randint(0, 7)))
+    pairs = [(draw(), draw()) for _ in range(400)] + [("1234", None), ("", ""), ("", "12"), ("12", "")]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, e string, f string").withColumn("d", T.value_diff(F.col("e"), F.col("f"))).withColumn("lost", T.value_diff_lost(F.col("d")))
+    for r in df.collect():
+        want = diff_brute(r.e, r.f)
+        assert [tuple(p) for p in r.d] == want and r.lost == sum(len(t) for t, k in want if k != "same")
+
+
+def test_canonical_words_are_the_canonical_forms(spark):
+    rng = random.Random(6)
+    words = HINDI_0_TO_99.split() + HINDI_ROMAN_0_TO_99.split() + ["".join(rng.choices("azeiouकखतथ्िनबय़ँक़ज़12'", k=rng.randint(1, 8))) for _ in range(500)]
+    df = spark.createDataFrame([(words[i : i + 7],) for i in range(0, len(words), 7)] + [([],)], "w array<string>")
+    got = df.select(canonical_words(F.col("w")).alias("c"), F.transform("w", canonicalize).alias("d")).collect()
+    assert all(r.c == r.d for r in got)
+
+
 def test_rows_do_not_depend_on_partitioning(spark):
     r = QUERIES["hit_rate"](spark, SF)
     few = sorted(map(tuple, r.collect()))
