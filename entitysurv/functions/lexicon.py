@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import text as T
 from .text import language_key
 
 BUCKETS = 64  #: small maps that the lexicon is cut into
@@ -30,6 +31,7 @@ HINDI_ROMAN_0_TO_99 = (
     "saath iksath baasath tirsath chaunsath painsath chhiyaasath sadsath adsath unhattar sattar ikhattar bahattar tihattar chauhattar pachhattar chhihattar satahattar athahattar unyaasee "
     "assee ikyaasee bayaasee tiraasee chauraasee pachaasee chhiyaasee sataasee athaasee navaasee nabbe ikyaanave baanave tiraanave chauraanave pachaanave chhiyaanave sattaanave atthaanave ninyaanave"
 )
+HINDI_SCALES = ("सौ", "हज़ार", "लाख", "करोड़")
 ENGLISH_0_TO_20 = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
 ENGLISH_TENS = "thirty forty fifty sixty seventy eighty ninety"
 SCALES = {100: "सौ sau hundred", 1000: "हज़ार hazaar thousand", 100000: "लाख lakh lakhs lac", 10000000: "करोड़ crore crores", 1000000000: "अरब arab"}
@@ -162,6 +164,16 @@ def romanised() -> list[tuple]:
 HINDI_IN_LATIN = "sau hazaar arab derh dedh dhai saadhe sade sawa sava paune pone".split()
 
 
+def number_words(n: Column, language: str) -> Column:
+    """A whole number under 10^11 as a speaker of the language says it."""
+    return T.number_to_words(n, HINDI_0_TO_99.split(), HINDI_SCALES) if language.lower().startswith("hi") else T.number_to_words(n)
+
+
+def digit_words(d: Column, language: str) -> Column:
+    """A string of digits, read one by one."""
+    return T.digits_to_words(d, HINDI_0_TO_99.split()) if language.lower().startswith("hi") else T.digits_to_words(d)
+
+
 def layers() -> dict[str, list[tuple]]:
     """The entries of each language in order of precedence: its own words first, English ones below, as speech mixes them."""
     hindi = lambda w: any("\u0900" <= c <= "\u097f" for c in w) or w in HINDI_IN_LATIN

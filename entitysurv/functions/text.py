@@ -68,26 +68,29 @@ def indian_grouping(n: Column) -> Column:
     return F.concat(sign, F.when(F.length(d) <= 3, d).otherwise(grouped))
 
 
-def _below_hundred(n: Column) -> Column:
-    words = DIGIT_WORDS + TEENS + [t if u == 0 else f"{t} {DIGIT_WORDS[u]}" for t in TENS for u in range(10)]
-    return F.element_at(F.split(F.lit("|".join(words)), "[|]"), (n + 1).cast("int"))  # one constant
+ENGLISH_BELOW_100 = DIGIT_WORDS + TEENS + [t if u == 0 else f"{t} {DIGIT_WORDS[u]}" for t in TENS for u in range(10)]
+ENGLISH_SCALES = ("hundred", "thousand", "lakh", "crore")
 
 
-def number_to_words(n: Column) -> Column:
-    """A whole number under 10^11 in English words with Indian scales; any other is refused."""
+def word_of(words: list[str], i: Column) -> Column:
+    """The i-th of words, which are one constant of the plan."""
+    return F.element_at(F.split(F.lit("|".join(words)), "[|]"), (i + 1).cast("int"))
+
+
+def number_to_words(n: Column, below_100: list[str] = ENGLISH_BELOW_100, scales: tuple[str, ...] = ENGLISH_SCALES) -> Column:
+    """A whole number under 10^11 in words with Indian scales, English unless told other words; any other is refused."""
     n = n.cast("long")
     n = F.when(n.isNull() | n.between(0, 99_999_999_999), n).otherwise(F.raise_error(F.concat(F.lit("no words for "), n.cast("string"))))
     part = lambda div, mod: F.floor(n / div) % mod
-    piece = lambda v, scale: F.when(v > 0, F.concat_ws(" ", _below_hundred(v), F.lit(scale)))
+    piece = lambda v, scale: F.when(v > 0, F.concat_ws(" ", word_of(below_100, v), F.lit(scale)))
     crore = F.floor(n / 10_000_000)
-    crores = F.when(crore > 0, F.concat_ws(" ", F.when(crore >= 100, F.concat_ws(" ", _below_hundred(F.floor(crore / 100)), F.lit("hundred"))), F.when(crore % 100 > 0, _below_hundred(crore % 100)), F.lit("crore")))
-    rest = F.when(n % 100 > 0, _below_hundred(n % 100))
-    return F.when(n == 0, F.lit("zero")).otherwise(F.concat_ws(" ", crores, piece(part(100_000, 100), "lakh"), piece(part(1_000, 100), "thousand"), piece(part(100, 10), "hundred"), rest))
+    crores = F.when(crore > 0, F.concat_ws(" ", F.when(crore >= 100, F.concat_ws(" ", word_of(below_100, F.floor(crore / 100)), F.lit(scales[0]))), F.when(crore % 100 > 0, word_of(below_100, crore % 100)), F.lit(scales[3])))
+    rest = F.when(n % 100 > 0, word_of(below_100, n % 100))
+    return F.when(n == 0, F.lit(below_100[0])).otherwise(F.concat_ws(" ", crores, piece(part(100_000, 100), scales[2]), piece(part(1_000, 100), scales[1]), piece(part(100, 10), scales[0]), rest))
 
 
-def digits_to_words(d: Column) -> Column:
-    words = F.split(F.lit("|".join(DIGIT_WORDS)), "[|]")
-    return F.array_join(F.transform(F.regexp_extract_all(d, F.lit("([0-9])")), lambda c: F.element_at(words, c.cast("int") + 1)), " ")
+def digits_to_words(d: Column, words: list[str] = DIGIT_WORDS) -> Column:
+    return F.array_join(F.transform(F.regexp_extract_all(d, F.lit("([0-9])")), lambda c: word_of(words[:10], c.cast("int"))), " ")
 
 
 def edit_distance(a: Column, b: Column) -> Column:

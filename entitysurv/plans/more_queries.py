@@ -10,6 +10,7 @@ from ..operators import extraction as X
 from ..operators import generation as G
 from ..operators import metrics as M
 from ..operators import rows as R
+from ..operators import scoring as S
 from ..sources import io
 from . import demo
 from .call_queries import DIGITS_SQL, GOLD_SQL, SPELT_SQL, TEXTS_SQL, calls, damaged
@@ -252,6 +253,26 @@ def render_template(spark, sf):
     return found.where("hit").groupBy(F.col("row_key").alias("i")).agg(F.count(F.lit(1)).cast("int").alias("gold"))
 
 
+@query("SELECT o_orderkey AS i, CASE o_orderkey % 5 WHEN 1 THEN 1 ELSE 2 END AS gold, true AS glossed FROM orders")
+def generate_hindi(spark, sf):
+    """Hindi utterances with their gloss: gold that extraction finds again by the layer of Hindi, counted per sentence."""
+    keys = demo.table(spark, sf, "orders").select(F.col("o_orderkey").alias("i")).repartition(spark.sparkContext.defaultParallelism)
+    g = G.generate_corpus(keys, 11, "hi-IN")
+    gold = F.transform("entities", lambda e: F.struct(e["type"].alias("type"), e["surface"].alias("surface"), e["normalized"].alias("expected")))
+    rows = g.select(F.col("i").alias("row_key"), "language", F.col("text").alias("reference"), F.col("text").alias("hypothesis"), gold.alias("gold"), (~F.contains("gloss", F.lit("{"))).alias("glossed"))
+    s = S.score_rows(rows, L.lexicon_by_language(spark), ascii_only=False)
+    return s.select(F.col("row_key").alias("i"), F.size(F.filter("entities", lambda e: e["hit"])).alias("gold"), "glossed")
+
+
+@query("SELECT o_orderkey AS row_key, floor(o_totalprice)::BIGINT AS value, lpad((o_orderkey * 7919 % 1000000)::VARCHAR, 6, '0') AS digits FROM orders")
+def spoken_hindi(spark, sf):
+    """Every amount and every code in Hindi words, read back."""
+    c = calls(spark, sf)
+    read = lambda text: X.annotate(c.withColumn("said", text), L.lexicon(spark), F.col("said"), ascii_only=False).select("row_key", F.col("_runs")[0].alias("r"))
+    amounts = read(L.number_words(F.col("amount"), "hi-IN")).select("row_key", F.col("r.value").cast("long").alias("value"))
+    return amounts.join(read(L.digit_words(F.col("otp"), "hi-IN")).select("row_key", "r.digits"), "row_key")
+
+
 @query(f"WITH {OBS}, a AS (SELECT condition, count(*) AS n, count(*) FILTER (value < 60) AS h FROM obs GROUP BY 1), p AS (SELECT x.condition AS a, y.condition AS b, x.h / x.n::DOUBLE AS p1, y.h / y.n::DOUBLE AS p2, x.n AS n1, y.n AS n2 FROM a x JOIN a y ON x.condition < y.condition) SELECT a, b, round(p1 - p2, 6) AS d, round(p1 - p2 - 1.96 * sqrt(p1 * (1 - p1) / n1 + p2 * (1 - p2) / n2), 6) AS low FROM p")
 def diff_ci(spark, sf):
     from ..functions.stats import diff_ci as formula
