@@ -49,14 +49,6 @@ def manifest_dropped_fraction(notes: Column) -> Column:
     return first["n"] / first["m"]
 
 
-def unique_names(df: DataFrame, column: str = "name") -> DataFrame:
-    """df, or an error that names a value which comes twice."""
-    twice = df.groupBy(column).count().where("count > 1").limit(1).collect()
-    if twice:
-        raise ValueError(f"duplicate {column}: {twice[0][0]}")
-    return df
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir, which the cluster shares; a local session without it gets a temporary one."""
     import tempfile
