@@ -87,12 +87,6 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], rows: str, by:
     return left.join(right, [*on, "_cell"], how).drop("_cell")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder; Spark's cleaner removes it when it is no longer referred to."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def lowest(df: DataFrame, h: Column, most: int, *ties: str) -> DataFrame:
     """At most `most` rows of df: those with the lowest hash h (a long), ties by columns. Rows are counted and only those
     under a threshold for about that number are sorted, so no task gets `most` rows from every partition."""
