@@ -1,12 +1,12 @@
-"""Window-shaped operators: samples, listings, series, cost."""
+"""Window-shaped operators: samples, listings, envelopes, cost."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.io import staged
 from .metrics import total
+from .series import earlier, ranged
 
 
 def listen_set(rows: DataFrame, n: int) -> DataFrame:
@@ -44,27 +44,10 @@ def budget_cutoff(calls: DataFrame, cap: int, order: str = "event_id") -> DataFr
     The calls are dealt to ranges of the order, each range is summed, and the running sum inside each stands on the sums
     of the earlier ones: no window spans all calls, and what is broadcast has one row per range.
     """
-    ranged = calls.withColumn("_paid", (~F.col("cached")).cast("long")).repartitionByRange(order).withColumn("_range", F.spark_partition_id())
-    ranged = staged(ranged, "ranges")  # the numbers of the ranges stay what they are
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranged.groupBy("_range").agg(F.sum("_paid").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    dealt = ranged(calls.withColumn("_paid", (~F.col("cached")).cast("long")), order)
+    offsets = dealt.groupBy("_range").agg(F.sum("_paid").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(earlier()), F.lit(0)).alias("_before"))
     inside = Window.partitionBy("_range").orderBy(order)
-    return ranged.join(F.broadcast(offsets), "_range").withColumn("running", F.col("_before") + F.sum("_paid").over(inside)).withColumn("within", F.col("running") <= cap).drop("_before", "_paid", "_range")
-
-
-def loss_run_stats(frames: DataFrame, frame_ms: int = 20) -> DataFrame:
-    """Per series: runs of lost frames, their mean length in ms and the loss rate (gaps and islands)."""
-    lost = frames.where("lost").withColumn("island", F.col("idx") - F.row_number().over(Window.partitionBy("series").orderBy("idx")))
-    runs = lost.groupBy("series", "island").agg(total().alias("n")).groupBy("series").agg(total().alias("runs"), F.sum("n").alias("dropped"))
-    all_ = frames.groupBy("series").agg(total().alias("frames"))
-    dropped = F.coalesce("dropped", F.lit(0))
-    return all_.join(runs, "series", "left").select("series", F.coalesce("runs", F.lit(0)).alias("runs"), F.round(F.when(F.col("runs") > 0, dropped / F.col("runs") * frame_ms), 6).alias("mean_ms"), F.round(dropped / F.col("frames"), 6).alias("loss_rate"))
-
-
-def repeat_fill(frames: DataFrame) -> DataFrame:
-    """A lost frame takes the last frame that arrived; before the first it is silence."""
-    w = Window.partitionBy("series").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    return frames.withColumn("filled", F.coalesce(F.last(F.when(~F.col("lost"), F.col("v")), ignorenulls=True).over(w), F.lit(0.0)))
+    return dealt.join(F.broadcast(offsets), "_range").withColumn("running", F.col("_before") + F.sum("_paid").over(inside)).withColumn("within", F.col("running") <= cap).drop("_before", "_paid", "_range")
 
 
 def silence_fill(frames: DataFrame) -> DataFrame:

@@ -1,9 +1,9 @@
 """Windows, series, conditions and cost over the demo relations."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import conditions as C
+from ..operators import series as Z
 from ..operators import windows as W
 from . import demo
 from .metric_queries import BURSTY, CONDS, WITH, ents, pents, prim, rows
@@ -15,17 +15,18 @@ FRAMES = "fr AS (SELECT user_id AS series, row_number() OVER (PARTITION BY user_
 
 def frames(spark, sf):
     e = demo.table(spark, sf, "events")
-    return e.select(F.col("user_id").alias("series"), (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).cast("long").alias("idx"), F.col("value").alias("v"), (F.col("event_type") == "error").alias("lost"))
+    of = e.select(F.col("user_id").alias("series"), "ts", "event_id", F.col("value").alias("v"), (F.col("event_type") == "error").alias("lost"))
+    return Z.numbered(of, "ts", "event_id").select("series", "idx", "v", "lost")
 
 
 @query(f"WITH {FRAMES}, l AS (SELECT series, idx - row_number() OVER (PARTITION BY series ORDER BY idx) AS g FROM fr WHERE lost), r AS (SELECT series, count(DISTINCT g) AS runs, count(*) AS dropped FROM l GROUP BY 1), a AS (SELECT series, count(*) AS n FROM fr GROUP BY 1) SELECT series, coalesce(runs, 0) AS runs, round(dropped / runs::DOUBLE * 20, 6) AS mean_ms, round(coalesce(dropped, 0) / n::DOUBLE, 6) AS loss_rate FROM a LEFT JOIN r USING (series)")
 def loss_run_stats(spark, sf):
-    return W.loss_run_stats(frames(spark, sf))
+    return Z.loss_run_stats(frames(spark, sf))
 
 
 @query(f"WITH {FRAMES} SELECT series, idx, coalesce(last_value(CASE WHEN NOT lost THEN v END IGNORE NULLS) OVER (PARTITION BY series ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS filled FROM fr")
 def repeat_fill(spark, sf):
-    return W.repeat_fill(frames(spark, sf)).select("series", "idx", "filled")
+    return Z.repeat_fill(frames(spark, sf)).select("series", "idx", "filled")
 
 
 @query(f"WITH {FRAMES} SELECT series, idx, CASE WHEN lost THEN 0 ELSE v END AS filled FROM fr")

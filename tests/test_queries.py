@@ -14,7 +14,7 @@ from entitysurv.functions import text as T
 from entitysurv.functions.lexicon import HINDI_0_TO_99, HINDI_ROMAN_0_TO_99, canonical_words, canonicalize, lexicon, romanised
 from entitysurv.operators import extraction as X
 from entitysurv.operators import rows as R
-from entitysurv.operators import windows as W
+from entitysurv.operators import series as Z
 from entitysurv.plans.queries import ORACLE_SQL, QUERIES
 from entitysurv.sources import io
 
@@ -173,5 +173,5 @@ def test_bad_corpus_line_is_named(spark, tmp_path):
 
 def test_series_without_loss_and_without_frames(spark):
     f = spark.createDataFrame([(1, 0, 5.0, True), (1, 1, 2.0, False), (1, 2, 9.0, True)], "series int, idx long, v double, lost boolean")
-    assert [r.filled for r in W.repeat_fill(f).orderBy("idx").collect()] == [0.0, 2.0, 2.0]
-    assert W.loss_run_stats(f).first().runs == 2 and W.loss_run_stats(f.limit(0)).count() == 0
+    assert [r.filled for r in Z.repeat_fill(f).orderBy("idx").collect()] == [0.0, 2.0, 2.0]
+    assert Z.loss_run_stats(f).first().runs == 2 and Z.loss_run_stats(f.limit(0)).count() == 0
