@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .metrics import rounded, total
@@ -60,6 +60,23 @@ def cue_totals(survival: DataFrame, shaped: list[str]) -> DataFrame:
     return survival.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in sums.items()))
 
 
+def cue_figures(survival: DataFrame, rows: int | Column, modes: list[str], shaped: list[str]) -> DataFrame:
+    """The figures as one JSON document: modes, rows, all figures of every condition by name, orphans by type, the types
+    with a length shape and the totals."""
+    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
+    one = F.struct(
+        "condition", F.col("cue_total").alias("cueTotal"), F.col("cue_kept").alias("cueKept"), share("cue_kept", "cue_total").alias("cueSurvival"),
+        F.col("word_total").alias("wordTotal"), F.col("word_kept").alias("wordKept"), share("word_kept", "word_total").alias("wordSurvival"),
+        F.col("value_present").alias("valuePresent"), "orphans", F.col("unrecovered").alias("orphansUnrecovered"), F.col("by_type").alias("orphansByType"),
+    )
+    by_name = lambda a, b: F.when(a["condition"] < b["condition"], -1).when(a["condition"] > b["condition"], 1).otherwise(0)
+    zero = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).alias(name)
+    types = survival.select(F.explode("by_type").alias("type", "n")).groupBy("type").agg(F.sum("n").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("orphansByType"))  # one entry per type
+    all_ = survival.agg(F.array_sort(F.collect_list(one), by_name).alias("conditions"), F.struct(zero("orphans", "orphans"), zero("unrecovered", "orphansUnrecovered"), zero("value_present", "valuePresent")).alias("totals"))  # one struct per condition
+    doc = F.struct(F.array(*map(F.lit, modes)).alias("modes"), (rows if isinstance(rows, Column) else F.lit(rows)).cast("long").alias("rows"), "conditions", "orphansByType", F.array(*map(F.lit, sorted(shaped))).alias("shapedTypes"), "totals")
+    return all_.crossJoin(types).select(F.to_json(doc).alias("document"))  # one row each
+
+
 def orphan_rate_rank(survival: DataFrame, bursty: list[str], clean: str) -> DataFrame:
     """Conditions by orphan rate, worst first, with how cue words fared against the clean condition, and whether the
     condition is the bursty one that keeps the fewest cues; bursty_orphans is the sum over all bursty ones."""

@@ -134,9 +134,11 @@ def summary(primary: DataFrame, ents: DataFrame, every: DataFrame) -> DataFrame:
 
 
 def runs(rows: DataFrame) -> DataFrame:
+    """One row per run; rows carry source, the file they came from (see results_with_source), and the first by name counts."""
     names = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
     return rows.groupBy("run_id").agg(
-        names("asr_impl").alias("impls"), names("asr_model").alias("models"), names("asr_mode").alias("modes"), names("language").alias("languages"), names("condition").alias("conditions"),
+        F.min("source").alias("source"),
+        names("asr_impl").alias("impls"), names(model_of()).alias("models"), names(mode_of()).alias("modes"), names("language").alias("languages"), names("condition").alias("conditions"),
         F.count_distinct("utterance_id").alias("utterances"), total().alias("rows"), F.sum(F.size("entities")).alias("entities"), F.count_if(F.col("error").isNotNull()).alias("errors"),
     )
 
@@ -161,9 +163,10 @@ def with_rendering(ents: DataFrame) -> DataFrame:
 
 
 def rendering_table(ents: DataFrame) -> DataFrame:
-    """Per utterance, mode, condition and value the models' renderings, by model."""
-    cell = F.concat_ws("=", model_of(), "rendering")
-    return with_rendering(ents).groupBy("utterance_id", mode_of().alias("mode"), "condition", "type", "expected").agg(F.array_join(F.array_sort(F.collect_list(cell)), ";").alias("renderings"), F.count_distinct("rendering").alias("forms"), rounded(F.max("wer") - F.min("wer")).alias("spread"))
+    """Per utterance, mode, condition and value one cell (model, rendering, hit, wer, hypothesis) per model, by model; the
+    number of forms and the spread of the error rates."""
+    cell = F.struct(model_of().alias("model"), "rendering", "hit", "wer", "hypothesis")
+    return with_rendering(ents).groupBy("utterance_id", mode_of().alias("mode"), "condition", "type", "expected").agg(F.array_sort(F.collect_list(cell)).alias("models"), F.count_distinct("rendering").alias("forms"), rounded(F.max("wer") - F.min("wer")).alias("spread"))
 
 
 def rendering_stats(ents: DataFrame) -> DataFrame:

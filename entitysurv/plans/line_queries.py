@@ -8,6 +8,7 @@ from ..functions import lexicon as L
 from ..functions import text as T
 from ..operators import cues as C
 from ..operators import extraction as X
+from ..operators import guards as G
 from ..operators import metrics as M
 from ..operators import scoring as S
 from ..sources import io
@@ -108,9 +109,13 @@ def triage_listing(spark, sf):
     return t.join(often, "pattern").select("bucket", "pattern", "row_key", "idx", "often").orderBy(rank, F.desc("often"), "pattern", "row_key", "idx")
 
 
-@query(LINES + "SELECT count(DISTINCT o_orderkey) AS rows, count(DISTINCT o_orderkey) AS utterances, count(DISTINCT condition) AS conditions, count(*) AS entities, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses, round(count(*) FILTER (hit) / count(*)::DOUBLE, 6) AS rate FROM ent")
+@query(LINES + """SELECT count(DISTINCT o_orderkey) AS rows, count(DISTINCT o_orderkey) AS utterances, count(DISTINCT condition) AS conditions, count(*) AS entities, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses, round(count(*) FILTER (hit) / count(*)::DOUBLE, 6) AS rate,
+  'run-0,run-1,run-2,run-3' AS run_id, 'batch,live' AS asr_impl, '-,m1' AS asr_model, 'transcribe' AS asr_mode FROM ent""")
 def triage_header(spark, sf):
-    return S.triage_header(scored(spark, sf))
+    k = F.col("row_key")
+    by = {"run_id": F.concat(F.lit("run-"), (k % 4).cast("string")), "asr_impl": F.when(k % 2 == 0, "batch").otherwise("live"), "asr_model": F.when(k % 3 == 0, "m1"), "asr_mode": F.lit("transcribe")}
+    h = S.triage_header(scored(spark, sf).withColumns(by))
+    return h.withColumns({c: F.array_join(c, ",") for c in by})
 
 
 @query(LINES + """SELECT o_orderkey AS row_key, idx, type, expected, CASE WHEN kind IN (1, 2) THEN NULL WHEN type = 'pin_code' THEN NULL WHEN hit OR kind = 7 AND type = 'otp' THEN 'typed' WHEN type = 'currency' OR contains(digits, expected) THEN 'digits' END AS how FROM ent""")
@@ -131,11 +136,8 @@ def stored(x: DataFrame) -> DataFrame:
 @query(LINES + "SELECT condition, type, count(*) AS total, count(*) FILTER (hit) AS hits, round(count(*) FILTER (hit) / count(*)::DOUBLE, 6) AS rate FROM ent GROUP BY ALL")
 def rescore(spark, sf):
     """Scores recomputed from the stored hypotheses, after a check that no utterance is missing."""
-    x = lines(spark, sf)
-    lost = x.join(calls(spark, sf).select("row_key"), "row_key", "left_anti").limit(3).collect()
-    if lost:
-        raise ValueError(f"utterances without a corpus row: {[r.row_key for r in lost]}")
-    return M.rates(entities(scored(spark, sf)), "condition", "type")
+    known = demo.table(spark, sf, "orders").select(F.col("o_orderkey").alias("row_key"))
+    return M.rates(entities(S.score_rows(G.require_utterances(lines(spark, sf), known, "row_key"), L.lexicon(spark))), "condition", "type")
 
 
 @query(LINES + f"SELECT condition, type, count(*) FILTER ({STORED}) AS before, count(*) FILTER (hit) AS after, count(*) AS total, count(*) FILTER (hit) - count(*) FILTER ({STORED}) AS delta FROM ent GROUP BY ALL")
@@ -202,19 +204,23 @@ def cue_totals(spark, sf):
     return C.cue_totals(C.cue_survival(*_survival(spark, sf)), S.DIGIT_TYPES)
 
 
-def _figures(spark, sf):
-    s = C.cue_survival(*_survival(spark, sf))
-    by_name = lambda a, b: F.when(a["condition"] < b["condition"], -1).when(a["condition"] > b["condition"], 1).otherwise(0)
-    return s.agg(F.array_sort(F.collect_list(F.struct(*s.columns)), by_name).alias("conditions"), F.sum("orphans").alias("orphans"), F.sum("value_present").alias("value_present"))  # one struct per condition
-
-
-@query(CUES + "SELECT 'transcribe' AS mode, (SELECT count(*) FROM survival) AS conditions, sum(orphans)::BIGINT AS orphans, sum(value_present)::BIGINT AS value_present FROM survival")
+@query(CUES + """, tt AS (SELECT string_agg(type || '=' || n, ',' ORDER BY type) AS all_by_type FROM (SELECT type, count(*) AS n FROM orphan GROUP BY 1))
+SELECT 'transcribe' AS modes, (SELECT count(*) FROM cue) AS rows, condition, cue_total, cue_kept, round(cue_kept / cue_total::DOUBLE, 6) AS cue_survival, word_total, word_kept, round(word_kept / word_total::DOUBLE, 6) AS word_survival, value_present, orphans, unrecovered, by_type,
+  all_by_type, (sum(orphans) OVER ())::BIGINT AS all_orphans, (sum(unrecovered) OVER ())::BIGINT AS all_unrecovered, (sum(value_present) OVER ())::BIGINT AS all_present, 'account_number,otp,pin_code' AS shaped FROM survival, tt""")
 def cue_figures_json(spark, sf):
-    """The figures as one JSON document with modes, conditions and totals, parsed again to be compared."""
-    f = _figures(spark, sf)
-    text = F.to_json(F.struct(F.array(F.lit("transcribe")).alias("modes"), "conditions", F.struct("orphans", "value_present").alias("totals")))
-    doc = F.from_json(text, "modes array<string>, conditions array<struct<condition:string>>, totals struct<orphans:bigint,value_present:bigint>")
-    return f.select(doc.alias("d")).select(F.element_at("d.modes", 1).alias("mode"), F.size("d.conditions").cast("long").alias("conditions"), "d.totals.orphans", "d.totals.value_present")
+    """All figures, written as one JSON document and read back, one row per condition."""
+    bags, x, orphan, present = _survival(spark, sf)
+    figures = C.cue_figures(C.cue_survival(bags, x, orphan, present), x.count(), ["transcribe"], S.DIGIT_TYPES)
+    path = io.scratch_path(spark, "figures")
+    figures.write.text(path)
+    d = io.cue_figures(spark, path).withColumn("c", F.explode("conditions"))
+    listed = lambda m: F.array_join(F.transform(F.map_entries(m), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
+    c = lambda field, name: F.col(f"c.{field}").alias(name)
+    return d.select(
+        F.array_join("modes", ",").alias("modes"), "rows", c("condition", "condition"), c("cueTotal", "cue_total"), c("cueKept", "cue_kept"), F.round("c.cueSurvival", 6).alias("cue_survival"), c("wordTotal", "word_total"), c("wordKept", "word_kept"),
+        F.round("c.wordSurvival", 6).alias("word_survival"), c("valuePresent", "value_present"), c("orphans", "orphans"), c("orphansUnrecovered", "unrecovered"), listed(F.col("c.orphansByType")).alias("by_type"), listed(F.col("orphansByType")).alias("all_by_type"),
+        F.col("totals.orphans").alias("all_orphans"), F.col("totals.orphansUnrecovered").alias("all_unrecovered"), F.col("totals.valuePresent").alias("all_present"), F.array_join("shapedTypes", ",").alias("shaped"),
+    )
 
 
 @query("""WITH f AS (SELECT o_orderpriority AS priority, count(*) AS rows FROM orders GROUP BY 1), n AS (SELECT *, (row_number() OVER (ORDER BY priority))::INT AS k FROM f),

@@ -143,9 +143,10 @@ def summary(spark, sf):
     return M.summary(prim(spark, sf), pents(spark, sf), rows(spark, sf))
 
 
-@query(f"WITH {OBS} SELECT run_id, string_agg(DISTINCT asr_impl, ',' ORDER BY asr_impl) AS impls, coalesce(string_agg(DISTINCT asr_model, ',' ORDER BY asr_model), '') AS models, string_agg(DISTINCT asr_mode, ',' ORDER BY asr_mode) AS modes, string_agg(DISTINCT language, ',' ORDER BY language) AS languages, string_agg(DISTINCT condition, ',' ORDER BY condition) AS conditions, count(DISTINCT utterance_id) AS utterances, count(*) AS rows, 2 * count(*) AS entities, count(error) AS errors FROM obs GROUP BY 1")
+@query(f"WITH {OBS} SELECT run_id, min('scores-' || event_id % 5 || '.json') AS source, string_agg(DISTINCT asr_impl, ',' ORDER BY asr_impl) AS impls, string_agg(DISTINCT coalesce(asr_model, '-'), ',' ORDER BY coalesce(asr_model, '-')) AS models, string_agg(DISTINCT asr_mode, ',' ORDER BY asr_mode) AS modes, string_agg(DISTINCT language, ',' ORDER BY language) AS languages, string_agg(DISTINCT condition, ',' ORDER BY condition) AS conditions, count(DISTINCT utterance_id) AS utterances, count(*) AS rows, 2 * count(*) AS entities, count(error) AS errors FROM obs GROUP BY 1")
 def runs(spark, sf):
-    return M.runs(demo.obs(spark, sf))
+    source = F.concat(F.lit("scores-"), (F.col("event_id") % 5).cast("string"), F.lit(".json"))
+    return M.runs(demo.obs(spark, sf).withColumn("source", source))
 
 
 @query(WITH + "SELECT type, expected, found AS got, CASE WHEN found IS NOT NULL THEN levenshtein(expected, found)::INT END AS edit_distance, count(*) AS n FROM ents WHERE NOT hit GROUP BY ALL")
@@ -199,9 +200,11 @@ def rendering_of(spark, sf):
     return M.with_rendering(ents(spark, sf)).select("event_id", "type", "rendering")
 
 
-@query(REND + " SELECT * FROM tab")
+@query(REND + " SELECT utterance_id, mode, condition, type, expected, forms, spread, (row_number() OVER (PARTITION BY utterance_id, mode, condition, type, expected ORDER BY model, rendering))::INT AS place, model, rendering, hit, wer, hypothesis FROM ren JOIN tab USING (utterance_id, mode, condition, type, expected)")
 def rendering_table(spark, sf):
-    return M.rendering_table(ents(spark, sf))
+    """The table, one row per model's cell in its place."""
+    t = M.rendering_table(ents(spark, sf)).select("*", F.posexplode("models").alias("at", "m"))
+    return t.select("utterance_id", "mode", "condition", "type", "expected", "forms", "spread", (F.col("at") + 1).alias("place"), "m.*")
 
 
 @query(REND + " SELECT * FROM (SELECT count(*) AS pairs, count(*) FILTER (forms > 1) AS disagreements FROM tab), (SELECT count(*) FILTER (f > 1) AS changes FROM (SELECT count(DISTINCT rendering) AS f FROM ren WHERE rendering NOT IN ('absent', 'n/a') GROUP BY utterance_id, model, mode, type, expected)), (SELECT count(*) FILTER (rendering <> realization AND rendering NOT IN ('absent', 'n/a')) AS rewrites FROM ren)")
@@ -216,7 +219,8 @@ def rendering_crosstab(spark, sf):
 
 @query(REND + " SELECT * FROM tab WHERE forms > 1 OR (SELECT count(*) FROM tab) <= 24 ORDER BY spread DESC, utterance_id, mode, condition, type, expected LIMIT 24")
 def disagreement_topk(spark, sf):
-    return M.disagreement_topk(ents(spark, sf))
+    t = M.disagreement_topk(ents(spark, sf))
+    return t.withColumn("renderings", F.array_join(F.transform("models", lambda m: F.concat_ws("=", m["model"], m["rendering"])), ";")).drop("models")
 
 
 @query(WITH + f"SELECT condition, {MODEL}, string_agg(DISTINCT asr_mode, ',' ORDER BY asr_mode) AS modes, string_agg(DISTINCT asr_mode, ',' ORDER BY asr_mode) = (SELECT string_agg(DISTINCT asr_mode, ',' ORDER BY asr_mode) FROM rows_) AS complete FROM rows_ GROUP BY ALL")
