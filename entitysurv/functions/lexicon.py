@@ -47,7 +47,8 @@ CUES = {
 MONTHS = "january february march april may june july august september october november december"
 MONTHS_HINDI = "जनवरी फरवरी मार्च अप्रैल मई जून जुलाई अगस्त सितंबर अक्टूबर नवंबर दिसंबर"
 
-NUKTA_LETTERS = ("क़ख़ग़ज़ड़ढ़फ़य़", "कखगजडढफय")
+#: Letters of one code point that hold a nukta, and their bases; as escapes, since an editor may take them apart.
+NUKTA_LETTERS = ("\u0958\u0959\u095a\u095b\u095c\u095d\u095e\u095f\u0929\u0931\u0934", "कखगजडढफयनरळ")
 # A stop that is written before its aspirate, or any consonant before itself, is dropped with the virama
 # between.
 STOPS = {"क": "ख", "ग": "घ", "च": "छ", "ज": "झ", "ट": "ठ", "ड": "ढ", "त": "थ", "द": "ध", "प": "फ", "ब": "भ"}

@@ -22,7 +22,7 @@ TEMPLATES = [
     ("otp", "your code is {otp} do not share it", "banking", False),
     ("pin", "deliver to pin {pin_code} by {date}", "delivery", False),
     ("due", "payment of rupees {currency} is due on {date}", "billing", False),
-    ("two", "use code {otp:first} or code {otp:second}", "banking", True),
+    ("two", "use code {otp:first} or code {otp:second}", "banking", False),
 ]
 
 

@@ -56,6 +56,11 @@ def resolve_first(*sources: DataFrame, key: str = "id") -> DataFrame:
     return every.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "_priority")
 
 
+def missing_utterances(corpus: DataFrame, rows: DataFrame, key: str = "utterance_id") -> DataFrame:
+    """Utterances of the corpus that no row is about; a null key is missing."""
+    return corpus.join(rows.select(key), key, "left_anti")
+
+
 def scored_types(ents: DataFrame, types: list[str]) -> DataFrame:
     return ents.where(F.col("type").isin(types))
 

@@ -282,12 +282,19 @@ def normalize_date(spark, sf):
     return calls(spark, sf).select("row_key", T.normalize_date(F.when(k.isin(0, 2), F.year(d)), F.month(d), F.when(k.isin(0, 1), F.dayofmonth(d))).alias("normalized"))
 
 
-@query("SELECT o_orderkey AS row_key, CASE o_orderkey % 3 WHEN 0 THEN 'सतर' WHEN 1 THEN 'पथर' ELSE 'अछा' END AS word FROM orders")
+#: Consonants that are written doubled, and stops before their aspirates, with what is left of each.
+DOUBLED = "क ग च ज ट ड त द प ब म ल व स".split()
+ASPIRATED = "क्ख ग्घ च्छ ज्झ ट्ठ ड्ढ त्थ द्ध प्फ ब्भ".split()
+
+
+@query(f"SELECT o_orderkey AS row_key, CASE WHEN o_orderkey % 3 = 0 THEN 'स' || right({ASPIRATED}[o_orderkey % {len(ASPIRATED)} + 1], 1) ELSE 'अ' || {DOUBLED}[o_orderkey % {len(DOUBLED)} + 1] END || 'र' AS word FROM orders")
 def degeminate(spark, sf):
     """Doubled consonants and stops before their aspirates, written once."""
-    k = F.col("o_orderkey") % 3
-    word = F.when(k == 0, "सत्तर").when(k == 1, "पत्थर").otherwise("अच्छा")
-    return demo.table(spark, sf, "orders").select(F.col("o_orderkey").alias("row_key"), L.canonicalize(word).alias("word"))
+    k = F.col("o_orderkey")
+    one = lambda words: F.element_at(F.array(*map(F.lit, words)), (k % len(words) + 1).cast("int"))
+    twice = F.concat(F.lit("अ"), one(DOUBLED), F.lit("्"), one(DOUBLED))
+    word = F.concat(F.when(k % 3 == 0, F.concat(F.lit("स"), one(ASPIRATED))).otherwise(twice), F.lit("र"))
+    return demo.table(spark, sf, "orders").select(k.alias("row_key"), L.canonicalize(word).alias("word"))
 
 
 @query(f"WITH {DIGITS_SQL}, {TEXTS_SQL}, w AS (SELECT o_orderkey AS row_key, unnest(string_split(text, ' ')) AS w FROM texts) SELECT row_key, count(*) FILTER (w IN ('code', 'account', 'rupees')) AS cues, count(*) FILTER (w IN ('hundred', 'thousand', 'lakh')) AS scales FROM w GROUP BY 1")

@@ -6,6 +6,7 @@ from ..functions import text as T
 from ..operators import metrics as M
 from ..operators import modes as O
 from ..operators import rows as R
+from ..sources.io import staged
 from . import demo
 from .oracle_base import OBS, ROWS, SAID
 from .registry import query
@@ -31,6 +32,12 @@ def pents(spark, sf):
     return R.entity_rows(prim(spark, sf))
 
 
+def once(spark, sf):
+    """(rows, entities), of rows written once: for figures that stand on several aggregates of them."""
+    r = staged(rows(spark, sf), "rows")
+    return r, R.entity_rows(r)
+
+
 RATE = "coalesce(sum(hit::INT), 0)::BIGINT AS hits, count(*) AS total, round(sum(hit::INT) / count(*)::DOUBLE, 6) AS rate"
 MODEL = "coalesce(asr_model, '-') AS model"
 
@@ -116,7 +123,7 @@ def shared_cells(spark, sf):
 @query(WITH + f""", {SHARED}, r AS (SELECT asr_mode AS mode, count(*) AS rows, round(avg(wer), 6) AS mean_wer, count(DISTINCT condition) AS conditions FROM rows_ x WHERE EXISTS (SELECT 1 FROM cells c WHERE c.utterance_id = x.utterance_id AND c.condition = x.condition AND c.model = coalesce(x.asr_model, '-')) GROUP BY 1),
 e AS (SELECT asr_mode AS mode, {RATE} FROM ents x WHERE EXISTS (SELECT 1 FROM cells c WHERE c.utterance_id = x.utterance_id AND c.condition = x.condition AND c.model = coalesce(x.asr_model, '-')) GROUP BY 1) SELECT * FROM r LEFT JOIN e USING (mode)""")
 def shared_mode_figures(spark, sf):
-    return M.shared_mode_figures(rows(spark, sf), ents(spark, sf))
+    return M.shared_mode_figures(*once(spark, sf))
 
 
 @query(WITH + f", {SHARED} SELECT asr_mode AS mode, count(*) AS own_cells, (SELECT count(*) FROM cells) AS shared FROM (SELECT DISTINCT asr_mode, utterance_id, condition, {MODEL} FROM rows_) GROUP BY 1")
@@ -130,7 +137,8 @@ def mode_coverage(spark, sf):
 SELECT hits, total, rate, round(least_wer, 6) AS least_wer, round(most_wer, 6) AS most_wer, least_condition, most_condition, best_model, models, utterances, conditions FROM (SELECT {RATE} FROM pents), (SELECT min(w) AS least_wer, max(w) AS most_wer FROM c),
 (SELECT condition AS least_condition FROM c ORDER BY round(w, 9), condition LIMIT 1), (SELECT condition AS most_condition FROM c ORDER BY round(w, 9) DESC, condition LIMIT 1), (SELECT model AS best_model FROM b ORDER BY round(w, 6), model LIMIT 1), (SELECT string_agg(model || '=' || printf('%.4f', round(w, 6)), ',' ORDER BY round(w, 6), model) AS models FROM b), (SELECT count(DISTINCT utterance_id) AS utterances, count(DISTINCT condition) AS conditions FROM prim)""")
 def headline(spark, sf):
-    return M.headline(prim(spark, sf), pents(spark, sf))
+    p = R.primary_mode_rows(once(spark, sf)[0])
+    return M.headline(p, R.entity_rows(p))
 
 
 @query(WITH + "SELECT (SELECT event_id FROM prim ORDER BY wer, event_id LIMIT 1) AS best_row, min(wer) AS least, (SELECT event_id FROM prim ORDER BY wer DESC, event_id LIMIT 1) AS worst_row, max(wer) AS most FROM prim")
@@ -140,7 +148,9 @@ def wer_spread(spark, sf):
 
 @query(WITH + f"SELECT * FROM (SELECT count(DISTINCT utterance_id) AS utterances, count(*) AS rows FROM prim), (SELECT hits, total AS entities, rate FROM (SELECT {RATE} FROM pents)), (SELECT count(*) AS rows_all_modes FROM rows_)")
 def summary(spark, sf):
-    return M.summary(prim(spark, sf), pents(spark, sf), rows(spark, sf))
+    r = once(spark, sf)[0]
+    p = R.primary_mode_rows(r)
+    return M.summary(p, R.entity_rows(p), r)
 
 
 @query(f"WITH {OBS} SELECT run_id, min('scores-' || event_id % 5 || '.json') AS source, string_agg(DISTINCT asr_impl, ',' ORDER BY asr_impl) AS impls, string_agg(DISTINCT coalesce(asr_model, '-'), ',' ORDER BY coalesce(asr_model, '-')) AS models, string_agg(DISTINCT asr_mode, ',' ORDER BY asr_mode) AS modes, string_agg(DISTINCT language, ',' ORDER BY language) AS languages, string_agg(DISTINCT condition, ',' ORDER BY condition) AS conditions, count(DISTINCT utterance_id) AS utterances, count(*) AS rows, 2 * count(*) AS entities, count(error) AS errors FROM obs GROUP BY 1")
@@ -167,7 +177,8 @@ KINDS = "count(*) AS scored, count(*) FILTER (kind = 'hit') AS hit, count(*) FIL
 
 
 def classified(spark, sf):
-    return O.mode_classify(ents(spark, sf), rows(spark, sf))
+    r, e = once(spark, sf)
+    return O.mode_classify(e, r)
 
 
 @query(MODES + " SELECT * FROM cl")
@@ -209,7 +220,7 @@ def rendering_table(spark, sf):
 
 @query(REND + " SELECT * FROM (SELECT count(*) AS pairs, count(*) FILTER (forms > 1) AS disagreements FROM tab), (SELECT count(*) FILTER (f > 1) AS changes FROM (SELECT count(DISTINCT rendering) AS f FROM ren WHERE rendering NOT IN ('absent', 'n/a') GROUP BY utterance_id, model, mode, type, expected)), (SELECT count(*) FILTER (rendering <> realization AND rendering NOT IN ('absent', 'n/a')) AS rewrites FROM ren)")
 def rendering_stats(spark, sf):
-    return M.rendering_stats(ents(spark, sf))
+    return M.rendering_stats(once(spark, sf)[1])
 
 
 @query(REND + " SELECT model, realization, count(*) FILTER (rendering = 'digits') AS digits, count(*) FILTER (rendering = 'words') AS words, count(*) FILTER (rendering = 'absent') AS absent, count(*) FILTER (rendering = 'n/a') AS n_a FROM ren GROUP BY ALL")

@@ -1,20 +1,23 @@
 """Cues, generation, sources and set operations."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import numbers as N
 from ..functions import text as T
+from ..operators import conditions as D
 from ..operators import cues as C
 from ..operators import extraction as X
 from ..operators import generation as G
+from ..operators import guards as K
 from ..operators import metrics as M
 from ..operators import rows as R
 from ..operators import scoring as S
 from ..sources import io
 from . import demo
 from .call_queries import DIGITS_SQL, GOLD_SQL, SPELT_SQL, TEXTS_SQL, calls, damaged
-from .metric_queries import WITH, ents, pents, rows
+from .metric_queries import CONDS, WITH, pents, rows
 from .oracle_base import OBS
 from .registry import query
 
@@ -33,10 +36,12 @@ def cue_multiset_intersect(spark, sf):
     return C.cue_multiset(words(c), words(damaged(c))).select("row_key", F.col("canon").alias("word"), "n_ref", "kept")
 
 
-@query("SELECT o_orderkey AS row_key FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 5 = 0)")
+@query(f"WITH {OBS} SELECT c_custkey AS user_id, c_name AS name FROM customer WHERE 'u' || c_custkey NOT IN (SELECT utterance_id FROM obs WHERE asr_mode = 'verbatim' AND condition = 'purchase')")
 def missing_utterances(spark, sf):
-    c = demo.table(spark, sf, "orders").select(F.col("o_orderkey").alias("row_key"))
-    return c.join(c.where("row_key % 5 = 0"), "row_key", "left_anti")
+    """Customers whom no verbatim row under scattered loss is about."""
+    seen = demo.obs(spark, sf).where("asr_mode = 'verbatim' and condition = 'purchase'")
+    corpus = demo.table(spark, sf, "customer").select(F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("utterance_id"), F.col("c_custkey").alias("user_id"), F.col("c_name").alias("name"))
+    return R.missing_utterances(corpus, seen).select("user_id", "name")
 
 
 @query("SELECT o_orderkey AS row_key, CASE WHEN o_orderkey % 3 = 0 THEN 'first' ELSE 'second' END AS source FROM orders")
@@ -45,9 +50,17 @@ def resolve_corpus(spark, sf):
     return R.resolve_first(c.where("row_key % 3 = 0").withColumn("source", F.lit("first")), c.withColumn("source", F.lit("second")), key="row_key")
 
 
-@query("SELECT o_orderkey AS row_key, o_orderpriority AS priority FROM orders ORDER BY o_orderkey LIMIT 25")
+@query("SELECT o_orderkey::VARCHAR AS id, 2 * (row_number() OVER (ORDER BY o_orderkey DESC))::BIGINT AS line FROM orders ORDER BY o_orderkey DESC LIMIT 25")
 def limit_corpus(spark, sf):
-    return demo.table(spark, sf, "orders").select(F.col("o_orderkey").alias("row_key"), F.col("o_orderpriority").alias("priority")).orderBy("row_key").limit(25)
+    """The first 25 utterances in the order of files and lines: files written in falling order of the key, each utterance
+    under a line with a comment. Lines are counted on over the files."""
+    ordered = corpus(spark, sf).orderBy(F.col("id").cast("long").desc())
+    path = io.scratch_path(spark, "corpus")
+    ordered.select(F.concat(F.lit("// order\n"), F.to_json(F.struct("*"))).alias("value")).write.text(path)
+    first = io.scan_corpus(spark, path, limit=25, position=True)
+    sizes = io.numbered_lines(spark, path).groupBy("file").agg(F.max("line").alias("n"))
+    before = sizes.select("file", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # one row per file
+    return first.join(before, "file").select("id", (F.col("line") + F.col("before")).alias("line"))
 
 
 def corpus(spark, sf):
@@ -72,7 +85,11 @@ def write_corpus(spark, sf):
 
 
 def results(spark, sf):
-    r = rows(spark, sf)
+    return scored_rows(rows(spark, sf))
+
+
+def scored_rows(r):
+    """r in the form of stored score rows."""
     e = F.transform("entities", lambda x: F.struct(x["type"].alias("type"), x["expected"].alias("expected"), x["expected"].alias("expected_surface"), x["hit"].alias("hit"), x["found"].alias("found"), x["found"].alias("found_surface"), x["edit_distance"].alias("edit_distance"), F.expr("cast(array() as array<string>)").alias("candidates")))
     return r.select("run_id", "utterance_id", "language", "condition", "asr_impl", "asr_model", "asr_mode", "hypothesis", "wer", e.alias("entities"), "audio_sha256", "realization", "template_id", "error")
 
@@ -91,19 +108,25 @@ def write_results(spark, sf):
     return spark.read.text(path).groupBy(F.get_json_object("value", "$.run_id").alias("run_id")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value").contains('"error":null')).alias("with_null"))
 
 
-@query(WITH + "SELECT run_id, 2 * count(*) AS n FROM rows_ GROUP BY 1")
+@query(WITH + "SELECT run_id, asr_mode, sum(CASE WHEN condition = 'click' THEN 2 ELSE 1 END)::BIGINT AS n, condition FROM rows_ GROUP BY ALL")
 def union_results(spark, sf):
-    a, b = io.scratch_path(spark, "results"), io.scratch_path(spark, "results")
-    for p in (a, b):
-        io.write_results(results(spark, sf), p)
-    return io.scan_results(spark, a, b).groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
+    """One file per mode and a third one with the clean rows of both: nothing is lost and nothing is taken for the same."""
+    r = rows(spark, sf)
+    paths = []
+    for keep in ("asr_mode = 'transcribe'", "asr_mode = 'verbatim'", "condition = 'click'"):
+        paths.append(io.scratch_path(spark, "results"))
+        io.write_results(scored_rows(r.where(keep)), paths[-1])
+    return io.scan_results(spark, *paths).groupBy("run_id", "asr_mode", "condition").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(WITH + "SELECT run_id, count(*) AS n, true AS named FROM rows_ GROUP BY 1")
+@query(WITH + "SELECT run_id, asr_mode || '.json' AS source, count(*) AS n FROM rows_ GROUP BY ALL")
 def results_with_source(spark, sf):
+    """Rows of one file per mode, each with the name of the file that it came from: a copy of the parts of each mode is
+    read under the mode's name."""
     path = io.scratch_path(spark, "results")
-    io.write_results(results(spark, sf), path)
-    return io.results_with_source(spark, path).groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("source").endswith(".json")).alias("named"))
+    scored_rows(rows(spark, sf)).withColumn("file", F.concat("asr_mode", F.lit(".json"))).write.partitionBy("file").json(path, ignoreNullFields=False)
+    modes = rows(spark, sf).select("asr_mode").distinct().orderBy("asr_mode").collect()  # one row per mode
+    return io.results_with_source(spark, *(f"{path}/file={m[0]}.json" for m in modes)).groupBy("run_id", "source").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT doc_id, text AS folded FROM documents")
@@ -163,13 +186,13 @@ def tokenize_spans(spark, sf):
     return t.drop("text").join(folded, "row_key").select("row_key", F.substr(F.col("folded"), F.col("start") + 1, F.col("end") - F.col("start")).alias("digits"))
 
 
-@query(GOLD_SQL + "SELECT row_key, regexp_extract(expected, '[0-9]+')::BIGINT AS value, true AS magnitude FROM gold WHERE type = 'currency'")
+@query(GOLD_SQL + "SELECT row_key, regexp_extract(expected, '[0-9]+')::BIGINT AS value, CASE WHEN regexp_extract(expected, '[0-9]+')::BIGINT < 100 THEN 'digits' ELSE 'magnitude' END AS kind FROM gold WHERE type = 'currency'")
 def run_kind(spark, sf):
-    """Amounts in words of 100 and more hold a scale word."""
+    """Amounts in words of 100 and more hold a scale word; smaller ones are digits."""
     c = calls(spark, sf)
     t = tagged(spark, c.select("row_key", T.number_to_words(F.col("amount")).alias("text")))
     toks = F.array_sort(F.collect_list(F.struct("pos", "text", "kind", "value")))
-    return t.groupBy("row_key").agg(toks.alias("t")).join(c.select("row_key", F.col("amount").alias("value")), "row_key").select("row_key", "value", ((N.run_kind(F.col("t")) == "magnitude") | (F.col("value") < 100)).alias("magnitude"))
+    return t.groupBy("row_key").agg(toks.alias("t")).join(c.select("row_key", F.col("amount").alias("value")), "row_key").select("row_key", "value", N.run_kind(F.col("t")).alias("kind"))
 
 
 @query("SELECT o_orderkey AS row_key, CASE WHEN d[1] <> '0' THEN d::BIGINT END AS amount FROM (SELECT *, lpad((o_orderkey * 7919 % 1000000)::VARCHAR, 6, '0') AS d FROM orders)")
@@ -285,50 +308,87 @@ def diff_ci(spark, sf):
 
 @query(WITH + "SELECT utterance_id, condition, count(*) AS entities FROM pents GROUP BY ALL")
 def rescore_join(spark, sf):
-    """Stored rows joined to their utterances, after a check that none is missing."""
-    stored, known = pents(spark, sf), ents(spark, sf).select("utterance_id").distinct()
-    lost = stored.select("utterance_id").distinct().join(known, "utterance_id", "left_anti").limit(3).collect()
-    if lost:
-        raise ValueError(f"utterances without a corpus row: {[r[0] for r in lost]}")
+    """Stored rows joined to the utterances of all observations; a row without one fails the job."""
+    known = demo.obs(spark, sf).groupBy("utterance_id").agg(F.first("language").alias("corpus_language"))
+    stored = K.require_utterances(pents(spark, sf), known)
     return stored.join(known, "utterance_id").groupBy("utterance_id", "condition").agg(F.count(F.lit(1)).alias("entities"))
 
 
-SAMPLED = "FROM orders"
+def _drawn(spark, sf, draw):
+    """One value per order from the hash of its key."""
+    o = demo.table(spark, sf, "orders").select(F.col("o_orderkey").alias("i"))
+    return o.select("i", draw(lambda m, salt: G.draw(11, F.lit("en-IN"), F.col("i"), "slot", m, salt)).alias("v"))
 
 
-def _sampled(spark, sf, draw):
-    """One value per order from the hash of its key, twice: equal draws show that order and partitioning do not matter."""
-    o = demo.table(spark, sf, "orders").select(F.col("o_orderkey").alias("i"))
-    value = draw(lambda m, salt: G.draw(11, F.lit("en-IN"), F.col("i"), "slot", m, salt))
-    return o.select("i", value.alias("v")), o.repartition(7, "i").select("i", value.alias("again"))
+def _even(drawn, part, fine, parts):
+    """Per part of the values whether all of them are as they must be and whether the part has its even share of all
+    orders, within five standard deviations."""
+    n = F.count(F.lit(1))
+    got = drawn.groupBy(part.cast("int").alias("part")).agg(n.alias("n"), F.bool_and(fine).alias("fine"))
+    all_ = drawn.agg(n.alias("orders"))  # one row
+    off = F.abs(F.col("n") - F.col("orders") / parts) <= 5 * F.sqrt(F.col("orders") / parts)
+    return got.join(F.broadcast(all_)).select("part", "fine", off.alias("even"), "orders")
 
 
-def _same(a, b, fine):
-    return a.join(b, "i").select("i", (F.col("v") == F.col("again")).alias("same"), fine.alias("fine"))
+PARTS = "SELECT part::INT AS part, true AS fine, true AS even, (SELECT count(*) FROM orders) AS orders FROM (SELECT unnest({}) AS part)"
 
 
-@query(f"SELECT o_orderkey AS i, true AS same, true AS fine {SAMPLED}")
+@query(PARTS.format("range(11, 17)"))
 def sample_account(spark, sf):
-    """11 to 16 digits, the first not zero."""
-    return _same(*_sampled(spark, sf, G.sample_account), F.col("v").rlike("^[1-9][0-9]{10,15}$"))
+    """11 to 16 digits, each length as often, the first not zero."""
+    return _even(_drawn(spark, sf, G.sample_account), F.length("v"), F.col("v").rlike("^[1-9][0-9]{10,15}$"), 6)
 
 
-@query(f"SELECT o_orderkey AS i, true AS same, true AS fine {SAMPLED}")
+@query(PARTS.format("[4, 6]"))
 def sample_otp(spark, sf):
-    return _same(*_sampled(spark, sf, G.sample_otp), F.col("v").rlike("^([0-9]{4}|[0-9]{6})$"))
+    """Four or six digits, each as often."""
+    return _even(_drawn(spark, sf, G.sample_otp), F.length("v"), F.col("v").rlike("^([0-9]{4}|[0-9]{6})$"), 2)
 
 
-@query(f"SELECT o_orderkey AS i, true AS same, true AS fine {SAMPLED}")
+@query(PARTS.format("range(1, 9)"))
 def sample_pin(spark, sf):
-    return _same(*_sampled(spark, sf, G.sample_pin), F.col("v").rlike("^[1-8][0-9]{5}$"))
+    """Six digits, the first 1 to 8, each as often."""
+    return _even(_drawn(spark, sf, G.sample_pin), F.left("v", F.lit(1)), F.col("v").rlike("^[1-8][0-9]{5}$"), 8)
 
 
-@query(f"SELECT o_orderkey AS i, true AS same, true AS fine {SAMPLED}")
+@query(PARTS.format("range(5)"))
 def sample_currency(spark, sf):
-    v = F.col("v")
-    return _same(*_sampled(spark, sf, G.sample_currency), (v > 0) & (v < 10**9) & (v % 25 == 0))
-
-
-@query(f"SELECT o_orderkey AS i, true AS same, true AS fine {SAMPLED}")
+    """Five buckets, each as often, with the values that each may have: up to 99 hundreds, thousands, lakhs or crores, or a
+    number and a quarter, a half or three quarters of one of them."""
+    v, bucket = F.col("v"), F.col("bucket")
+    units = [100, 1_000, 100_000, 10_000_000]
+    whole = [(bucket == k) & (v % u == 0) & v.between(u, 99 * u) for k, u in enumerate(units)]
+    parts = [((4 * v) % u == 0) & (v % u != 0) & v.between(u, 11 * u) for u in units]
+    fine = F.lit(False)
+    for c in whole:
+        fine = fine | c
+    some = F.lit(False)
+    for c in parts:
+        some = some | c
+    o = _drawn(spark, sf, lambda r: F.struct(G.sample_currency(r).alias("v"), r(5, "bucket").alias("bucket"))).select("i", "v.*")
+    return _even(o, bucket, fine | (bucket == 4) & some, 5)
+
+
+@query(PARTS.format("range(1, 8)"))
 def sample_date(spark, sf):
-    return _same(*_sampled(spark, sf, G.sample_date), F.col("v").between(F.lit("2026-01-01").cast("date"), F.lit("2027-12-02").cast("date")))
+    """Days from 2026-01-01 on, each day of the week as often."""
+    return _even(_drawn(spark, sf, G.sample_date), F.dayofweek("v"), F.col("v").between(F.lit("2026-01-01").cast("date"), F.lit("2027-12-02").cast("date")), 7)
+
+
+@query("""SELECT language, template_id, glossed, mixed, count(*) AS orders FROM orders, (VALUES ('en', false), ('hi', true)) v(language, glossed), (VALUES (0, 'bal', false), (1, 'otp', false), (2, 'pin', false), (3, 'due', false), (4, 'two', true)) t(k, template_id, code)
+, LATERAL (SELECT glossed AND code AS mixed) WHERE o_orderkey % 5 = k GROUP BY ALL""")
+def templates_dim(spark, sf):
+    """The templates of both languages, and how many orders each would be filled for."""
+    t = G.templates(spark)
+    o = demo.table(spark, sf, "orders").groupBy((F.col("o_orderkey") % 5).cast("int").alias("_k")).agg(F.count(F.lit(1)).alias("orders"))
+    return o.join(F.broadcast(t), "_k").select("language", "template_id", F.col("gloss").isNotNull().alias("glossed"), F.col("code_mixed").alias("mixed"), "orders")  # a handful of templates
+
+
+@query(f"WITH {OBS}, {CONDS} SELECT name AS condition, kind, coalesce(len(string_split(label, ' + ')), 0)::INT AS steps, count(event_id) AS rows FROM conds LEFT JOIN obs ON condition = name GROUP BY ALL")
+def conditions_dim(spark, sf):
+    """The declared conditions with their kind, their steps and their rows; a name declared twice or a row of an unknown
+    condition fails the job."""
+    dim = K.unique_conditions(demo.conditions(spark))
+    per = K.require_conditions(demo.obs(spark, sf), dim).groupBy("condition").agg(F.count(F.lit(1)).alias("rows"))
+    named = dim.select(F.col("name").alias("condition"), D.damage_kind().alias("kind"), F.size("chain").alias("steps"))
+    return named.join(per, "condition", "left").select("condition", "kind", "steps", F.coalesce("rows", F.lit(0)).alias("rows"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -69,7 +71,10 @@ def scan_results(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def results_with_source(spark: SparkSession, *paths: str) -> DataFrame:
-    return scan_results(spark, *paths).withColumn("source", F.col("_metadata.file_name"))
+    """Score rows with source, the file as it was named: a path's last part, of a folder of parts the folder's."""
+    name = lambda path: path.rstrip("/").rsplit("/", 1)[-1].removeprefix("file=")
+    every = [scan_results(spark, p).withColumn("source", F.lit(name(p))) for p in paths]
+    return functools.reduce(DataFrame.unionByName, every)
 
 
 def write_corpus(df: DataFrame, path: str) -> None:

@@ -139,6 +139,15 @@ def test_value_diff_against_brute_force(spark):
         assert [tuple(p) for p in r.d] == want and r.lost == sum(len(t) for t, k in want if k != "same")
 
 
+def test_canonical_forms_keep_letters_apart(spark):
+    """A nukta goes, with its letter or beside it; no other consonant changes."""
+    base, nukta = "कखगजडढफयनरळ", "\u093c"
+    joined = "\u0958\u0959\u095a\u095b\u095c\u095d\u095e\u095f\u0929\u0931\u0934"
+    words = [(f"अ{a}र", f"अ{b}र") for a, b in zip([*joined, *(c + nukta for c in base), *"कखगघचछजझटठडढणतथदधपफबभमयरलवशषसह"], [*base, *base, *"कखगघचछजझटठडढणतथदधपफबभमयरलवशषसह"], strict=True)]
+    df = spark.createDataFrame(words, "w string, want string").select("want", canonicalize(F.col("w")).alias("c"), F.get(canonical_words(F.array("w")), F.lit(0)).alias("d"))
+    assert all(r.want == r.c == r.d for r in df.collect())
+
+
 def test_canonical_words_are_the_canonical_forms(spark):
     rng = random.Random(6)
     words = HINDI_0_TO_99.split() + HINDI_ROMAN_0_TO_99.split() + ["".join(rng.choices("azeiouकखतथ्िनबय़ँक़ज़12'", k=rng.randint(1, 8))) for _ in range(500)]
