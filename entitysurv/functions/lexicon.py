@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import reading
 from . import text as T
 from .text import language_key
 
@@ -52,6 +55,7 @@ NUKTA_LETTERS = ("\u0958\u0959\u095a\u095b\u095c\u095d\u095e\u095f\u0929\u0931\u
 # A stop that is written before its aspirate, or any consonant before itself, is dropped with the virama
 # between.
 STOPS = {"क": "ख", "ग": "घ", "च": "छ", "ज": "झ", "ट": "ठ", "ड": "ढ", "त": "थ", "द": "ध", "प": "फ", "ब": "भ"}
+_PLAIN = str.maketrans(*NUKTA_LETTERS)
 
 
 def canonicalize(word: Column) -> Column:
@@ -76,6 +80,23 @@ def canonicalize(word: Column) -> Column:
     return F.regexp_replace(w, "^[.\\-_'।]+|[.\\-_'।]+$", "")
 
 
+def canonical(word: str) -> str:
+    """canonicalize for a word that a task reads."""
+    w = word.strip(" ").lower().translate(_PLAIN).replace("़", "").replace("ँ", "ं")
+    if re.search("[\u0900-\u097f]", w):
+        for _ in range(2):
+            w = re.sub("([क-ह])्(?=\\1)", "", w)
+            for first, second in STOPS.items():
+                w = w.replace(f"{first}्{second}", second)
+        w = w.replace("िय", "य").replace("नब", "नव")
+    if re.search("[a-z]", w):
+        w = w.replace("z", "j")
+        for long, short in (("aa", "a"), ("ee", "i"), ("ii", "i"), ("oo", "u"), ("uu", "u")):
+            w = w.replace(long, short)
+        w = re.sub(r"(.)\1+", r"\1", w)
+    return re.sub(r"^[.\-_'।]+|[.\-_'।]+$", "", w)
+
+
 def canonical_words(words: Column) -> Column:
     """canonicalize for an array of words that hold no line feed, in one pass over all of them: the letters of either
     script are folded by rules that leave the other alone, so only doubled letters have to be told word by word."""
@@ -102,6 +123,23 @@ def canonical_words(words: Column) -> Column:
     return F.when(F.size(words) > 0, folded).otherwise(words)
 
 
+def _rows(lexicon: DataFrame, most: int) -> list:
+    layer = F.col("language") if "language" in lexicon.columns else F.lit("")
+    rows = lexicon.select(layer.alias("layer"), "canon", "kind", F.col("value").cast("string").alias("value"), "month", "cue_types", F.pmod(F.hash("canon"), F.lit(BUCKETS)).alias("bucket")).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"the lexicon has over {most} words")
+    return rows
+
+
+def reader(lexicon: DataFrame, numbers: bool = False, most: int = 50_000) -> Callable[..., Column]:
+    """(folded text[, language]) -> struct(marks, runs), by a lexicon of at most `most` words, which goes with the task: see
+    reading.reader. With a column language it is one by language, as in lookup."""
+    layers: dict[str, dict] = {}
+    for r in _rows(lexicon, most):
+        layers.setdefault(r.layer, {})[r.canon] = (r.kind, r.value and int(Decimal(r.value).scaleb(6)), r.month, r.cue_types or [])
+    return reading.reader(layers, "language" in lexicon.columns, canonical, numbers)
+
+
 def lookup(lexicon: DataFrame, most: int = 50_000) -> Callable[[Column, Column | None], Column]:
     """(canonical form, language) -> struct(kind, value, month, cue_types), null for other words.
 
@@ -109,11 +147,7 @@ def lookup(lexicon: DataFrame, most: int = 50_000) -> Callable[[Column, Column |
     a hash of the form. With a column language it is one by language: the text's language picks the layer, and languages
     that it does not know read as English.
     """
-    by_language = "language" in lexicon.columns
-    layer = F.col("language") if by_language else F.lit("")
-    rows = lexicon.select(layer.alias("layer"), "canon", "kind", F.col("value").cast("string").alias("value"), "month", "cue_types", F.pmod(F.hash("canon"), F.lit(BUCKETS)).alias("bucket")).limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"the lexicon has over {most} words")
+    by_language, rows = "language" in lexicon.columns, _rows(lexicon, most)
     kind = "array<map<string,struct<kind:string,value:decimal(28,6),month:int,cue_types:array<string>>>>"
 
     def maps(name):

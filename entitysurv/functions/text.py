@@ -34,12 +34,12 @@ def casefold(text: pd.Series) -> pd.Series:
 
 
 def fold_digits(text: Column) -> Column:
-    return F.translate(text, _FROM, _TO)
+    return F.when(text.rlike(r"[^\x00-\x7f]"), F.translate(text, _FROM, _TO)).otherwise(text)
 
 
 def folded_text(text: Column, normalize: bool = True) -> Column:
     """NFC (unless told the text is ASCII or normal already), ASCII digits, no grouping marks between digits."""
-    return F.regexp_replace(fold_digits(nfc(text) if normalize else text), r"(?<=\p{Nd})[,٬](?=\p{Nd})", "")
+    return F.regexp_replace(fold_digits(nfc(text) if normalize else text), r"[,٬](?<=\p{Nd}[,٬])(?=\p{Nd})", "")
 
 
 def normalize_digits(text: Column) -> Column:

@@ -14,9 +14,10 @@ BUCKETS = ["extractor_error", "gold_error", "uncertain", "asr_error"]  #: in the
 DIGIT_TYPES = [t for t, _, _ in X.SHAPES]
 
 
-def gold_of(rows: DataFrame, types: list[str] | None = None) -> DataFrame:
-    """(row_key, idx, type, expected, surface) of rows(row_key, gold); only wanted types are scored."""
-    g = rows.select("row_key", F.posexplode("gold").alias("idx", "g")).select("row_key", "idx", "g.type", "g.expected", "g.surface")
+def gold_of(rows: DataFrame, types: list[str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(row_key, idx, type, expected, surface) of rows(row_key, gold), with the columns keep of their rows; only wanted
+    types are scored."""
+    g = rows.select("row_key", *keep, F.posexplode("gold").alias("idx", "g")).select("row_key", *keep, "idx", "g.type", "g.expected", "g.surface")
     return g.where(F.col("type").isin(*types)) if types else g
 
 
@@ -54,7 +55,7 @@ def value_present(rows: DataFrame, values: Column, text: Column, lexicon: DataFr
     all, else the first that holds of typed (found under any type), digits or weak (the digits are in the text's digits; a
     digit type under six of them may be chance), amount (some run of up to nine tokens reads as the amount)."""
     x = rows.withColumns({"_values": values, "_text": text})
-    x = X.with_candidates(X.annotate(x, lexicon, F.col("_text"), ascii_only, language))
+    x = X.with_candidates(X.annotate(x, lexicon, F.col("_text"), ascii_only, language, numbers=True))
     money = lambda v: v["type"] == "currency"
     x = x.withColumn("_nums", F.filter("_marks", lambda m: m["numberish"]))
     x = x.withColumns({"_digits": T.normalize_digits(F.col("_text")), "_amounts": F.when(F.exists("_values", money), amounts(F.col("_nums"))).otherwise(F.array().cast("array<string>"))})
