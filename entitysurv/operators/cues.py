@@ -13,15 +13,13 @@ def cue_index(lexicon: DataFrame) -> DataFrame:
     return lexicon.where(F.size("cue_types") > 0).select("canon", "cue_types")
 
 
-def bags(tokens: DataFrame, side: str) -> DataFrame:
-    """(row_key, canon, cue_types_<side>, n_<side>): the bag of canonical words of tokens(row_key, canon, cue_types)."""
-    return tokens.groupBy("row_key", "canon").agg(F.first("cue_types").alias(f"types_{side}"), total().alias(f"n_{side}"))
-
-
 def cue_multiset(reference: DataFrame, hypothesis: DataFrame) -> DataFrame:
-    """Per row and canonical word how often it is in the reference and how many came through (bag intersection)."""
-    both = bags(reference, "ref").join(bags(hypothesis, "hyp").drop("types_hyp"), ["row_key", "canon"], "left")
-    return both.select("row_key", "canon", F.col("types_ref").alias("cue_types"), "n_ref", F.least(F.col("n_ref"), F.coalesce("n_hyp", F.lit(0))).alias("kept"))
+    """Per row and canonical word of tokens(row_key, canon, cue_types) how often it is in the reference and how many came
+    through (bag intersection). Both sides are dealt once, by the row, which serves what joins the rows afterwards too."""
+    side = lambda t, n_ref, n_hyp: t.select("row_key", "canon", "cue_types", F.lit(n_ref).alias("r"), F.lit(n_hyp).alias("h"))
+    both = side(reference, 1, 0).unionByName(side(hypothesis, 0, 1)).repartition("row_key")
+    n = both.groupBy("row_key", "canon").agg(F.first(F.when(F.col("r") == 1, F.col("cue_types")), ignorenulls=True).alias("cue_types"), F.sum("r").alias("n_ref"), F.sum("h").alias("n_hyp"))
+    return n.where("n_ref > 0").select("row_key", "canon", "cue_types", "n_ref", F.least("n_ref", "n_hyp").alias("kept"))
 
 
 def present_values(gold: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -130,7 +130,7 @@ STORED = "CASE WHEN type IN ('otp', 'account_number', 'pin_code') THEN contains(
 
 def stored(x: DataFrame) -> DataFrame:
     old = F.col("type").isin("otp", "account_number", "pin_code") & F.contains("hypothesis", "expected")
-    return S.gold_of(x).join(x.select("row_key", "hypothesis", "condition"), "row_key").select("row_key", "condition", "type", old.alias("hit"))
+    return S.gold_of(x, keep=("hypothesis", "condition")).select("row_key", "condition", "type", old.alias("hit"))
 
 
 @query(LINES + "SELECT condition, type, count(*) AS total, count(*) FILTER (hit) AS hits, round(count(*) FILTER (hit) / count(*)::DOUBLE, 6) AS rate FROM ent GROUP BY ALL")
@@ -159,10 +159,9 @@ survival AS (SELECT condition, sum(cue_total)::BIGINT AS cue_total, sum(cue_kept
 
 
 def _tokens(spark, x, column) -> DataFrame:
-    """(row_key, canon, cue_types) of every word; spelling is folded once per distinct word."""
-    t = X.tokenize(x.select("row_key", T.folded_text(F.col(column), normalize=False).alias("folded"))).select("row_key", "text")
-    words = t.select("text").distinct().withColumn("canon", L.canonicalize(F.col("text"))).join(F.broadcast(C.cue_index(L.lexicon(spark))), "canon", "left")  # the index is a fixed vocabulary
-    return t.join(words, "text").select("row_key", "canon", "cue_types")
+    """(row_key, canon, cue_types) of every word; spelling is folded once a text."""
+    w = X.words(x.select("row_key", T.folded_text(F.col(column), normalize=False).alias("folded")), L.canonical_words).withColumnRenamed("text", "canon")
+    return w.join(F.broadcast(C.cue_index(L.lexicon(spark))), "canon", "left").select("row_key", "canon", "cue_types")  # the index is a fixed vocabulary
 
 
 def _survival(spark, sf):
@@ -170,7 +169,7 @@ def _survival(spark, sf):
     x = X.staged(lines(spark, sf).where("error is null and trim(hypothesis) <> ''"), "lines")
     ref, hyp = (X.staged(_tokens(spark, x, c), "words") for c in ("reference", "hypothesis"))
     found = X.staged(X.extract_entities(x.select("row_key", F.col("hypothesis").alias("text")), L.lexicon(spark)), "found")
-    gold = S.gold_of(x).join(x.select("row_key", "condition"), "row_key")
+    gold = S.gold_of(x, keep=("condition",))
     present = C.present_values(gold, found)
     hit = found.select("row_key", "type", F.col("normalized").alias("expected"), F.lit(True).alias("hit")).distinct()
     orphan = C.orphans(present, ref, hyp).join(hit, ["row_key", "type", "expected"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
