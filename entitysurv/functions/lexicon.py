@@ -131,13 +131,13 @@ def _rows(lexicon: DataFrame, most: int) -> list:
     return rows
 
 
-def reader(lexicon: DataFrame, numbers: bool = False, most: int = 50_000) -> Callable[..., Column]:
-    """(folded text[, language]) -> struct(marks, runs), by a lexicon of at most `most` words, which goes with the task: see
-    reading.reader. With a column language it is one by language, as in lookup."""
+def reader(lexicon: DataFrame, numbers: bool = False, most: int = 50_000, **asked) -> Callable[..., Column]:
+    """(folded text[, language]) -> struct(marks, runs), or what else is asked for, by a lexicon of at most `most` words,
+    which goes with the task: see reading.reader. With a column language it is one by language, as in lookup."""
     layers: dict[str, dict] = {}
     for r in _rows(lexicon, most):
         layers.setdefault(r.layer, {})[r.canon] = (r.kind, r.value and int(Decimal(r.value).scaleb(6)), r.month, r.cue_types or [])
-    return reading.reader(layers, "language" in lexicon.columns, canonical, numbers)
+    return reading.reader(layers, "language" in lexicon.columns, canonical, numbers, **asked)
 
 
 def lookup(lexicon: DataFrame, most: int = 50_000) -> Callable[[Column, Column | None], Column]:

@@ -1,11 +1,11 @@
-"""A text read word by word inside a task: its words, and what the lexicon makes of them. Only this scan and the fold of a
-number run are Python, over Arrow batches; what runs, cues and months come to is left to column expressions."""
+"""A text read word by word inside a task: its words, what the lexicon makes of them, and the values that its number runs
+may be. These are Python over Arrow batches; scores, causes and figures are left to column expressions."""
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Callable
-from decimal import Decimal
 from itertools import accumulate
 
 import pyarrow as pa
@@ -17,25 +17,41 @@ SEPARATORS = " \t\n\r\f\x0b।॥!\"#%&'()*+,-./:;<=>?@[\\]^_`{|}~–—…“
 _SPACED = str.maketrans(SEPARATORS, " " * len(SEPARATORS))
 _WORD = re.compile("[0-9]+|[₹$]|[^0-9₹$]+")  #: inside what separators leave
 
+SHAPES = [("pin_code", 6, 6), ("otp", 4, 6), ("account_number", 9, 18)]  #: digit types and the lengths that fit them
+BEHIND, AHEAD = 5, 3  #: how far a cue may be from its number
+ALL_TYPES = ["account_number", "otp", "pin_code", "currency", "date"]
+_DATE = re.compile(r"(?<![0-9A-Za-z_])([0-9]{1,2})\s*[/.\-]\s*([0-9]{1,2})\s*[/.\-]\s*([0-9]{2,4})(?![0-9A-Za-z_])", re.ASCII)
+
+CANDIDATE = "struct<type:string,normalized:string,start:int,end:int,part:int,k:int,cue:string>"
 TOKEN = "struct<pos:int,text:string,start:int,end:int>"
 MARK = "struct<pos:int,text:string,start:int,end:int,kind:string,value:decimal(28,6),month:int,cue_types:array<string>,numberish:boolean>"
 RUN = "struct<lo:int,hi:int,start:int,end:int,prev_hi:int,next_lo:int,split:boolean,run_kind:string,digits:string,value:decimal(28,6),lenient:decimal(28,6)>"
 _DEC, _TEXTS = pa.decimal128(28, 6), pa.list_(pa.string())
 _TOKEN = {"pos": pa.int32(), "text": pa.string(), "start": pa.int32(), "end": pa.int32()}
 _MARK = {**_TOKEN, "kind": pa.string(), "value": _DEC, "month": pa.int32(), "cue_types": _TEXTS, "numberish": pa.bool_()}
+_CANDIDATE = {"type": pa.string(), "normalized": pa.string(), "start": pa.int32(), "end": pa.int32(), "part": pa.int32(), "k": pa.int32(), "cue": pa.string()}
 _RUN = {"lo": pa.int32(), "hi": pa.int32(), "start": pa.int32(), "end": pa.int32(), "prev_hi": pa.int32(), "next_lo": pa.int32(), "split": pa.bool_(), "run_kind": pa.string(), "digits": pa.string(), "value": _DEC, "lenient": _DEC}
 
 ONE = 10**6  #: values are counted in millionths, as decimal(28,6) holds them
 KEPT = 50_000  #: words and number runs of which a task keeps the reading
 
 
+def _column(values: tuple, kind: pa.DataType) -> pa.Array:
+    """Values as an array; decimals come in millionths."""
+    if kind != _DEC:
+        return pa.array(values, kind)
+    known = pa.array([v is not None for v in values], pa.bool_()).buffers()[1]
+    data = b"".join([(v or 0).to_bytes(16, "little", signed=True) for v in values])
+    return pa.Array.from_buffers(_DEC, len(values), [known, pa.py_buffer(data)])
+
+
 def _nested(rows: list[list[tuple] | None], fields: dict[str, pa.DataType]) -> pa.Array:
     """Rows of tuples as an array of lists of structs; a row may be null."""
     ends = [0, *accumulate(len(r or ()) for r in rows)]
     offsets = [None if r is None else at for r, at in zip(rows, ends, strict=False)] + ends[-1:]
     flat = [x for r in rows if r for x in r]
     columns = list(zip(*flat, strict=True)) or [()] * len(fields)
-    struct = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, fields.values(), strict=True)], names=list(fields))
+    struct = pa.StructArray.from_arrays([_column(c, t) for c, t in zip(columns, fields.values(), strict=True)], names=list(fields))
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), struct)
 
 
@@ -118,13 +134,113 @@ def digits_of(run: list[tuple]) -> str:
     return out
 
 
-def _decimal(n: int | None) -> Decimal | None:
-    return None if n is None else Decimal(n).scaleb(-6)
-
-
 def _reading(run: list[tuple]) -> tuple:
     kind = "magnitude" if any(k in ("scale", "modifier", "fraction") for _, k, _ in run) else "digits"
-    return (kind, digits_of(run), *map(_decimal, value_of(run)))
+    return (kind, digits_of(run), *value_of(run))
+
+
+def money_of(amount: int) -> str:
+    """text.normalize_currency for millionths."""
+    paise, rest = divmod(abs(amount), ONE // 100)
+    paise += rest > ONE // 200 or rest == ONE // 200 and paise % 2
+    return f"INR:{'-' if amount < 0 and paise else ''}{paise // 100}.{paise % 100:02d}"
+
+
+def _amount(digits: str) -> int | None:
+    """numbers.amount_from_digits in millionths."""
+    return int(digits) * ONE if 0 < len(digits) <= 18 and (len(digits) == 1 or digits[0] != "0") else None
+
+
+def values(marks: list[tuple], runs: list[tuple], types: list[str]) -> list[tuple]:
+    """The candidates of all runs: see extraction.run_candidates."""
+    out, money_too = [], "currency" in types
+    shapes = [s for s in SHAPES if s[0] in types]
+    digit = sorted(s[0] for s in shapes)
+    cues = [(m[0], m[1], [t for t in m[7] if t == "currency" or t in digit]) for m in marks if m[7]]
+    for lo, hi, start, end, before, after, split, kind, digits, value, _ in runs:
+        if split:
+            continue
+        near: dict[str, tuple] = {}
+        lowest, highest = max(lo - BEHIND, before or 0), hi + AHEAD if after is None else min(hi + AHEAD, after)
+        for pos, word, of in cues:
+            if lowest <= pos < lo or hi <= pos < highest:
+                hit = (lo - pos, False, word) if pos < lo else (pos - hi + 1, True, word)
+                for t in of:
+                    if t not in near or hit < near[t]:
+                        near[t] = hit
+        money = near.get("currency")
+        best = min((near[t][0] for t in digit if t in near), default=None)
+        cue = money and money[2]
+        if kind == "magnitude":
+            if value is not None and money_too:
+                out.append(("currency", money_of(value), start, end, 0, 0, cue))
+            continue
+        amount, k, closed = value if value is not None else _amount(digits), 0, False
+        if money_too and money and amount is not None and (best is None or money[0] <= best):
+            out.append(("currency", money_of(amount), start, end, 0, 0, cue))
+            k, closed = 1, value is not None
+        if best is not None and (not money or best <= money[0]):
+            found = [(t, near[t][2]) for t in digit if t in near]
+        else:
+            found = [] if closed else [(t, None) for t, least, most in shapes if least <= len(digits) <= most]
+        out += [(t, digits, start, end, 0, k + i, c) for i, (t, c) in enumerate(found)]
+    return out
+
+
+def _is_word(text: str, i: int) -> bool:
+    """Whether a word goes on at text[i], a mark counting as the letter it stands on."""
+    while i > 0 and unicodedata.category(text[i]) == "Mn":
+        i -= 1
+    return text[i] == "_" or unicodedata.category(text[i])[0] == "L" or unicodedata.category(text[i]) == "Nd"
+
+
+def _day(year: int | None, month: int, day: int) -> str:
+    return f"{'--' if year is None else str(year).rjust(4, '0')[:4] + '-'}{month:02d}-{day:02d}"
+
+
+def dates_in_digits(text: str) -> list[tuple]:
+    """The dates of a text that are written in digits: see extraction.digit_dates."""
+    out, k, m = [], 0, _DATE.search(text)
+    while m:
+        start, end = m.span()
+        if start and text[start - 1] > "\x7f" and _is_word(text, start - 1) or end < len(text) and text[end] > "\x7f" and _is_word(text, end):
+            m = _DATE.search(text, start + 1)
+            continue
+        day, month, year = map(int, m.groups())
+        if 1 <= month <= 12 and 1 <= day <= 31:
+            out.append(("date", _day(year + 2000 if year < 100 else year, month, day), start, end, 1, k, None))
+        k, m = k + 1, _DATE.search(text, end)
+    return out
+
+
+def dates_in_words(marks: list[tuple], runs: list[tuple]) -> list[tuple]:
+    """Month words with number runs beside them: see extraction.word_dates."""
+    out = []
+    for pos, _, start, end, _, _, month, _, _ in marks:
+        if month is None:
+            continue
+        at = lambda i, p: next((r for r in runs if r[i] == p), None)
+        whole = lambda r: None if r is None or r[10] is None else r[10] // ONE
+        before, after = at(1, pos), at(0, pos + 1)
+        b, a = whole(before), whole(after)
+        early, late = b is not None and 1 <= b <= 31, a is not None and 1 <= a <= 31
+        if not early and not late:
+            continue
+        year, last, beyond = None, end if early else after[3], at(0, after[1] + 1) if after else None
+        n = whole(beyond)
+        if a is not None and a >= 1000:
+            year, last = a, after[3]
+        elif a is not None and a <= 31 and n is not None and n >= 1000:
+            year, last = n, beyond[3]
+        out.append(("date", _day(year, month, b if early else a), before[2] if early else start, last, 2, pos, None))
+    return out
+
+
+def candidates(text: str, marks: list[tuple], runs: list[tuple], types: list[str]) -> list[tuple]:
+    """What a text yields for one set of types: see extraction.with_candidates."""
+    found = values(marks, runs, types)
+    dates = dates_in_digits(text) + dates_in_words(marks, runs) if "date" in types else []
+    return [c for c in found if not any(d[2] <= c[2] and c[3] <= d[3] for d in dates)] + dates if dates else found
 
 
 def _digits(text: str) -> tuple:
@@ -176,7 +292,7 @@ class _Layer:
                 part[4] = hi = pos + 1
                 part[5] = at
             if cues or month is not None or numbers and kind is not None:
-                marks.append((pos, w, start, at, kind, _decimal(value), month, cues, kind is not None))
+                marks.append((pos, w, start, at, kind, value, month, cues, kind is not None))
         runs, before, readings, n = [], None, self.readings.get, len(parts)
         for i, (words, lo, start, kind, hi, end) in enumerate(parts):
             after = parts[i + 1] if i + 1 < n else None
@@ -190,11 +306,13 @@ class _Layer:
 _UNSEEN = ("",)
 
 
-def reader(layers: dict[str, dict[str, tuple]], by_language: bool, canonical: Callable[[str], str], numbers: bool = False) -> Callable[..., Column]:
-    """(folded text[, language]) -> struct(marks, runs), null for a null text. layers: canonical form -> (kind, value in
-    millionths, month, cue types) by layer. marks are months and cues, and with numbers the words of numbers too."""
+def reader(layers: dict[str, dict[str, tuple]], by_language: bool, canonical: Callable[[str], str], numbers: bool = False, types: list[str] | None = None, parts: tuple[str, ...] = ("marks", "runs"), alone: bool = False) -> Callable[..., Column]:
+    """(folded text[, language][, array of types]) -> struct of parts (marks, runs, found), null for a null text. layers:
+    canonical form -> (kind, value in millionths, month, cue types) by layer. marks are months and cues, and with numbers
+    the words of numbers too; found the candidates for types, or, alone, those for each type of the array by itself."""
 
-    kind = f"struct<marks:array<{MARK}>,runs:array<{RUN}>>"
+    fields = {"marks": (MARK, _MARK), "runs": (RUN, _RUN), "found": (CANDIDATE, _CANDIDATE)}
+    kind = ",".join(f"{x}:array<{fields[x][0]}>" for x in parts)
     held: dict[str, _Layer] = {}  # of the task's Python process
     fallback = "en" if "en" in layers else min(layers, default="")
 
@@ -205,22 +323,22 @@ def reader(layers: dict[str, dict[str, tuple]], by_language: bool, canonical: Ca
             held[key] = _Layer(layers.get(key, {}), canonical, numbers)
         return held[key]
 
-    def rows(texts: pa.Array, languages: pa.Array | None) -> pa.Array:
-        spoken = languages.to_pylist() if languages is not None else [None] * len(texts)
+    def row(text: str | None, language: _Layer, wanted: list[str] | None) -> dict[str, list[tuple] | None]:
+        if text is None:
+            return dict.fromkeys(fields)
+        marks, runs = language.read(text)
+        found = []
+        if "found" in parts:
+            for one in [types or ALL_TYPES] if not alone else [[t] for t in wanted or ()]:
+                found += candidates(text, marks, runs, one)
+        return {"marks": marks, "runs": runs, "found": found}
+
+    @F.arrow_udf(f"struct<{kind}>")
+    def read(*columns: pa.Array) -> pa.Array:
+        texts, *others = (c.to_pylist() for c in columns)
+        spoken = others[0] if by_language else [None] * len(texts)
         by = {x: layer(x) for x in set(spoken)}
-        out = [(None, None) if text is None else by[x].read(text) for text, x in zip(texts.to_pylist(), spoken, strict=True)]
-        return pa.StructArray.from_arrays([_nested([m for m, _ in out], _MARK), _nested([r for _, r in out], _RUN)], names=["marks", "runs"])
-
-    if by_language:
-
-        @F.arrow_udf(kind)
-        def both(texts: pa.Array, languages: pa.Array) -> pa.Array:
-            return rows(texts, languages)
-
-        return both
-
-    @F.arrow_udf(kind)
-    def one(texts: pa.Array) -> pa.Array:
-        return rows(texts, None)
+        out = [row(text, by[x], w) for text, x, w in zip(texts, spoken, others[-1] if alone else spoken, strict=True)]
+        return pa.StructArray.from_arrays([_nested([r[x] for r in out], fields[x][1]) for x in parts], names=list(parts))
 
-    return one
+    return read

@@ -16,19 +16,14 @@ from ..functions import numbers as N
 from ..functions import reading
 from ..functions import text as T
 from ..functions.lexicon import canonicalize, lookup, reader
+from ..functions.reading import AHEAD, ALL_TYPES, BEHIND, CANDIDATE, SHAPES
 from ..sources.io import staged  # noqa: F401  (callers stage with X.staged)
 
-# Digit types, the lengths that fit them, and how far a cue may be from its number.
-SHAPES = [("pin_code", 6, 6), ("otp", 4, 6), ("account_number", 9, 18)]
-BEHIND, AHEAD = 5, 3
-ALL_TYPES = ["account_number", "otp", "pin_code", "currency", "date"]
-
 # The form of a word, and of a date in digits.
 _WORDS = "([0-9]+|[₹$]|[^0-9₹$ ]+)"  #: of a text whose separators are all spaces
 _DATE = r"\b([0-9]{1,2})\s*[/.\-]\s*([0-9]{1,2})\s*[/.\-]\s*([0-9]{2,4})\b"
 
 
-CANDIDATE = "struct<type:string,normalized:string,start:int,end:int,part:int,k:int,cue:string>"
 _ONE = "struct<type:string,normalized:string,cue:string>"
 
 
@@ -79,6 +74,17 @@ def with_lexicon(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
     return known.withColumns(_mark(F.col("text"), F.col("_known"))).drop("_known")
 
 
+def _read(texts: DataFrame, lexicon: DataFrame, text: Column, ascii_only: bool, language: Column | None, p: str, **asked) -> DataFrame:
+    """texts with p + folded and the struct p + read of what is asked of the scan: see reading.reader."""
+    wanted = asked.pop("alone", None)
+    by_language = "language" in lexicon.columns
+    if by_language and language is None:
+        raise ValueError("a lexicon by language needs the language of each text")
+    read = reader(lexicon, alone=wanted is not None, **asked)
+    t = fenced(texts.withColumn(p + "folded", T.folded_text(text, normalize=not ascii_only)), p + "folded")
+    return t.withColumn(p + "read", read(F.col(p + "folded"), *([language] if by_language else []), *([wanted] if wanted is not None else [])))
+
+
 def annotate(texts: DataFrame, lexicon: DataFrame, text: Column, ascii_only: bool = True, language: Column | None = None, p: str = "_", numbers: bool = False) -> DataFrame:
     """texts with the arrays that extraction reads, each name after the prefix p: folded (the text), marks (months, cues
     and, if numbers are asked for, the words of numbers), cues (of these the cues) and runs.
@@ -87,17 +93,21 @@ def annotate(texts: DataFrame, lexicon: DataFrame, text: Column, ascii_only: boo
     readings (run_kind, digits, value, lenient), and split: one half of a broken expression, as the next run begins, one
     or two tokens on, with a scale. language picks the layer of a lexicon by language.
     """
-    by_language = "language" in lexicon.columns
-    if by_language and language is None:
-        raise ValueError("a lexicon by language needs the language of each text")
-    read = reader(lexicon, numbers)
-    t = fenced(texts.withColumn(p + "folded", T.folded_text(text, normalize=not ascii_only)), p + "folded")
-    t = t.withColumn(p + "read", read(F.col(p + "folded"), *([language] if by_language else [])))
+    t = _read(texts, lexicon, text, ascii_only, language, p, numbers=numbers)
     t = t.withColumns({p + "marks": F.col(p + "read")["marks"], p + "runs": F.col(p + "read")["runs"]})
     t = t.withColumn(p + "cues", F.filter(p + "marks", lambda m: F.size(m["cue_types"]) > 0))
     return fenced(t.drop(p + "read"), *(p + x for x in ("folded", "marks", "cues", "runs")))
 
 
+def extracted(texts: DataFrame, lexicon: DataFrame, text: Column, types: list[str] | None = None, ascii_only: bool = True, language: Column | None = None, p: str = "_", numbers: bool = False, alone: Column | None = None) -> DataFrame:
+    """texts with p + folded, p + found (the candidates of annotate and with_candidates, from the scan itself) and, if
+    numbers are asked for, p + marks. alone is an array of types for each text, each of which competes as if only it were
+    wanted; a text without any has no candidates."""
+    parts = ("found", "marks") if numbers else ("found",)
+    t = _read(texts, lexicon, text, ascii_only, language, p, numbers=numbers, types=types, parts=parts, alone=alone)
+    return fenced(t.withColumns({p + x: F.col(p + "read")[x] for x in parts}).drop(p + "read"), p + "folded", *(p + x for x in parts))
+
+
 def cue_hits(types: list[str], p: str = "_") -> Column:
     """For each run and each of types, in this order, the nearest cue (dist, behind, cue): within the window and not beyond
     another number; before wins ties; null if there is none."""
@@ -250,7 +260,7 @@ def extract_entities(texts: DataFrame, lexicon: DataFrame, types: list[str] | No
     candidates.
     """
     t, language = _texts(texts)
-    found = with_candidates(annotate(t, lexicon, F.col("text"), ascii_only, language), types)
+    found = extracted(t, lexicon, F.col("text"), types, ascii_only, language)
     out = found.select("row_key", F.explode("_found").alias("c")).select("row_key", "c.*")
     return out.unionByName(name_extractor(texts), allowMissingColumns=True) if name_extractor else out
 

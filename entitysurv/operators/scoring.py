@@ -32,7 +32,7 @@ def score_rows(rows: DataFrame, lexicon: DataFrame, types: list[str] | None = No
     """
     language = F.col("language") if "language" in lexicon.columns else None
     hypothesis = F.coalesce("hypothesis", F.lit(""))
-    found = X.with_candidates(X.annotate(rows, lexicon, hypothesis, ascii_only, language), types)
+    found = X.extracted(rows, lexicon, hypothesis, types, ascii_only, language)
     wanted = F.filter("gold", lambda g: g["type"].isin(*types)) if types else F.col("gold")
     kind = "array<struct<type:string,expected:string,expected_surface:string,hit:boolean,found:string,found_surface:string,edit_distance:int,candidates:array<string>>>"
     entities = F.transform(wanted, lambda g: X.scored_entity(g, F.col("_found"), F.col("_folded")))
@@ -55,7 +55,7 @@ def value_present(rows: DataFrame, values: Column, text: Column, lexicon: DataFr
     all, else the first that holds of typed (found under any type), digits or weak (the digits are in the text's digits; a
     digit type under six of them may be chance), amount (some run of up to nine tokens reads as the amount)."""
     x = rows.withColumns({"_values": values, "_text": text})
-    x = X.with_candidates(X.annotate(x, lexicon, F.col("_text"), ascii_only, language, numbers=True))
+    x = X.extracted(x, lexicon, F.col("_text"), None, ascii_only, language, numbers=True)
     money = lambda v: v["type"] == "currency"
     x = x.withColumn("_nums", F.filter("_marks", lambda m: m["numberish"]))
     x = x.withColumns({"_digits": T.normalize_digits(F.col("_text")), "_amounts": F.when(F.exists("_values", money), amounts(F.col("_nums"))).otherwise(F.array().cast("array<string>"))})
@@ -74,19 +74,9 @@ def value_present(rows: DataFrame, values: Column, text: Column, lexicon: DataFr
 def gold_found(rows: DataFrame, values: Column, text: Column, lexicon: DataFrame, ascii_only: bool = True, language: Column | None = None) -> DataFrame:
     """rows with known, one flag for each of values array<(type, expected, ...)>: whether the text yields it when only its
     type is wanted. The text is read once, and the competition of cues held for each type that has a value."""
-    x = X.annotate(rows.withColumn("_values", values), lexicon, text, ascii_only, language)
-    has = lambda t: F.exists("_values", lambda v: v["type"] == t)
-    yields = lambda found, v: F.exists(found, lambda c: (c["type"] == v["type"]) & (c["normalized"] == v["expected"]))
-    for t in X.ALL_TYPES:
-        x = X.with_candidates(x, [t], f"_{t}", when=has(t))
-    every = [(t, F.col(f"_{t}")) for t in X.ALL_TYPES]
-
-    def known(v):
-        out = F.lit(False)
-        for t, found in every:
-            out = F.when(v["type"] == t, yields(found, v)).otherwise(out)
-        return F.coalesce(out, F.lit(False))
-
+    each = F.array_distinct(F.transform("_values", lambda v: v["type"]))
+    x = X.extracted(rows.withColumn("_values", values), lexicon, text, None, ascii_only, language, alone=each)
+    known = lambda v: F.coalesce(F.exists("_found", lambda c: (c["type"] == v["type"]) & (c["normalized"] == v["expected"])), F.lit(False))
     return X.fenced(x.withColumn("known", F.transform("_values", known)).select(*rows.columns, "known"), "known")
 
 

@@ -37,3 +37,24 @@ def test_words_and_their_canonical_forms(spark):
 def test_numbers_past_every_type_have_no_value():
     assert R.value_of([("9" * 30, "digits", None), ("crore", "scale", 10**13)]) == (None, None)
     assert R.value_of([("9" * 21, "digits", int("9" * 21) * R.ONE), ("crore", "scale", 10**13)]) == (None, None)
+
+
+def test_candidates_of_the_scan_are_those_of_the_column_expressions(spark):
+    """Random sentences of cues, months, numbers, dates and odd neighbours of dates, for each set of types."""
+    some = "code otp account pin rupees amount is the blah may march twenty five hundred lakh dhai paune zero one double 7 0042 31 1995 250000 123456789012 12/03/95 1-13-2020 32.1.345 a1/2/34/56 ½1/2/2020 é1/2/20 5/6/77é क़12/1/20 x_1/2/2003 1/2/34/5678 ₹ 1,00,000".split()
+    rng = random.Random(7)
+    texts = spark.createDataFrame([(i, " ".join(rng.choices(some, k=rng.randint(1, 16)))) for i in range(4000)] + [(-1, None), (-2, "")], "row_key int, text string").repartition(4)
+    held, each = X.annotate(texts, lexicon(spark), F.col("text")), F.array(*map(F.lit, X.ALL_TYPES))
+    for types in (None, ["otp", "date"], ["account_number", "pin_code"], ["currency"]):
+        want = X.with_candidates(held, types).select("row_key", F.to_json("_found"))
+        got = X.extracted(texts, lexicon(spark), F.col("text"), types).select("row_key", F.to_json("_found"))
+        assert {tuple(r) for r in want.collect()} == {tuple(r) for r in got.collect()}
+    alone = X.extracted(texts, lexicon(spark), F.col("text"), alone=each).select("row_key", F.to_json("_found"))
+    one = held
+    for t in X.ALL_TYPES:
+        one = X.with_candidates(one, [t], f"_{t}")
+    assert {tuple(r) for r in one.select("row_key", F.to_json(F.concat(*(f"_{t}" for t in X.ALL_TYPES)))).collect()} == {tuple(r) for r in alone.collect()}
+
+
+def test_money_is_rounded_half_to_even():
+    assert [R.money_of(n) for n in (-250_000, -1, 5_000, 15_000, 15_001, 123_456_785_000)] == ["INR:-0.25", "INR:0.00", "INR:0.00", "INR:0.02", "INR:0.02", "INR:123456.78"]
