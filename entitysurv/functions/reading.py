@@ -3,6 +3,7 @@ may be. These are Python over Arrow batches; scores, causes and figures are left
 
 from __future__ import annotations
 
+import gc
 import re
 import unicodedata
 from collections.abc import Callable
@@ -151,12 +152,17 @@ def _amount(digits: str) -> int | None:
     return int(digits) * ONE if 0 < len(digits) <= 18 and (len(digits) == 1 or digits[0] != "0") else None
 
 
-def values(marks: list[tuple], runs: list[tuple], types: list[str]) -> list[tuple]:
-    """The candidates of all runs: see extraction.run_candidates."""
-    out, money_too = [], "currency" in types
+def wanted(types: list[str]) -> tuple:
+    """What values and candidates ask of a set of types: shapes, digit types, types with cues, money, dates."""
     shapes = [s for s in SHAPES if s[0] in types]
     digit = sorted(s[0] for s in shapes)
-    cues = [(m[0], m[1], [t for t in m[7] if t == "currency" or t in digit]) for m in marks if m[7]]
+    return shapes, digit, {*digit, "currency"}, "currency" in types, "date" in types
+
+
+def values(marks: list[tuple], runs: list[tuple], asked: tuple) -> list[tuple]:
+    """The candidates of all runs: see extraction.run_candidates."""
+    shapes, digit, looked, money_too, _ = asked
+    out, cues = [], [(m[0], m[1], [t for t in m[7] if t in looked]) for m in marks if m[7]]
     for lo, hi, start, end, before, after, split, kind, digits, value, _ in runs:
         if split:
             continue
@@ -169,7 +175,8 @@ def values(marks: list[tuple], runs: list[tuple], types: list[str]) -> list[tupl
                     if t not in near or hit < near[t]:
                         near[t] = hit
         money = near.get("currency")
-        best = min((near[t][0] for t in digit if t in near), default=None)
+        cued = [(t, near[t]) for t in digit if t in near] if near else []
+        best = min([c[0] for _, c in cued]) if cued else None
         cue = money and money[2]
         if kind == "magnitude":
             if value is not None and money_too:
@@ -180,7 +187,7 @@ def values(marks: list[tuple], runs: list[tuple], types: list[str]) -> list[tupl
             out.append(("currency", money_of(amount), start, end, 0, 0, cue))
             k, closed = 1, value is not None
         if best is not None and (not money or best <= money[0]):
-            found = [(t, near[t][2]) for t in digit if t in near]
+            found = [(t, c[2]) for t, c in cued]
         else:
             found = [] if closed else [(t, None) for t, least, most in shapes if least <= len(digits) <= most]
         out += [(t, digits, start, end, 0, k + i, c) for i, (t, c) in enumerate(found)]
@@ -200,7 +207,7 @@ def _day(year: int | None, month: int, day: int) -> str:
 
 def dates_in_digits(text: str) -> list[tuple]:
     """The dates of a text that are written in digits: see extraction.digit_dates."""
-    out, k, m = [], 0, _DATE.search(text)
+    out, k, m = [], 0, _DATE.search(text) if "/" in text or "-" in text or "." in text else None
     while m:
         start, end = m.span()
         if start and text[start - 1] > "\x7f" and _is_word(text, start - 1) or end < len(text) and text[end] > "\x7f" and _is_word(text, end):
@@ -236,10 +243,10 @@ def dates_in_words(marks: list[tuple], runs: list[tuple]) -> list[tuple]:
     return out
 
 
-def candidates(text: str, marks: list[tuple], runs: list[tuple], types: list[str]) -> list[tuple]:
-    """What a text yields for one set of types: see extraction.with_candidates."""
-    found = values(marks, runs, types)
-    dates = dates_in_digits(text) + dates_in_words(marks, runs) if "date" in types else []
+def candidates(text: str, marks: list[tuple], runs: list[tuple], asked: tuple) -> list[tuple]:
+    """What a text yields for one set of types, as wanted has it: see extraction.with_candidates."""
+    found = values(marks, runs, asked)
+    dates = dates_in_digits(text) + dates_in_words(marks, runs) if asked[-1] else []
     return [c for c in found if not any(d[2] <= c[2] and c[3] <= d[3] for d in dates)] + dates if dates else found
 
 
@@ -272,33 +279,49 @@ class _Layer:
 
     def read(self, text: str) -> tuple[list[tuple], list[tuple]]:
         """(marks, runs) of a text."""
-        marks, parts, hi, at = [], [], -1, 0
-        known, find, numbers = self.known.get, text.find, self.numbers
-        for pos, w in enumerate(_words(text)):
-            start = find(w, at)  # only separators lie between
-            at = start + len(w)
-            found = known(w, _UNSEEN)
-            if found is _UNSEEN:
-                found = self.look(w)
+        marks, parts, hi, pos, next_at = [], [], -1, -1, 0
+        known, numbers = self.known.get, self.numbers
+        for piece in text.translate(_SPACED).split(" "):
+            at = next_at
+            next_at += len(piece) + 1
+            found = known(piece, _UNSEEN)
             if found is None:
+                pos += 1
                 continue
-            kind, value, month, cues = found
-            if kind is not None:
-                if pos == hi:
-                    part[0].append(w)
-                else:
-                    part = [[w], pos, start, kind, 0, 0]
-                    parts.append(part)
-                part[4] = hi = pos + 1
-                part[5] = at
-            if cues or month is not None or numbers and kind is not None:
-                marks.append((pos, w, start, at, kind, value, month, cues, kind is not None))
+            if found is not _UNSEEN:
+                inside = ((piece, found),)
+            elif not piece:
+                continue
+            elif piece.isalpha() or piece.isdigit() and piece.isascii():
+                inside = ((piece, self.look(piece)),)
+            else:
+                inside = [(w, self.look(w)) for w in _WORD.findall(piece)]
+            for w, found in inside:
+                pos += 1
+                start, at = at, at + len(w)
+                if found is None:
+                    continue
+                kind, value, month, cues = found
+                if kind is not None:
+                    if pos == hi:
+                        part[0].append(w)
+                    else:
+                        part = [[w], pos, start, kind, 0, 0, value]
+                        parts.append(part)
+                    part[4] = hi = pos + 1
+                    part[5] = at
+                if cues or month is not None or numbers and kind is not None:
+                    marks.append((pos, w, start, at, kind, value, month, cues, kind is not None))
         runs, before, readings, n = [], None, self.readings.get, len(parts)
-        for i, (words, lo, start, kind, hi, end) in enumerate(parts):
+        for i, (words, lo, start, kind, hi, end, value) in enumerate(parts):
             after = parts[i + 1] if i + 1 < n else None
             split = kind == "scale" and before is not None and lo - before <= 2 or after is not None and after[3] == "scale" and after[1] - hi <= 2
-            key = tuple(words)
-            runs.append((lo, hi, start, end, before, after and after[1], split, *(readings(key) or self.reading(key))))
+            if kind == "digits" and hi == lo + 1:
+                read = ("digits", words[0], value, value)
+            else:
+                key = tuple(words)
+                read = readings(key) or self.reading(key)
+            runs.append((lo, hi, start, end, before, after and after[1], split, *read))
             before = hi
         return marks, runs
 
@@ -314,6 +337,7 @@ def reader(layers: dict[str, dict[str, tuple]], by_language: bool, canonical: Ca
     fields = {"marks": (MARK, _MARK), "runs": (RUN, _RUN), "found": (CANDIDATE, _CANDIDATE)}
     kind = ",".join(f"{x}:array<{fields[x][0]}>" for x in parts)
     held: dict[str, _Layer] = {}  # of the task's Python process
+    sought, each = wanted(types or ALL_TYPES), {t: wanted([t]) for t in ALL_TYPES}
     fallback = "en" if "en" in layers else min(layers, default="")
 
     def layer(language: str | None) -> _Layer:
@@ -323,13 +347,13 @@ def reader(layers: dict[str, dict[str, tuple]], by_language: bool, canonical: Ca
             held[key] = _Layer(layers.get(key, {}), canonical, numbers)
         return held[key]
 
-    def row(text: str | None, language: _Layer, wanted: list[str] | None) -> dict[str, list[tuple] | None]:
+    def row(text: str | None, language: _Layer, mine: list[str] | None) -> dict[str, list[tuple] | None]:
         if text is None:
             return dict.fromkeys(fields)
         marks, runs = language.read(text)
         found = []
         if "found" in parts:
-            for one in [types or ALL_TYPES] if not alone else [[t] for t in wanted or ()]:
+            for one in [sought] if not alone else [each[t] for t in mine or () if t in each]:
                 found += candidates(text, marks, runs, one)
         return {"marks": marks, "runs": runs, "found": found}
 
@@ -338,7 +362,11 @@ def reader(layers: dict[str, dict[str, tuple]], by_language: bool, canonical: Ca
         texts, *others = (c.to_pylist() for c in columns)
         spoken = others[0] if by_language else [None] * len(texts)
         by = {x: layer(x) for x in set(spoken)}
-        out = [row(text, by[x], w) for text, x, w in zip(texts, spoken, others[-1] if alone else spoken, strict=True)]
-        return pa.StructArray.from_arrays([_nested([r[x] for r in out], fields[x][1]) for x in parts], names=list(parts))
+        gc.disable()  # a batch makes many tuples and no cycles
+        try:
+            out = [row(text, by[x], w) for text, x, w in zip(texts, spoken, others[-1] if alone else spoken, strict=True)]
+            return pa.StructArray.from_arrays([_nested([r[x] for r in out], fields[x][1]) for x in parts], names=list(parts))
+        finally:
+            gc.enable()
 
     return read

@@ -99,6 +99,12 @@ def annotate(texts: DataFrame, lexicon: DataFrame, text: Column, ascii_only: boo
     return fenced(t.drop(p + "read"), *(p + x for x in ("folded", "marks", "cues", "runs")))
 
 
+def with_runs(texts: DataFrame, lexicon: DataFrame, text: Column, ascii_only: bool = True, language: Column | None = None, p: str = "_") -> DataFrame:
+    """texts with p + runs alone: see annotate."""
+    t = _read(texts, lexicon, text, ascii_only, language, p, parts=("runs",))
+    return fenced(t.withColumn(p + "runs", F.col(p + "read")["runs"]).drop(p + "read", p + "folded"), p + "runs")
+
+
 def extracted(texts: DataFrame, lexicon: DataFrame, text: Column, types: list[str] | None = None, ascii_only: bool = True, language: Column | None = None, p: str = "_", numbers: bool = False, alone: Column | None = None) -> DataFrame:
     """texts with p + folded, p + found (the candidates of annotate and with_candidates, from the scan itself) and, if
     numbers are asked for, p + marks. alone is an array of types for each text, each of which competes as if only it were
@@ -228,7 +234,7 @@ def _texts(texts: DataFrame) -> tuple[DataFrame, Column | None]:
 def number_runs(texts: DataFrame, lexicon: DataFrame, ascii_only: bool = True) -> DataFrame:
     """The number runs of texts(row_key, text), one row each: see annotate."""
     t, language = _texts(texts)
-    return annotate(t, lexicon, F.col("text"), ascii_only, language).select("row_key", F.explode("_runs").alias("r")).select("row_key", "r.*")
+    return with_runs(t, lexicon, F.col("text"), ascii_only, language).select("row_key", F.explode("_runs").alias("r")).select("row_key", "r.*")
 
 
 def cue_scan(texts: DataFrame, lexicon: DataFrame, types: list[str], ascii_only: bool = True) -> DataFrame:
@@ -275,7 +281,7 @@ def scored_entity(g: Column, found: Column, folded: Column) -> Column:
         hit = F.exists(x["mine"], lambda c: c["normalized"] == x["g"]["expected"])
         order = lambda c: F.struct(F.levenshtein(x["g"]["expected"], c["normalized"]).alias("distance"), c["part"], c["start"], c["k"], c["normalized"].alias("normalized"), c["end"].alias("end"))
         near = F.when(~hit, F.array_min(F.transform(x["mine"], order)))
-        return F.struct(x["g"].alias("g"), hit.alias("hit"), near.alias("near"), F.transform(F.array_sort(F.transform(x["mine"], lambda c: F.struct(c["part"], c["start"], c["k"], c["normalized"]))), lambda c: c["normalized"]).alias("candidates"))
+        return F.struct(x["g"].alias("g"), hit.alias("hit"), near.alias("near"), F.transform(F.sort_array(F.transform(x["mine"], lambda c: F.struct(c["part"], c["start"], c["k"], c["normalized"]))), lambda c: c["normalized"]).alias("candidates"))
 
     def shape(x):
         g_, near = x["g"], x["near"]
