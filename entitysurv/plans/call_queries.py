@@ -45,10 +45,13 @@ TEXTS_SQL = f"""texts AS (SELECT *, CASE realization WHEN 'digits' THEN 'your co
   ELSE 'your code is ' || {SPELT_SQL.format("otp")} || ' for the account ' || {SPELT_SQL.format("account")} || ' it has a pending sum of ' || {words_sql("amount::BIGINT")} || ' rupees due on the ' || {words_sql("day(o_orderdate)")} || ' ' || lower(strftime(o_orderdate, '%B')) || ' ' || {words_sql("year(o_orderdate)")} END AS text FROM o)"""
 
 
+ROWS_A_TASK = 25_000  #: rows that a task makes sentences of: more rows are more tasks, not longer ones
+
+
 def calls(spark, sf):
     """(row_key, realization, text, otp, account, amount, date): the values come from the columns, never from the text."""
     o = demo.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
-    o = o.repartition(spark.sparkContext.defaultParallelism)  # a small file is one task, and all that follows is inside the row
+    o = o.repartition(max(spark.sparkContext.defaultParallelism, o.count() // ROWS_A_TASK))  # a small file is one task, and all that follows is inside the row
     otp = F.lpad((F.col("o_orderkey") * 7919 % 1000000).cast("string"), 6, "0")
     account = F.concat(F.lit("1"), F.lpad((F.col("o_custkey") * 1000003 % 10000000000).cast("string"), 10, "0"))
     rows = o.select(F.col("o_orderkey").alias("row_key"), F.when(F.col("o_orderkey") % 2 == 0, "digits").otherwise("words").alias("realization"), otp.alias("otp"), account.alias("account"), F.floor("o_totalprice").cast("long").alias("amount"), F.to_date("o_orderdate").alias("date"))
@@ -66,8 +69,8 @@ def gold():
 
 def damaged(c, m=9):
     """The sentences without the words at every m-th place: what a poor line leaves."""
-    kept = F.filter(F.transform(F.split("text", " "), lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: (x["i"] * 7 + F.col("row_key")) % m != 0)
-    return c.withColumn("text", F.array_join(F.transform(kept, lambda x: x["w"]), " "))
+    kept = F.filter(F.split("text", " "), lambda w, i: (i * 7 + F.col("row_key")) % m != 0)
+    return c.withColumn("text", F.array_join(kept, " "))
 
 
 def scored(spark, sf, damage=False):
@@ -115,9 +118,8 @@ def parse_value(spark, sf):
 @query(GOLD_SQL + "SELECT row_key, expected AS digits FROM gold WHERE type = 'account_number'")
 def parse_digits(spark, sf):
     c = calls(spark, sf)
-    t = X.with_lexicon(X.tokenize(c.select("row_key", T.digits_to_words(F.col("account")).alias("folded"))), lexicon(spark))
-    toks = F.array_sort(F.collect_list(F.struct("pos", "text", "kind", "value")))
-    return t.groupBy("row_key").agg(N.parse_digits(toks).alias("digits"))
+    said = c.select("row_key", T.digits_to_words(F.col("account")).alias("text"))
+    return X.with_runs(said, lexicon(spark), F.col("text")).select("row_key", F.get("_runs", F.lit(0))["digits"].alias("digits"))
 
 
 @query()
