@@ -106,8 +106,9 @@ def triage(scored: DataFrame, lexicon: DataFrame, ascii_only: bool = True) -> Da
 
 def triage_header(scored: DataFrame) -> DataFrame:
     """One row: rows, utterances, conditions, entities, hits, misses and the rate; the names of the runs, implementations,
-    models and modes, sorted, each - where it is null."""
+    models and modes, sorted, each - where it is null. Conditions are few and are collected: a second distinct count would
+    copy every row."""
     names = lambda c: F.array_sort(F.collect_set(F.coalesce(c, F.lit("-")))).alias(c)
     hits = F.size(F.filter("entities", lambda e: e["hit"]))
-    t = scored.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("row_key").alias("utterances"), F.count_distinct("condition").alias("conditions"), F.coalesce(F.sum(F.size("entities")), F.lit(0)).alias("entities"), F.coalesce(F.sum(hits), F.lit(0)).alias("hits"), *map(names, ("run_id", "asr_impl", "asr_model", "asr_mode")))
+    t = scored.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("row_key").alias("utterances"), F.size(F.collect_set("condition")).cast("long").alias("conditions"), F.coalesce(F.sum(F.size("entities")), F.lit(0)).alias("entities"), F.coalesce(F.sum(hits), F.lit(0)).alias("hits"), *map(names, ("run_id", "asr_impl", "asr_model", "asr_mode")))
     return t.withColumns({"misses": F.col("entities") - F.col("hits"), "rate": F.round(F.when(F.col("entities") > 0, F.col("hits") / F.col("entities")), 6)})

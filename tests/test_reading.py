@@ -9,6 +9,8 @@ from entitysurv.functions import numbers as N
 from entitysurv.functions import reading as R
 from entitysurv.functions.lexicon import NUKTA_LETTERS, STOPS, canonical, canonicalize, entries, lexicon, romanised
 from entitysurv.operators import extraction as X
+from entitysurv.operators import scoring as S
+from entitysurv.plans import call_queries, demo, more_queries
 
 
 def test_number_runs_read_as_the_column_expressions_do(spark):
@@ -58,3 +60,27 @@ def test_candidates_of_the_scan_are_those_of_the_column_expressions(spark):
 
 def test_money_is_rounded_half_to_even():
     assert [R.money_of(n) for n in (-250_000, -1, 5_000, 15_000, 15_001, 123_456_785_000)] == ["INR:-0.25", "INR:0.00", "INR:0.00", "INR:0.02", "INR:0.02", "INR:123456.78"]
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_more_orders_are_more_tasks(spark, monkeypatch):
+    few = spark.range(70).selectExpr("id AS o_orderkey", "id AS o_custkey", "100.0D AS o_totalprice", "timestamp'2026-01-02' AS o_orderdate")
+    monkeypatch.setattr(demo, "table", lambda *_: few)
+    monkeypatch.setattr(call_queries, "ROWS_A_TASK", 5)
+    assert call_queries.calls(spark, "").rdd.getNumPartitions() == 14
+
+
+def test_readings_stay_in_their_row(spark, monkeypatch):
+    """Neither a join nor a grouping puts words or readings together again, and no row is copied for a second count."""
+    few = spark.range(4).selectExpr("id AS o_orderkey", "id AS o_custkey", "id * 1111.0D AS o_totalprice", "timestamp'2026-01-02' AS o_orderdate")
+    monkeypatch.setattr(demo, "table", lambda *_: few)
+    for p in (plan(call_queries.parse_digits(spark, "")), plan(more_queries.spoken_hindi(spark, ""))):
+        assert "Join" not in p and "Aggregate" not in p
+    assert "Union" not in plan(more_queries.split_runs(spark, ""))
+    rows = spark.createDataFrame([(1, "a", [(True,)], "r", None, "m", "t"), (1, "b", [(False,)], "r", "x", None, "t"), (2, None, [], None, "x", "m", "t")], "row_key int, condition string, entities array<struct<hit:boolean>>, run_id string, asr_impl string, asr_model string, asr_mode string")
+    h = S.triage_header(rows)
+    assert "Expand" not in plan(h)
+    assert tuple(h.select("rows", "utterances", "conditions", "entities", "hits", "run_id").first()) == (3, 2, 2, 2, 1, ["-", "r"])
