@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import DoubleType, StringType
 
 # The first code points of the digit blocks of nine Indic scripts.
 INDIC_ZEROS = [0x0966, 0x09E6, 0x0A66, 0x0AE6, 0x0B66, 0x0BE6, 0x0C66, 0x0CE6, 0x0D66]
@@ -97,11 +98,15 @@ def edit_distance(a: Column, b: Column) -> Column:
     return F.levenshtein(a, b)
 
 
+def _wer_text(text: Column, normalize: bool) -> Column:
+    kept = F.regexp_replace(nfc(text) if normalize else text, r"[^\p{L}\p{N}_\s\x{0900}-\x{097F}]", " ")
+    return casefold(kept) if normalize else F.lower(kept)
+
+
 def wer_tokens(text: Column, normalize: bool = True) -> Column:
     """Case-folded words of the NFC text (unless told that it is ASCII); punctuation goes, except that the whole Devanagari
     block stays."""
-    kept = F.regexp_replace(nfc(text) if normalize else text, r"[^\p{L}\p{N}_\s\x{0900}-\x{097F}]", " ")
-    return F.filter(F.split(casefold(kept) if normalize else F.lower(kept), r"\s+"), lambda x: x != "")
+    return F.filter(F.split(_wer_text(text, normalize), r"\s+"), lambda x: x != "")
 
 
 def token_edit_distance(a: Column, b: Column) -> Column:
@@ -121,6 +126,50 @@ def wer_of(r: Column, h: Column) -> Column:
     return F.when(F.size(r) == 0, F.when(F.size(h) == 0, 0.0).otherwise(1.0)).otherwise(token_edit_distance(r, h) / F.size(r))
 
 
+def edits(a: list[str], b: list[str]) -> int:
+    """Levenshtein over words, a column of the table at a time: the steps down a column are the bits of two numbers."""
+    first, n = 0, min(len(a), len(b))
+    while first < n and a[first] == b[first]:
+        first += 1
+    last = 0
+    while last < n - first and a[-1 - last] == b[-1 - last]:
+        last += 1
+    a, b = a[first : len(a) - last], b[first : len(b) - last]
+    if not a or not b:
+        return len(a) + len(b)
+    at: dict[str, int] = {}
+    for i, w in enumerate(a):
+        at[w] = at.get(w, 0) | 1 << i
+    every, end, out = (1 << len(a)) - 1, 1 << len(a) - 1, len(a)
+    up, down = every, 0
+    for w in b:
+        same = at.get(w, 0)
+        level = (((same & up) + up) ^ up) | same | down
+        more, less = down | every & ~(level | up), up & level
+        out += 1 if more & end else -1 if less & end else 0
+        more, less = (more << 1 | 1) & every, (less << 1) & every
+        up, down = less | every & ~(level | more), more & level
+    return out
+
+
+@F.arrow_udf(DoubleType())
+def _wer_of_texts(reference: pa.Array, hypothesis: pa.Array) -> pa.Array:
+    def rate(r: str | None, h: str | None) -> float | None:
+        if r is None or h is None:
+            return None
+        if r == h:
+            return 0.0
+        r, h = r.split(), h.split()
+        return edits(r, h) / len(r) if r else float(bool(h))
+
+    return pa.array([rate(r, h) for r, h in zip(reference.to_pylist(), hypothesis.to_pylist(), strict=True)], pa.float64())
+
+
+def wer_in_task(reference: Column, hypothesis: Column, normalize: bool = True) -> Column:
+    """wer_of the wer_tokens of two texts; the words are compared over Arrow batches. Null if either text is."""
+    return _wer_of_texts(_wer_text(reference, normalize), _wer_text(hypothesis, normalize))
+
+
 def wer(reference: Column, hypothesis: Column) -> Column:
     return wer_of(wer_tokens(reference), wer_tokens(hypothesis))
 

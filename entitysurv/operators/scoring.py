@@ -38,7 +38,7 @@ def score_rows(rows: DataFrame, lexicon: DataFrame, types: list[str] | None = No
     entities = F.transform(wanted, lambda g: X.scored_entity(g, F.col("_found"), F.col("_folded")))
     scored = X.fenced(found.withColumn("entities", F.coalesce(entities, F.array().cast(kind))), "entities")
     confusion = lambda e: F.struct(e["type"].alias("type"), e["expected"].alias("expected"), e["found"].alias("got"), e["found_surface"].alias("got_surface"), e["edit_distance"].alias("edit_distance"))
-    wer = T.wer_of(T.wer_tokens(F.col("reference"), not ascii_only), T.wer_tokens(hypothesis, not ascii_only))
+    wer = T.wer_in_task(F.col("reference"), hypothesis, not ascii_only)
     out = scored.withColumns({"wer": wer, "confusions": F.transform(F.filter("entities", lambda e: ~e["hit"]), confusion)})
     return out.select(*(c for c in rows.columns if c != "gold"), "entities", "wer", "confusions")
 

@@ -1,5 +1,13 @@
 """What is known of a text is worked out inside its row: no join, no grouping and no exploded words."""
 
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from entitysurv.functions import text as T
+from entitysurv.functions.lexicon import lexicon
+from entitysurv.operators import scoring as S
 from entitysurv.plans import demo, more_queries
 
 
@@ -18,3 +26,32 @@ def test_run_kind_joins_nothing(spark, monkeypatch):
     q = more_queries.run_kind(spark, "")
     assert "Join" not in plan(q) and "Aggregate" not in plan(q)
     assert sorted(map(tuple, q.collect()), key=str) == sorted([(1, 7, "digits"), (2, 99, "digits"), (3, 100, "magnitude"), (3, 12, "digits"), (None, 350000, "magnitude")], key=str)
+
+
+def brute_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_word_edits_of_any_length():
+    rng = random.Random(3)
+    for n in [*range(12), 70, 200]:
+        for _ in range(60 if n < 50 else 3):
+            a, b = (rng.choices("abcd"[: rng.randint(1, 4)], k=rng.randint(0, n)) for _ in "ab")
+            assert T.edits(a, b) == brute_edits(a, b), (a, b)
+
+
+@pytest.mark.parametrize("ascii_only", [True, False])
+def test_word_error_rates_are_those_of_the_column_expression(spark, ascii_only):
+    odd = [None, "", "  ", "a b", "A, b!", "your code is 12", "code is 21 now", "पाँच सौ", "पाँच-सौ रुपये", "x\u2003y z\x1cq\x85r", "İstanbul ΑΣ straße", "e\u0301t\u00e9 _x", "a\u00a0b\x0bc"]
+    texts = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate((a, b) for a in odd for b in odd)], "row_key int, reference string, hypothesis string").repartition(4)
+    rows = texts.withColumn("gold", F.array().cast("array<struct<type:string,surface:string,expected:string>>"))
+    words = lambda c: T.wer_tokens(F.coalesce(c, F.lit("")) if c == "hypothesis" else F.col(c), not ascii_only)
+    want = texts.select("row_key", T.wer_of(words("reference"), words("hypothesis")))
+    scored = S.score_rows(rows, lexicon(spark), ascii_only=ascii_only).select("row_key", "wer")
+    assert {tuple(r) for r in want.collect()} == {tuple(r) for r in scored.collect()}
+    assert "unhex" not in plan(scored)  # the words of a pair are no longer spelt as one text each
