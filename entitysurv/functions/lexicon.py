@@ -140,6 +140,12 @@ def reader(lexicon: DataFrame, numbers: bool = False, most: int = 50_000, **aske
     return reading.reader(layers, "language" in lexicon.columns, canonical, numbers, **asked)
 
 
+def bags(lexicon: DataFrame, most: int = 50_000) -> Callable[[Column, Column], Column]:
+    """(folded reference, folded hypothesis) -> how cues and other words came through, by the cue words of a lexicon without
+    languages: see reading.bags."""
+    return reading.bags({r.canon: r.cue_types for r in _rows(lexicon, most) if r.cue_types}, canonical)
+
+
 def lookup(lexicon: DataFrame, most: int = 50_000) -> Callable[[Column, Column | None], Column]:
     """(canonical form, language) -> struct(kind, value, month, cue_types), null for other words.
 

@@ -27,6 +27,7 @@ CANDIDATE = "struct<type:string,normalized:string,start:int,end:int,part:int,k:i
 TOKEN = "struct<pos:int,text:string,start:int,end:int>"
 MARK = "struct<pos:int,text:string,start:int,end:int,kind:string,value:decimal(28,6),month:int,cue_types:array<string>,numberish:boolean>"
 RUN = "struct<lo:int,hi:int,start:int,end:int,prev_hi:int,next_lo:int,split:boolean,run_kind:string,digits:string,value:decimal(28,6),lenient:decimal(28,6)>"
+BAG = "struct<cue_total:int,cue_kept:int,word_total:int,word_kept:int,lost:array<struct<type:string,n:int>>>"
 _DEC, _TEXTS = pa.decimal128(28, 6), pa.list_(pa.string())
 _TOKEN = {"pos": pa.int32(), "text": pa.string(), "start": pa.int32(), "end": pa.int32()}
 _MARK = {**_TOKEN, "kind": pa.string(), "value": _DEC, "month": pa.int32(), "cue_types": _TEXTS, "numberish": pa.bool_()}
@@ -370,3 +371,47 @@ def reader(layers: dict[str, dict[str, tuple]], by_language: bool, canonical: Ca
             gc.enable()
 
     return read
+
+
+def bags(cues: dict[str, list[str]], canonical: Callable[[str], str]) -> Callable[[Column, Column], Column]:
+    """(folded reference, folded hypothesis) -> struct: the cue words and the other words of the reference, how many of
+    either came through (bag intersection of canonical forms), and lost, the types that have a cue in the reference and none
+    in the hypothesis, with the number of their cues. cues: canonical form -> types. A null text has no words."""
+    held: dict[str, str] = {}  # of the task's Python process
+
+    def spelt(word: str) -> str:
+        if len(held) > KEPT:
+            held.clear()
+        found = held[word] = word if "0" <= word[0] <= "9" else canonical(word)
+        return found
+
+    def bag(text: str | None) -> dict[str, int]:
+        out: dict[str, int] = {}
+        for w in _words(text or ""):
+            c = held.get(w)
+            if c is None:
+                c = spelt(w)
+            out[c] = out.get(c, 0) + 1
+        return out
+
+    def row(reference: str | None, hypothesis: str | None) -> tuple:
+        said, heard = bag(reference), bag(hypothesis)
+        cue_total = cue_kept = kept = 0
+        had: dict[str, int] = {}
+        for c, n in said.items():
+            came = min(n, heard.get(c, 0))
+            kept += came
+            if c in cues:
+                cue_total, cue_kept = cue_total + n, cue_kept + came
+                for t in cues[c]:
+                    had[t] = had.get(t, 0) + n
+        there = {t for c in cues.keys() & heard.keys() for t in cues[c]} if had else ()
+        return cue_total, cue_kept, sum(said.values()) - cue_total, kept - cue_kept, [(t, n) for t, n in sorted(had.items()) if t not in there]
+
+    @F.arrow_udf(BAG)
+    def read(reference: pa.Array, hypothesis: pa.Array) -> pa.Array:
+        *counts, lost = zip(*map(row, reference.to_pylist(), hypothesis.to_pylist()), strict=True) if len(reference) else [()] * 5
+        arrays = [*(pa.array(c, pa.int32()) for c in counts), _nested(list(lost), {"type": pa.string(), "n": pa.int32()})]
+        return pa.StructArray.from_arrays(arrays, names=["cue_total", "cue_kept", "word_total", "word_kept", "lost"])
+
+    return read

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import lexicon as L
+from ..functions import text as T
+from . import extraction as X
 from .metrics import rounded, total
 
 
@@ -34,17 +37,46 @@ def orphans(present: DataFrame, reference: DataFrame, hypothesis: DataFrame) ->
     return present.join(had, ["row_key", "type"]).join(cued(hypothesis).distinct(), ["row_key", "type"], "left_anti")
 
 
-def cue_survival(words: DataFrame, rows: DataFrame, orphan: DataFrame, present: DataFrame) -> DataFrame:
-    """Per condition: cue words and other words and how many survived; values present, orphans, those not recovered, and
-    orphans by type. orphan and present carry the condition, orphan also hit."""
+def read_in_rows(rows: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """rows(row_key, condition, reference, hypothesis, gold) of keys that come once: what cue_multiset, present_values and
+    orphans make of them, inside the row, which each text needs to be read for once. (row_key, condition, cue_total,
+    cue_kept, word_total, word_kept, value_present, orphans array<(type, expected, cues_expected, hit)>)."""
+    fold = lambda c: T.folded_text(F.col(c), normalize=False)
+    t = X.fenced(rows.select("row_key", "condition", "gold", fold("reference").alias("_said"), fold("hypothesis").alias("_heard")), "_said", "_heard")
+    read, bag = L.reader(lexicon, parts=("found",)), L.bags(lexicon)
+    t = t.select("row_key", "condition", "gold", read("_heard").alias("_read"), bag("_said", "_heard").alias("_bag"))
+    t = X.fenced(t.select("row_key", "condition", "gold", "_bag.*", F.col("_read.found").alias("_found")), "_found", "lost")
+    yields = lambda g, same: F.exists("_found", lambda c: (c["normalized"] == g["expected"]) & same(c))
+    t = X.fenced(t.withColumn("_present", F.filter("gold", lambda g: yields(g, lambda c: F.lit(True)))), "_present")
+    lost = lambda g: F.filter("lost", lambda x: x["type"] == g["type"])
+    one = lambda g: F.struct(g["type"].alias("type"), g["expected"].alias("expected"), F.get(lost(g), F.lit(0))["n"].cast("long").alias("cues_expected"), yields(g, lambda c: c["type"] == g["type"]).alias("hit"))
+    orphan = F.when(F.size("lost") > 0, F.transform(F.filter("_present", lambda g: F.size(lost(g)) > 0), one))
+    return t.select("row_key", "condition", "cue_total", "cue_kept", "word_total", "word_kept", F.size("_present").alias("value_present"), orphan.alias("orphans"))
+
+
+def summed(rows: DataFrame) -> DataFrame:
+    """read_in_rows by condition and kinds of orphans, array<(type, hit)>: all that cue_survival asks of it, in one pass; n
+    is the number of rows."""
+    kinds = F.transform("orphans", lambda o: F.struct(o["type"].alias("type"), o["hit"].alias("hit"))).alias("orphans")
+    figures = ("cue_total", "cue_kept", "word_total", "word_kept", "value_present")
+    return rows.select("condition", kinds, *figures).groupBy("condition", "orphans").agg(*(F.sum(c).alias(c) for c in figures), total().alias("n"))
+
+
+def word_counts(words: DataFrame, rows: DataFrame) -> DataFrame:
+    """(condition, cue_total, cue_kept, word_total, word_kept) of each word of a cue_multiset."""
     is_cue = F.coalesce(F.size("cue_types") > 0, F.lit(False))
-    count = lambda c, when: F.coalesce(F.sum(F.when(when, F.col(c))), F.lit(0))
-    w = words.join(rows.select("row_key", "condition"), "row_key").groupBy("condition").agg(
-        count("n_ref", is_cue).alias("cue_total"), count("kept", is_cue).alias("cue_kept"), count("n_ref", ~is_cue).alias("word_total"), count("kept", ~is_cue).alias("word_kept"),
-    )
-    by_type = orphan.groupBy("condition", "type").agg(total().alias("n"), F.count_if(~F.col("hit")).alias("lost"))
+    count = lambda c, when: F.when(when, F.col(c)).otherwise(0)
+    return words.join(rows.select("row_key", "condition"), "row_key").select("condition", count("n_ref", is_cue).alias("cue_total"), count("kept", is_cue).alias("cue_kept"), count("n_ref", ~is_cue).alias("word_total"), count("kept", ~is_cue).alias("word_kept"))
+
+
+def cue_survival(counts: DataFrame, orphan: DataFrame, present: DataFrame) -> DataFrame:
+    """Per condition: cue words and other words and how many survived; values present, orphans, those not recovered, and
+    orphans by type. counts(condition, cue_total, cue_kept, word_total, word_kept) and present(condition, value_present) are
+    summed, and so is orphan(condition, type, hit, n)."""
+    w = counts.where("cue_total + word_total > 0").groupBy("condition").agg(*(F.sum(c).alias(c) for c in ("cue_total", "cue_kept", "word_total", "word_kept")))
+    by_type = orphan.groupBy("condition", "type").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("hit"), 0).otherwise(F.col("n"))).alias("lost"))
     o = by_type.groupBy("condition").agg(F.sum("n").alias("orphans"), F.sum("lost").alias("unrecovered"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("by_type"))  # one entry per type
-    p = present.groupBy("condition").agg(total().alias("value_present"))
+    p = present.groupBy("condition").agg(F.sum("value_present").alias("value_present"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     out = w.join(p, "condition", "left").join(o, "condition", "left")
     return out.select("condition", "cue_total", "cue_kept", "word_total", "word_kept", zero("value_present"), zero("orphans"), zero("unrecovered"), F.coalesce("by_type", F.expr("cast(map() as map<string,bigint>)")).alias("by_type"))

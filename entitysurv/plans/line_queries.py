@@ -164,27 +164,59 @@ def _tokens(spark, x, column) -> DataFrame:
     return w.join(F.broadcast(C.cue_index(L.lexicon(spark))), "canon", "left").select("row_key", "canon", "cue_types")  # the index is a fixed vocabulary
 
 
-def _survival(spark, sf):
-    """(bags, rows, orphans, present values) of the calls that did not fail and were not blank."""
-    x = X.staged(lines(spark, sf).where("error is null and trim(hypothesis) <> ''"), "lines")
+def _heard(spark, sf) -> DataFrame:
+    """The calls that did not fail and were not blank."""
+    return lines(spark, sf).where("error is null and trim(hypothesis) <> ''")
+
+
+def _apart(spark, sf) -> tuple[DataFrame, DataFrame | None]:
+    """The heard calls whose key comes once, and the others, if there are any."""
+    x = _heard(spark, sf).where("row_key is not null")
+    again = X.staged(x.groupBy("row_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("row_key"), "again")
+    return x.join(again, "row_key", "left_anti"), None if again.isEmpty() else X.staged(x.join(again, "row_key", "left_semi"), "lines")
+
+
+ORPHAN = ["row_key", "condition", "type", "expected", "cues_expected", "hit"]
+
+
+def _shared(x: DataFrame, spark) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(counts, orphans, present values) of calls that share a key: their words are one bag, and their values one set."""
     ref, hyp = (X.staged(_tokens(spark, x, c), "words") for c in ("reference", "hypothesis"))
     found = X.staged(X.extract_entities(x.select("row_key", F.col("hypothesis").alias("text")), L.lexicon(spark)), "found")
-    gold = S.gold_of(x, keep=("condition",))
-    present = C.present_values(gold, found)
+    present = C.present_values(S.gold_of(x, keep=("condition",)), found)
     hit = found.select("row_key", "type", F.col("normalized").alias("expected"), F.lit(True).alias("hit")).distinct()
     orphan = C.orphans(present, ref, hyp).join(hit, ["row_key", "type", "expected"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
-    return C.cue_multiset(ref, hyp), x, orphan, present
+    return C.word_counts(C.cue_multiset(ref, hyp), x), orphan.select(ORPHAN), present.select("condition", F.lit(1).alias("value_present"))
+
+
+def _orphans(rows: DataFrame) -> DataFrame:
+    return rows.select("row_key", "condition", F.explode("orphans").alias("o")).select("row_key", "condition", "o.*").select(ORPHAN)
+
+
+def _survival(spark, sf) -> DataFrame:
+    """Cue survival by condition. A call whose key is its own is read inside its row."""
+    once, again = _apart(spark, sf)
+    sums = X.staged(C.summed(C.read_in_rows(once, L.lexicon(spark))), "cues")
+    counts, present = sums.select("condition", "cue_total", "cue_kept", "word_total", "word_kept"), sums.select("condition", "value_present")
+    orphan = sums.select("condition", F.explode("orphans").alias("o"), "n").select("condition", "o.*", "n")
+    if again is not None:
+        more = _shared(again, spark)
+        counts, present = counts.unionByName(more[0]), present.unionByName(more[2])
+        orphan = orphan.unionByName(more[1].select("condition", "type", "hit", F.lit(1).alias("n")))
+    return C.cue_survival(counts, orphan, present)
 
 
 @query(CUES + "SELECT * FROM survival")
 def cue_survival(spark, sf):
     listed = F.array_join(F.transform(F.map_entries("by_type"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
-    return C.cue_survival(*_survival(spark, sf)).withColumn("by_type", listed)
+    return _survival(spark, sf).withColumn("by_type", listed)
 
 
 @query(CUES + "SELECT o_orderkey AS row_key, condition, type, expected, 1::BIGINT AS cues_expected, hit FROM orphan")
 def orphans(spark, sf):
-    return _survival(spark, sf)[2].select("row_key", "condition", "type", "expected", "cues_expected", "hit")
+    once, again = _apart(spark, sf)
+    found = _orphans(C.read_in_rows(once, L.lexicon(spark)))
+    return found if again is None else found.unionByName(_shared(again, spark)[1])
 
 
 @query(CUES + "SELECT type, condition, o_orderkey AS row_key, hit FROM orphan")
@@ -195,12 +227,12 @@ def orphan_listing(spark, sf):
 @query(CUES + """, r AS (SELECT condition, orphans, orphans / value_present::DOUBLE AS r, cue_kept / cue_total::DOUBLE AS s FROM survival)
 SELECT condition, orphans, round(r, 6) AS orphan_rate, round(s, 6) AS cue_survival, round(s - (SELECT s FROM r WHERE condition = 'clean'), 6) AS against_clean, condition = 'bursty' AS least_kept, (SELECT sum(orphans) FROM r WHERE condition = 'bursty')::BIGINT AS bursty_orphans FROM r""")
 def orphan_rate_rank(spark, sf):
-    return C.orphan_rate_rank(C.cue_survival(*_survival(spark, sf)), BURSTY, "clean").orderBy(F.desc("orphan_rate"), "condition")
+    return C.orphan_rate_rank(_survival(spark, sf), BURSTY, "clean").orderBy(F.desc("orphan_rate"), "condition")
 
 
 @query(CUES + "SELECT sum(value_present)::BIGINT AS value_present, sum(orphans)::BIGINT AS orphans, sum(unrecovered)::BIGINT AS unrecovered, sum(orphans)::BIGINT AS shaped, 0::BIGINT AS unshaped FROM survival")
 def cue_totals(spark, sf):
-    return C.cue_totals(C.cue_survival(*_survival(spark, sf)), S.DIGIT_TYPES)
+    return C.cue_totals(_survival(spark, sf), S.DIGIT_TYPES)
 
 
 @query(CUES + """, tt AS (SELECT string_agg(type || '=' || n, ',' ORDER BY type) AS all_by_type FROM (SELECT type, count(*) AS n FROM orphan GROUP BY 1))
@@ -208,8 +240,7 @@ SELECT 'transcribe' AS modes, (SELECT count(*) FROM cue) AS rows, condition, cue
   all_by_type, (sum(orphans) OVER ())::BIGINT AS all_orphans, (sum(unrecovered) OVER ())::BIGINT AS all_unrecovered, (sum(value_present) OVER ())::BIGINT AS all_present, 'account_number,otp,pin_code' AS shaped FROM survival, tt""")
 def cue_figures_json(spark, sf):
     """All figures, written as one JSON document and read back, one row per condition."""
-    bags, x, orphan, present = _survival(spark, sf)
-    figures = C.cue_figures(C.cue_survival(bags, x, orphan, present), x.count(), ["transcribe"], S.DIGIT_TYPES)
+    figures = C.cue_figures(_survival(spark, sf), _heard(spark, sf).count(), ["transcribe"], S.DIGIT_TYPES)
     path = io.scratch_path(spark, "figures")
     figures.write.text(path)
     d = io.cue_figures(spark, path).withColumn("c", F.explode("conditions"))

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from entitysurv.functions import text as T
 from entitysurv.functions.lexicon import lexicon
+from entitysurv.operators import cues as C
+from entitysurv.operators import extraction as X
 from entitysurv.operators import scoring as S
-from entitysurv.plans import demo, more_queries
+from entitysurv.plans import demo, line_queries, more_queries
 
 
 def plan(df) -> str:
@@ -55,3 +57,47 @@ def test_word_error_rates_are_those_of_the_column_expression(spark, ascii_only):
     scored = S.score_rows(rows, lexicon(spark), ascii_only=ascii_only).select("row_key", "wer")
     assert {tuple(r) for r in want.collect()} == {tuple(r) for r in scored.collect()}
     assert "unhex" not in plan(scored)  # the words of a pair are no longer spelt as one text each
+
+
+def heard_lines(spark, monkeypatch, keys):
+    """Random sentences of cues and values with what was heard of them, under these keys; the names of what is staged."""
+    some = "code otp Code account pin_ rupees rs amount is the blah may twenty five hundred 482913 50100234567 12/03/95 999 ₹".split()
+    rng = random.Random(11)
+    rows = []
+    for k in keys:
+        said = rng.choices(some, k=rng.randint(0, 14))
+        heard = [w for w in said if rng.random() < 0.7] + rng.choices(some, k=2)
+        gold = [("otp", "482913", "482913"), ("account_number", "50100234567", "50100234567"), ("otp", "482913", "482913"), ("currency", "999", "INR:999.00"), ("date", "12/03/95", None)]
+        rows.append((k, rng.choice("abc"), " ".join(said) or None, " ".join(heard), None, rng.sample(gold, 4)))
+    rows += [(900, "a", "code 482913", " ", None, []), (901, "d", "code 482913", "", None, []), (902, "a", "code 482913", "482913", "timeout", [])]
+    table = spark.createDataFrame(rows, "row_key long, condition string, reference string, hypothesis string, error string, gold array<struct<type:string,surface:string,expected:string>>").repartition(4).cache()
+    names, staged = [], X.staged
+    monkeypatch.setattr(line_queries, "lines", lambda *_: table)
+    monkeypatch.setattr(X, "staged", lambda df, name: (names.append(name), staged(df, name))[1])
+    return names
+
+
+def by_relations(spark):
+    """What the relations of all words make of the same lines."""
+    counts, orphan, present = line_queries._shared(line_queries._heard(spark, "").where("row_key is not null"), spark)
+    return orphan, C.cue_survival(counts, orphan.withColumn("n", F.lit(1)), present)
+
+
+def same_rows(a, b):
+    assert a.count() > 0 and sorted(map(str, a.collect())) == sorted(map(str, b.select(a.columns).collect()))
+
+
+def test_cues_are_read_inside_rows_whose_key_is_their_own(spark, monkeypatch):
+    names = heard_lines(spark, monkeypatch, range(300))
+    orphan, survival = line_queries.orphans(spark, ""), line_queries._survival(spark, "")
+    assert "words" not in names and "found" not in names  # neither words nor values are rows of their own
+    want = by_relations(spark)
+    same_rows(orphan, want[0])
+    same_rows(survival, want[1])
+
+
+def test_keys_that_repeat_are_one_bag_and_null_keys_none(spark, monkeypatch):
+    heard_lines(spark, monkeypatch, [*range(40), *range(20, 60), *range(30, 36), None, None, None])
+    want = by_relations(spark)
+    same_rows(line_queries.orphans(spark, ""), want[0])
+    same_rows(line_queries._survival(spark, ""), want[1])
