@@ -105,6 +105,12 @@ def with_runs(texts: DataFrame, lexicon: DataFrame, text: Column, ascii_only: bo
     return fenced(t.withColumn(p + "runs", F.col(p + "read")["runs"]).drop(p + "read", p + "folded"), p + "runs")
 
 
+def marked(texts: DataFrame, lexicon: DataFrame, text: Column, ascii_only: bool = True, language: Column | None = None, p: str = "_") -> DataFrame:
+    """texts with p + marks alone, the words of numbers among them: see annotate. Null for a null text."""
+    t = _read(texts, lexicon, text, ascii_only, language, p, numbers=True, parts=("marks",))
+    return fenced(t.withColumn(p + "marks", F.col(p + "read")["marks"]).drop(p + "read", p + "folded"), p + "marks")
+
+
 def extracted(texts: DataFrame, lexicon: DataFrame, text: Column, types: list[str] | None = None, ascii_only: bool = True, language: Column | None = None, p: str = "_", numbers: bool = False, alone: Column | None = None) -> DataFrame:
     """texts with p + folded, p + found (the candidates of annotate and with_candidates, from the scan itself) and, if
     numbers are asked for, p + marks. alone is an array of types for each text, each of which competes as if only it were

@@ -21,7 +21,7 @@ def gold_of(rows: DataFrame, types: list[str] | None = None, keep: tuple[str, ..
     return g.where(F.col("type").isin(*types)) if types else g
 
 
-def score_rows(rows: DataFrame, lexicon: DataFrame, types: list[str] | None = None, ascii_only: bool = True) -> DataFrame:
+def score_rows(rows: DataFrame, lexicon: DataFrame, types: list[str] | None = None, ascii_only: bool = True, extracted: bool = False) -> DataFrame:
     """rows(row_key, reference, hypothesis, gold array<type, surface, expected>, ...) with wer, entities and confusions, all
     inside the row.
 
@@ -29,6 +29,7 @@ def score_rows(rows: DataFrame, lexicon: DataFrame, types: list[str] | None = No
     type, in order of extraction). On a hit found is null and the distance 0; on a miss it is the nearest candidate, the
     first extracted on ties. confusions are the misses. A null hypothesis is an empty one; a row without gold has empty
     arrays. With a lexicon by language the column language picks the layer. Column names that begin with _ are taken.
+    extracted keeps all candidates of the hypothesis under that name, so that triage need not read it again.
     """
     language = F.col("language") if "language" in lexicon.columns else None
     hypothesis = F.coalesce("hypothesis", F.lit(""))
@@ -40,7 +41,7 @@ def score_rows(rows: DataFrame, lexicon: DataFrame, types: list[str] | None = No
     confusion = lambda e: F.struct(e["type"].alias("type"), e["expected"].alias("expected"), e["found"].alias("got"), e["found_surface"].alias("got_surface"), e["edit_distance"].alias("edit_distance"))
     wer = T.wer_in_task(F.col("reference"), hypothesis, not ascii_only)
     out = scored.withColumns({"wer": wer, "confusions": F.transform(F.filter("entities", lambda e: ~e["hit"]), confusion)})
-    return out.select(*(c for c in rows.columns if c != "gold"), "entities", "wer", "confusions")
+    return out.select(*(c for c in rows.columns if c != "gold"), "entities", "wer", "confusions", *([F.col("_found").alias("extracted")] if extracted else []))
 
 
 def amounts(nums: Column) -> Column:
@@ -50,25 +51,28 @@ def amounts(nums: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(runs, read)))
 
 
-def value_present(rows: DataFrame, values: Column, text: Column, lexicon: DataFrame, ascii_only: bool = True, language: Column | None = None) -> DataFrame:
+def value_present(rows: DataFrame, values: Column, text: Column, lexicon: DataFrame, ascii_only: bool = True, language: Column | None = None, found: Column | None = None) -> DataFrame:
     """rows with how, one entry for each of values array<(type, expected, ...)>: null where the value is not in the text at
     all, else the first that holds of typed (found under any type), digits or weak (the digits are in the text's digits; a
-    digit type under six of them may be chance), amount (some run of up to nine tokens reads as the amount)."""
+    digit type under six of them may be chance), amount (some run of up to nine tokens reads as the amount). found are the
+    candidates of the text, if they are known; its numbers are read only where nothing else holds of an amount."""
     x = rows.withColumns({"_values": values, "_text": text})
-    x = X.extracted(x, lexicon, F.col("_text"), None, ascii_only, language, numbers=True)
+    x = X.extracted(x, lexicon, F.col("_text"), None, ascii_only, language) if found is None else x.withColumn("_found", found)
+    x = X.fenced(x.withColumn("_digits", T.normalize_digits(F.col("_text"))), "_digits")
     money = lambda v: v["type"] == "currency"
-    x = x.withColumn("_nums", F.filter("_marks", lambda m: m["numberish"]))
-    x = x.withColumns({"_digits": T.normalize_digits(F.col("_text")), "_amounts": F.when(F.exists("_values", money), amounts(F.col("_nums"))).otherwise(F.array().cast("array<string>"))})
 
-    def how(v):
+    def sure(v):
         wanted = F.when(money(v), F.substring_index(F.substring_index(v["expected"], ":", -1), ".", 1)).when(v["type"].isin(*DIGIT_TYPES), v["expected"])
         inside = F.coalesce((wanted != "") & F.contains(F.col("_digits"), wanted), F.lit(False))
         typed = F.coalesce(F.exists("_found", lambda c: c["normalized"] == v["expected"]), F.lit(False))
-        read = F.coalesce(F.array_contains("_amounts", v["expected"]), F.lit(False))
-        return F.when(typed, "typed").when(inside & ~money(v) & (F.length(v["expected"]) < 6), "weak").when(inside, "digits").when(money(v) & read, "amount")
+        how = F.when(typed, "typed").when(inside & ~money(v) & (F.length(v["expected"]) < 6), "weak").when(inside, "digits")
+        return F.struct(how.alias("how"), F.when(money(v) & how.isNull(), v["expected"]).alias("open"))
 
-    x = X.fenced(x, "_digits", "_amounts")
-    return X.fenced(x.withColumn("how", F.transform("_values", how)).select(*rows.columns, "how"), "how")
+    x = X.fenced(x.withColumn("_sure", F.transform("_values", sure)), "_sure")
+    x = X.marked(x, lexicon, F.when(F.exists("_sure", lambda s: s["open"].isNotNull()), F.col("_text")), ascii_only, language)
+    x = X.fenced(x.withColumn("_amounts", amounts(F.filter("_marks", lambda m: m["numberish"]))), "_amounts")
+    how = F.transform("_sure", lambda s: F.coalesce(s["how"], F.when(F.array_contains("_amounts", s["open"]), "amount")))
+    return X.fenced(x.withColumn("how", how).select(*rows.columns, "how"), "how")
 
 
 def gold_found(rows: DataFrame, values: Column, text: Column, lexicon: DataFrame, ascii_only: bool = True, language: Column | None = None) -> DataFrame:
@@ -85,15 +89,17 @@ def triage(scored: DataFrame, lexicon: DataFrame, ascii_only: bool = True) -> Da
 
     In this order: the call failed (uncertain); the gold value is not in its own reference (gold_error); it is in the
     hypothesis anyhow (extractor_error; uncertain where that may be chance); the hypothesis is blank (uncertain); else
-    asr_error, by the distance of what was found instead. Only rows with a miss are read again, each text once.
+    asr_error, by the distance of what was found instead. Only rows with a miss are read again, each text once, and not the
+    hypothesis if score_rows kept what it extracted (all types, that is).
     """
     language = F.col("language") if "language" in lexicon.columns else None
     kept = ["row_key", "condition", "realization", "template_id", "error", "hypothesis", *(["language"] if language is not None else [])]
     missed = F.filter(F.transform("entities", lambda e, i: F.struct(i.alias("idx"), e["type"].alias("type"), e["expected"].alias("expected"), e["found"].alias("found"), e["edit_distance"].alias("edit_distance"), e["hit"].alias("hit"))), lambda e: ~e["hit"])
-    rows = scored.where(F.exists("entities", lambda e: ~e["hit"])).select(*kept, "reference", missed.alias("misses"))
-    known = gold_found(rows, F.col("misses"), F.coalesce("reference", F.lit("")), lexicon, ascii_only, language)
-    present = value_present(known, F.col("misses"), F.coalesce("hypothesis", F.lit("")), lexicon, ascii_only, language)
-    m = present.select(*kept, F.explode(F.arrays_zip("misses", "known", "how")).alias("x")).select(*kept, "x.misses.*", "x.known", "x.how")
+    held = ["extracted"] if "extracted" in scored.columns else []
+    rows = scored.where(F.exists("entities", lambda e: ~e["hit"])).select(*kept, "reference", missed.alias("misses"), *held)
+    present = value_present(rows, F.col("misses"), F.coalesce("hypothesis", F.lit("")), lexicon, ascii_only, language, found=F.col("extracted") if held else None).drop("extracted")
+    reference = F.when(F.col("error").isNull(), F.coalesce("reference", F.lit("")))  # nothing more is asked of a failed call
+    m = gold_found(present, F.col("misses"), reference, lexicon, ascii_only, language).select(*kept, F.explode(F.arrays_zip("misses", "known", "how")).alias("x")).select(*kept, "x.misses.*", "x.known", "x.how")
     failed, wrong, how = F.col("error").isNotNull(), ~F.col("known"), F.col("how")
     blank = F.trim(F.coalesce("hypothesis", F.lit(""))) == ""
     reason = F.when(failed, "call_error").when(wrong, "gold_error").when(how.isNotNull(), how).when(blank, "empty_hypothesis").when(F.col("found").isNull(), "dropped").otherwise("different")

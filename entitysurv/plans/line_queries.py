@@ -82,7 +82,7 @@ def score_rows(spark, sf):
 
 
 def _triage(spark, sf) -> DataFrame:
-    return S.triage(scored(spark, sf), L.lexicon(spark))
+    return S.triage(S.score_rows(lines(spark, sf), L.lexicon(spark), extracted=True), L.lexicon(spark))
 
 
 @query(LINES + "SELECT * FROM cause")

@@ -101,3 +101,22 @@ def test_keys_that_repeat_are_one_bag_and_null_keys_none(spark, monkeypatch):
     want = by_relations(spark)
     same_rows(line_queries.orphans(spark, ""), want[0])
     same_rows(line_queries._survival(spark, ""), want[1])
+
+
+def test_triage_reads_a_hypothesis_once(spark, monkeypatch):
+    """Buckets and patterns are the same whether or not scoring hands on what it extracted; a failed call is not read."""
+    some = "code otp account pin rupees amount is three lakh fifty thousand 482913 482 913 350000 3,50,000 50100234567 12/03/95 4829".split()
+    rng = random.Random(13)
+    gold = [("otp", "482913", "482913"), ("otp", "4829", "4829"), ("account_number", "50100234567", "50100234567"), ("currency", "3,50,000", "INR:350000.00"), ("currency", "none", None), ("date", "12/03/95", "1995-03-12")]
+    rows = [(i, "c", "digits", f"t{i % 3}", " ".join(rng.choices(some, k=12)), " ".join(rng.choices(some, k=rng.randint(0, 12))), "timeout" if i % 11 == 0 else None, rng.sample(gold, 4)) for i in range(400)]
+    rows.append((400, "c", "words", "t", "pay rupees 3,50,000 now", "pay three lakh blah fifty thousand now", None, [("currency", "3,50,000", "INR:350000.00")]))
+    rows.append((401, "c", "digits", "t", "the otp is 482913", "the pin is 482913", None, [("otp", "482913", "482913")]))
+    table = spark.createDataFrame(rows, "row_key int, condition string, realization string, template_id string, reference string, hypothesis string, error string, gold array<struct<type:string,surface:string,expected:string>>").repartition(4).cache()
+    read, extracted = [], X.extracted
+    monkeypatch.setattr(line_queries, "lines", lambda *_: table)
+    monkeypatch.setattr(X, "extracted", lambda texts, lexicon, text, *a, **b: (read.append(str(text)), extracted(texts, lexicon, text, *a, **b))[1])
+    got = line_queries._triage(spark, "")
+    assert len(read) == 2  # the hypothesis and the reference
+    again = S.triage(S.score_rows(table, lexicon(spark)), lexicon(spark))
+    assert sorted(map(str, got.collect())) == sorted(map(str, again.collect()))
+    assert {r.reason for r in got.select("reason").distinct().collect()} >= {"call_error", "gold_error", "typed", "digits", "amount", "dropped", "different"}
